@@ -116,11 +116,13 @@ def best_worst(rates: DataFrame, key: str, rate: str = "taxa") -> DataFrame:
     )).alias("x")).select("x.*")
 
 
-def overall_rates(df: DataFrame, predicates: dict[str, Column], digits: int = 1) -> DataFrame:
-    """Share in percent of rows matching each predicate; 0 for empty input."""
+def overall_rates(df: DataFrame, predicates: dict[str, Column], digits: int | dict = 1) -> DataFrame:
+    """Share in percent of rows matching each predicate; 0 for empty input.
+    ``digits`` is one number or a per-name dictionary (default 1)."""
+    nd = (lambda k: digits.get(k, 1)) if isinstance(digits, dict) else (lambda k: digits)
     aggs = [F.count(F.lit(1)).alias("__t")] + [F.count(F.when(p, 1)).alias(f"__{k}") for k, p in predicates.items()]
     a = df.agg(*aggs)
-    return a.select(*[S.pct(F.col(f"__{k}"), F.col("__t"), digits).alias(k) for k in predicates])
+    return a.select(*[S.pct(F.col(f"__{k}"), F.col("__t"), nd(k)).alias(k) for k in predicates])
 
 
 def distinct_counts(df: DataFrame, cols: Iterable[str], exact: bool = True) -> DataFrame:

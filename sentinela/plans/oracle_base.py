@@ -112,8 +112,9 @@ _TEXT = {"occ": OCC, "cal": CAL, "ordi": ORD, "lab": LAB, "risk": RISK, "pred":
 _NEEDS = {"cal": ["occ"], "lab": ["cal"], "risk": ["lab"], "pred": ["risk"], "sev": ["occ"]}
 
 
-def with_(*names: str) -> str:
-    """``WITH`` clause holding the named CTEs and what they depend on."""
+def with_(*names: str, extra: str | None = None) -> str:
+    """``WITH`` clause holding the named CTEs and what they depend on, plus
+    ``extra`` CTE text of the query itself."""
     want: set[str] = set()
 
     def add(n):
@@ -124,7 +125,8 @@ def with_(*names: str) -> str:
             add(d)
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(_TEXT[n] for n in _ORDER if n in want) + "\n"
+    parts = [_TEXT[n] for n in _ORDER if n in want] + ([extra] if extra else [])
+    return "WITH " + ",\n".join(parts) + "\n"
 
 
 def rhu(expr: str, digits: int) -> str:
