@@ -32,3 +32,84 @@ def cluster_means(df: DataFrame, cluster: str = "cluster", hour: str = "hora",
                  round_half_up(F.avg("tipo_idx"), digits).alias("tipo_medio"),
                  round_half_up(F.avg("bairro_idx"), digits).alias("bairro_medio"))
             .orderBy(cluster))
+
+
+# ------------------------------------------------------------------ M4 / M7 / M13
+from pyspark.ml import Pipeline  # noqa: E402
+from pyspark.ml.clustering import KMeans  # noqa: E402
+from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
+from pyspark.ml.feature import StandardScaler  # noqa: E402
+
+from sentinela.ml.features import one_hot_stages  # noqa: E402
+
+KMEANS_CATEGORICAL = [K.ZONE, K.TYPE, "dia_semana"]
+KMEANS_NUMERIC = ["hora", K.LAT, K.LON]
+
+
+def feature_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features") -> list:
+    """Dummies + numbers → vector → z-scores.
+
+    ``StandardScaler`` divides by the sample deviation; that differs from the
+    population deviation by the same factor sqrt((n−1)/n) for every feature,
+    so distances, cluster assignments and silhouettes are unchanged.
+    """
+    return one_hot_stages(cat_cols, num_cols, "__raw") + [
+        StandardScaler(inputCol="__raw", outputCol=out, withMean=True, withStd=True)]
+
+
+def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
+           cat_cols: Sequence[str] = KMEANS_CATEGORICAL, num_cols: Sequence[str] = KMEANS_NUMERIC,
+           max_iter: int = 300, out: str = "cluster"):
+    """M4: k-means on standardised dummies and numbers; the best of ``n_init``
+    seeded runs (lowest within-cluster cost) is kept.
+
+    Returns (labelled frame, fitted feature PipelineModel, KMeansModel).
+    Rows with a NULL numeric feature are dropped by the assembler, as the
+    original drops them before clustering.
+    """
+    feats = Pipeline(stages=feature_pipeline(cat_cols, num_cols)).fit(df)
+    x = feats.transform(df).select(*df.columns, "features").persist()
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(i):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol=out).fit(x)
+        return m.summary.trainingCost, i, m
+    # the starts are independent Spark jobs: submit them concurrently
+    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
+        fits = list(pool.map(fit, range(n_init)))
+    best = min(fits, key=lambda t: (t[0], t[1]))[2]
+    labelled = best.transform(x).withColumn(out, F.col(out).cast("int"))
+    return labelled, feats, best
+
+
+def silhouette(df: DataFrame, features: str = "features", label: str = "cluster",
+               exclude_noise: bool = True) -> float:
+    """M7: mean silhouette with squared Euclidean distance (Spark's
+    ``ClusteringEvaluator``, O(n·k)); 0 when it cannot be computed (fewer than
+    two clusters).  The exact Euclidean silhouette is quadratic in the rows
+    and is not computed on full data."""
+    d = df.where(F.col(label) != -1) if exclude_noise else df
+    if d.select(label).distinct().limit(2).count() < 2:
+        return 0.0
+    ev = ClusteringEvaluator(featuresCol=features, predictionCol=label, distanceMeasure="squaredEuclidean")
+    return float(ev.evaluate(d.withColumn(label, F.col(label).cast("double"))))
+
+
+def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str = K.TS) -> DataFrame:
+    """Per cluster, the top-``k`` types and zones with count, percent of
+    the cluster and rank — long form (cluster, dimensao, valor, n, pct, rank).
+
+    Counts per (cluster, value) are aggregated first; the ranking window is
+    partitioned by (cluster, dimension) over that small table.
+    """
+    from pyspark.sql import Window
+    pairs = F.explode(F.array(F.struct(F.lit(K.TYPE).alias("dimensao"), F.col(K.TYPE).alias("valor")),
+                              F.struct(F.lit(K.ZONE).alias("dimensao"), F.col(K.ZONE).alias("valor"))))
+    long = df.where(F.col(cluster) != -1).select(cluster, pairs.alias("p")).select(cluster, "p.*")
+    cnt = long.groupBy(cluster, "dimensao", "valor").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(cluster, "dimensao")
+    cnt = cnt.withColumn("__t", F.sum("n").over(w)).where(F.col("valor").isNotNull())
+    cnt = cnt.withColumn("rank", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("valor").asc())))
+    from sentinela.functions.scalar import pct
+    return cnt.where(F.col("rank") <= k).select(cluster, "dimensao", "valor", "n", pct("n", "__t", 1).alias("pct"),
+                                                 F.col("rank").cast("int").alias("rank"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 
 
-def hash_unit(key: str = K.ID, seed: int = 42) -> Column:
+def hash_unit(key: str = K.ID, seed: int | str = 42) -> Column:
     """Uniform number in [0, 1) from the first 32 bits of MD5(key ':' seed)."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
     return h.cast("long") / F.lit(4294967296.0)
@@ -28,8 +28,9 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = K.ID
 
 
 def fold_column(df: DataFrame, k: int = 5, seed: int = 42, key: str = K.ID, out: str = "fold") -> DataFrame:
-    """Fold number 0..k−1 for ``CrossValidator(foldCol=...)``."""
-    return df.withColumn(out, F.floor(hash_unit(key, seed) * F.lit(float(k))).cast("int"))
+    """Fold number 0..k−1 for ``CrossValidator(foldCol=...)``.  The hash is
+    salted differently from ``split`` so folds are independent of the split."""
+    return df.withColumn(out, F.floor(hash_unit(key, f"{seed}:fold") * F.lit(float(k))).cast("int"))
 
 
 def split_counts(df: DataFrame, label: str, side: str = "conjunto") -> DataFrame:

@@ -209,7 +209,7 @@ def m14b(spark, d):
 
 
 @query("m15_fold_column", with_("occ") + f"""
-SELECT occurrence_id, CAST(floor({HASH_U} * 5.0) AS INTEGER) AS fold FROM occ""")
+SELECT occurrence_id, CAST(floor({HASH_U.replace("':42'", "':42:fold'")} * 5.0) AS INTEGER) AS fold FROM occ""")
 def m15f(spark, d):
     return fold_column(X.occ(spark, d)).select(K.ID, "fold")
 
