@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
@@ -113,3 +113,118 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str
     from sentinela.functions.scalar import pct
     return cnt.where(F.col("rank") <= k).select(cluster, "dimensao", "valor", "n", pct("n", "__t", 1).alias("pct"),
                                                  F.col("rank").cast("int").alias("rank"))
+
+
+# ------------------------------------------------------------------ M5 DBSCAN
+def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100) -> DataFrame:
+    """Connected components by min-label propagation with pointer jumping.
+
+    ``edges`` (a, b) undirected, ``nodes`` (v).  Each round: a node takes the
+    smallest label among itself and its neighbours, then the label of its
+    label (shortcut).  Lineage is cut by a reliable ``checkpoint()`` every
+    round, so an executor loss re-reads the last round, not the whole chain.
+    """
+    spark = nodes.sparkSession
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lab = nodes.select(F.col("v"), F.col("v").alias("c"))
+    for _ in range(max_iter):
+        nb = both.join(lab.withColumnRenamed("v", "b").withColumnRenamed("c", "cb"), "b") \
+            .groupBy("a").agg(F.min("cb").alias("m"))
+        new = lab.join(nb.withColumnRenamed("a", "v"), "v", "left") \
+            .select("v", F.least(F.col("c"), F.coalesce(F.col("m"), F.col("c"))).alias("c"))
+        jump = new.join(new.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left") \
+            .select("v", F.least(F.col("c"), F.coalesce(F.col("cc"), F.col("c"))).alias("c"))
+        jump = jump.checkpoint() if spark.sparkContext.getCheckpointDir() else jump.persist()
+        changed = jump.join(lab.withColumnRenamed("c", "old"), "v").where(F.col("c") != F.col("old")).limit(1).count()
+        lab = jump
+        if changed == 0:
+            break
+    return lab
+
+
+def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.3, min_samples: int = 10,
+           key: str = K.ID, vector: str | None = None, standardize_features: bool = True,
+           out: str = "cluster") -> DataFrame:
+    """M5: density clusters 0.. and noise −1 (scikit-learn semantics: a point is
+    core if at least ``min_samples`` points, itself included, lie within
+    ``eps``).  Border points take the smallest neighbouring cluster; cluster
+    numbers follow the smallest id of their core points.  Rows with a NULL
+    feature get −1."""
+    from sentinela.ml.neighbors import collapse, eps_neighbours, feature_points
+    pts = feature_points(df, features, key, vector, standardize_features)
+    reps, mapping = collapse(pts, key)
+    reps = reps.persist()
+    pairs = eps_neighbours(reps, eps).persist()
+    cnt = pairs.groupBy("p").agg(F.sum("qw").alias("nq"))
+    core = reps.join(cnt.withColumnRenamed("p", "rid"), "rid", "left") \
+        .select("rid", (F.col("w") + F.coalesce(F.col("nq"), F.lit(0)) >= min_samples).alias("core"))
+    core_ids = core.where("core").select(F.col("rid").alias("v"))
+    cc = core_ids.withColumnRenamed("v", "p")
+    core_edges = pairs.join(cc, "p", "left_semi").join(cc.withColumnRenamed("p", "q"), "q", "left_semi") \
+        .where(F.col("p") < F.col("q")).select(F.col("p").alias("a"), F.col("q").alias("b"))
+    comp = _components(core_edges, core_ids)                       # (v, c): c = smallest core id
+    border = pairs.join(core.where(~F.col("core")).select(F.col("rid").alias("p")), "p", "left_semi") \
+        .join(comp.withColumnRenamed("v", "q"), "q").groupBy("p").agg(F.min("c").alias("c"))
+    labels = comp.select(F.col("v").alias("rid"), "c").unionByName(border.select(F.col("p").alias("rid"), "c"))
+    # dense numbering in order of the smallest core id
+    ids = labels.select("c").distinct().withColumn(out, (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))
+    lab = labels.join(ids, "c").select("rid", out)
+    per_row = mapping.join(lab, "rid", "left").select(key, F.coalesce(F.col(out), F.lit(-1)).alias(out))
+    res = df.join(per_row, key, "left")
+    return res.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+
+
+# ------------------------------------------------------------------ M6 hierarchical (re-aimed)
+def _ward(centres, weights, k: int):
+    """Ward agglomeration of weighted centroids → group index per centroid."""
+    import numpy as np
+    c = np.asarray(centres, dtype=float)
+    w = np.asarray(weights, dtype=float)
+    groups = [[i] for i in range(len(c))]
+    active = list(range(len(c)))
+    while len(active) > k:
+        cc, ww = c[active], w[active]
+        d2 = ((cc[:, None, :] - cc[None, :, :]) ** 2).sum(-1)
+        cost = (ww[:, None] * ww[None, :]) / (ww[:, None] + ww[None, :]) * d2
+        np.fill_diagonal(cost, np.inf)
+        i, j = np.unravel_index(np.argmin(cost), cost.shape)
+        a, b = active[i], active[j]
+        tot = w[a] + w[b]
+        c[a] = (c[a] * w[a] + c[b] * w[b]) / tot
+        w[a] = tot
+        groups[a] += groups[b]
+        active.remove(b)
+    label = {}
+    # number the final groups by their smallest member centroid index
+    for n, g in enumerate(sorted((groups[a] for a in active), key=min)):
+        for m in g:
+            label[m] = n
+    return label
+
+
+def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, micro: int = 500, seed: int = 42,
+                 key: str = K.ID, out: str = "cluster") -> DataFrame:
+    """M6 (re-aimed for scale): Ward clustering of ``micro`` weighted k-means
+    centroids instead of all rows.  Exact Ward on n rows needs the n × n
+    distance matrix; here Spark runs k-means over all rows, the driver merges
+    a constant number of centroids (≤ ``micro``), and the centroid → cluster
+    map (≤ ``micro`` rows) is broadcast back."""
+    from pyspark.ml.feature import VectorAssembler
+    from sentinela.ml.features import standardize
+    z = standardize(df, features, prefix="__z_")
+    zc = [f"__z_{c}" for c in features]
+    asm = VectorAssembler(inputCols=zc, outputCol="__v", handleInvalid="skip")
+    x = asm.transform(z).persist()
+    n = x.count()
+    m = max(k, min(micro, n))
+    km = KMeans(k=m, seed=seed, featuresCol="__v", predictionCol="__mc", maxIter=50).fit(x)
+    mx = km.transform(x)
+    sizes = {r["__mc"]: r["n"] for r in mx.groupBy("__mc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    centres = km.clusterCenters()
+    used = sorted(sizes)
+    lab = _ward([centres[i] for i in used], [sizes[i] for i in used], min(k, len(used)))
+    mapping = df.sparkSession.createDataFrame([(int(used[i]), int(g)) for i, g in lab.items()],
+                                              f"__mc int, {out} int")
+    res = mx.join(F.broadcast(mapping), "__mc").select(key, out)
+    j = df.join(res, key, "left")
+    return j.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
