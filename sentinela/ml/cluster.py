@@ -124,7 +124,8 @@ def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100) -> Data
     label (shortcut).  Lineage is cut by a reliable ``checkpoint()`` every
     round, so an executor loss re-reads the last round, not the whole chain.
     """
-    spark = nodes.sparkSession
+    from sentinela.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lab = nodes.select(F.col("v"), F.col("v").alias("c"))
     for _ in range(max_iter):
@@ -134,7 +135,7 @@ def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100) -> Data
             .select("v", F.least(F.col("c"), F.coalesce(F.col("m"), F.col("c"))).alias("c"))
         jump = new.join(new.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left") \
             .select("v", F.least(F.col("c"), F.coalesce(F.col("cc"), F.col("c"))).alias("c"))
-        jump = jump.checkpoint() if spark.sparkContext.getCheckpointDir() else jump.persist()
+        jump = jump.checkpoint()
         changed = jump.join(lab.withColumnRenamed("c", "old"), "v").where(F.col("c") != F.col("old")).limit(1).count()
         lab = jump
         if changed == 0:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.ml.features import standardize
+from sentinela.session import ensure_checkpoint_dir
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -112,7 +113,7 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, side: float | No
     side = side or auto_side(reps, dims, max(2.0 * k, 8.0))
     cells, extent = grid(reps, dims, side)
     cells = cells.persist()
-    spark = reps.sparkSession
+    ensure_checkpoint_dir(reps.sparkSession)
     pending = cells
     done = None
     ring = 1
@@ -130,7 +131,7 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, side: float | No
         stat = top.groupBy("p").agg(F.max("dist").alias("kd"), F.sum("wq").alias("got"))
         ok = stat.where(F.lit(covers_all) | ((F.col("got") >= k) & (F.col("kd") < F.lit(ring * side))))
         res = top.join(ok.select("p"), "p", "left_semi").select("p", "q", "dist", "wq")
-        res = res.checkpoint() if spark.sparkContext.getCheckpointDir() else res.persist()
+        res = res.checkpoint()
         done = res if done is None else done.unionByName(res)
         resolved = res.select("p").distinct()
         pending = pending.join(resolved.withColumnRenamed("p", "rid"), "rid", "left_anti").persist()
