@@ -116,30 +116,39 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str
 
 
 # ------------------------------------------------------------------ M5 DBSCAN
-def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 100) -> DataFrame:
-    """Connected components by min-label propagation with pointer jumping.
-
-    ``edges`` (a, b) undirected, ``nodes`` (v).  Each round: a node takes the
-    smallest label among itself and its neighbours, then the label of its
-    label (shortcut).  Lineage is cut by a reliable ``checkpoint()`` every
-    round, so an executor loss re-reads the last round, not the whole chain.
+def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 64) -> DataFrame:
+    """Connected components by hooking and contraction.
+
+    ``edges`` (a, b) undirected, ``nodes`` (v).  Each round every node of the
+    current graph hooks to its smallest neighbour (or itself), labels are
+    composed through the hook map, and the edge list is rewritten on the
+    hooked ids with self-loops and duplicates removed.  Every non-isolated
+    node merges with another one, so the graph at least halves per round
+    and the edge list shrinks quickly.  Each round's state is written by a
+    reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id of v's
+    component.
     """
     from sentinela.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = nodes.select(F.col("v"), F.col("v").alias("c"))
+    lab = nodes.select("v", F.col("v").alias("c"))
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
+    e = e.distinct().checkpoint()
     for _ in range(max_iter):
-        nb = both.join(lab.withColumnRenamed("v", "b").withColumnRenamed("c", "cb"), "b") \
-            .groupBy("a").agg(F.min("cb").alias("m"))
-        new = lab.join(nb.withColumnRenamed("a", "v"), "v", "left") \
-            .select("v", F.least(F.col("c"), F.coalesce(F.col("m"), F.col("c"))).alias("c"))
-        jump = new.join(new.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", "left") \
-            .select("v", F.least(F.col("c"), F.coalesce(F.col("cc"), F.col("c"))).alias("c"))
-        jump = jump.checkpoint()
-        changed = jump.join(lab.withColumnRenamed("c", "old"), "v").where(F.col("c") != F.col("old")).limit(1).count()
-        lab = jump
-        if changed == 0:
+        if e.limit(1).count() == 0:
             break
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = both.groupBy("a").agg(F.min("b").alias("m")) \
+            .select(F.col("a").alias("x"), F.least(F.col("a"), F.col("m")).alias("px"))
+        lab = lab.join(hook.withColumnRenamed("x", "c"), "c", "left") \
+            .select("v", F.coalesce(F.col("px"), F.col("c")).alias("c")).checkpoint()
+        h1 = hook.select(F.col("x").alias("a"), F.col("px").alias("pa"))
+        h2 = hook.select(F.col("x").alias("b"), F.col("px").alias("pb"))
+        e = e.join(h1, "a", "left").join(h2, "b", "left") \
+            .select(F.coalesce("pa", "a").alias("a0"), F.coalesce("pb", "b").alias("b0")) \
+            .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")) \
+            .where(F.col("a") != F.col("b")).distinct().checkpoint()
+    # labels so far point to the root of each contracted tree; the minimum id of
+    # the component is the root reached when no edges remain
     return lab
 
 

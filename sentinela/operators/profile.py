@@ -160,7 +160,9 @@ def mode_by_group(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
             .groupBy(key, "c", "v").agg(F.count(F.lit(1)).alias("n")))
     best = long.groupBy(key, "c").agg(_mode_struct("n", "v").alias("m"))
     wide = best.groupBy(key).pivot("c", list(cols)).agg(F.first("m.v"))
-    return wide.select(key, *[F.col(c).alias(f"moda_{c}") for c in cols])
+    # every group appears, with NULL where a column has no value in it
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
+    return keys.join(wide, key, "left").select(key, *[F.col(c).alias(f"moda_{c}") for c in cols])
 
 
 def mean_diversity(df: DataFrame, zone: str = K.ZONE, type_col: str = K.TYPE, digits: int = 6) -> DataFrame:
