@@ -74,12 +74,13 @@ def class_weights(df: DataFrame, label: str, out: str = "peso") -> DataFrame:
     return df.join(F.broadcast(c), label, "left")
 
 
-def build_pipeline(model_type: str, cat_cols=RISK_CATEGORICAL, num_cols=RISK_NUMERIC, target: str = "nivel_risco",
-                   seed: int = 42, weight: str | None = None, **kw) -> Pipeline:
-    """Encoders → assembler → classifier → label back to text.
-    The first level of every text feature is dropped, as the original does."""
+def build_pipeline(model_type: str, df: DataFrame, cat_cols=RISK_CATEGORICAL, num_cols=RISK_NUMERIC,
+                   target: str = "nivel_risco", seed: int = 42, weight: str | None = None, **kw) -> Pipeline:
+    """Label index → dummies (levels read from ``df``) → assembler →
+    classifier.  The first level of every text feature is dropped, as the
+    original does."""
     lab = StringIndexer(inputCol=target, outputCol="label_idx", stringOrderType="alphabetAsc")
-    stages = one_hot_stages(cat_cols, num_cols, "features", drop_first=True)
+    stages = one_hot_stages(df, cat_cols, num_cols, "features", drop_first=True)
     clf = classifier(model_type, seed, "label_idx", weight, **kw)
     return Pipeline(stages=[lab] + stages + [clf])
 
@@ -139,7 +140,7 @@ def grid_search(df: DataFrame, seed: int = 42, folds: int = 3, parallelism: int
     2/5/10, 3-fold accuracy (36 settings, 108 fits).  'Unlimited' depth is
     Spark's maximum of 30; the minimum split becomes ``minInstancesPerNode``."""
     d = risk_features(df)
-    pipe = build_pipeline("random_forest", seed=seed)
+    pipe = build_pipeline("random_forest", d, seed=seed)
     rf = pipe.getStages()[-1]
     grid = (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
             .addGrid(rf.minInstancesPerNode, [2, 5, 10]).build())
@@ -165,7 +166,7 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
         weight = "peso"
     train = d.where(F.col("conjunto") == "treino")
     test = d.where(F.col("conjunto") == "teste")
-    pipe = build_pipeline(model_type, cat, num, seed=seed, weight=weight)
+    pipe = build_pipeline(model_type, train, cat, num, seed=seed, weight=weight)
     model = pipe.fit(train)
     pred = confidence(with_label_text(model, model.transform(test)), model_type)
     pred = pred.select(K.ID, K.ZONE, F.col("nivel_risco").alias("label"),
@@ -173,8 +174,7 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
     report = classification_report(pred)
     cv_mean = cv_std = None
     if cv_folds:
-        _, cv_mean, cv_std = cross_validate(build_pipeline(model_type, cat, num, seed=seed, weight=weight),
-                                            train, cv_folds, seed)
+        _, cv_mean, cv_std = cross_validate(pipe, train, cv_folds, seed)
     return RiskModelResult(model, pred, report, cv_mean, cv_std, cat + num, model_type)
 
 

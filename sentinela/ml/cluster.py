@@ -46,14 +46,14 @@ KMEANS_CATEGORICAL = [K.ZONE, K.TYPE, "dia_semana"]
 KMEANS_NUMERIC = ["hora", K.LAT, K.LON]
 
 
-def feature_pipeline(cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features") -> list:
+def feature_pipeline(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features") -> list:
     """Dummies + numbers → vector → z-scores.
 
     ``StandardScaler`` divides by the sample deviation; that differs from the
     population deviation by the same factor sqrt((n−1)/n) for every feature,
     so distances, cluster assignments and silhouettes are unchanged.
     """
-    return one_hot_stages(cat_cols, num_cols, "__raw") + [
+    return one_hot_stages(df, cat_cols, num_cols, "__raw") + [
         StandardScaler(inputCol="__raw", outputCol=out, withMean=True, withStd=True)]
 
 
@@ -67,7 +67,7 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     Rows with a NULL numeric feature are dropped by the assembler, as the
     original drops them before clustering.
     """
-    feats = Pipeline(stages=feature_pipeline(cat_cols, num_cols)).fit(df)
+    feats = Pipeline(stages=feature_pipeline(df, cat_cols, num_cols)).fit(df)
     x = feats.transform(df).select(*df.columns, "features").persist()
     from concurrent.futures import ThreadPoolExecutor
 

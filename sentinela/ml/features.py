@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+import re
+
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,24 +51,38 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(bounded_broadcast(codes), col, "left")
 
 
-def indexers(cols: Sequence[str], order: str = "alphabetAsc") -> list[StringIndexer]:
-    """``StringIndexer`` per text column (alphabetical codes; unseen → extra code)."""
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType=order, handleInvalid="keep")
-            for c in cols]
+def _safe(name: str) -> str:
+    return re.sub(r"[^0-9A-Za-z_]", "_", name)
+
+
+def levels(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct non-NULL values of a text column (bounded by its cardinality)."""
+    return [r[0] for r in df.select(F.col(col).cast("string")).where(F.col(col).isNotNull())
+            .distinct().orderBy(1).collect()]
 
 
-def one_hot_stages(cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features",
+def one_hot_stages(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features",
                    drop_first: bool = False) -> list:
     """M2: dummies of text columns, numbers pass through, assembled into a vector.
 
-    ``drop_first`` drops the alphabetically first level, as the risk model
-    does: index in descending order and let ``OneHotEncoder`` drop the last.
+    The levels are read from ``df`` once; the dummies are a ``SQLTransformer``
+    with the level list written into its statement, so the fitted pipeline
+    scores new data the same way: an unseen or NULL value gives all-zero
+    dummies.  ``drop_first`` drops the alphabetically first level, as the
+    risk model of the original does.
     """
-    order = "alphabetDesc" if drop_first else "alphabetAsc"
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType=order, handleInvalid="keep")
-           for c in cat_cols]
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in cat_cols], outputCols=[f"{c}_oh" for c in cat_cols],
-                        dropLast=drop_first, handleInvalid="keep") if cat_cols else None
-    asm = VectorAssembler(inputCols=[f"{c}_oh" for c in cat_cols] + list(num_cols), outputCol=out,
-                          handleInvalid="skip")
-    return idx + ([ohe] if ohe else []) + [asm]
+    exprs, names = [], []
+    for c in cat_cols:
+        lv = levels(df, c)
+        for v in (lv[1:] if drop_first else lv):
+            name = f"{_safe(c)}_oh_{_safe(v)}"
+            while name in names:
+                name += "_"
+            lit = v.replace("\\", "\\\\").replace("'", "\\'")
+            exprs.append(f"CASE WHEN CAST(`{c}` AS STRING) = '{lit}' THEN 1.0 ELSE 0.0 END AS `{name}`")
+            names.append(name)
+    stages = []
+    if exprs:
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=names + list(num_cols), outputCol=out, handleInvalid="skip"))
+    return stages

@@ -128,3 +128,15 @@ def m19(spark, d):
     r = M.train_risk_model(occ, "random_forest", cv_folds=None)
     scen = occ.select(K.ID, K.ZONE, K.TS)   # batch of scenarios: every (zone, time) of the table
     return M.predict(r.model, scen, "random_forest").select(K.ID, "previsao", "confianca")
+
+
+@query("m2_one_hot")
+def m2(spark, d):
+    """Dummies of zone, weekday and period (first level dropped) + numbers, as an array."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from sentinela.ml.features import one_hot_stages
+    c = X.cal(spark, d).withColumn("fim_semana_n", F.col("fim_semana").cast("double"))
+    stages = one_hot_stages(c, M.RISK_CATEGORICAL, M.RISK_NUMERIC, "features", drop_first=True)
+    out = Pipeline(stages=stages).fit(c).transform(c)
+    return out.select(K.ID, vector_to_array("features").alias("features"))

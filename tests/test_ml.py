@@ -232,8 +232,39 @@ def test_grid_search_mechanics(spark):
     from pyspark.ml.tuning import ParamGridBuilder
     from sentinela.plans import fixtures as X
     d = M.risk_features(X.occ(spark, SF0001))
-    pipe = M.build_pipeline("random_forest", num_trees=10)
+    pipe = M.build_pipeline("random_forest", d, num_trees=10)
     rf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(rf.maxDepth, [2, 4]).build()
     m, mean, std = M.cross_validate(pipe, d, 3, 42, grid)
     assert len(m.avgMetrics) == 2 and 0.0 <= mean <= 1.0
+
+
+def test_one_hot_drop_first(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from sentinela.ml.features import one_hot_stages
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "z string, x double")
+    m = Pipeline(stages=one_hot_stages(df, ["z"], ["x"], "f", drop_first=True)).fit(df)
+    out = {r["z"]: r["f"] for r in m.transform(df).select("z", vector_to_array("f").alias("f")).collect()}
+    # 'a' (alphabetically first) is the dropped level: all-zero dummies
+    assert out == {"a": [0.0, 0.0, 1.0], "b": [1.0, 0.0, 2.0], "c": [0.0, 1.0, 3.0]}
+    unseen = spark.createDataFrame([("zz", 4.0), (None, 5.0)], "z string, x double")
+    assert [r[0] for r in m.transform(unseen).select(vector_to_array("f")).collect()] == [[0.0, 0.0, 4.0], [0.0, 0.0, 5.0]]
+
+
+def test_batch_pipeline(spark):
+    import os
+    import tempfile
+    from datetime import datetime
+    from sentinela.plans.batch import score_and_label
+    from sentinela.plans import fixtures as X
+    from sentinela.sources.io import read_results
+    d = tempfile.mkdtemp(prefix="sentinela-batch-")
+    lab, metrics, res = score_and_label(X.occ(spark, SF0001), as_of=datetime(2024, 12, 31), n_init=2,
+                                        model_type="random_forest", cv_folds=2, out_path=d)
+    cols = set(lab.columns)
+    assert {"cluster", "anomalia", "nivel_risco", "hora", "periodo_dia"} <= cols
+    assert metrics["rows"] > 0 and metrics["cv_mean"] is not None
+    t, m = read_results(spark, d)
+    assert t.count() == metrics["rows"] and m.count() == 4
+    assert os.path.isdir(os.path.join(d, "table"))
