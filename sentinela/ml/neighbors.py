@@ -8,7 +8,7 @@
   (no cross join), and distances use every dimension.
 * For k-NN a point's candidates from the cells within ring R are exact as
   soon as its k-distance is below R·side (any point outside the ring is at
-  least R·side away in a blocking dimension).  Unresolved points are retried
+  least R·side away in a blocking dimension, side = the smallest cell side).  Unresolved points are retried
   with a wider ring; the ring stops growing once it spans the whole grid.
 """
 
@@ -61,13 +61,15 @@ def blocking_dims(reps: DataFrame, d: int, b: int = 3) -> list[int]:
     return [r["i"] for r in sorted(st, key=lambda r: (-(r["s"] or 0.0), r["i"]))[:b]]
 
 
-def grid(reps: DataFrame, dims: list[int], side: float) -> tuple[DataFrame, list[int]]:
-    """Cell key per point and the number of cells per blocking dimension."""
+def grid(reps: DataFrame, dims: list[int], sides: float | list[float]) -> tuple[DataFrame, list[int]]:
+    """Cell key per point and the number of cells per blocking dimension
+    (``sides`` is one side for all dimensions or one per dimension)."""
+    sides = sides if isinstance(sides, list) else [sides] * len(dims)
     mins = reps.agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in dims],
                     *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in dims]).first()
-    cell = F.array(*[F.floor((F.col("x")[i] - F.lit(float(mins[f"lo{i}"]))) / F.lit(side)).cast("long")
-                     for i in dims])
-    extent = [int((mins[f"hi{i}"] - mins[f"lo{i}"]) // side) + 1 for i in dims]
+    cell = F.array(*[F.floor((F.col("x")[i] - F.lit(float(mins[f"lo{i}"]))) / F.lit(sd)).cast("long")
+                     for i, sd in zip(dims, sides)])
+    extent = [int((mins[f"hi{i}"] - mins[f"lo{i}"]) // sd) + 1 for i, sd in zip(dims, sides)]
     return reps.withColumn("cell", cell), extent
 
 
@@ -88,18 +90,40 @@ def candidate_pairs(left: DataFrame, right: DataFrame, ring: int, b: int) -> Dat
     return j.select("p", "pw", "q", "qw", sq_dist(F.col("px"), F.col("qx")).alias("dist"))
 
 
-def auto_side(reps: DataFrame, dims: list[int], target: float) -> float:
-    """Cell side giving about ``target`` points per cell for the spread of the data."""
-    agg = reps.agg(F.sum("w").alias("n"), *[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"r{i}")
-                                            for i in dims]).first()
+def auto_sides(reps: DataFrame, dims: list[int], target: float) -> list[float]:
+    """Per-dimension cell sides giving about ``target`` points per occupied cell.
+
+    Cells are cubes in the spread of the data, except that a dimension never
+    gets more cells than it has distinct values (a discrete dimension such as
+    the hour would otherwise leave most cells empty and the rest crowded); its
+    budget goes to the other dimensions.
+    """
+    agg = reps.agg(F.sum("w").alias("n"),
+                   *[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"r{i}") for i in dims],
+                   *[F.approx_count_distinct(F.col("x")[i]).alias(f"d{i}") for i in dims]).first()
     n = float(agg["n"] or 1)
-    vol = 1.0
-    for i in dims:
-        vol *= max(float(agg[f"r{i}"] or 0.0), 1e-9)
-    return max((vol * target / n) ** (1.0 / len(dims)), 1e-9)
+    rng = {i: max(float(agg[f"r{i}"] or 0.0), 1e-9) for i in dims}
+    cells: dict[int, float] = {}
+    budget = max(n / target, 1.0)
+    free = list(dims)
+    while free:
+        vol = 1.0
+        for i in free:
+            vol *= rng[i]
+        s = (vol / budget) ** (1.0 / len(free))
+        capped = [i for i in free if rng[i] / s > max(float(agg[f"d{i}"] or 1), 1.0)]
+        if not capped:
+            for i in free:
+                cells[i] = max(rng[i] / s, 1.0)
+            break
+        for i in capped:
+            cells[i] = max(float(agg[f"d{i}"] or 1), 1.0)
+            budget = max(budget / cells[i], 1.0)
+            free.remove(i)
+    return [rng[i] / cells[i] * (1.0 + 1e-9) for i in dims]
 
 
-def knn(reps: DataFrame, k: int, dims: list[int] | None = None, side: float | None = None,
+def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[float] | None = None,
         max_rounds: int = 64) -> DataFrame:
     """Exact weighted k nearest neighbours of every representative.
 
@@ -110,8 +134,9 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, side: float | No
     d = len(reps.select("x").first()["x"])
     dims = dims if dims is not None else blocking_dims(reps, d)
     b = len(dims)
-    side = side or auto_side(reps, dims, max(2.0 * k, 8.0))
-    cells, extent = grid(reps, dims, side)
+    sides = sides or auto_sides(reps, dims, max(float(k), 8.0))
+    side = min(sides)      # any point outside ring R is at least R·side away
+    cells, extent = grid(reps, dims, sides)
     cells = cells.persist()
     ensure_checkpoint_dir(reps.sparkSession)
     pending = cells
