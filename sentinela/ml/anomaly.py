@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,7 +158,7 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
             xs = np.vstack(pdf["__x"].to_numpy()).astype(float)
             h = np.mean([_path_lengths(xs, t) for t in trees_], axis=0)
             yield pd.DataFrame({key: pdf[key].to_numpy(), score_col: np.power(2.0, -h / norm)})
-    scored = x.mapInPandas(score, f"{key} long, {score_col} double")
+    scored = x.mapInPandas(score, f"{key} long, {score_col} double").persist(StorageLevel.MEMORY_AND_DISK)
     thr = scored.agg(F.percentile_approx(score_col, 1.0 - contamination, quantile_accuracy)).first()[0]
     lab = scored.withColumn(out, F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1)))
     res = df.join(lab, key, "left")
@@ -165,19 +166,15 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
 
 
 # ------------------------------------------------------------------ M9
-def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n_neighbors: int = 20,
-                         contamination: float = 0.05, key: str = K.ID, vector: str | None = None,
-                         standardize_features: bool = True, out: str = "anomalia", score_col: str = "lof",
-                         quantile_accuracy: int = 100_000) -> DataFrame:
-    """M9: local outlier factor with exact k nearest neighbours (see
-    ``ml.neighbors``); label −1 for scores above the (1 − contamination)
-    quantile.  lrd = 1 / (mean reach distance + 1e-10), as scikit-learn."""
+def _lof(df: DataFrame, features, n_neighbors: int, key: str, vector, standardize_features: bool,
+         score_col: str) -> DataFrame | None:
+    """(key, score) for the complete rows, or None with fewer than two points."""
     from sentinela.ml.neighbors import collapse, feature_points, knn
     pts = feature_points(df, features, key, vector, standardize_features)
     reps, mapping = collapse(pts, key)
     n = reps.agg(F.sum("w")).first()[0] or 0
     if n < 2:
-        return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})
+        return None
     k = min(n_neighbors, int(n) - 1)
     nb = knn(reps, k)
     kd = nb.groupBy("p").agg(F.max("dist").alias("kd"))
@@ -188,7 +185,22 @@ def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n
     ratio = nb.join(lrd.withColumnRenamed("p", "q").withColumnRenamed("lrd", "lrdq"), "q") \
         .groupBy("p").agg((F.sum(F.col("wq") * F.col("lrdq")) / F.sum("wq")).alias("m"))
     score = ratio.join(lrd, "p").select(F.col("p").alias("rid"), (F.col("m") / F.col("lrd")).alias(score_col))
-    per_row = mapping.join(score, "rid").select(key, score_col)
+    return mapping.join(score, "rid").select(key, score_col)
+
+
+def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n_neighbors: int = 20,
+                         contamination: float = 0.05, key: str = K.ID, vector: str | None = None,
+                         standardize_features: bool = True, out: str = "anomalia", score_col: str = "lof",
+                         quantile_accuracy: int = 100_000) -> DataFrame:
+    """M9: local outlier factor with exact k nearest neighbours (see
+    ``ml.neighbors``); label −1 for scores above the (1 − contamination)
+    quantile.  lrd = 1 / (mean reach distance + 1e-10), as scikit-learn.
+    The score table is persisted: the threshold and the labels read it once
+    each instead of recomputing the neighbour aggregations."""
+    per_row = _lof(df, features, n_neighbors, key, vector, standardize_features, score_col)
+    if per_row is None:
+        return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})
+    per_row = per_row.persist(StorageLevel.MEMORY_AND_DISK)
     thr = per_row.agg(F.percentile_approx(score_col, 1.0 - contamination, quantile_accuracy)).first()[0]
     lab = per_row.withColumn(out, F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1)))
     res = df.join(lab, key, "left")
@@ -198,5 +210,4 @@ def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n
 def lof_scores(df: DataFrame, features: Sequence[str] | None = None, n_neighbors: int = 20, key: str = K.ID,
                vector: str | None = None, standardize_features: bool = True) -> DataFrame:
     """(key, lof) only — the deterministic part of M9."""
-    r = local_outlier_factor(df, features, n_neighbors, 0.05, key, vector, standardize_features)
-    return r.where(F.col("lof").isNotNull()).select(key, "lof")
+    return _lof(df, features, n_neighbors, key, vector, standardize_features, "lof")

@@ -10,7 +10,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentinela.plans.hints import bounded_broadcast
+from sentinela.plans.hints import small_or_persisted
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -48,7 +48,7 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     out = out or f"{col}_idx"
     codes = (df.select(col).where(F.col(col).isNotNull()).distinct()
              .withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("double")))
-    return df.join(bounded_broadcast(codes), col, "left")
+    return df.join(small_or_persisted(codes)[0], col, "left")
 
 
 def _safe(name: str) -> str:

@@ -24,3 +24,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
 def fixed_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a frame built from a constant list in this package (size known)."""
     return F.broadcast(df)
+
+
+def small_or_persisted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Evaluate an aggregated frame once.
+
+    If it has at most ``max_rows`` rows it comes back as a local relation
+    (broadcast-marked), so later uses neither re-run the aggregation nor
+    re-scan its input; otherwise it is persisted and used in shuffle joins.
+    Returns (frame, is_small).
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        spark = df.sparkSession
+        return F.broadcast(spark.createDataFrame(rows, df.schema)), True
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK), False
