@@ -21,15 +21,28 @@ TYPE_OF_EVENT = {"click": "Violência Doméstica", "error": "Roubo", "purchase":
 WEAPON_OF_K = ["Arma de Fogo", "Faca", "Arma Branca", "Sem Arma"]  # k % 5 = 0..3, else Outros
 
 
+_SMALL: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dimension(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
+    """A dimension table, broadcast if its size check passes.  The check (a
+    bounded count) runs once per application and file, not once per query."""
+    df = table(spark, sf_dir, name).select(*cols)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SMALL:
+        _SMALL[key] = bounded_broadcast(df) is not df
+    return F.broadcast(df) if _SMALL[key] else df
+
+
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident table bound to ``events`` (FIXTURES.md §2)."""
     ev = table(spark, sf_dir, "events")
-    nation = bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    region = bounded_broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    nation = dimension(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    region = dimension(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     k = F.get_json_object("props", "$.k").cast("int")
     etype = F.col("event_type")
     tipo = None
@@ -69,7 +82,7 @@ def order_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = bounded_broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    n = dimension(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     st = F.col("o_orderstatus")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select(

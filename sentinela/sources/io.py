@@ -40,6 +40,20 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "csv", schema: T.S
     return df
 
 
+def read_upload_or_default(spark: SparkSession, upload_path: str | None, default_path: str,
+                           fmt: str = "csv") -> tuple[DataFrame, list[str]]:
+    """S3: an uploaded table must hold the five required columns; otherwise the
+    default table is used.  Returns (table, missing columns of the upload)."""
+    from sentinela.schema import UPLOAD_REQUIRED, missing_columns
+    if upload_path:
+        up = read_incidents(spark, upload_path, fmt)
+        miss = missing_columns(up, UPLOAD_REQUIRED)
+        if not miss:
+            return up, []
+        return read_incidents(spark, default_path, fmt), miss
+    return read_incidents(spark, default_path, fmt), []
+
+
 def write_results(df: DataFrame, path: str, metrics: dict[str, float] | None = None, run_id: str | None = None,
                   partition_by: tuple[str, ...] = ("ano", "mes")) -> str:
     """Labelled table as Parquet (partitioned by year and month when present,

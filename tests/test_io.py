@@ -63,3 +63,33 @@ def test_save_and_load_model(spark):
     a = M.predict(r.model, occ.select(K.ID, K.ZONE, K.TS), "random_forest").select(K.ID, "previsao")
     b = M.predict(model, occ.select(K.ID, K.ZONE, K.TS), "random_forest").select(K.ID, "previsao")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_upload_falls_back_without_required_columns(spark):
+    from sentinela.sources.io import read_upload_or_default
+    d = scratch()
+    good = os.path.join(d, "good.csv")
+    bad = os.path.join(d, "bad.csv")
+    with open(good, "w", encoding="utf-8") as f:
+        f.write("data_ocorrencia,tipo_crime,bairro,latitude,longitude\n2024-01-02 10:00:00,Roubo,Pina,-8.09,-34.9\n")
+    with open(bad, "w", encoding="utf-8") as f:
+        f.write("tipo_crime,bairro\nFurto,Torre\nFurto,Pina\n")
+    df, miss = read_upload_or_default(spark, bad, good)
+    assert miss == [K.TS, K.LAT, K.LON] and df.count() == 1
+    df, miss = read_upload_or_default(spark, good, bad)
+    assert miss == [] and df.count() == 1
+
+
+def test_dashboard_plans_build_and_run(spark):
+    from sentinela.plans import dashboards as D
+    lab = X.risk(spark, SF0001)
+    tabs = D.general_tabs(lab)
+    assert {"temporal", "clusters", "anomalias", "risco", "perfil", "modus"} <= set(tabs)
+    assert tabs["temporal"]["horas"].agg(F.sum("n")).first()[0] == lab.count()
+    for tab in tabs.values():
+        for df in tab.values():
+            df.limit(1).collect()
+    case = D.case_tabs(X.occ(spark, SF0001))
+    for tab in case.values():
+        for df in tab.values():
+            df.limit(1).collect()
