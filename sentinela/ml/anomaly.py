@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from sentinela import constants as K
 from sentinela.ml.features import standardize
+from sentinela.plans.hints import ensure_parallelism
 from sentinela.session import ship_package
 
 EULER = 0.5772156649015329
@@ -116,7 +117,7 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
     complete = F.lit(True)
     for c in zcols:
         complete = complete & F.col(c).isNotNull()
-    x = base.where(complete).select(key, F.array(*zcols).alias("__x"))
+    x = ensure_parallelism(base.where(complete).select(key, F.array(*zcols).alias("__x"))).persist()
     n = x.count()
     if n == 0:
         return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})

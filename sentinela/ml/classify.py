@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.ml.features import one_hot_stages
 from sentinela.ml.split import fold_column, split
+from sentinela.plans.hints import ensure_parallelism
 from sentinela.operators.derive import derive_time_features
 from sentinela.operators.risk import risk_tier
 
@@ -159,7 +160,7 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
     d = risk_features(df)
     cat = [c for c in RISK_CATEGORICAL if c not in exclude_features]
     num = [c for c in RISK_NUMERIC if c not in exclude_features]
-    d = split(d, test_size, seed)
+    d = ensure_parallelism(split(d, test_size, seed)).persist()
     weight = None
     if model_type == "random_forest":
         d = class_weights(d, "nivel_risco")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.functions.scalar import round_half_up
 from sentinela.ml.features import label_encode
+from sentinela.plans.hints import ensure_parallelism
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -68,7 +69,7 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     original drops them before clustering.
     """
     feats = Pipeline(stages=feature_pipeline(df, cat_cols, num_cols)).fit(df)
-    x = feats.transform(df).select(*df.columns, "features").persist()
+    x = ensure_parallelism(feats.transform(df).select(*df.columns, "features")).persist()
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(i):
@@ -224,7 +225,7 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, micro: int
     z = standardize(df, features, prefix="__z_")
     zc = [f"__z_{c}" for c in features]
     asm = VectorAssembler(inputCols=zc, outputCol="__v", handleInvalid="skip")
-    x = asm.transform(z).persist()
+    x = ensure_parallelism(asm.transform(z)).persist()
     n = x.count()
     m = max(k, min(micro, n))
     km = KMeans(k=m, seed=seed, featuresCol="__v", predictionCol="__mc", maxIter=50).fit(x)

@@ -55,10 +55,17 @@ def _safe(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z_]", "_", name)
 
 
-def levels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct non-NULL values of a text column (bounded by its cardinality)."""
-    return [r[0] for r in df.select(F.col(col).cast("string")).where(F.col(col).isNotNull())
-            .distinct().orderBy(1).collect()]
+def levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct non-NULL values of text columns, all in one pass
+    (bounded by the columns' cardinalities)."""
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    rows = df.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull()).distinct().collect()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def one_hot_stages(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], out: str = "features",
@@ -72,8 +79,9 @@ def one_hot_stages(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[st
     risk model of the original does.
     """
     exprs, names = [], []
+    all_levels = levels(df, list(cat_cols))
     for c in cat_cols:
-        lv = levels(df, c)
+        lv = all_levels[c]
         for v in (lv[1:] if drop_first else lv):
             name = f"{_safe(c)}_oh_{_safe(v)}"
             while name in names:

@@ -40,3 +40,12 @@ def small_or_persisted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tup
         return F.broadcast(spark.createDataFrame(rows, df.schema)), True
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK), False
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a frame that is about to be reused by many jobs (model
+    iterations, Python scoring) over at least the cluster's default
+    parallelism.  A large input already has more partitions and is returned
+    unchanged, so this never adds a shuffle at scale."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
