@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,19 +72,29 @@ def grid(reps: DataFrame, dims: list[int], sides: float | list[float]) -> tuple[
     return reps.withColumn("cell", cell), extent
 
 
-def _ring_offsets(b: int, r: int) -> Column:
-    offs = [list(o) for o in itertools.product(range(-r, r + 1), repeat=b)]
-    return F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offs])
+def neighbour_cells(cells: DataFrame, occupied: DataFrame, ring: int, extent: list[int]) -> DataFrame:
+    """(cell, ncell) for every occupied ``ncell`` within Chebyshev ring ``ring``.
 
-
-def candidate_pairs(left: DataFrame, right: DataFrame, ring: int, b: int) -> DataFrame:
-    """All (p, q) with q in a cell within Chebyshev ring ``ring`` of p's cell.
-    ``left``/``right``: (rid, x, w, cell).  Equi join on the neighbour cell key."""
-    nb = left.select(F.col("rid").alias("p"), F.col("x").alias("px"), F.col("w").alias("pw"),
-                     F.explode(_ring_offsets(b, ring)).alias("off"), "cell")
-    nb = nb.select("p", "px", "pw", F.zip_with("cell", "off", lambda c, o: c + o).alias("ncell"))
-    q = right.select(F.col("rid").alias("q"), F.col("x").alias("qx"), F.col("w").alias("qw"),
-                     F.col("cell").alias("ncell"))
+    Works on distinct cells, not points: offsets are generated per dimension
+    (clipped to the grid's extent in that dimension) and only occupied
+    neighbour cells are kept (semi join), so a wide ring over a sparse grid
+    costs cells, not points × ring volume.
+    """
+    c = cells
+    for i, e in enumerate(extent):
+        r = max(0, min(ring, e - 1))
+        c = c.withColumn(f"__o{i}", F.explode(F.sequence(F.lit(-r), F.lit(r))))
+    ncell = F.array(*[F.col("cell")[i] + F.col(f"__o{i}") for i in range(len(extent))])
+    return c.select("cell", ncell.alias("ncell")).join(occupied, "ncell", "left_semi")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, ring: int, extent: list[int]) -> DataFrame:
+    """All (p, q) with q in an occupied cell within ring ``ring`` of p's cell.
+    ``left``/``right``: (rid, x, w, cell).  Equi joins on cell keys only."""
+    occupied = right.select(F.col("cell").alias("ncell")).distinct()
+    cp = neighbour_cells(left.select("cell").distinct(), occupied, ring, extent)
+    nb = left.select(F.col("rid").alias("p"), F.col("x").alias("px"), F.col("w").alias("pw"), "cell").join(cp, "cell")
+    q = right.select(F.col("rid").alias("q"), F.col("x").alias("qx"), F.col("w").alias("qw"), F.col("cell").alias("ncell"))
     j = nb.join(q, "ncell")
     return j.select("p", "pw", "q", "qw", sq_dist(F.col("px"), F.col("qx")).alias("dist"))
 
@@ -133,9 +142,7 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
     """
     d = len(reps.select("x").first()["x"])
     dims = dims if dims is not None else blocking_dims(reps, d)
-    b = len(dims)
     sides = sides or auto_sides(reps, dims, max(float(k), 8.0))
-    side = min(sides)      # any point outside ring R is at least R·side away
     cells, extent = grid(reps, dims, sides)
     cells = cells.persist()
     ensure_checkpoint_dir(reps.sparkSession)
@@ -143,8 +150,11 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
     done = None
     ring = 1
     for _ in range(max_rounds):
-        covers_all = ring >= max(extent)
-        pairs = candidate_pairs(pending, cells, ring, b)
+        # a point outside ring R differs by more than R·side_i in some dimension i
+        # that the ring does not span completely; if it spans all, nothing is outside
+        open_dims = [sd for sd, e in zip(sides, extent) if e - 1 > ring]
+        bound = ring * min(open_dims) if open_dims else float("inf")
+        pairs = candidate_pairs(pending, cells, ring, extent)
         # copies of p itself count with weight w − 1; p itself is excluded
         pairs = pairs.withColumn("qw", F.when(F.col("p") == F.col("q"), F.col("pw") - 1).otherwise(F.col("qw"))) \
             .where(F.col("qw") > 0)
@@ -154,15 +164,20 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
         top = ranked.where(F.col("__before") < k).withColumn(
             "wq", F.least(F.col("qw"), F.lit(k) - F.col("__before")))
         stat = top.groupBy("p").agg(F.max("dist").alias("kd"), F.sum("wq").alias("got"))
-        ok = stat.where(F.lit(covers_all) | ((F.col("got") >= k) & (F.col("kd") < F.lit(ring * side))))
+        if open_dims:
+            ok = stat.where((F.col("got") >= k) & (F.col("kd") < F.lit(bound)))
+        else:
+            ok = stat
         res = top.join(ok.select("p"), "p", "left_semi").select("p", "q", "dist", "wq")
         res = res.checkpoint()
         done = res if done is None else done.unionByName(res)
+        if not open_dims:
+            break
         resolved = res.select("p").distinct()
         pending = pending.join(resolved.withColumnRenamed("p", "rid"), "rid", "left_anti").persist()
         if pending.limit(1).count() == 0:
             break
-        ring = ring * 2 if not covers_all else ring
+        ring = ring * 2
     cells.unpersist()
     return done
 
@@ -172,6 +187,6 @@ def eps_neighbours(reps: DataFrame, eps: float, dims: list[int] | None = None) -
     (ring 1 is exact)."""
     d = len(reps.select("x").first()["x"])
     dims = dims if dims is not None else blocking_dims(reps, d)
-    cells, _ = grid(reps, dims, eps)
-    pairs = candidate_pairs(cells, cells, 1, len(dims))
+    cells, extent = grid(reps, dims, eps)
+    pairs = candidate_pairs(cells, cells, 1, extent)
     return pairs.where((F.col("dist") <= F.lit(eps)) & (F.col("p") != F.col("q")))
