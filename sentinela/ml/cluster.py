@@ -117,25 +117,56 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str
 
 
 # ------------------------------------------------------------------ M5 DBSCAN
-def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 64) -> DataFrame:
+LOCAL_EDGES_MAX = 100_000
+
+
+def _union_find_roots(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Smallest node id of each component of a small edge list."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        root = x
+        while parent.get(root, root) != root:
+            root = parent[root]
+        while parent.get(x, x) != root:
+            parent[x], x = root, parent[x]
+        return root
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            lo, hi = (ra, rb) if ra < rb else (rb, ra)
+            parent[hi] = lo
+    return {v: find(v) for v in list(parent) + [x for e in edges for x in e]}
+
+
+def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 64,
+                local_edges_max: int = LOCAL_EDGES_MAX) -> DataFrame:
     """Connected components by hooking and contraction.
 
     ``edges`` (a, b) undirected, ``nodes`` (v).  Each round every node of the
     current graph hooks to its smallest neighbour (or itself), labels are
     composed through the hook map, and the edge list is rewritten on the
     hooked ids with self-loops and duplicates removed.  Every non-isolated
-    node merges with another one, so the graph at least halves per round
-    and the edge list shrinks quickly.  Each round's state is written by a
-    reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id of v's
-    component.
+    node merges with another one, so the graph at least halves per round.
+    Once the contracted edge list holds at most ``local_edges_max`` edges (a
+    size-checked summary, not the data) it is finished with union-find on the
+    driver and the root map is broadcast back.  Each round's state is written
+    by a reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id
+    of v's component.
     """
     from sentinela.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(nodes.sparkSession)
+    spark = nodes.sparkSession
+    ensure_checkpoint_dir(spark)
     lab = nodes.select("v", F.col("v").alias("c"))
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
     e = e.distinct().checkpoint()
     for _ in range(max_iter):
-        if e.limit(1).count() == 0:
+        small = e.limit(local_edges_max + 1).collect()
+        if len(small) <= local_edges_max:
+            if small:
+                roots = _union_find_roots([(r["a"], r["b"]) for r in small])
+                m = spark.createDataFrame([(int(k), int(v)) for k, v in roots.items()], "c long, root long")
+                lab = lab.join(F.broadcast(m), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("m")) \
@@ -148,8 +179,6 @@ def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 64) -> DataF
             .select(F.coalesce("pa", "a").alias("a0"), F.coalesce("pb", "b").alias("b0")) \
             .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")) \
             .where(F.col("a") != F.col("b")).distinct().checkpoint()
-    # labels so far point to the root of each contracted tree; the minimum id of
-    # the component is the root reached when no edges remain
     return lab
 
 

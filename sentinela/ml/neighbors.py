@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,13 +89,41 @@ def neighbour_cells(cells: DataFrame, occupied: DataFrame, ring: int, extent: li
     return c.select("cell", ncell.alias("ncell")).join(occupied, "ncell", "left_semi")
 
 
+def _offsets(ring: int, extent: list[int]) -> list[list[int]]:
+    ranges = [range(-max(0, min(ring, e - 1)), max(0, min(ring, e - 1)) + 1) for e in extent]
+    return [list(o) for o in itertools.product(*ranges)]
+
+
+def _ring_volume(ring: int, extent: list[int]) -> int:
+    v = 1
+    for e in extent:
+        v *= 2 * max(0, min(ring, e - 1)) + 1
+    return v
+
+
+# up to this many neighbour cells per point, offsets are exploded per point
+# (one join); beyond it, neighbour cells are enumerated per occupied cell.
+POINT_EXPLODE_MAX = 125
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, ring: int, extent: list[int]) -> DataFrame:
-    """All (p, q) with q in an occupied cell within ring ``ring`` of p's cell.
-    ``left``/``right``: (rid, x, w, cell).  Equi joins on cell keys only."""
-    occupied = right.select(F.col("cell").alias("ncell")).distinct()
-    cp = neighbour_cells(left.select("cell").distinct(), occupied, ring, extent)
-    nb = left.select(F.col("rid").alias("p"), F.col("x").alias("px"), F.col("w").alias("pw"), "cell").join(cp, "cell")
+    """All (p, q) with q in a cell within Chebyshev ring ``ring`` of p's cell.
+    ``left``/``right``: (rid, x, w, cell).  Equi joins on cell keys only.
+
+    Narrow rings (≤ 125 cells, e.g. ring 1 in three dimensions) explode the
+    clipped offsets per point; wide rings enumerate neighbour cells per
+    distinct occupied cell and keep only occupied ones, so their cost follows
+    the number of cells rather than points × ring volume."""
     q = right.select(F.col("rid").alias("q"), F.col("x").alias("qx"), F.col("w").alias("qw"), F.col("cell").alias("ncell"))
+    base = left.select(F.col("rid").alias("p"), F.col("x").alias("px"), F.col("w").alias("pw"), "cell")
+    if _ring_volume(ring, extent) <= POINT_EXPLODE_MAX:
+        offs = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in _offsets(ring, extent)])
+        nb = base.select("p", "px", "pw", "cell", F.explode(offs).alias("off")) \
+            .select("p", "px", "pw", F.zip_with("cell", "off", lambda c, o: c + o).alias("ncell"))
+    else:
+        occupied = right.select(F.col("cell").alias("ncell")).distinct()
+        cp = neighbour_cells(left.select("cell").distinct(), occupied, ring, extent)
+        nb = base.join(cp, "cell").drop("cell")
     j = nb.join(q, "ncell")
     return j.select("p", "pw", "q", "qw", sq_dist(F.col("px"), F.col("qx")).alias("dist"))
 

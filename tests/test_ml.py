@@ -268,3 +268,15 @@ def test_batch_pipeline(spark):
     t, m = read_results(spark, d)
     assert t.count() == metrics["rows"] and m.count() == 4
     assert os.path.isdir(os.path.join(d, "table"))
+
+
+@pytest.mark.parametrize("local_max", [0, 10_000])
+def test_components_distributed_and_local(spark, local_max):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))]
+    nodes = spark.createDataFrame([(i,) for i in range(300)], "v long")
+    e = spark.createDataFrame(edges, "a long, b long")
+    got = {r["v"]: r["c"] for r in C._components(e, nodes, local_edges_max=local_max).collect()}
+    roots = C._union_find_roots(edges)
+    want = {v: roots.get(v, v) for v in range(300)}
+    assert got == want
