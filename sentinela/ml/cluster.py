@@ -44,6 +44,7 @@ from pyspark.ml.feature import StandardScaler  # noqa: E402
 from sentinela.ml.features import one_hot_stages  # noqa: E402
 
 KMEANS_CATEGORICAL = [K.ZONE, K.TYPE, "dia_semana"]
+_WORKERS = 4  # concurrent k-means starts (independent Spark jobs)
 KMEANS_NUMERIC = ["hora", K.LAT, K.LON]
 
 
@@ -76,7 +77,7 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol=out).fit(x)
         return m.summary.trainingCost, i, m
     # the starts are independent Spark jobs: submit them concurrently
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
+    with ThreadPoolExecutor(max_workers=min(n_init, _WORKERS)) as pool:
         fits = list(pool.map(fit, range(n_init)))
     best = min(fits, key=lambda t: (t[0], t[1]))[2]
     labelled = best.transform(x).withColumn(out, F.col(out).cast("int"))

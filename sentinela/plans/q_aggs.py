@@ -9,7 +9,7 @@ from sentinela.functions import scalar as S
 from sentinela.operators import clean, crosstab as X6, derive, filters, geo, profile as P, risk
 from sentinela.plans import fixtures as X
 from sentinela.plans.oracle_base import AGEBAND, pct, rhu, with_
-from sentinela.plans.q_rows import CITY_SQL, SPEC, SPEC_SQL, TOPT, TOPZ
+from sentinela.plans.q_rows import CITY_SQL, SPEC, SPEC_SQL, TOPZ
 from sentinela.plans.registry import query
 
 CASE_SCOPE = "tipo_crime IN ('Violência Doméstica', 'Estupro', 'Ameaça')"
