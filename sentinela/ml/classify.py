@@ -44,8 +44,23 @@ class RiskModelResult:
 
 
 def risk_features(df: DataFrame, ts: str = K.TS) -> DataFrame:
-    """Time features (P2–P5) plus the numeric weekend flag and the target."""
-    d = df if "hora" in df.columns and "periodo_dia" in df.columns else derive_time_features(df, ts)
+    """Time features (P2–P5) plus the numeric weekend flag and the target.
+
+    A scenario without a timestamp may give ``hora``, ``dow`` (ISO weekday)
+    and ``mes`` instead; period and weekend are then derived from hour and
+    weekday (D5), and the month is taken as given."""
+    from sentinela.functions.scalar import time_period
+    have = set(df.columns)
+    if {"hora", "periodo_dia", "dia_semana", "mes", "fim_semana"} <= have:
+        d = df
+    elif ts in have:
+        d = derive_time_features(df, ts)
+    elif {"hora", "dow", "mes"} <= have:
+        names = F.array(*[F.lit(n) for n in K.WEEKDAYS_LOWER])
+        d = df.withColumns({"dia_semana": F.element_at(names, F.col("dow").cast("int")),
+                            "periodo_dia": time_period("hora"), "fim_semana": F.col("dow") >= 6})
+    else:
+        raise ValueError("need a timestamp or hora, dow and mes")
     d = d.withColumn("fim_semana_n", F.col("fim_semana").cast("double"))
     return d if "nivel_risco" in d.columns else risk_tier(d)
 
@@ -185,3 +200,79 @@ def predict(model: PipelineModel, scenarios: DataFrame, model_type: str = "xgboo
         if "nivel_risco" not in scenarios.columns else risk_features(scenarios)
     out = confidence(with_label_text(model, model.transform(d)), model_type)
     return out.select(*scenarios.columns, F.col("prediction_label").alias("previsao"), "confianca")
+
+
+# ------------------------------------------------------------------ second form (case dashboard)
+CASE_TARGETS = ("gravidade", K.TYPE, K.WEAPON)
+
+
+def case_features(df: DataFrame, target: str, ts: str = K.TS) -> tuple[DataFrame, list[str]]:
+    """Target column (case gravity P16 derived when asked for) and the numeric
+    features: position, hour, and the number of victims when present."""
+    from sentinela.operators.derive import case_gravity
+    if target not in CASE_TARGETS:
+        raise ValueError(f"unknown target {target!r}; expected one of {CASE_TARGETS}")
+    d = df if "hora" in df.columns else df.withColumn("hora", F.hour(ts))
+    if target == "gravidade" and "gravidade" not in d.columns:
+        d = case_gravity(d)
+    num = [K.LAT, K.LON, "hora"] + ([K.VICTIMS] if K.VICTIMS in d.columns else [])
+    return d, num
+
+
+def build_case_pipeline(num_cols: Sequence[str], target: str, seed: int = 42, num_trees: int = 100,
+                        max_depth: int = 30) -> Pipeline:
+    """Label index of the (text) target (D8: always indexed), alphabetical zone
+    code as a numeric feature (M3), assembler, random forest.  The original's
+    unlimited depth becomes Spark's maximum depth, 30."""
+    from pyspark.ml.feature import VectorAssembler
+    lab = StringIndexer(inputCol=target, outputCol="label_idx", stringOrderType="alphabetAsc")
+    zone = StringIndexer(inputCol=K.ZONE, outputCol="bairro_encoded", stringOrderType="alphabetAsc",
+                         handleInvalid="keep")
+    asm = VectorAssembler(inputCols=list(num_cols) + ["bairro_encoded"], outputCol="features")
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, featuresCol="features",
+                                labelCol="label_idx")
+    return Pipeline(stages=[lab, zone, asm, rf])
+
+
+def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float = 0.2, seed: int = 42,
+                     tune: bool = False, cv_folds: int | None = 3, min_rows: int = 10,
+                     grid=None) -> RiskModelResult:
+    """M10/M11 second form: forest on position, hour, zone code (and victims)
+    predicting case gravity, incident type or weapon; optional grid search
+    (M16); report on the test rows (M17); k-fold accuracy (M15)."""
+    from sentinela.ml.evaluate import classification_report
+    from sentinela.operators.filters import min_rows as has_rows
+    d, num = case_features(df, target)
+    d = d.na.drop(subset=num + [target, K.ZONE])
+    if not has_rows(d, min_rows):
+        raise ValueError(f"fewer than {min_rows} complete rows")
+    d = ensure_parallelism(split(d, test_size, seed)).persist()
+    train = d.where(F.col("conjunto") == "treino")
+    test = d.where(F.col("conjunto") == "teste")
+    pipe = build_case_pipeline(num, target, seed)
+    cv_mean = cv_std = None
+    if tune:
+        rf = pipe.getStages()[-1]
+        grid = grid or (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
+                        .addGrid(rf.minInstancesPerNode, [2, 5, 10]).build())
+        cvm, cv_mean, cv_std = cross_validate(pipe, train, 3, seed, grid)
+        model = cvm.bestModel
+    else:
+        model = pipe.fit(train)
+        if cv_folds:
+            _, cv_mean, cv_std = cross_validate(pipe, train, cv_folds, seed)
+    pred = confidence(with_label_text(model, model.transform(test)), "random_forest")
+    pred = pred.select(K.ID, K.ZONE, F.col(target).cast("string").alias("label"),
+                       F.col("prediction_label").alias("prediction"), "confianca")
+    return RiskModelResult(model, pred, classification_report(pred), cv_mean, cv_std,
+                           num + ["bairro_encoded"], "random_forest")
+
+
+def predict_case(model: PipelineModel, scenarios: DataFrame, target: str = "gravidade") -> DataFrame:
+    """M19 second form: scenario rows (position, hour, zone, victims) → class
+    and confidence.  The target column is filled with a known label only to
+    satisfy the fitted label indexer; it is not used."""
+    known = model.stages[0].labels[0]
+    d = scenarios.withColumn(target, F.lit(known))
+    out = confidence(with_label_text(model, model.transform(d)), "random_forest")
+    return out.select(*scenarios.columns, F.col("prediction_label").alias("previsao"), "confianca")

@@ -140,3 +140,10 @@ def m2(spark, d):
     stages = one_hot_stages(c, M.RISK_CATEGORICAL, M.RISK_NUMERIC, "features", drop_first=True)
     out = Pipeline(stages=stages).fit(c).transform(c)
     return out.select(K.ID, vector_to_array("features").alias("features"))
+
+
+@query("m10_case_model")
+def m10b(spark, d):
+    """Second form on the case scope: predict case gravity."""
+    r = M.train_case_model(filters.filter_in(X.occ(spark, d), K.TYPE, K.CASE_TYPES), "gravidade", cv_folds=None)
+    return r.predictions

@@ -224,6 +224,10 @@ def test_risk_model_end_to_end(spark):
     scen = occ.select(K.ID, K.ZONE, K.TS).limit(5)
     p = M.predict(r.model, scen, "random_forest").collect()
     assert len(p) == 5 and all(x["previsao"] is not None for x in p)
+    # scenario without timestamp: zone, ISO weekday, hour, month (unknown zone allowed)
+    form = spark.createDataFrame([("NATION_3", 6, 23, 1), ("Nowhere", 2, 9, 5)], "bairro string, dow int, hora int, mes int")
+    q = M.predict(r.model, form, "random_forest").collect()
+    assert len(q) == 2 and all(x["previsao"] in (K.RISK_LOW, K.RISK_MID, K.RISK_HIGH) for x in q)
     with pytest.raises(ValueError):
         M.train_risk_model(occ, "svm")
 
@@ -280,3 +284,24 @@ def test_components_distributed_and_local(spark, local_max):
     roots = C._union_find_roots(edges)
     want = {v: roots.get(v, v) for v in range(300)}
     assert got == want
+
+
+def test_case_model_and_scenarios(spark):
+    from sentinela.plans import fixtures as X
+    from sentinela.operators import filters
+    occ = filters.filter_in(X.occ(spark, SF0001), K.TYPE, K.CASE_TYPES)
+    r = M.train_case_model(occ, "gravidade", cv_folds=2)
+    pred = r.predictions.collect()
+    assert pred and all(p["prediction"] in ("Baixa", "Média", "Alta") for p in pred)
+    assert r.cv_mean is not None
+    scen = spark.createDataFrame([(1, -8.09, -34.9, 10, "NATION_1", 2), (2, -8.1, -34.91, 23, "Nowhere", 1)],
+                                 "occurrence_id long, latitude double, longitude double, hora int, bairro string, "
+                                 "quantidade_vitimas int")
+    out = M.predict_case(r.model, scen).collect()
+    assert len(out) == 2 and all(0 < x["confianca"] <= 100 for x in out)
+    r2 = M.train_case_model(occ, K.WEAPON, cv_folds=None)
+    assert r2.predictions.count() > 0
+    with pytest.raises(ValueError):
+        M.train_case_model(occ, "idade")
+    with pytest.raises(ValueError):
+        M.train_case_model(occ.limit(5), "gravidade")
