@@ -211,8 +211,8 @@ def summary(df: DataFrame, ts: str = K.TS) -> DataFrame:
     """Total, zones, span in whole days (floor of elapsed time), types."""
     a = df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(K.ZONE).alias("bairros"),
                F.min(ts).alias("__a"), F.max(ts).alias("__b"), F.count_distinct(K.TYPE).alias("tipos"))
-    span = F.floor((F.unix_micros(F.col("__b").cast("timestamp")) - F.unix_micros(F.col("__a").cast("timestamp")))
-                   / F.lit(86_400_000_000)).cast("long")
+    # elapsed microseconds without any time-zone conversion (also for timestamp_ntz)
+    span = F.floor(F.expr("timestampdiff(MICROSECOND, __a, __b)") / F.lit(86_400_000_000)).cast("long")
     return a.select("total", "bairros", span.alias("periodo_dias"), "tipos")
 
 
