@@ -61,18 +61,27 @@ def blocking_dims(reps: DataFrame, d: int, b: int = 3) -> list[int]:
     return [r["i"] for r in sorted(st, key=lambda r: (-(r["s"] or 0.0), r["i"]))[:b]]
 
 
-def grid(reps: DataFrame, dims: list[int], sides: float | list[float]) -> tuple[DataFrame, list[int]]:
+def grid(reps: DataFrame, dims: list[int], sides: float | list[float],
+         origin: list[float] | None = None, upper: list[float] | None = None) -> tuple[DataFrame, list[int]]:
     """Cell key per point and the number of cells per blocking dimension
-    (``sides`` is one side for all dimensions or one per dimension)."""
+    (``sides`` is one side for all dimensions or one per dimension; the
+    origin and upper corner default to the data's minimum and maximum)."""
     sides = sides if isinstance(sides, list) else [sides] * len(dims)
-    mins = reps.agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in dims],
-                    *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in dims]).first()
-    cell = F.array(*[F.floor((F.col("x")[i] - F.lit(float(mins[f"lo{i}"]))) / F.lit(sd)).cast("long")
-                     for i, sd in zip(dims, sides)])
-    extent = [int((mins[f"hi{i}"] - mins[f"lo{i}"]) // sd) + 1 for i, sd in zip(dims, sides)]
+    if origin is None or upper is None:
+        origin, upper = bounds(reps, dims)
+    cell = F.array(*[F.floor((F.col("x")[i] - F.lit(float(lo))) / F.lit(sd)).cast("long")
+                     for i, sd, lo in zip(dims, sides, origin)])
+    extent = [int((hi - lo) // sd) + 1 for sd, lo, hi in zip(sides, origin, upper)]
     return reps.withColumn("cell", cell), extent
 
 
+def bounds(reps: DataFrame, dims: list[int]) -> tuple[list[float], list[float]]:
+    """Minimum and maximum of each blocking dimension (one aggregation)."""
+    r = reps.agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in dims],
+                 *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in dims]).first()
+    return [float(r[f"lo{i}"]) for i in dims], [float(r[f"hi{i}"]) for i in dims]
+
+
 def neighbour_cells(cells: DataFrame, occupied: DataFrame, ring: int, extent: list[int]) -> DataFrame:
     """(cell, ncell) for every occupied ``ncell`` within Chebyshev ring ``ring``.
 
@@ -161,21 +170,10 @@ def auto_sides(reps: DataFrame, dims: list[int], target: float) -> list[float]:
     return [rng[i] / cells[i] * (1.0 + 1e-9) for i in dims]
 
 
-def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[float] | None = None,
-        max_rounds: int = 64) -> DataFrame:
-    """Exact weighted k nearest neighbours of every representative.
-
-    Returns (p, q, dist, wq): the neighbours of p in (dist, q) order, with the
-    multiplicity ``wq`` of q that falls inside the first k (copies of p itself
-    count, at distance 0, as sklearn counts distinct rows).
-    """
-    d = len(reps.select("x").first()["x"])
-    dims = dims if dims is not None else blocking_dims(reps, d)
-    sides = sides or auto_sides(reps, dims, max(float(k), 8.0))
-    cells, extent = grid(reps, dims, sides)
-    cells = cells.persist()
-    ensure_checkpoint_dir(reps.sparkSession)
-    pending = cells
+def _knn_rounds(pending: DataFrame, cells: DataFrame, k: int, sides: list[float], extent: list[int],
+                max_rounds: int) -> DataFrame | None:
+    """Exact k-NN of the ``pending`` points against all points in ``cells``
+    (both gridded with ``sides``), widening the ring until every point is proven."""
     done = None
     ring = 1
     for _ in range(max_rounds):
@@ -193,12 +191,8 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
         top = ranked.where(F.col("__before") < k).withColumn(
             "wq", F.least(F.col("qw"), F.lit(k) - F.col("__before")))
         stat = top.groupBy("p").agg(F.max("dist").alias("kd"), F.sum("wq").alias("got"))
-        if open_dims:
-            ok = stat.where((F.col("got") >= k) & (F.col("kd") < F.lit(bound)))
-        else:
-            ok = stat
-        res = top.join(ok.select("p"), "p", "left_semi").select("p", "q", "dist", "wq")
-        res = res.checkpoint()
+        ok = stat.where((F.col("got") >= k) & (F.col("kd") < F.lit(bound))) if open_dims else stat
+        res = top.join(ok.select("p"), "p", "left_semi").select("p", "q", "dist", "wq").checkpoint()
         done = res if done is None else done.unionByName(res)
         if not open_dims:
             break
@@ -207,7 +201,62 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
         if pending.limit(1).count() == 0:
             break
         ring = ring * 2
-    cells.unpersist()
+    return done
+
+
+def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[float] | None = None,
+        max_rounds: int = 64, max_levels: int = 24) -> DataFrame:
+    """Exact weighted k nearest neighbours of every representative.
+
+    Returns (p, q, dist, wq): the neighbours of p in (dist, q) order, with the
+    multiplicity ``wq`` of q that falls inside the first k (copies of p itself
+    count, at distance 0, as sklearn counts distinct rows).
+
+    Multi-resolution: the grid is first sized for the average density; cells
+    holding more than 2^b times the target are split (all sides halved) again
+    and again, and each point keeps the level at which its cell became small
+    enough.  A hot area holding a large share of all rows is thus searched on
+    a grid fine enough that its cells again hold about ``k`` points.  Each
+    level re-grids all points (a projection on a common origin) and runs the
+    exact ring search for its own points only.
+    """
+    d = len(reps.select("x").first()["x"])
+    dims = dims if dims is not None else blocking_dims(reps, d)
+    b = len(dims)
+    target = max(float(k), 8.0)
+    sides = sides or auto_sides(reps, dims, target)
+    ensure_checkpoint_dir(reps.sparkSession)
+    lo, hi = bounds(reps, dims)
+    limit = target * (2 ** b)
+    # level assignment by iterative refinement of over-full cells
+    current = reps.select("rid", "x", "w")
+    assigned = []
+    for lv in range(max_levels + 1):
+        g, _ = grid(current, dims, [sd / (2 ** lv) for sd in sides], lo, hi)
+        pop = g.groupBy("cell").agg(F.sum("w").alias("__pop"))
+        full = pop.where(F.col("__pop") > F.lit(limit)).select("cell")
+        if lv == max_levels:
+            assigned.append(g.select("rid", F.lit(lv).alias("__lvl")))
+            break
+        assigned.append(g.join(full, "cell", "left_anti").select("rid", F.lit(lv).alias("__lvl")))
+        current = g.join(full, "cell", "left_semi").select("rid", "x", "w").checkpoint()
+        if current.limit(1).count() == 0:
+            break
+    lvl = assigned[0]
+    for a in assigned[1:]:
+        lvl = lvl.unionByName(a)
+    leveled = reps.join(lvl, "rid").persist()
+    levels = sorted(r[0] for r in leveled.select("__lvl").distinct().collect())
+    done = None
+    for lv in levels:
+        fine = [sd / (2 ** lv) for sd in sides]
+        cells, extent = grid(leveled.drop("__lvl"), dims, fine, lo, hi)
+        cells = cells.persist()
+        pending = cells.join(leveled.where(F.col("__lvl") == lv).select("rid"), "rid", "left_semi")
+        res = _knn_rounds(pending, cells, k, fine, extent, max_rounds)
+        done = res if done is None else done.unionByName(res)
+        cells.unpersist()
+    leveled.unpersist()
     return done
 
 

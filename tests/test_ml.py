@@ -305,3 +305,15 @@ def test_case_model_and_scenarios(spark):
         M.train_case_model(occ, "idade")
     with pytest.raises(ValueError):
         M.train_case_model(occ.limit(5), "gravidade")
+
+
+def test_lof_exact_with_hot_area(spark):
+    """A third of the points in a tiny square: the multi-resolution grid must
+    stay exact (compared with brute force)."""
+    rng = np.random.default_rng(11)
+    X = np.vstack([rng.uniform(0, 0.01, (600, 2)), rng.uniform(0, 10, (1200, 2))])
+    ids = np.arange(len(X))
+    df = frame(spark, X)
+    got = {r["occurrence_id"]: r["lof"] for r in A.lof_scores(df, ["a", "b"], 10, standardize_features=False).collect()}
+    want = np_lof(X, 10, ids)
+    assert max(abs(got[i] - want[i]) for i in ids) < 1e-9
