@@ -190,9 +190,11 @@ def _knn_rounds(pending: DataFrame, cells: DataFrame, k: int, sides: list[float]
         ranked = pairs.withColumn("__cum", cum).withColumn("__before", F.col("__cum") - F.col("qw"))
         top = ranked.where(F.col("__before") < k).withColumn(
             "wq", F.least(F.col("qw"), F.lit(k) - F.col("__before")))
-        stat = top.groupBy("p").agg(F.max("dist").alias("kd"), F.sum("wq").alias("got"))
-        ok = stat.where((F.col("got") >= k) & (F.col("kd") < F.lit(bound))) if open_dims else stat
-        res = top.join(ok.select("p"), "p", "left_semi").select("p", "q", "dist", "wq").checkpoint()
+        # k-distance and found weight per point on the same partitioning (no extra shuffle)
+        wp = Window.partitionBy("p")
+        top = top.withColumns({"__kd": F.max("dist").over(wp), "__got": F.sum("wq").over(wp)})
+        ok = ((F.col("__got") >= k) & (F.col("__kd") < F.lit(bound))) if open_dims else F.lit(True)
+        res = top.where(ok).select("p", "q", "dist", "wq").checkpoint()
         done = res if done is None else done.unionByName(res)
         if not open_dims:
             break
@@ -233,20 +235,22 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
     assigned = []
     for lv in range(max_levels + 1):
         g, _ = grid(current, dims, [sd / (2 ** lv) for sd in sides], lo, hi)
-        pop = g.groupBy("cell").agg(F.sum("w").alias("__pop"))
-        full = pop.where(F.col("__pop") > F.lit(limit)).select("cell")
-        if lv == max_levels:
-            assigned.append(g.select("rid", F.lit(lv).alias("__lvl")))
+        full = g.groupBy("cell").agg(F.sum("w").alias("__pop")).where(F.col("__pop") > F.lit(limit)) \
+            .select("cell").persist()
+        if lv == max_levels or full.limit(1).count() == 0:
+            assigned.append(current.select("rid", F.lit(lv).alias("__lvl")))
             break
         assigned.append(g.join(full, "cell", "left_anti").select("rid", F.lit(lv).alias("__lvl")))
         current = g.join(full, "cell", "left_semi").select("rid", "x", "w").checkpoint()
-        if current.limit(1).count() == 0:
-            break
-    lvl = assigned[0]
-    for a in assigned[1:]:
-        lvl = lvl.unionByName(a)
-    leveled = reps.join(lvl, "rid").persist()
-    levels = sorted(r[0] for r in leveled.select("__lvl").distinct().collect())
+    if len(assigned) == 1:          # nothing over-full: every point at level 0, no join needed
+        leveled = reps.withColumn("__lvl", F.lit(0)).persist()
+        levels = [0]
+    else:
+        lvl = assigned[0]
+        for a in assigned[1:]:
+            lvl = lvl.unionByName(a)
+        leveled = reps.join(lvl, "rid").persist()
+        levels = sorted(r[0] for r in leveled.select("__lvl").distinct().collect())
     done = None
     for lv in levels:
         fine = [sd / (2 ** lv) for sd in sides]
