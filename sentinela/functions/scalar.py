@@ -15,7 +15,7 @@ from sentinela import constants as K
 __all__ = [
     "col_of", "parse_ts", "to_number", "iso_weekday", "weekday_name", "time_period",
     "is_weekend", "is_night", "cut", "cut_ordinal", "lookup", "round_half_up",
-    "percent_text", "parse_percent", "anonymize_col", "month_key", "in_box",
+    "percent_text", "parse_percent", "anonymize_col", "month_key", "in_box", "box_pred",
     "victim_gender", "safe_ratio", "pct",
 ]
 
@@ -125,12 +125,17 @@ def month_key(ts) -> Column:
     return F.date_format(col_of(ts), "yyyy-MM")
 
 
-def in_box(lat, lon, lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> Column:
-    """inclusive box test, NULL coordinates → false."""
+def box_pred(lat, lon, lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> Column:
+    """F5 as a filter predicate (NULL for NULL coordinates, which ``where``
+    drops); kept free of wrappers so Parquet receives it as pushed filters."""
     la, lo = col_of(lat), col_of(lon)
-    cond = la.between(F.lit(float(lat_range[0])), F.lit(float(lat_range[1]))) & \
+    return la.between(F.lit(float(lat_range[0])), F.lit(float(lat_range[1]))) & \
         lo.between(F.lit(float(lon_range[0])), F.lit(float(lon_range[1])))
-    return F.coalesce(cond, F.lit(False))
+
+
+def in_box(lat, lon, lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> Column:
+    """F5 as a flag: inclusive box test, NULL coordinates → false."""
+    return F.coalesce(box_pred(lat, lon, lat_range, lon_range), F.lit(False))
 
 
 def victim_gender(sex) -> Column:

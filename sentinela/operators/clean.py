@@ -45,10 +45,15 @@ def fill_unknown(df: DataFrame, cols: Iterable[str] = (K.ZONE, K.TYPE, K.METHOD)
 
 
 def city_box_flag(lat: str = K.LAT, lon: str = K.LON, lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> Column:
-    """F5 as a Column."""
+    """F5 as a flag column (NULL → false)."""
     return S.in_box(lat, lon, lat_range, lon_range)
 
 
+def city_box_pred(lat: str = K.LAT, lon: str = K.LON, lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> Column:
+    """F5 as a filter predicate (pushable; NULL rows are dropped by ``where``)."""
+    return S.box_pred(lat, lon, lat_range, lon_range)
+
+
 def in_city_box(df: DataFrame, lat: str = K.LAT, lon: str = K.LON, out: str = "coord_valida",
                 lat_range=K.CITY_LAT, lon_range=K.CITY_LON) -> DataFrame:
     """flag column; NULL → false; bounds inclusive."""
@@ -82,21 +87,29 @@ def geo_flag(df: DataFrame, boxes: DataFrame | None = None, zone: str = K.ZONE,
 
 
 def clean_geo(df: DataFrame, boxes: DataFrame | None = None, zone: str = K.ZONE) -> DataFrame:
-    """keep rows with valid positions (see ``geo_flag``)."""
+    """keep rows with valid positions (see ``geo_flag``); the city-box
+    form is a plain, pushable predicate."""
+    if K.LAT in df.columns and K.LON in df.columns and (boxes is None or zone not in df.columns):
+        return df.where(city_box_pred())
     return geo_flag(df, boxes, zone, "__ok").where(F.col("__ok")).drop("__ok")
 
 
-def valid_datetime_flag(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None,
+def valid_datetime_pred(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None,
                         min_date: datetime = MIN_DATE) -> Column:
-    """F8: not NULL, not after ``as_of`` (default: now), not before ``min_date``.
-
-    Written as a range on the raw column so that Parquet receives it as a
-    pushed filter (``year(ts) >= 2000`` would not be pushed).
-    """
+    """F8 as a filter predicate: not NULL, not after ``as_of`` (default: now),
+    not before ``min_date``.  A plain range on the raw column, so Parquet
+    receives it as pushed filters (``year(ts) >= 2000`` or a ``coalesce``
+    wrapper would not be pushed)."""
     t = dtype_of(df, ts)
     upper = ts_literal(as_of, t) if as_of is not None else F.current_timestamp().cast(t)
     c = F.col(ts)
-    return F.coalesce(c.isNotNull() & (c <= upper) & (c >= ts_literal(min_date, t)), F.lit(False))
+    return c.isNotNull() & (c <= upper) & (c >= ts_literal(min_date, t))
+
+
+def valid_datetime_flag(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None,
+                        min_date: datetime = MIN_DATE) -> Column:
+    """F8 as a flag column (never NULL)."""
+    return F.coalesce(valid_datetime_pred(df, ts, as_of, min_date), F.lit(False))
 
 
 def valid_datetime(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None,
@@ -107,10 +120,10 @@ def valid_datetime(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None,
 def clean_and_validate(df: DataFrame, ts: str = K.TS, as_of: datetime | None = None) -> DataFrame:
     """city box, then timestamp parse + validity if the column exists, then
     full-row de-duplication (O2)."""
-    out = df.where(city_box_flag())
+    out = df.where(city_box_pred())
     if ts in out.columns:
         out = parse_timestamps(out, [ts])
-        out = out.where(valid_datetime_flag(out, ts, as_of))
+        out = out.where(valid_datetime_pred(out, ts, as_of))
     return dedupe(out)
 
 

@@ -344,7 +344,7 @@ def j1(spark, d):
 SELECT o.occurrence_id, coalesce(l.cluster, -1) AS cluster
 FROM occ o LEFT JOIN (SELECT occurrence_id, cluster FROM lab WHERE {CITY_SQL}) l USING (occurrence_id)""")
 def j2(spark, d):
-    scored = X.lab(spark, d).where(clean.city_box_flag()).select(K.ID, "cluster")
+    scored = X.lab(spark, d).where(clean.city_box_pred()).select(K.ID, "cluster")
     return joins.write_back(X.occ(spark, d), scored, "cluster", -1).select(K.ID, "cluster")
 
 

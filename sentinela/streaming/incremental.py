@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sentinela import constants as K
-from sentinela.operators.clean import city_box_flag, valid_datetime_flag
+from sentinela.operators.clean import city_box_pred, valid_datetime_pred
 from sentinela.operators.derive import derive_time_features
 from sentinela.operators.filters import FilterSpec, apply_filters
 
@@ -31,7 +31,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 def clean_derive_stream(sdf: DataFrame, as_of: datetime | None = None, spec: FilterSpec | None = None,
                         watermark: str | None = None, ts: str = K.TS) -> DataFrame:
     """F5 + F8 + P2–P5 (+ F4) on a stream; de-duplication within the watermark."""
-    out = sdf.where(city_box_flag()).where(valid_datetime_flag(sdf, ts, as_of))
+    out = sdf.where(city_box_pred()).where(valid_datetime_pred(sdf, ts, as_of))
     if watermark:
         out = out.withWatermark(ts, watermark).dropDuplicatesWithinWatermark()
     out = derive_time_features(out, ts)
