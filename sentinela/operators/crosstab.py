@@ -10,7 +10,7 @@ from sentinela import constants as K
 from sentinela.functions import scalar as S
 from sentinela.operators._common import counted, ensure_dow, ensure_hour
 from sentinela.operators.profile import top_n
-from sentinela.plans.hints import bounded_broadcast
+from sentinela.plans.hints import bounded_broadcast, small_or_persisted
 
 
 def crosstab(df: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
@@ -21,12 +21,13 @@ def crosstab(df: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
 def crosstab_wide(df: DataFrame, row: str, col: str) -> DataFrame:
     """A6 wide form: one column per value of ``col``, missing cell = 0.
 
-    The pivot values are read first (distinct of one column, bounded by its
-    cardinality) so Spark does not need a second pass to discover them.
+    The input is aggregated once to (row, col, n); that small table is
+    evaluated once and supplies both the pivot values and the pivot, so the
+    input is scanned a single time.
     """
-    values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
-    return (df.where(F.col(row).isNotNull()).groupBy(row).pivot(col, values)
-            .agg(F.count(F.lit(1))).fillna(0).orderBy(row))
+    cells, _ = small_or_persisted(counted(df, [row, col]))
+    values = [r[0] for r in cells.select(col).distinct().orderBy(col).collect()]
+    return cells.groupBy(row).pivot(col, values).agg(F.first("n")).fillna(0).orderBy(row)
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str, digits: int = 6) -> DataFrame:
@@ -55,16 +56,17 @@ def hour_weekday_matrix(df: DataFrame, count_col: str = K.TYPE, ts: str = K.TS)
 def seasonality(df: DataFrame, month: str = "mes", type_col: str = K.TYPE, ts: str = K.TS) -> DataFrame:
     """Month × type counts, 0 for absent combinations of present values.
 
-    Pivot (the wide table of present months × present types) then unpivot
-    back to long form; no cross join.
+    One aggregation of the input to (month, type, n); on that small table
+    (evaluated once) a pivot over the present types and an unpivot back give
+    the zero-filled long form.  No cross join, one scan of the input.
     """
     d = df if month in df.columns else df.withColumn(month, F.month(ts))
-    d = d.where(F.col(month).isNotNull() & F.col(type_col).isNotNull())
-    types = [r[0] for r in d.select(type_col).distinct().orderBy(type_col).collect()]
+    cells, _ = small_or_persisted(counted(d, [month, type_col]))
+    types = [r[0] for r in cells.select(type_col).distinct().orderBy(type_col).collect()]
     if not types:
-        return d.select(month, type_col).withColumn("n", F.lit(0).cast("long")).limit(0)
+        return cells.select(month, type_col, F.col("n").cast("long").alias("n"))
     alias = {t: f"c{i}" for i, t in enumerate(types)}
-    wide = d.groupBy(month).pivot(type_col, types).agg(F.count(F.lit(1)))
+    wide = cells.groupBy(month).pivot(type_col, types).agg(F.first("n"))
     wide = wide.select(month, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(alias[t]) for t in types])
     stacked = wide.select(month, F.explode(F.array(*[
         F.struct(F.lit(t).alias(type_col), F.col(alias[t]).alias("n")) for t in types])).alias("x"))
