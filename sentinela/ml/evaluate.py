@@ -88,7 +88,9 @@ def anomaly_profile(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> Da
         return [F.lit(item).alias("item"), (chave.cast("string") if chave is not None
                                              else F.lit(None).cast("string")).alias("chave"),
                 n.cast("long").alias("n"), (pct if pct is not None else F.lit(None)).cast("double").alias("pct")]
-    d = df if "hora" in df.columns else df.withColumn("hora", F.hour(ts))
+    from sentinela.plans.hints import fan_out_input
+    d = fan_out_input(df if "hora" in df.columns else df.withColumn("hora", F.hour(ts)),
+                      [flag, K.TYPE, K.ZONE, "hora"])
     a = d.where(F.col(flag) == -1)
     tot = d.agg(F.count(F.when(F.col(flag) == -1, 1)).alias("k"), F.count(F.lit(1)).alias("t")) \
         .select(*row("total", None, F.col("k"), S.pct("k", "t", 1)))

@@ -15,6 +15,7 @@ from sentinela.operators import profile as P
 from sentinela.operators._common import ensure_hour
 from sentinela.operators.crosstab import crosstab
 from sentinela.operators.joins import semi_top_n
+from sentinela.plans.hints import fan_out_input
 
 RULE_SCHEMA = "rule string, subject string, value double, message_code string"
 
@@ -42,6 +43,7 @@ def _top_with_share(df: DataFrame, col: str) -> DataFrame:
 
 def report_insights(df: DataFrame, ts: str = K.TS) -> DataFrame:
     """Top zone share > 20 %; resolution < 70 % or > 85 %; peak hour at night."""
+    df = fan_out_input(df, [K.ZONE, K.STATUS, ts, "hora"])
     conc = _top_with_share(df, K.ZONE).where(F.col("share") > K.REPORT_TOP_ZONE_SHARE) \
         .select(*_rule("concentracao", F.col(K.ZONE), F.col("share"), "ALTA_CONCENTRACAO"))
     rate = df.agg(S.pct(F.count(F.when(F.col(K.STATUS) == K.STATUS_DONE, 1)), F.count(F.lit(1)), 1).alias("r"))
@@ -56,7 +58,7 @@ def report_insights(df: DataFrame, ts: str = K.TS) -> DataFrame:
 def cluster_insights(df: DataFrame, cluster: str = "cluster", ts: str = K.TS) -> DataFrame:
     """R2: per cluster (noise excluded): night or morning pattern from the mean
     hour; top-zone share > 70 %."""
-    d = ensure_hour(df, ts).where(F.col(cluster) != -1)
+    d = fan_out_input(ensure_hour(df, ts), [cluster, "hora", K.ZONE]).where(F.col(cluster) != -1)
     mh = d.groupBy(cluster).agg(F.avg("hora").alias("h"))
     code = F.when((F.col("h") >= K.NIGHT_FROM) | (F.col("h") <= K.NIGHT_TO), "PADRAO_NOTURNO") \
         .when((F.col("h") > 6) & (F.col("h") <= 12), "PADRAO_MATINAL")
@@ -76,7 +78,7 @@ def cluster_insights(df: DataFrame, cluster: str = "cluster", ts: str = K.TS) ->
 def anomaly_alerts(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> DataFrame:
     """More than half of the anomalies at night; top zone holds more than
     30 % of the anomalies."""
-    a = ensure_hour(df, ts).where(F.col(flag) == -1)
+    a = fan_out_input(ensure_hour(df, ts).where(F.col(flag) == -1), ["hora", K.ZONE])
     night = a.agg(F.count(F.when(S.is_night("hora"), 1)).alias("k"), F.count(F.lit(1)).alias("t"))
     night = night.where(F.col("k") > F.col("t") * K.ANOMALY_NIGHT_SHARE) \
         .select(*_rule("alerta_noturno", None, S.pct("k", "t", 1), "ALERTA_NOTURNO"))
@@ -88,6 +90,7 @@ def anomaly_alerts(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> Dat
 
 def statistics_insights(df: DataFrame, ts: str = K.TS, flag: str = "anomalia") -> DataFrame:
     """Top-3 hours; top-3 zone concentration; mean type diversity; anomaly rate."""
+    df = fan_out_input(ensure_hour(df, ts), ["hora", K.ZONE, K.TYPE, flag])
     top = P.top_n(ensure_hour(df, ts), "hora", 3)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("a"),
                                                                         F.col("hora").alias("h")))),
@@ -105,6 +108,7 @@ def statistics_insights(df: DataFrame, ts: str = K.TS, flag: str = "anomalia") -
 
 def method_insights(df: DataFrame, method: str = K.METHOD) -> DataFrame:
     """Dominant method and its count; zone where it is commonest; number of methods."""
+    df = fan_out_input(df, [method, K.ZONE])
     top = P.top_n(df, method, 1)
     dom = top.select(*_rule("metodo_dominante", F.col(method), F.col("n"), "METODO_DOMINANTE"))
     zone = P.global_mode(df.join(F.broadcast(top.select(method)), method, "left_semi"), K.ZONE) \
@@ -115,6 +119,7 @@ def method_insights(df: DataFrame, method: str = K.METHOD) -> DataFrame:
 
 def typical_profile(df: DataFrame, band: str = "faixa_etaria") -> DataFrame:
     """Modes of sex, age band and weapon; share of male suspects among known sex."""
+    df = fan_out_input(df, [K.SEX, band, K.WEAPON])
     frames = [P.global_mode(df, c).select(*_rule(r, F.col(c), F.col("n"), code)) for c, r, code in (
         (K.SEX, "sexo_mais_comum", "PERFIL_SEXO"), (band, "faixa_mais_comum", "PERFIL_FAIXA"),
         (K.WEAPON, "arma_mais_comum", "PERFIL_ARMA")) if c in df.columns]

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.functions import scalar as S
 from sentinela.operators import profile as P
+from sentinela.plans.hints import fan_out_input
 
 
 def report_tables(df: DataFrame, ts: str = K.TS, top_zones: int = 5) -> DataFrame:
+    df = fan_out_input(df, [K.STATUS, ts, "hora", K.TYPE, K.ZONE])
     def row(secao, chave, n, pct):
         return [F.lit(secao).alias("secao"), (chave.cast("string") if chave is not None else
                                               F.lit(None).cast("string")).alias("chave"),

@@ -49,3 +49,19 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     unchanged, so this never adds a shuffle at scale."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def fan_out_input(df: DataFrame, cols) -> DataFrame:
+    """Narrow projection cached for an operator that reads its input several
+    times (one small aggregate per report section or rule).
+
+    Only the needed columns are kept, so the cache is a fraction of the
+    input; the input is scanned once.  An input that is already cached is
+    projected without caching again.
+    """
+    from pyspark import StorageLevel
+    keep = [c for c in cols if c in df.columns]
+    out = df.select(*keep) if keep else df
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return out
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
