@@ -118,7 +118,7 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
     for c in zcols:
         complete = complete & F.col(c).isNotNull()
     x = ensure_parallelism(base.where(complete).select(key, F.array(*zcols).alias("__x"))).persist()
-    n = x.count()
+    n = x.count()                      # materialises the cached feature table once
     if n == 0:
         return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})
     psi = min(max_samples, n)

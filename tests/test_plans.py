@@ -63,3 +63,24 @@ def test_no_cartesian_products(spark, name):
 def test_aggregation_is_partial(spark):
     p = plan(Q["a15_mode_by_group"](spark, SF0001))
     assert "partial_count" in p
+
+
+def test_broadcast_only_below_the_bound(spark):
+    from sentinela.plans.hints import bounded_broadcast, small_or_persisted
+    small = spark.range(5)
+    big = spark.range(50)
+    assert bounded_broadcast(big, max_rows=10) is big            # above the bound: no hint
+    hinted = bounded_broadcast(small, max_rows=10)
+    assert hinted is not small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p_hint = plan(spark.range(1000).join(hinted, "id"))
+        p_plain = plan(spark.range(1000).join(bounded_broadcast(big, max_rows=10), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in p_hint
+    assert "BroadcastHashJoin" not in p_plain
+    local, is_small = small_or_persisted(spark.range(5), max_rows=10)
+    assert is_small and local.count() == 5
+    kept, is_small = small_or_persisted(spark.range(50), max_rows=10)
+    assert not is_small and kept.storageLevel.useDisk and kept.count() == 50
