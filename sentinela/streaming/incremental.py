@@ -12,6 +12,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentinela import constants as K
@@ -33,6 +34,11 @@ def clean_derive_stream(sdf: DataFrame, as_of: datetime | None = None, spec: Fil
     """F5 + F8 + P2–P5 (+ F4) on a stream; de-duplication within the watermark."""
     out = sdf.where(city_box_pred()).where(valid_datetime_pred(sdf, ts, as_of))
     if watermark:
-        out = out.withWatermark(ts, watermark).dropDuplicatesWithinWatermark()
+        # a watermark needs a zone-aware timestamp; timestamp_ntz is cast for it
+        if isinstance(sdf.schema[ts].dataType, T.TimestampNTZType):
+            out = out.withColumn("__event_time", F.col(ts).cast("timestamp"))
+            out = out.withWatermark("__event_time", watermark).dropDuplicatesWithinWatermark().drop("__event_time")
+        else:
+            out = out.withWatermark(ts, watermark).dropDuplicatesWithinWatermark()
     out = derive_time_features(out, ts)
     return apply_filters(out, spec) if spec else out

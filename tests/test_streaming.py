@@ -25,3 +25,20 @@ def test_stream_matches_batch(spark):
     got = sorted(r[0] for r in spark.sql("SELECT occurrence_id FROM sentinela_stream_out").collect())
     want = sorted(r[0] for r in derive_time_features(clean_and_validate(occ, as_of=as_of)).select(K.ID).collect())
     assert got == want and len(got) > 0
+
+
+def test_stream_dedupes_within_watermark(spark):
+    d = tempfile.mkdtemp(prefix="sentinela-stream-dup-")
+    occ = X.occ(spark, SF0001)
+    occ.coalesce(1).write.mode("overwrite").parquet(os.path.join(d, "in", "a"))
+    occ.coalesce(1).write.mode("overwrite").parquet(os.path.join(d, "in", "b"))   # the same rows again
+    sdf = (spark.readStream.schema(occ.schema).option("recursiveFileLookup", "true")
+           .option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in")))
+    as_of = datetime(2024, 12, 31)
+    q = (clean_derive_stream(sdf, as_of, watermark="3650 days").writeStream.format("memory")
+         .queryName("sentinela_stream_dedupe").option("checkpointLocation", os.path.join(d, "ckpt")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = [r[0] for r in spark.sql("SELECT occurrence_id FROM sentinela_stream_dedupe").collect()]
+    want = derive_time_features(clean_and_validate(occ, as_of=as_of)).count()
+    assert len(got) == len(set(got)) == want
