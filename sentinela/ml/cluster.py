@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.functions.scalar import round_half_up
 from sentinela.ml.features import label_encode
-from sentinela.plans.hints import ensure_parallelism
+from sentinela.plans.hints import ensure_parallelism, fan_out_input
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -69,8 +69,13 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     Rows with a NULL numeric feature are dropped by the assembler, as the
     original drops them before clustering.
     """
-    feats = Pipeline(stages=feature_pipeline(df, cat_cols, num_cols)).fit(df)
+    # the level lists and the scaler statistics come from one cached narrow
+    # projection; the full feature table is then built in a second pass
+    narrow = fan_out_input(df, list(cat_cols) + list(num_cols))
+    feats = Pipeline(stages=feature_pipeline(narrow, cat_cols, num_cols)).fit(narrow)
     x = ensure_parallelism(feats.transform(df).select(*df.columns, "features")).persist()
+    x.count()
+    narrow.unpersist()
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(i):
