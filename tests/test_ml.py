@@ -317,3 +317,13 @@ def test_lof_exact_with_hot_area(spark):
     got = {r["occurrence_id"]: r["lof"] for r in A.lof_scores(df, ["a", "b"], 10, standardize_features=False).collect()}
     want = np_lof(X, 10, ids)
     assert max(abs(got[i] - want[i]) for i in ids) < 1e-9
+
+
+def test_lof_partition_invariant(spark):
+    rng = np.random.default_rng(21)
+    X = np.vstack([rng.normal(0, 1, (300, 2)), X_dup := rng.normal(0, 1, (20, 2))])
+    X = np.vstack([X, X_dup])
+    df = frame(spark, X)
+    a = {r[0]: r[1] for r in A.lof_scores(df, ["a", "b"], 15).collect()}
+    b = {r[0]: r[1] for r in A.lof_scores(df.repartition(11).orderBy(F.rand(3)), ["a", "b"], 15).collect()}
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-9
