@@ -234,3 +234,11 @@ def test_percent_text_round_trip(spark):
     df = spark.createDataFrame([(12.25,), (0.0,), (100.0,)], "x double")
     out = df.select(S.percent_text("x").alias("t")).withColumn("v", S.parse_percent("t")).collect()
     assert [r["t"] for r in out] == ["12.3%", "0.0%", "100.0%"] and [r["v"] for r in out] == [12.3, 0.0, 100.0]
+
+
+def test_distinct_counts_exact_and_approximate(spark):
+    df = spark.range(20000).selectExpr("id % 5000 AS bairro", "id % 7 AS tipo_crime")
+    exact = P.distinct_counts(df, ["bairro", "tipo_crime"]).first()
+    approx = P.distinct_counts(df, ["bairro", "tipo_crime"], exact=False).first()
+    assert exact["n_bairro"] == 5000 and exact["n_tipo_crime"] == 7
+    assert abs(approx["n_bairro"] - 5000) / 5000 < 0.05 and approx["n_tipo_crime"] == 7
