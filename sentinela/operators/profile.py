@@ -125,14 +125,16 @@ def overall_rates(df: DataFrame, predicates: dict[str, Column], digits: int | di
     return a.select(*[S.pct(F.col(f"__{k}"), F.col("__t"), nd(k)).alias(k) for k in predicates])
 
 
-def distinct_counts(df: DataFrame, cols: Iterable[str], exact: bool = True) -> DataFrame:
+def distinct_counts(df: DataFrame, cols: Iterable[str], exact: bool = True, rsd: float = 0.05) -> DataFrame:
     """Number of distinct non-NULL values per column (one row).
 
-    ``exact=False`` uses HyperLogLog++ (constant memory per column), the choice
-    for very high-cardinality columns at scale.
+    ``exact=False`` uses HyperLogLog++ (constant memory per column, relative
+    standard deviation ``rsd``), the choice for very high-cardinality columns
+    at scale.
     """
-    fn = F.count_distinct if exact else F.approx_count_distinct
-    return df.agg(*[fn(F.col(c)).alias(f"n_{c}") for c in cols if c in df.columns])
+    if exact:
+        return df.agg(*[F.count_distinct(F.col(c)).alias(f"n_{c}") for c in cols if c in df.columns])
+    return df.agg(*[F.approx_count_distinct(F.col(c), rsd).alias(f"n_{c}") for c in cols if c in df.columns])
 
 
 def _mode_struct(n: str, v: str) -> Column:
