@@ -28,6 +28,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later occurrences of three-line passages."""
+    from sentinela.llm.line_dedup import dedup_lines
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("record.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                      F.array_join("removed", ",").alias("removed"), F.col("kept_text").alias("text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shuffled shards, by law ``key``."""
     from sentinela.llm.sharding import shard_of, shuffle_into_shards
@@ -39,7 +47,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                           shard_of(F.col("record.doc_id"), SHARDS + 1, 1).alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_top_k, op4_mixing, op8_sharding)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled sketches of all documents, compared with an edit and the next document."""
+    from sentinela.llm.fingerprint import as_text, compare_with_edit
+    out = compare_with_edit(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+                      as_text(F.col("sketch")).alias("fingerprint"),
+                      as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op2_top_k, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -55,6 +72,25 @@ s AS (SELECT query_id, vec_id, CAST(sum(x * y) AS BIGINT) AS score FROM q JOIN c
       WHERE query_id <> vec_id GROUP BY query_id, vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op7_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, pos, l[pos + 1:pos + 3] AS part
+      FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS pos FROM d WHERE len(l) >= 3)
+      WHERE regexp_matches(array_to_string(l[pos + 1:pos + 3], ' '), '[^\x20\x09-\x0D]')),
+o AS (SELECT part, first(doc_id ORDER BY doc_id, pos) AS first_doc, first(pos ORDER BY doc_id, pos) AS first_pos
+      FROM w GROUP BY part HAVING count(*) > 1),
+c AS (SELECT doc_id, CASE WHEN doc_id = first_doc THEN greatest(pos, first_pos + 3) ELSE pos END AS a, pos + 2 AS b
+      FROM w JOIN o USING (part) WHERE doc_id <> first_doc OR pos <> first_pos),
+r AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM c),
+x AS (SELECT doc_id, unnest(l) AS t, unnest(range(0, len(l))) AS line FROM d),
+k AS (SELECT x.doc_id, count(r.line) AS n_removed,
+             coalesce(string_agg(CAST(r.line AS VARCHAR), ',' ORDER BY x.line) FILTER (r.line IS NOT NULL), '') AS removed,
+             coalesce(string_agg(t, chr(10) ORDER BY x.line) FILTER (r.line IS NULL), '') AS text
+      FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.line = r.line GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(removed, '') AS removed, CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """,
     "op4_mixing": f"""
 WITH d AS (SELECT doc_id, source, CAST({WORDS_SQL} AS BIGINT) AS size,
