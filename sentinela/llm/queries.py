@@ -13,6 +13,18 @@ from sentinela.llm._base import table
 SHARDS = 16
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    import public_tokenizers
+
+    from sentinela.llm.bpe import tokenize
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokenize(docs, "text", public_tokenizers.path("byte_bpe_50k.json"))
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("record.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 nearest by integer inner product for every 20th vector, against all vectors."""
     from sentinela.llm.topk import quantised, top_k
@@ -56,7 +68,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_top_k, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
