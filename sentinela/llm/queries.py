@@ -32,6 +32,13 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.pmod("vec_id", F.lit(20)) == 0, k=20)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents and the one of each that stays."""
+    from sentinela.llm.setsketch import near_duplicates
+    return (near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+            .withColumnRenamed("id", "doc_id"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source: words that each document contributes."""
     from sentinela.llm.mixing import mix
@@ -68,7 +75,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
