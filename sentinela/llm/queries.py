@@ -47,6 +47,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned on three of four folds of them."""
+    from sentinela.llm.langid import fit, identify
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs.where(~held_out), "doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), "text", model)
+    doc_id = F.col("record.doc_id")
+    return found.select(doc_id, F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
+                        F.col("found.lang").alias("lang_pred"), "found.score", "found.entropy", "found.accepted")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later occurrences of three-line passages."""
     from sentinela.llm.line_dedup import dedup_lines
@@ -75,7 +87,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op7_line_dedup, op8_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op7_line_dedup, op8_sharding, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
