@@ -78,6 +78,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                           shard_of(F.col("record.doc_id"), SHARDS + 1, 1).alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 50 words and more that occur at an earlier place."""
+    from sentinela.llm.suffix_dedup import dedup_passages
+    out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("record.doc_id", "n_words", "n_removed", "spans", F.col("kept_text").alias("text"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold-scaled sketches of all documents, compared with an edit and the next document."""
     from sentinela.llm.fingerprint import as_text, compare_with_edit
@@ -87,7 +94,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op7_line_dedup, op8_sharding, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
