@@ -35,8 +35,8 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents and the one of each that stays."""
     from sentinela.llm.setsketch import near_duplicates
-    return (near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
-            .withColumnRenamed("id", "doc_id"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sentinela.llm import _words as words
 from sentinela.llm._base import for_python, stash
 from sentinela.llm.components import components
+from sentinela.plans.hints import bounded_broadcast
 
 WIDTH = 5
 #: A pair at the least similarity shares no band with a chance of (1 - 0.75^3)^30, below 1 in 10 million.
@@ -202,7 +203,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: f
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] = (75, 100)) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept.
+    """One row per row of ``df``: id, version (a hash of the text), n_shingles, component_id, kept.
 
     Texts with 100 * intersection >= 75 * union (``least``) of their distinct
     five-word shingles are linked; component_id is the smallest key reachable
@@ -255,5 +256,25 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
                   .join(classes.select("node", "c1", "c2"), "node"), "named")
     root = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("root"))
     return (sketched.join(named, ["c1", "c2"], "left")
-            .select("id", F.col("n").alias("n_shingles"), root.alias("component_id"),
+            .select("id", "version", F.col("n").alias("n_shingles"), root.alias("component_id"),
                     F.coalesce(F.col("id") == root, root.isNull()).alias("kept")))
+
+
+def drop_near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] = (75, 100)) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group the document with the smallest key stays.
+
+    Of rows that repeat key and text one stays. Rows without a key go if a row
+    with a key is in their group.
+    """
+    body = F.xxhash64(F.col(f"`{text}`"))
+    found = stash(near_duplicates(df, key, text, least), "groups")
+    gone = found.where("not kept").select("id", "version").distinct()
+    same = F.col(f"`{key}`").eqNullSafe(F.col("id")) & (body == F.col("version"))
+    rows = df.join(bounded_broadcast(gone), same, "left_anti")
+    repeats = found.where("kept and id is not null").groupBy("id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeats.isEmpty():
+        return rows
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    once = rows.select(F.col(f"`{key}`").alias("id"), body.alias("version"), record.alias("record"))
+    loose = once.where("id is null").select("record.*")
+    return once.where("id is not null").dropDuplicates(["id", "version"]).select("record.*").unionByName(loose)
