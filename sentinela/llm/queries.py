@@ -59,6 +59,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("found.lang").alias("lang_pred"), "found.score", "found.entropy", "found.accepted")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and what the tagger adds."""
+    from sentinela.llm.secret_scan import scan, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, "text", train(docs, "text"))
+    listed = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda s: s["kind"] != "crf")
+    return found.select("record.doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later occurrences of three-line passages."""
     from sentinela.llm.line_dedup import dedup_lines
@@ -94,7 +107,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op6_secret_scan, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints)}
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
