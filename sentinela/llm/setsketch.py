@@ -227,8 +227,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     rough = least[0] / least[1] - MARGIN
     sketched = stash(sketch(docs), "sketches")
     classes = stash(sketched.where("c1 is not null").groupBy("c1", "c2")
-                    .agg(F.min(F.struct("id", "version", "n", "keys")).alias("m"))
-                    .select("c1", "c2", "m.*", F.monotonically_increasing_id().alias("node")), "classes")
+                    .agg(F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "version", "n", "keys")).alias("m"))
+                    .select("c1", "c2", "m.id", "m.version", "m.n", "m.keys", F.monotonically_increasing_id().alias("node")), "classes")
     bands = classes.select("node", F.explode("keys").alias("key"))
     full = stash(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
     members = stash(bands.join(full, "key"), "members")
@@ -266,15 +266,15 @@ def drop_near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, i
     Of rows that repeat key and text one stays. Rows without a key go if a row
     with a key is in their group.
     """
-    body = F.xxhash64(F.col(f"`{text}`"))
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    docs = df.select(F.col(f"`{key}`").alias("own"), F.xxhash64(F.col(f"`{text}`")).alias("own_version"),
+                     record.alias("record"))
     found = stash(near_duplicates(df, key, text, least), "groups")
     gone = found.where("not kept").select("id", "version").distinct()
-    same = F.col(f"`{key}`").eqNullSafe(F.col("id")) & (body == F.col("version"))
-    rows = df.join(bounded_broadcast(gone), same, "left_anti")
-    repeats = found.where("kept and id is not null").groupBy("id", "version").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeats.isEmpty():
-        return rows
-    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    once = rows.select(F.col(f"`{key}`").alias("id"), body.alias("version"), record.alias("record"))
-    loose = once.where("id is null").select("record.*")
-    return once.where("id is not null").dropDuplicates(["id", "version"]).select("record.*").unionByName(loose)
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_version") == F.col("version"))
+    rows = docs.join(bounded_broadcast(gone), same, "left_anti")
+    repeats = found.where("kept and id is not null").groupBy("id", "version").agg(F.count(F.lit(1)).alias("n"))
+    if not repeats.where("n > 1").isEmpty():
+        rows = (rows.where("own is not null").dropDuplicates(["own", "own_version"])
+                .unionByName(rows.where("own is null")))
+    return rows.select("record.*")

@@ -88,7 +88,7 @@ class Search:
                 if len(part) > self.k:
                     floor = max(floor, np.partition(part - slack, len(part) - self.k - 1)[len(part) - self.k - 1])
                 keep = part + slack >= floor
-                if keep.mean() < 0.7:
+                if keep.sum() < 0.7 * len(keep):
                     alive = np.flatnonzero(keep) if alive is None else alive[keep]
                     part = part[keep]
             self._keep(i, part, ids if alive is None else ids[alive])
