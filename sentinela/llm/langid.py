@@ -139,7 +139,7 @@ class Model:
             self.hashes.append(hashes)
             self.alpha.append(alpha)
             self.weight.append(weight)
-        self.floor = 1.0 / (len(self.hashes[1]) + 1)
+        self.floor = 1.0 / (rows[(rows.n == 1) & rows.alpha.notna()].gram.nunique() + 1)  # one for all unseen characters
         self.rate, self.normal = 1.0, {}
 
     def _find(self, n: int, wanted: np.ndarray) -> np.ndarray:
