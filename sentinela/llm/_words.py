@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text whose working arrays are held at once (one longer text alone may exceed it).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)

@@ -11,9 +11,11 @@ rest is verified on the full shingle sets.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.llm import _words as words
@@ -28,8 +30,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Estimates spread by at most 0.046 around a similarity of 0.75; pairs this far below it are not verified.
 MARGIN = 0.23
-#: Members of a band bucket that meet in one task.
-BLOCK = 128
+#: Members of a group that meet in one task, and columns of their differences compared at a time.
+BLOCK, COLUMNS = 128, 1 << 14
 
 _random = np.random.Generator(np.random.PCG64(314159))
 _FACTOR = _random.integers(0, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -108,7 +110,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimate from the registers is at least ``least``."""
+    """The pairs (hub, node) whose estimate from the registers is at least ``least``."""
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"k_{c}"))
 
     def run(batches):
@@ -118,16 +120,17 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
             a, b = (unpack(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)) for c in (2, 3))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (4, 5))
             keep = pa.array(likely(a, na, b, nb) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["hub", "node"])
 
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "k_a", "k_b", "n_a", "n_b")
-            .mapInArrow(run, "a long, b long"))
+    return (pairs.join(side("hub").withColumnRenamed("n_hub", "n1"), "hub").join(side("node").withColumnRenamed("n_node", "n2"), "node")
+            .select("hub", "node", "k_hub", "k_node", "n1", "n2").mapInArrow(run, "hub long, node long"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of (node, text) whose full shingle sets reach the similarity ``least`` (a fraction)."""
-    top, bottom = least
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (hub, node) with the sizes of both full shingle sets, of their intersection, and what they differ in.
 
+    ``differ`` holds a hash of each shingle that only one of the two has.
+    """
     def run(batches):
         known: dict = {}
 
@@ -139,67 +142,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> Dat
             return known[node]
 
         for batch in batches:
-            keep = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-                left, right = shingles(a, text_a), shingles(b, text_b)
-                both = len(left & right)
-                keep.append(bottom * both >= top * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            rows = []
+            for hub, node, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = shingles(hub, text_a), shingles(node, text_b)
+                rows.append((len(a), len(b), len(a & b), [_short(x) for x in a ^ b]))
+            n_hub, n_node, both, differ = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (n_hub, n_node, both)),
+                 pa.array(differ, pa.list_(pa.int64()))], ["hub", "node", "n_hub", "n_node", "both", "differ"])
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-            .mapInArrow(run, "a long, b long"))
+    return (pairs.join(side("hub"), "hub").join(side("node"), "node").select("hub", "node", "text_hub", "text_node")
+            .mapInArrow(run, "hub long, node long, n_hub long, n_node long, both long, differ array<long>"))
+
+
+def _short(shingle: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(shingle, digest_size=8).digest(), "little", signed=True)
 
 
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """Pairs of bucket members with different labels whose estimate is at least ``least``.
+def reaches(both: Column, n_a: Column, n_b: Column, least: tuple[int, int]) -> Column:
+    return both * least[1] >= (n_a + n_b - both) * least[0]
 
-    Only buckets in which several labels are left count. The members under the
-    bucket's main label meet the others, and the others each other, in blocks of
-    ``BLOCK``; members of one label are never paired.
+
+def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (hub, node) of members of one hub's group, in different components, that are similar enough.
+
+    What two members have in common follows from where they differ from the
+    hub: it is the hub's size, less what each lacks of it, and plus the
+    differences that they share. So no text is needed, and a task that holds a
+    block of members under the group's main label and a block of the others
+    (or two blocks of others) gives only the links between them. Members under
+    one label are never compared, groups with one label are left out.
     """
-    spec = "key long, x long, y long, node long, label long, main boolean, n long, keys array<long>"
-    tagged = stash(members.join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("label")), "tagged")
-    per_label = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    buckets = stash(per_label.groupBy("key").agg(
+    tagged = stash(compared.select("hub", "node", "n_hub", "n_node", "both", "differ")
+                   .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    per_label = tagged.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = stash(per_label.groupBy("hub").agg(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-        .where("labels > 1").select("key", F.col("m.label").alias("top"), F.ceil(F.col("m.n") / BLOCK).alias("xs"),
-                                    F.ceil((F.col("n") - F.col("m.n")) / BLOCK).alias("ys")), "buckets")
+        .where("labels > 1").select("hub", F.col("m.label").alias("top"), F.ceil(F.col("m.n") / BLOCK).alias("xs"),
+                                    F.ceil((F.col("n") - F.col("m.n")) / BLOCK).alias("ys")), "open")
+    rows = tagged.join(groups, "hub").withColumn("main", F.col("label") == F.col("top"))
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
-    rows = tagged.join(buckets, "key").withColumn("main", F.col("label") == F.col("top"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    # A cell (x, y): block x of the main label (from 0) or of the others (below 0) against block y of the others.
-    own = F.when(F.col("main"), F.transform(upto(F.col("ys")), lambda y: F.struct(spread(F.col("xs")).alias("x"), y.alias("y"))))
+    cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    # Cell (x, y): block x of the main label (from 0) or of the others (below 0) against block y of the others.
     mine = spread(F.col("ys"))
-    other = F.concat(
-        F.transform(upto(F.col("xs")), lambda x: F.struct(x.alias("x"), mine.alias("y"))),
-        F.transform(upto(mine + 1), lambda x: F.struct((-1 - x).alias("x"), mine.alias("y"))),
-        F.transform(F.filter(upto(F.col("ys")), lambda y: y > mine), lambda y: F.struct((-1 - mine).alias("x"), y.alias("y"))))
-    cells = rows.select("key", "node", "label", "main", F.explode(F.coalesce(own, other)).alias("c"))
-    cells = cells.join(sketches, "node").select("key", "c.x", "c.y", "node", "label", "main", "n", "keys")
+    main = F.transform(upto(F.col("ys")), lambda y: cell(spread(F.col("xs")), y))
+    other = F.concat(F.transform(upto(F.col("xs")), lambda x: cell(x, mine)),
+                     F.transform(upto(mine + 1), lambda x: cell(-1 - x, mine)),
+                     F.transform(F.filter(upto(F.col("ys")), lambda y: y > mine), lambda y: cell(-1 - mine, y)))
+    cells = rows.select("hub", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("c"), "node", "label",
+                        "main", "n_hub", "n_node", "both", "differ").select("*", "c.x", "c.y").drop("c")
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        node, label, main, n = (table.column(c).to_numpy() for c in ("node", "label", "main", "n"))
-        regs = unpack(table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
-        found = []
-        order = np.argsort(node, kind="stable")
-        for i in order:
-            if x >= 0 and main[i]:
-                continue
-            rest = (label != label[i]) & (main if x >= 0 else (node > node[i]))
-            rest = np.flatnonzero(rest)
-            if len(rest):
-                a = np.broadcast_to(regs[i], (len(rest), REGISTERS))
-                near = rest[(a == regs[rest]).mean(axis=1) >= least - 0.05]
-                if len(near):
-                    est = likely(regs[[i] * len(near)], np.full(len(near), float(n[i])), regs[near], n[near].astype(float))
-                    found += [(min(node[i], node[k]), max(node[i], node[k])) for k in near[est >= least]]
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return cells.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        x = table.column("x")[0].as_py()
+        node, label, main, n_hub, n, both = (table.column(c).to_numpy() for c in
+                                             ("node", "label", "main", "n_hub", "n_node", "both"))
+        left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if x >= 0 else (np.arange(len(node)),) * 2
+        differ = table.column("differ").combine_chunks()
+        lengths = differ.value_lengths().to_numpy()
+        shared = _shared(differ.flatten().to_numpy(), np.repeat(np.arange(len(node)), lengths), left, right, len(node))
+        lacks = n_hub - both
+        common = n_hub[0] - lacks[left][:, None] - lacks[right][None, :] + shared
+        total = n[left][:, None] + n[right][None, :] - common
+        link = (common * least[1] >= total * least[0]) & (label[left][:, None] != label[right][None, :])
+        a, b = np.nonzero(link)
+        a, b = node[left[a]], node[right[b]]
+        return pa.table({"hub": pa.array(np.minimum(a, b), pa.int64()), "node": pa.array(np.maximum(a, b), pa.int64())})
+
+    return cells.groupBy("hub", "x", "y").applyInArrow(run, "hub long, node long").distinct()
+
+
+def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each pair of left and right owners how many of their values are the same."""
+    side = np.zeros((2, n), bool)
+    side[0, left] = side[1, right] = True
+    found, column = np.unique(values, return_inverse=True)
+    held = [np.bincount(column[s[owner]], minlength=len(found)) for s in side]
+    useful = np.flatnonzero((held[0] > 0) & (held[1] > 0))
+    place = np.full(len(found), -1)
+    place[useful] = np.arange(len(useful))
+    column = place[column]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(useful), COLUMNS):
+        part = (column >= first) & (column < first + COLUMNS)
+        grid = np.zeros((n, min(COLUMNS, len(useful) - first)), np.float32)
+        grid[owner[part], column[part] - first] = 1
+        out += grid[left] @ grid[right].T
+    return out.astype(np.int64)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -216,9 +246,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     Equal word sequences become one node first, so copies cost a pre-aggregated
     count. In each band bucket every node is paired with one hub, the node with
     the fullest buckets over all bands, which in a group of copies is the text
-    they come from. Verified hub pairs are joined into components. Buckets that
-    still hold several components are then searched across them, in blocks, so
-    no link between different components is left out, and pairs inside one are
+    they come from. Hub pairs that the estimate leaves are compared on their
+    full sets and the links joined into components. A hub's group that still
+    holds several components is then searched across them, in blocks, so no
+    link between different components is left out, and pairs inside one are
     never listed. Texts move only for nodes in a candidate pair.
     """
     for_python(df.sparkSession)
@@ -240,13 +271,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     named = involved.select("node", F.col("id").alias("own"), F.col("version").alias("own_version"))
     texts = stash(docs.join(named, F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")))
                   .select("node", "text").dropDuplicates(["node"]), "texts")
-    paired = members.join(hubs, "key").where("node != hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    checked = stash(_estimated(stash(paired, "pairs"), involved, rough), "pairs")
-    links = stash(_verified(checked, texts, least), "links")
+    paired = stash(members.join(hubs, "key").where("node != hub").select("hub", "node").distinct(), "pairs")
+    compared = stash(_compared(stash(_estimated(paired, involved, rough), "near"), texts), "compared")
+    linked = reaches(F.col("both"), F.col("n_hub"), F.col("n_node"), least)
+    links = compared.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     labels = components(links)
-    across = stash(_across(members.select("key", "node"), labels, involved, rough), "pairs")
-    more = stash(_verified(across.join(checked, ["a", "b"], "left_anti"), texts, least), "links")
+    across = _compared(stash(_across(compared, labels, least), "across"), texts)
+    more = stash(across.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
     groups = stash(classes.select("node", "id").join(labels, "node", "left").select(
