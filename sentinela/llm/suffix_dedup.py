@@ -155,15 +155,20 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> tuple[str, str]:
     return b"".join(out).decode(), ",".join(listed)
 
 
-def merge_spans(pairs) -> list[tuple[int, int]]:
-    """Overlapping or touching spans merged, in order."""
-    out: list[list[int]] = []
-    for a, b in sorted(pairs):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
+def _merged(rows: pa.Array) -> pa.Array:
+    """Overlapping or touching spans of each row merged, in order."""
+    out = []
+    for row in rows:
+        a, b = (row.values.field(k).to_numpy() for k in (0, 1))
+        order = np.argsort(a, kind="stable")
+        a, reach = a[order], np.maximum.accumulate(b[order])
+        first = np.concatenate([[True], a[1:] > reach[:-1]])
+        last = np.append(np.flatnonzero(first)[1:] - 1, len(a) - 1)
+        out.append([{"from": int(x), "to": int(y)} for x, y in zip(a[first], reach[last])])
+    return pa.array(out, SPANS)
 
 
 def repeated_spans(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -187,7 +192,8 @@ def repeated_spans(df: DataFrame, key: str, text: str) -> DataFrame:
                  .join(numbered.select("number", "id", "version"), "number"), "kept")
     met = docs.join(_small(kept.withColumnsRenamed({"id": "kid", "version": "kv"}), "at"),
                     F.col("id").eqNullSafe(F.col("kid")) & (F.col("version") == F.col("kv")))
-    passages = stash(_passages(met.select("number", "at", "text")), "passages")
+    # Made twice rather than kept: hashes do not compress, and making them costs one pass over few texts.
+    passages = _passages(met.select("number", "at", "text"))
     firsts = stash(passages.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
                    .where("n > 1").select("w1", "w2", "first"), "firsts")
     mask = (1 << POSITION_BITS) - 1
@@ -197,6 +203,7 @@ def repeated_spans(df: DataFrame, key: str, text: str) -> DataFrame:
              .select(number.alias("number"), begin.alias("from"), (position + PASSAGE).alias("to")))
     covers = (later.where(F.col("from") < F.col("to")).groupBy("number")
               .agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+              .withColumn("spans", F.arrow_udf(_merged, "array<struct<from:int,to:int>>")("spans"))
               .join(numbered.select("number", "id", "version"), "number").select("id", "version", "spans"))
     firsts_of = classes.select("c1", "c2", F.col("id").alias("fid"), F.col("version").alias("fv"))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(None).cast("int").alias("to")))
@@ -234,7 +241,7 @@ def dedup_passages(df: DataFrame, key: str, text: str) -> DataFrame:
         out = []
         for body, cover in zip(texts.to_pylist(), covers.to_pylist()):
             n = len(body.encode().split()) if body else 0
-            spans = merge_spans((s["from"], n if s["to"] is None else s["to"]) for s in cover or [])
+            spans = [(s["from"], n if s["to"] is None else s["to"]) for s in cover or []]
             kept, listed = cut_words(body, spans) if spans else (body, "")
             out.append((n, sum(b - a for a, b in spans), listed, kept))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
