@@ -1,14 +1,13 @@
 """Anomaly detection (M8 isolation forest, M9 local outlier factor).
 
 Isolation forest, Spark-first:
-  1. a pre-sample bounded by ``oversample · trees · max_samples`` rows is drawn
-     by a hash of the key (no n × trees product, whatever the table size);
-  2. each pre-sampled row joins the trees whose hash admits it (about
-     ``max_samples`` rows per tree) → ``groupBy(tree).applyInPandas`` builds one
-     small tree per group;
+  1. every row may join every tree: a hash of (key, tree) admits it with a
+     chance a little above ``max_samples / n`` (all rows of a smaller table);
+  2. ``groupBy(tree).applyInPandas`` builds one small tree per group, from the
+     ``max_samples`` rows with the smallest hashes;
   3. the forest (trees × at most 2·max_samples nodes, bounded) is broadcast and
-     every row is scored by ``mapInPandas`` with vectorised numpy traversal;
-  4. the label threshold is the (1 − contamination) quantile of the scores.
+     every row is scored in place by a pandas UDF with vectorised traversal;
+  4. the label threshold is the exact (1 − contamination) quantile of the scores.
 """
 
 from __future__ import annotations
@@ -18,14 +17,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentinela import constants as K
 from sentinela.ml.features import standardize
-from sentinela.plans.hints import ensure_parallelism
+from sentinela.plans.hints import settled
 from sentinela.session import ship_package
 
 EULER = 0.5772156649015329
@@ -98,10 +96,38 @@ def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
     return depth[node] + _c_vec(size[node])
 
 
+def order_statistic(df: DataFrame, col: str, rank: int) -> float:
+    """The ``rank``-th smallest value (from 0), exactly: counts in 1,024 ranges, then again
+    inside the one that holds the rank, until it holds a single value.  Each turn
+    is one pre-aggregated pass; no rows are gathered."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    while low < high:
+        at = F.least(F.floor((F.col(col) - F.lit(low)) / F.lit(high - low) * 1024.0), F.lit(1023))
+        parts = (df.where((F.col(col) >= F.lit(low)) & (F.col(col) <= F.lit(high))).groupBy(at.alias("b"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect())
+        for r in sorted(parts, key=lambda r: r["b"]):
+            if rank < r["n"]:
+                low, high = r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    return float(low)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """Quantile of the non-NULL values, interpolated between neighbouring ranks."""
+    known = df.where(F.col(col).isNotNull()).select(col)
+    n = known.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    low = order_statistic(known, col, int(at))
+    return low if at == int(at) else low + (order_statistic(known, col, int(at) + 1) - low) * (at - int(at))
+
+
 def isolation_forest(df: DataFrame, features: Sequence[str], contamination: float = 0.05,
                      n_trees: int = 100, max_samples: int = 256, seed: int = 42, key: str = K.ID,
-                     out: str = "anomalia", score_col: str = "score_anomalia", oversample: int = 4,
-                     standardize_features: bool = True, quantile_accuracy: int = 100_000) -> DataFrame:
+                     out: str = "anomalia", score_col: str = "score_anomalia",
+                     standardize_features: bool = True) -> DataFrame:
     """M8: isolation-forest labels −1 (anomaly) / 1 (normal) and the score.
 
     Rows with a NULL feature get label 1 and a NULL score (the original
@@ -117,29 +143,23 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
     complete = F.lit(True)
     for c in zcols:
         complete = complete & F.col(c).isNotNull()
-    x = ensure_parallelism(base.where(complete).select(key, F.array(*zcols).alias("__x"))).persist()
-    n = x.count()                      # materialises the cached feature table once
+    x = base.where(complete).select(key, F.array(*zcols).alias("__x"))
+    n = x.count()
     if n == 0:
         return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})
     psi = min(max_samples, n)
-    # 1. bounded pre-sample by hash of the key
-    frac = min(1.0, oversample * n_trees * psi / n)
-    u0 = (F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(2147483648.0))
-    pre = x.where(u0 < F.lit(frac)) if frac < 1.0 else x
-    pre_n = max(1, int(round(frac * n)))
-    p_tree = min(1.0, psi / pre_n)
-    # 2. tree membership: each pre-sampled row goes to the trees its hash admits
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: (F.xxhash64(F.col(key), t, F.lit(seed + 1)).bitwiseAND(F.lit(0x7FFFFFFF))
-                                / F.lit(2147483648.0)) < F.lit(p_tree))
-    member = pre.select(F.explode(trees).alias("tree"), key, "__x")
+    chance = min(1.0, (psi + 5.0 * math.sqrt(psi)) / n)
+
+    def draw(tree):
+        return F.xxhash64(F.col(key), tree, F.lit(seed + 1)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: draw(t) < F.lit(chance))
+    member = x.select(F.explode(trees).alias("tree"), key, "__x") \
+        .withColumn("__draw", draw(F.col("tree")))
     limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(key)
-        if len(pdf) > psi:  # keep exactly psi rows: the smallest hashes
-            pdf = pdf.iloc[np.argsort(pd.util.hash_pandas_object(pdf[key], index=False).to_numpy())[:psi]]
+        pdf = pdf.sort_values(["__draw", key]).iloc[:psi]
         xs = np.vstack(pdf["__x"].to_numpy()).astype(float)
         rng = np.random.default_rng([seed, t])
         tr = _build_tree(xs, rng, limit)
@@ -147,23 +167,22 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
                               "right": tr[3], "size": tr[4], "depth": tr[5]}])
     forest_rows = member.groupBy("tree").applyInPandas(build, TREE_SCHEMA).collect()
     forest = [(r["feat"], r["thr"], r["left"], r["right"], r["size"], r["depth"]) for r in forest_rows]
-    norm = c_factor(psi)
+    norm = c_factor(sum(r["n_sample"] for r in forest_rows) / len(forest_rows))
     bc = spark.sparkContext.broadcast(forest)
 
-    def score(batches):
-        trees_ = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                yield pd.DataFrame({key: pdf[key], score_col: pd.Series([], dtype=float)})
-                continue
-            xs = np.vstack(pdf["__x"].to_numpy()).astype(float)
-            h = np.mean([_path_lengths(xs, t) for t in trees_], axis=0)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), score_col: np.power(2.0, -h / norm)})
-    scored = x.mapInPandas(score, f"{key} long, {score_col} double").persist(StorageLevel.MEMORY_AND_DISK)
-    thr = scored.agg(F.percentile_approx(score_col, 1.0 - contamination, quantile_accuracy)).first()[0]
-    lab = scored.withColumn(out, F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1)))
-    res = df.join(lab, key, "left")
-    return res.withColumn(out, F.coalesce(F.col(out), F.lit(1)))
+    @F.pandas_udf("double")
+    def score(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=float)
+        xs = np.vstack(rows.to_numpy()).astype(float)
+        h = np.mean([_path_lengths(xs, t) for t in bc.value], axis=0)
+        return pd.Series(np.power(2.0, -h / norm) if norm else np.full(len(rows), 0.5))
+    thr = exact_quantile(settled(x.select(score("__x").alias(score_col))), score_col, 1.0 - contamination)
+    # rows with a NULL feature go through the UDF as zeros and lose their score again
+    filled = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in zcols])
+    res = base.withColumn(score_col, score(filled)).withColumn(score_col, F.when(complete, F.col(score_col)))
+    flag = F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1))
+    return res.select(*df.columns, score_col, flag.alias(out))
 
 
 # ------------------------------------------------------------------ M9
@@ -191,18 +210,18 @@ def _lof(df: DataFrame, features, n_neighbors: int, key: str, vector, standardiz
 
 def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n_neighbors: int = 20,
                          contamination: float = 0.05, key: str = K.ID, vector: str | None = None,
-                         standardize_features: bool = True, out: str = "anomalia", score_col: str = "lof",
-                         quantile_accuracy: int = 100_000) -> DataFrame:
+                         standardize_features: bool = True, out: str = "anomalia",
+                         score_col: str = "lof") -> DataFrame:
     """M9: local outlier factor with exact k nearest neighbours (see
-    ``ml.neighbors``); label −1 for scores above the (1 − contamination)
+    ``ml.neighbors``); label −1 for scores above the exact (1 − contamination)
     quantile.  lrd = 1 / (mean reach distance + 1e-10), as scikit-learn.
-    The score table is persisted: the threshold and the labels read it once
-    each instead of recomputing the neighbour aggregations."""
+    The score table is settled: the threshold and the labels read it instead
+    of recomputing the neighbour aggregations."""
     per_row = _lof(df, features, n_neighbors, key, vector, standardize_features, score_col)
     if per_row is None:
         return df.withColumns({out: F.lit(1), score_col: F.lit(None).cast("double")})
-    per_row = per_row.persist(StorageLevel.MEMORY_AND_DISK)
-    thr = per_row.agg(F.percentile_approx(score_col, 1.0 - contamination, quantile_accuracy)).first()[0]
+    per_row = settled(per_row)
+    thr = exact_quantile(per_row, score_col, 1.0 - contamination)
     lab = per_row.withColumn(out, F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1)))
     res = df.join(lab, key, "left")
     return res.withColumn(out, F.coalesce(F.col(out), F.lit(1)))
@@ -212,3 +231,12 @@ def lof_scores(df: DataFrame, features: Sequence[str] | None = None, n_neighbors
                vector: str | None = None, standardize_features: bool = True) -> DataFrame:
     """(key, lof) only — the deterministic part of M9."""
     return _lof(df, features, n_neighbors, key, vector, standardize_features, "lof")
+
+
+def detect_anomalies(df: DataFrame, method: str = "isolation_forest", **options) -> DataFrame:
+    """One entry by method name (D10): the labelled table of M8 or M9."""
+    if method == "isolation_forest":
+        return isolation_forest(df, **options)
+    if method == "local_outlier_factor":
+        return local_outlier_factor(df, **options)
+    raise ValueError(f"unknown anomaly method {method!r}; expected isolation_forest or local_outlier_factor")

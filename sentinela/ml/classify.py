@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.ml.features import one_hot_stages
 from sentinela.ml.split import fold_column, split
-from sentinela.plans.hints import ensure_parallelism
+from sentinela.plans.hints import ensure_parallelism, settled
 from sentinela.operators.derive import derive_time_features
 from sentinela.operators.risk import risk_tier
 
 RISK_CATEGORICAL = [K.ZONE, "dia_semana", "periodo_dia"]
 RISK_NUMERIC = ["hora", "mes", "fim_semana_n"]
+#: Least rows in a leaf for a minimum split of 2, 5 and 10.
+LEAF_ROWS = [1, 2, 5]
 MODEL_TYPES = ("xgboost", "lightgbm", "gradient_boosting", "random_forest")
 
 
@@ -82,12 +84,12 @@ def classifier(model_type: str = "xgboost", seed: int = 42, label: str = "label_
 
 
 def class_weights(df: DataFrame, label: str, out: str = "peso") -> DataFrame:
-    """Balanced weights n / (k · n_class), from one aggregation over the labels
-    (k rows) broadcast back."""
+    """Balanced weights n / (k · n_class) of the given (training) rows, from one
+    aggregation over the labels (k rows) joined back."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     tot = c.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     c = c.withColumn(out, F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).drop("__nc")
-    return df.join(F.broadcast(c), label, "left")
+    return df.join(c, label, "left")
 
 
 def build_pipeline(model_type: str, df: DataFrame, cat_cols=RISK_CATEGORICAL, num_cols=RISK_NUMERIC,
@@ -154,12 +156,14 @@ def cross_validate(pipeline: Pipeline, train: DataFrame, k: int = 5, seed: int =
 def grid_search(df: DataFrame, seed: int = 42, folds: int = 3, parallelism: int = 4):
     """Forest trees 50/100/200 × depth 3/5/10/unlimited × minimum split
     2/5/10, 3-fold accuracy (36 settings, 108 fits).  'Unlimited' depth is
-    Spark's maximum of 30; the minimum split becomes ``minInstancesPerNode``."""
+    Spark's maximum of 30.  A node of fewer rows than the minimum split is not
+    split; Spark bounds the leaves instead, so 2/5/10 become 1/2/5 rows in a
+    leaf, the least that a node of that size can be halved into."""
     d = risk_features(df)
     pipe = build_pipeline("random_forest", d, seed=seed)
     rf = pipe.getStages()[-1]
     grid = (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
-            .addGrid(rf.minInstancesPerNode, [2, 5, 10]).build())
+            .addGrid(rf.minInstancesPerNode, LEAF_ROWS).build())
     m, mean, std = cross_validate(pipe, d, folds, seed, grid, parallelism)
     best = max(range(len(m.avgMetrics)), key=lambda i: m.avgMetrics[i])
     params = {p.name: v for p, v in grid[best].items()}
@@ -168,19 +172,18 @@ def grid_search(df: DataFrame, seed: int = 42, folds: int = 3, parallelism: int
 
 def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: float = 0.2, seed: int = 42,
                      cv_folds: int | None = 5, exclude_features: Sequence[str] = ()) -> RiskModelResult:
-    """M10/M22 step: target A25, hash split (M14), fit, report (M17), CV."""
+    """M10/M22 step: target A25, stratified hash split (M14), fit, report (M17), CV."""
     from sentinela.ml.evaluate import classification_report
     if model_type not in MODEL_TYPES:
         raise ValueError(f"unknown model type {model_type!r}")
     d = risk_features(df)
     cat = [c for c in RISK_CATEGORICAL if c not in exclude_features]
     num = [c for c in RISK_NUMERIC if c not in exclude_features]
-    d = ensure_parallelism(split(d, test_size, seed)).persist()
-    weight = None
-    if model_type == "random_forest":
-        d = class_weights(d, "nivel_risco")
-        weight = "peso"
-    train = d.where(F.col("conjunto") == "treino")
+    d = settled(ensure_parallelism(split(d.select(K.ID, *{*cat, *num, K.ZONE, "nivel_risco"}), test_size, seed,
+                                         stratify="nivel_risco")))
+    weight = "peso" if model_type == "random_forest" else None
+    weighted = (lambda x: class_weights(x, "nivel_risco")) if weight else (lambda x: x)
+    train = weighted(d.where(F.col("conjunto") == "treino"))
     test = d.where(F.col("conjunto") == "teste")
     pipe = build_pipeline(model_type, train, cat, num, seed=seed, weight=weight)
     model = pipe.fit(train)
@@ -189,8 +192,8 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
                        F.col("prediction_label").alias("prediction"), "confianca")
     report = classification_report(pred)
     cv_mean = cv_std = None
-    if cv_folds:
-        _, cv_mean, cv_std = cross_validate(pipe, train, cv_folds, seed)
+    if cv_folds:  # over all rows, as the original does
+        _, cv_mean, cv_std = cross_validate(pipe, weighted(d), cv_folds, seed)
     return RiskModelResult(model, pred, report, cv_mean, cv_std, cat + num, model_type)
 
 
@@ -235,7 +238,7 @@ def build_case_pipeline(num_cols: Sequence[str], target: str, seed: int = 42, nu
 
 
 def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float = 0.2, seed: int = 42,
-                     tune: bool = False, cv_folds: int | None = 3, min_rows: int = 10,
+                     tune: bool = False, cv_folds: int | None = 5, min_rows: int = 10,
                      grid=None) -> RiskModelResult:
     """M10/M11 second form: forest on position, hour, zone code (and victims)
     predicting case gravity, incident type or weapon; optional grid search
@@ -246,7 +249,7 @@ def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float
     d = d.na.drop(subset=num + [target, K.ZONE])
     if not has_rows(d, min_rows):
         raise ValueError(f"fewer than {min_rows} complete rows")
-    d = ensure_parallelism(split(d, test_size, seed)).persist()
+    d = settled(ensure_parallelism(split(d.select(K.ID, *{*num, K.ZONE, target}), test_size, seed, stratify=target)))
     train = d.where(F.col("conjunto") == "treino")
     test = d.where(F.col("conjunto") == "teste")
     pipe = build_case_pipeline(num, target, seed)
@@ -254,7 +257,7 @@ def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float
     if tune:
         rf = pipe.getStages()[-1]
         grid = grid or (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
-                        .addGrid(rf.minInstancesPerNode, [2, 5, 10]).build())
+                        .addGrid(rf.minInstancesPerNode, LEAF_ROWS).build())
         cvm, cv_mean, cv_std = cross_validate(pipe, train, 3, seed, grid)
         model = cvm.bestModel
     else:

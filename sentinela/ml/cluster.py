@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.functions.scalar import round_half_up
-from sentinela.ml.features import label_encode
-from sentinela.plans.hints import ensure_parallelism, fan_out_input
+from sentinela.ml.features import label_encode, one_hot_stages, standardize
+from sentinela.plans.hints import ensure_parallelism, ranked, settled
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -36,13 +42,6 @@ def cluster_means(df: DataFrame, cluster: str = "cluster", hour: str = "hora",
 
 
 # ------------------------------------------------------------------ M4 / M7 / M13
-from pyspark.ml import Pipeline  # noqa: E402
-from pyspark.ml.clustering import KMeans  # noqa: E402
-from pyspark.ml.evaluation import ClusteringEvaluator  # noqa: E402
-from pyspark.ml.feature import StandardScaler  # noqa: E402
-
-from sentinela.ml.features import one_hot_stages  # noqa: E402
-
 KMEANS_CATEGORICAL = [K.ZONE, K.TYPE, "dia_semana"]
 _WORKERS = 4  # concurrent k-means starts (independent Spark jobs)
 KMEANS_NUMERIC = ["hora", K.LAT, K.LON]
@@ -53,10 +52,12 @@ def feature_pipeline(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[
 
     ``StandardScaler`` divides by the sample deviation; that differs from the
     population deviation by the same factor sqrt((n−1)/n) for every feature,
-    so distances, cluster assignments and silhouettes are unchanged.
+    so distances, cluster assignments and silhouettes are unchanged.  The
+    means are not subtracted either: that moves all points alike, and the
+    dummies stay sparse.
     """
     return one_hot_stages(df, cat_cols, num_cols, "__raw") + [
-        StandardScaler(inputCol="__raw", outputCol=out, withMean=True, withStd=True)]
+        StandardScaler(inputCol="__raw", outputCol=out, withMean=False, withStd=True)]
 
 
 def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
@@ -65,28 +66,35 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     """M4: k-means on standardised dummies and numbers; the best of ``n_init``
     seeded runs (lowest within-cluster cost) is kept.
 
-    Returns (labelled frame, fitted feature PipelineModel, KMeansModel).
-    Rows with a NULL numeric feature are dropped by the assembler, as the
-    original drops them before clustering.
+    Returns (labelled frame, fitted feature PipelineModel, KMeansModel).  Rows
+    with a NULL feature take no part in the fit; they stay in the table with
+    label −1 and no feature vector.  Only the feature vectors are cached, for
+    the runs; every row is labelled by the fitted model in place.
     """
-    # the level lists and the scaler statistics come from one cached narrow
-    # projection; the full feature table is then built in a second pass
-    narrow = fan_out_input(df, list(cat_cols) + list(num_cols))
-    feats = Pipeline(stages=feature_pipeline(narrow, cat_cols, num_cols)).fit(narrow)
-    x = ensure_parallelism(feats.transform(df).select(*df.columns, "features")).persist()
-    x.count()
-    narrow.unpersist()
+    whole = F.lit(True)
+    for c in [*cat_cols, *num_cols]:
+        whole = whole & F.col(c).isNotNull()
+    complete = df.where(whole)
+    feats = Pipeline(stages=feature_pipeline(complete, cat_cols, num_cols)).fit(complete)
+    vectors = feats.transform(complete)
+    x = ensure_parallelism(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
     from concurrent.futures import ThreadPoolExecutor
 
     def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol=out).fit(x)
         return m.summary.trainingCost, i, m
-    # the starts are independent Spark jobs: submit them concurrently
-    with ThreadPoolExecutor(max_workers=min(n_init, _WORKERS)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
+    try:
+        if x.isEmpty():
+            raise ValueError("no row has all features")
+        # the starts are independent Spark jobs: submit them concurrently
+        with ThreadPoolExecutor(max_workers=min(n_init, _WORKERS)) as pool:
+            fits = list(pool.map(fit, range(n_init)))
+    finally:
+        x.unpersist()
     best = min(fits, key=lambda t: (t[0], t[1]))[2]
-    labelled = best.transform(x).withColumn(out, F.col(out).cast("int"))
-    return labelled, feats, best
+    labelled = best.transform(vectors).select(*df.columns, "features", F.col(out).cast("int").alias(out))
+    rest = df.where(~whole).withColumn(out, F.lit(-1))
+    return labelled.unionByName(rest, allowMissingColumns=True), feats, best
 
 
 def silhouette(df: DataFrame, features: str = "features", label: str = "cluster",
@@ -95,7 +103,7 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     ``ClusteringEvaluator``, O(n·k)); 0 when it cannot be computed (fewer than
     two clusters).  The exact Euclidean silhouette is quadratic in the rows
     and is not computed on full data."""
-    d = df.where(F.col(label) != -1) if exclude_noise else df
+    d = df.where((F.col(label) != -1) & F.col(features).isNotNull()) if exclude_noise else df
     if d.select(label).distinct().limit(2).count() < 2:
         return 0.0
     ev = ClusteringEvaluator(featuresCol=features, predictionCol=label, distanceMeasure="squaredEuclidean")
@@ -109,7 +117,6 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str
     Counts per (cluster, value) are aggregated first; the ranking window is
     partitioned by (cluster, dimension) over that small table.
     """
-    from pyspark.sql import Window
     pairs = F.explode(F.array(F.struct(F.lit(K.TYPE).alias("dimensao"), F.col(K.TYPE).alias("valor")),
                               F.struct(F.lit(K.ZONE).alias("dimensao"), F.col(K.ZONE).alias("valor"))))
     long = df.where(F.col(cluster) != -1).select(cluster, pairs.alias("p")).select(cluster, "p.*")
@@ -123,68 +130,33 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster", k: int = 5, ts: str
 
 
 # ------------------------------------------------------------------ M5 DBSCAN
-LOCAL_EDGES_MAX = 100_000
-
-
-def _union_find_roots(edges: list[tuple[int, int]]) -> dict[int, int]:
-    """Smallest node id of each component of a small edge list."""
-    parent: dict[int, int] = {}
-
-    def find(x):
-        root = x
-        while parent.get(root, root) != root:
-            root = parent[root]
-        while parent.get(x, x) != root:
-            parent[x], x = root, parent[x]
-        return root
-    for a, b in edges:
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            lo, hi = (ra, rb) if ra < rb else (rb, ra)
-            parent[hi] = lo
-    return {v: find(v) for v in list(parent) + [x for e in edges for x in e]}
-
-
-def _components(edges: DataFrame, nodes: DataFrame, max_iter: int = 64,
-                local_edges_max: int = LOCAL_EDGES_MAX) -> DataFrame:
+def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components by hooking and contraction.
 
     ``edges`` (a, b) undirected, ``nodes`` (v).  Each round every node of the
     current graph hooks to its smallest neighbour (or itself), labels are
     composed through the hook map, and the edge list is rewritten on the
     hooked ids with self-loops and duplicates removed.  Every non-isolated
-    node merges with another one, so the graph at least halves per round.
-    Once the contracted edge list holds at most ``local_edges_max`` edges (a
-    size-checked summary, not the data) it is finished with union-find on the
-    driver and the root map is broadcast back.  Each round's state is written
-    by a reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id
-    of v's component.
+    node merges with another one, so the graph at least halves per round, and
+    the rounds end when no edge is left.  Each round's state is written by a
+    reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id of v's
+    component.
     """
-    from sentinela.session import ensure_checkpoint_dir
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
     lab = nodes.select("v", F.col("v").alias("c"))
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
-    e = e.distinct().checkpoint()
-    for _ in range(max_iter):
-        small = e.limit(local_edges_max + 1).collect()
-        if len(small) <= local_edges_max:
-            if small:
-                roots = _union_find_roots([(r["a"], r["b"]) for r in small])
-                m = spark.createDataFrame([(int(k), int(v)) for k, v in roots.items()], "c long, root long")
-                lab = lab.join(F.broadcast(m), "c", "left").select("v", F.coalesce("root", "c").alias("c"))
-            break
+    e = settled(e.distinct())
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")) \
-            .select(F.col("a").alias("x"), F.least(F.col("a"), F.col("m")).alias("px"))
-        lab = lab.join(hook.withColumnRenamed("x", "c"), "c", "left") \
-            .select("v", F.coalesce(F.col("px"), F.col("c")).alias("c")).checkpoint()
+        hook = settled(both.groupBy("a").agg(F.min("b").alias("m"))
+                       .select(F.col("a").alias("x"), F.least(F.col("a"), F.col("m")).alias("px")))
+        lab = settled(lab.join(hook.withColumnRenamed("x", "c"), "c", "left")
+                      .select("v", F.coalesce(F.col("px"), F.col("c")).alias("c")))
         h1 = hook.select(F.col("x").alias("a"), F.col("px").alias("pa"))
         h2 = hook.select(F.col("x").alias("b"), F.col("px").alias("pb"))
-        e = e.join(h1, "a", "left").join(h2, "b", "left") \
-            .select(F.coalesce("pa", "a").alias("a0"), F.coalesce("pb", "b").alias("b0")) \
-            .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")) \
-            .where(F.col("a") != F.col("b")).distinct().checkpoint()
+        e = settled(e.join(h1, "a", "left").join(h2, "b", "left")
+                    .select(F.coalesce("pa", "a").alias("a0"), F.coalesce("pb", "b").alias("b0"))
+                    .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
+                    .where(F.col("a") != F.col("b")).distinct())
     return lab
 
 
@@ -199,8 +171,8 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     from sentinela.ml.neighbors import collapse, eps_neighbours, feature_points
     pts = feature_points(df, features, key, vector, standardize_features)
     reps, mapping = collapse(pts, key)
-    reps = reps.persist()
-    pairs = eps_neighbours(reps, eps).persist()
+    reps = settled(reps)
+    pairs = settled(eps_neighbours(reps, eps))
     cnt = pairs.groupBy("p").agg(F.sum("qw").alias("nq"))
     core = reps.join(cnt.withColumnRenamed("p", "rid"), "rid", "left") \
         .select("rid", (F.col("w") + F.coalesce(F.col("nq"), F.lit(0)) >= min_samples).alias("core"))
@@ -213,64 +185,61 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
         .join(comp.withColumnRenamed("v", "q"), "q").groupBy("p").agg(F.min("c").alias("c"))
     labels = comp.select(F.col("v").alias("rid"), "c").unionByName(border.select(F.col("p").alias("rid"), "c"))
     # dense numbering in order of the smallest core id
-    ids = labels.select("c").distinct().withColumn(out, (F.row_number().over(Window.orderBy("c")) - 1).cast("int"))
+    ids = ranked(labels.select("c").distinct(), ["c"], out).withColumn(out, F.col(out).cast("int"))
     lab = labels.join(ids, "c").select("rid", out)
-    per_row = mapping.join(lab, "rid", "left").select(key, F.coalesce(F.col(out), F.lit(-1)).alias(out))
+    per_row = settled(mapping.join(lab, "rid", "left").select(key, F.coalesce(F.col(out), F.lit(-1)).alias(out)))
     res = df.join(per_row, key, "left")
     return res.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 
 # ------------------------------------------------------------------ M6 hierarchical (re-aimed)
-def _ward(centres, weights, k: int):
-    """Ward agglomeration of weighted centroids → group index per centroid."""
-    import numpy as np
-    c = np.asarray(centres, dtype=float)
-    w = np.asarray(weights, dtype=float)
-    groups = [[i] for i in range(len(c))]
-    active = list(range(len(c)))
-    while len(active) > k:
-        cc, ww = c[active], w[active]
-        d2 = ((cc[:, None, :] - cc[None, :, :]) ** 2).sum(-1)
-        cost = (ww[:, None] * ww[None, :]) / (ww[:, None] + ww[None, :]) * d2
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = active[i], active[j]
-        tot = w[a] + w[b]
-        c[a] = (c[a] * w[a] + c[b] * w[b]) / tot
-        w[a] = tot
-        groups[a] += groups[b]
-        active.remove(b)
-    label = {}
-    # number the final groups by their smallest member centroid index
-    for n, g in enumerate(sorted((groups[a] for a in active), key=min)):
-        for m in g:
-            label[m] = n
-    return label
-
-
-def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, micro: int = 500, seed: int = 42,
-                 key: str = K.ID, out: str = "cluster") -> DataFrame:
-    """M6 (re-aimed for scale): Ward clustering of ``micro`` weighted k-means
-    centroids instead of all rows.  Exact Ward on n rows needs the n × n
-    distance matrix; here Spark runs k-means over all rows, the driver merges
-    a constant number of centroids (≤ ``micro``), and the centroid → cluster
-    map (≤ ``micro`` rows) is broadcast back."""
-    from pyspark.ml.feature import VectorAssembler
-    from sentinela.ml.features import standardize
+def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, out: str = "cluster") -> DataFrame:
+    """M6 (re-aimed for scale): a divisive hierarchy instead of Ward's agglomeration.
+
+    Exact Ward needs the distances of all pairs of rows.  ``BisectingKMeans``
+    splits the cluster with the most rows in two until there are ``k``, which
+    costs a few passes per level at any size.  Rows are labelled by the fitted
+    model in place; rows with a NULL feature get −1.  The feature vector is
+    kept (``features``) for the silhouette.
+    """
     z = standardize(df, features, prefix="__z_")
     zc = [f"__z_{c}" for c in features]
-    asm = VectorAssembler(inputCols=zc, outputCol="__v", handleInvalid="skip")
-    x = ensure_parallelism(asm.transform(z)).persist()
-    n = x.count()
-    m = max(k, min(micro, n))
-    km = KMeans(k=m, seed=seed, featuresCol="__v", predictionCol="__mc", maxIter=50).fit(x)
-    mx = km.transform(x)
-    sizes = {r["__mc"]: r["n"] for r in mx.groupBy("__mc").agg(F.count(F.lit(1)).alias("n")).collect()}
-    centres = km.clusterCenters()
-    used = sorted(sizes)
-    lab = _ward([centres[i] for i in used], [sizes[i] for i in used], min(k, len(used)))
-    mapping = df.sparkSession.createDataFrame([(int(used[i]), int(g)) for i, g in lab.items()],
-                                              f"__mc int, {out} int")
-    res = mx.join(F.broadcast(mapping), "__mc").select(key, out)
-    j = df.join(res, key, "left")
-    return j.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
+    # off the origin: Spark parts two new centres in proportion to their norm, which is 0 in the middle of z-scores
+    z = z.withColumns({c: F.col(c) + F.lit(10.0) for c in zc})
+    asm = VectorAssembler(inputCols=zc, outputCol="features")
+    whole = F.lit(True)
+    for c in zc:
+        whole = whole & F.col(c).isNotNull()
+    vectors = asm.transform(z.where(whole)).select(*df.columns, "features")
+    x = ensure_parallelism(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if x.isEmpty():
+            return df.withColumn(out, F.lit(-1))
+        model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=out, maxIter=30).fit(x)
+    finally:
+        x.unpersist()
+    labelled = model.transform(vectors).withColumn(out, F.col(out).cast("int"))
+    rest = z.where(~whole).select(*df.columns, F.lit(-1).alias(out))
+    return labelled.unionByName(rest, allowMissingColumns=True)
+
+
+def cluster(df: DataFrame, method: str = "kmeans", **options) -> DataFrame:
+    """One entry by method name (D10): the labelled table of M4, M5 or M6."""
+    if method == "kmeans":
+        return kmeans(df, **options)[0]
+    if method == "dbscan":
+        return dbscan(df, **options)
+    if method == "hierarchical":
+        return hierarchical(df, **options)
+    raise ValueError(f"unknown clustering method {method!r}; expected kmeans, dbscan or hierarchical")
+
+
+def with_vector(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+    """The z-scored vector that a silhouette of any labelled table needs; NULL where a feature is."""
+    z = standardize(df, features, prefix="__z_")
+    vector = array_to_vector(F.array(*[F.col(f"__z_{c}") for c in features]))
+    whole = F.lit(True)
+    for c in features:
+        whole = whole & F.col(c).isNotNull()
+    return z.where(whole).withColumn(out, vector).select(*df.columns, out).unionByName(
+        df.where(~whole), allowMissingColumns=True)

@@ -6,12 +6,14 @@ the k × k confusion cells, so the cost is one pass over the predictions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.functions import scalar as S
 from sentinela.operators import profile as P
+from sentinela.operators._common import ensure_hour, n_rows
+from sentinela.plans.hints import precounted
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -26,7 +28,7 @@ def confusion_matrix_wide(df: DataFrame, label: str = "label", prediction: str =
     cells = confusion_matrix(df, label, prediction)
     wide = cells.groupBy(label).pivot(prediction, classes).agg(F.first("n")).fillna(0)
     lab = df.sparkSession.createDataFrame([(c,) for c in classes], f"{label} string")
-    return F.broadcast(lab).join(wide, label, "left").fillna(0).orderBy(label)
+    return lab.join(wide, label, "left").fillna(0).orderBy(label)
 
 
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -69,13 +71,11 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 def fairness_by_group(df: DataFrame, group: str = K.ZONE, label: str = "label", prediction: str = "prediction",
                       factor: float = K.FAIRNESS_FACTOR, digits: int = 6) -> DataFrame:
     """Error rate per group, descending; groups above ``factor`` × the mean
-    error of all rows are flagged.  The overall mean comes from a window over
-    the per-group table (one row per group), not from a second pass."""
+    error of all rows are flagged.  The overall mean is a scalar subquery over
+    the per-group table (one row per group)."""
     err = F.when(F.col(label) != F.col(prediction), 1).otherwise(0)
     g = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.sum(err).alias("e"), F.count(F.lit(1)).alias("t"))
-    allw = Window.partitionBy()
-    g = g.withColumns({"erro": F.col("e") / F.col("t"),
-                       "__m": F.sum("e").over(allw) / F.sum("t").over(allw)})
+    g = g.withColumns({"erro": F.col("e") / F.col("t"), "__m": g.agg(F.sum("e") / F.sum("t")).scalar()})
     return g.select(group, S.round_half_up("erro", digits).alias("erro"),
                     (F.col("erro") > F.col("__m") * F.lit(factor)).alias("vies")) \
         .orderBy(F.col("erro").desc(), F.col(group).asc())
@@ -88,11 +88,9 @@ def anomaly_profile(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> Da
         return [F.lit(item).alias("item"), (chave.cast("string") if chave is not None
                                              else F.lit(None).cast("string")).alias("chave"),
                 n.cast("long").alias("n"), (pct if pct is not None else F.lit(None)).cast("double").alias("pct")]
-    from sentinela.plans.hints import fan_out_input
-    d = fan_out_input(df if "hora" in df.columns else df.withColumn("hora", F.hour(ts)),
-                      [flag, K.TYPE, K.ZONE, "hora"])
+    d = precounted(ensure_hour(df, ts), [flag, K.TYPE, K.ZONE, "hora"])
     a = d.where(F.col(flag) == -1)
-    tot = d.agg(F.count(F.when(F.col(flag) == -1, 1)).alias("k"), F.count(F.lit(1)).alias("t")) \
+    tot = d.agg(n_rows(d, F.col(flag) == -1).alias("k"), n_rows(d).alias("t")) \
         .select(*row("total", None, F.col("k"), S.pct("k", "t", 1)))
     t = P.global_mode(a, K.TYPE).select(*row("tipo_comum", F.col(K.TYPE), F.col("n"), None))
     z = P.global_mode(a, K.ZONE).select(*row("bairro_comum", F.col(K.ZONE), F.col("n"), None))

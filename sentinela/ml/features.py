@@ -7,10 +7,10 @@ from collections.abc import Sequence
 import re
 
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.plans.hints import small_or_persisted
+from sentinela.plans.hints import ranked
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -41,14 +41,13 @@ def standardize(df: DataFrame, cols: Sequence[str], prefix: str = "z_",
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """M3: alphabetical codes from 0 (as a double, like ``StringIndexer``).
 
-    The code table has one row per distinct value; it is numbered by a window
-    over that small table and broadcast back after a size check.  NULL stays
-    NULL.
+    The code table has one row per distinct value; it is numbered by a range
+    sort with partition offsets and joined back (AQE broadcasts it when small).
+    NULL stays NULL.
     """
     out = out or f"{col}_idx"
-    codes = (df.select(col).where(F.col(col).isNotNull()).distinct()
-             .withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("double")))
-    return df.join(small_or_persisted(codes)[0], col, "left")
+    codes = ranked(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], out)
+    return df.join(codes.withColumn(out, F.col(out).cast("double")), col, "left")
 
 
 def _safe(name: str) -> str:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.ml.features import standardize
+from sentinela.plans.hints import settled
 from sentinela.session import ensure_checkpoint_dir
 
 
@@ -145,7 +146,7 @@ def auto_sides(reps: DataFrame, dims: list[int], target: float) -> list[float]:
     the hour would otherwise leave most cells empty and the rest crowded); its
     budget goes to the other dimensions.
     """
-    agg = reps.agg(F.sum("w").alias("n"),
+    agg = reps.agg(F.count(F.lit(1)).alias("n"),
                    *[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"r{i}") for i in dims],
                    *[F.approx_count_distinct(F.col("x")[i]).alias(f"d{i}") for i in dims]).first()
     n = float(agg["n"] or 1)
@@ -170,13 +171,13 @@ def auto_sides(reps: DataFrame, dims: list[int], target: float) -> list[float]:
     return [rng[i] / cells[i] * (1.0 + 1e-9) for i in dims]
 
 
-def _knn_rounds(pending: DataFrame, cells: DataFrame, k: int, sides: list[float], extent: list[int],
-                max_rounds: int) -> DataFrame | None:
+def _knn_rounds(pending: DataFrame, cells: DataFrame, k: int, sides: list[float], extent: list[int]) -> DataFrame | None:
     """Exact k-NN of the ``pending`` points against all points in ``cells``
-    (both gridded with ``sides``), widening the ring until every point is proven."""
+    (both gridded with ``sides``), doubling the ring until every point is proven
+    or the ring spans the grid, which proves the rest."""
     done = None
     ring = 1
-    for _ in range(max_rounds):
+    while True:
         # a point outside ring R differs by more than R·side_i in some dimension i
         # that the ring does not span completely; if it spans all, nothing is outside
         open_dims = [sd for sd, e in zip(sides, extent) if e - 1 > ring]
@@ -199,15 +200,15 @@ def _knn_rounds(pending: DataFrame, cells: DataFrame, k: int, sides: list[float]
         if not open_dims:
             break
         resolved = res.select("p").distinct()
-        pending = pending.join(resolved.withColumnRenamed("p", "rid"), "rid", "left_anti").persist()
-        if pending.limit(1).count() == 0:
+        pending = settled(pending.join(resolved.withColumnRenamed("p", "rid"), "rid", "left_anti"))
+        if pending.isEmpty():
             break
         ring = ring * 2
     return done
 
 
 def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[float] | None = None,
-        max_rounds: int = 64, max_levels: int = 24) -> DataFrame:
+        max_levels: int = 24) -> DataFrame:
     """Exact weighted k nearest neighbours of every representative.
 
     Returns (p, q, dist, wq): the neighbours of p in (dist, q) order, with the
@@ -215,9 +216,10 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
     count, at distance 0, as sklearn counts distinct rows).
 
     Multi-resolution: the grid is first sized for the average density; cells
-    holding more than 2^b times the target are split (all sides halved) again
-    and again, and each point keeps the level at which its cell became small
-    enough.  A hot area holding a large share of all rows is thus searched on
+    holding more than 2^b times the target of distinct points are split (all
+    sides halved) again and again, and each point keeps the level at which its
+    cell became small enough (or the finest of ``max_levels``; the levels only
+    decide the work, the result is exact at any).  A hot area holding a large share of all rows is thus searched on
     a grid fine enough that its cells again hold about ``k`` points.  Each
     level re-grids all points (a projection on a common origin) and runs the
     exact ring search for its own points only.
@@ -235,40 +237,42 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
     assigned = []
     for lv in range(max_levels + 1):
         g, _ = grid(current, dims, [sd / (2 ** lv) for sd in sides], lo, hi)
-        full = g.groupBy("cell").agg(F.sum("w").alias("__pop")).where(F.col("__pop") > F.lit(limit)) \
-            .select("cell").persist()
-        if lv == max_levels or full.limit(1).count() == 0:
+        full = g.groupBy("cell").agg(F.count(F.lit(1)).alias("__pop")) \
+            .where(F.col("__pop") > F.lit(limit)).select("cell")
+        full = settled(full)
+        if lv == max_levels or full.isEmpty():
             assigned.append(current.select("rid", F.lit(lv).alias("__lvl")))
             break
         assigned.append(g.join(full, "cell", "left_anti").select("rid", F.lit(lv).alias("__lvl")))
         current = g.join(full, "cell", "left_semi").select("rid", "x", "w").checkpoint()
     if len(assigned) == 1:          # nothing over-full: every point at level 0, no join needed
-        leveled = reps.withColumn("__lvl", F.lit(0)).persist()
+        leveled = settled(reps.withColumn("__lvl", F.lit(0)))
         levels = [0]
     else:
         lvl = assigned[0]
         for a in assigned[1:]:
             lvl = lvl.unionByName(a)
-        leveled = reps.join(lvl, "rid").persist()
+        leveled = settled(reps.join(lvl, "rid"))
         levels = sorted(r[0] for r in leveled.select("__lvl").distinct().collect())
     done = None
     for lv in levels:
         fine = [sd / (2 ** lv) for sd in sides]
         cells, extent = grid(leveled.drop("__lvl"), dims, fine, lo, hi)
-        cells = cells.persist()
+        cells = settled(cells)
         pending = cells.join(leveled.where(F.col("__lvl") == lv).select("rid"), "rid", "left_semi")
-        res = _knn_rounds(pending, cells, k, fine, extent, max_rounds)
+        res = _knn_rounds(pending, cells, k, fine, extent)
         done = res if done is None else done.unionByName(res)
-        cells.unpersist()
-    leveled.unpersist()
     return done
 
 
 def eps_neighbours(reps: DataFrame, eps: float, dims: list[int] | None = None) -> DataFrame:
     """All (p, q, dist, pw, qw) with dist ≤ eps, p ≠ q, using cells of side eps
     (ring 1 is exact)."""
-    d = len(reps.select("x").first()["x"])
-    dims = dims if dims is not None else blocking_dims(reps, d)
+    some = reps.select("x").first()
+    if some is None:
+        return reps.select(*[F.col("rid").alias(c) for c in ("p", "q")], F.lit(0.0).alias("dist"),
+                           *[F.col("w").alias(c) for c in ("pw", "qw")])
+    dims = dims if dims is not None else blocking_dims(reps, len(some["x"]))
     cells, extent = grid(reps, dims, eps)
     pairs = candidate_pairs(cells, cells, 1, extent)
     return pairs.where((F.col("dist") <= F.lit(eps)) & (F.col("p") != F.col("q")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentinela import constants as K
+from sentinela.plans.hints import ROWS
 
 
 def ts_literal(value, like: T.DataType | None = None) -> Column:
@@ -39,6 +40,13 @@ def ensure_dow(df: DataFrame, ts: str = K.TS, dow: str = "dow") -> DataFrame:
     return df if dow in df.columns else df.withColumn(dow, (F.weekday(ts) + F.lit(1)).cast("int"))
 
 
+def n_rows(df: DataFrame, when: Column | None = None) -> Column:
+    """Aggregate: input rows (that match ``when``); in a pre-counted table the sum of its counts."""
+    if ROWS not in df.columns:
+        return F.count(F.lit(1) if when is None else F.when(when, 1))
+    return F.coalesce(F.sum(F.col(ROWS) if when is None else F.when(when, F.col(ROWS))), F.lit(0))
+
+
 def counted(df: DataFrame, keys: list[str], n: str = "n", dropna: bool = True) -> DataFrame:
     """``groupBy(keys).count()`` with pandas' default of dropping NULL keys."""
     if dropna:
@@ -47,4 +55,4 @@ def counted(df: DataFrame, keys: list[str], n: str = "n", dropna: bool = True) -
             c = F.col(k).isNotNull()
             cond = c if cond is None else cond & c
         df = df.where(cond)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    return df.groupBy(*keys).agg(n_rows(df).alias(n))

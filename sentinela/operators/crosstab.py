@@ -10,7 +10,7 @@ from sentinela import constants as K
 from sentinela.functions import scalar as S
 from sentinela.operators._common import counted, ensure_dow, ensure_hour
 from sentinela.operators.profile import top_n
-from sentinela.plans.hints import bounded_broadcast, small_or_persisted
+from sentinela.plans.hints import settled
 
 
 def crosstab(df: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
@@ -21,13 +21,12 @@ def crosstab(df: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
 def crosstab_wide(df: DataFrame, row: str, col: str) -> DataFrame:
     """A6 wide form: one column per value of ``col``, missing cell = 0.
 
-    The input is aggregated once to (row, col, n); that small table is
-    evaluated once and supplies both the pivot values and the pivot, so the
-    input is scanned a single time.
+    The input is aggregated once to (row, col, n); that table is settled and
+    supplies both the column names (as many as the result has columns) and
+    the pivot, so the input is scanned a single time.
     """
-    cells, _ = small_or_persisted(counted(df, [row, col]))
-    values = [r[0] for r in cells.select(col).distinct().orderBy(col).collect()]
-    return cells.groupBy(row).pivot(col, values).agg(F.first("n")).fillna(0).orderBy(row)
+    cells = settled(counted(df, [row, col]))
+    return cells.groupBy(row).pivot(col).agg(F.first("n")).fillna(0).orderBy(row)
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str, digits: int = 6) -> DataFrame:
@@ -49,28 +48,25 @@ def hour_weekday_matrix(df: DataFrame, count_col: str = K.TYPE, ts: str = K.TS)
          .groupBy("hora", "dow").agg(F.count(count_col).alias("n")))
     grid = df.sparkSession.range(0, 24 * 7).select(
         (F.col("id") / 7).cast("int").alias("hora"), (F.col("id") % 7 + 1).cast("int").alias("dow"))
-    return (F.broadcast(grid).join(c, ["hora", "dow"], "left")
+    return (grid.join(c, ["hora", "dow"], "left")
             .select("hora", "dow", F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy("hora", "dow"))
 
 
 def seasonality(df: DataFrame, month: str = "mes", type_col: str = K.TYPE, ts: str = K.TS) -> DataFrame:
     """Month × type counts, 0 for absent combinations of present values.
 
-    One aggregation of the input to (month, type, n); on that small table
-    (evaluated once) a pivot over the present types and an unpivot back give
-    the zero-filled long form.  No cross join, one scan of the input.
+    One aggregation of the input to (month, type, n).  Each present type is
+    given all present months (twelve at most) and the counts are joined on:
+    no cross join, no pivot, one scan of the input.
     """
     d = df if month in df.columns else df.withColumn(month, F.month(ts))
-    cells, _ = small_or_persisted(counted(d, [month, type_col]))
-    types = [r[0] for r in cells.select(type_col).distinct().orderBy(type_col).collect()]
-    if not types:
+    cells = settled(counted(d, [month, type_col]))
+    months = [F.lit(r[0]) for r in cells.select(month).distinct().orderBy(month).collect()]
+    if not months:
         return cells.select(month, type_col, F.col("n").cast("long").alias("n"))
-    alias = {t: f"c{i}" for i, t in enumerate(types)}
-    wide = cells.groupBy(month).pivot(type_col, types).agg(F.first("n"))
-    wide = wide.select(month, *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).cast("long").alias(alias[t]) for t in types])
-    stacked = wide.select(month, F.explode(F.array(*[
-        F.struct(F.lit(t).alias(type_col), F.col(alias[t]).alias("n")) for t in types])).alias("x"))
-    return stacked.select(month, f"x.{type_col}", "x.n").orderBy(month, type_col)
+    every = cells.select(type_col).distinct().withColumn(month, F.explode(F.array(*months)))
+    return (every.join(cells, [month, type_col], "left")
+            .select(month, type_col, F.coalesce("n", F.lit(0)).cast("long").alias("n")).orderBy(month, type_col))
 
 
 def top_patterns_over_time(df: DataFrame, k: int = 3, method: str = K.METHOD, ts: str = K.TS) -> DataFrame:
@@ -85,5 +81,5 @@ def top_patterns_over_time(df: DataFrame, k: int = 3, method: str = K.METHOD, ts
 
 def complete_calendar(counts: DataFrame, dim: DataFrame, key: str, n: str = "n") -> DataFrame:
     """Impose a fixed key order from a dimension; absent keys get 0."""
-    return (bounded_broadcast(dim).join(counts, key, "left")
+    return (dim.join(counts, key, "left")
             .withColumn(n, F.coalesce(F.col(n), F.lit(0)).cast("long")).orderBy(key))

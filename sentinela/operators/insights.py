@@ -1,6 +1,7 @@
 """Rule operators (R1–R8): insights as rows (rule, subject, value, message_code).
 
-Each rule is evaluated on small aggregated frames; the rule rows are unioned.
+The input is scanned once, into counts per combination of the columns that the
+rules read; each rule is evaluated on that table and the rule rows are unioned.
 No frame is joined to another one-row frame (no cross joins).
 """
 
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.functions import scalar as S
 from sentinela.operators import profile as P
-from sentinela.operators._common import ensure_hour
+from sentinela.operators._common import ensure_hour, n_rows
 from sentinela.operators.crosstab import crosstab
 from sentinela.operators.joins import semi_top_n
-from sentinela.plans.hints import fan_out_input
+from sentinela.plans.hints import ROWS, precounted
 
 RULE_SCHEMA = "rule string, subject string, value double, message_code string"
 
@@ -43,10 +44,10 @@ def _top_with_share(df: DataFrame, col: str) -> DataFrame:
 
 def report_insights(df: DataFrame, ts: str = K.TS) -> DataFrame:
     """Top zone share > 20 %; resolution < 70 % or > 85 %; peak hour at night."""
-    df = fan_out_input(df, [K.ZONE, K.STATUS, ts, "hora"])
+    df = precounted(ensure_hour(df, ts), [K.ZONE, K.STATUS, "hora"])
     conc = _top_with_share(df, K.ZONE).where(F.col("share") > K.REPORT_TOP_ZONE_SHARE) \
         .select(*_rule("concentracao", F.col(K.ZONE), F.col("share"), "ALTA_CONCENTRACAO"))
-    rate = df.agg(S.pct(F.count(F.when(F.col(K.STATUS) == K.STATUS_DONE, 1)), F.count(F.lit(1)), 1).alias("r"))
+    rate = df.agg(S.pct(n_rows(df, F.col(K.STATUS) == K.STATUS_DONE), n_rows(df), 1).alias("r"))
     code = F.when(F.col("r") < K.REPORT_RESOLUTION_LOW, "RESOLUCAO_BAIXA") \
         .when(F.col("r") > K.REPORT_RESOLUTION_HIGH, "RESOLUCAO_EXCELENTE")
     res = rate.select(*_rule("resolucao", None, F.col("r"), code)).where(F.col("message_code").isNotNull())
@@ -58,14 +59,15 @@ def report_insights(df: DataFrame, ts: str = K.TS) -> DataFrame:
 def cluster_insights(df: DataFrame, cluster: str = "cluster", ts: str = K.TS) -> DataFrame:
     """R2: per cluster (noise excluded): night or morning pattern from the mean
     hour; top-zone share > 70 %."""
-    d = fan_out_input(ensure_hour(df, ts), [cluster, "hora", K.ZONE]).where(F.col(cluster) != -1)
-    mh = d.groupBy(cluster).agg(F.avg("hora").alias("h"))
+    d = precounted(ensure_hour(df, ts).where(F.col(cluster) != -1), [cluster, "hora", K.ZONE])
+    known = F.when(F.col("hora").isNotNull(), F.col(ROWS))
+    mh = d.groupBy(cluster).agg((F.sum(F.col("hora") * F.col(ROWS)) / F.sum(known)).alias("h"))
     code = F.when((F.col("h") >= K.NIGHT_FROM) | (F.col("h") <= K.NIGHT_TO), "PADRAO_NOTURNO") \
         .when((F.col("h") > 6) & (F.col("h") <= 12), "PADRAO_MATINAL")
     hours = mh.select(*_rule("cluster_horario", F.col(cluster), S.round_half_up("h", 2), code)) \
         .where(F.col("message_code").isNotNull())
-    zc = d.where(F.col(K.ZONE).isNotNull()).groupBy(cluster, K.ZONE).agg(F.count(F.lit(1)).alias("n"))
-    tot = d.groupBy(cluster).agg(F.count(F.lit(1)).alias("t"))
+    zc = d.where(F.col(K.ZONE).isNotNull()).groupBy(cluster, K.ZONE).agg(n_rows(d).alias("n"))
+    tot = d.groupBy(cluster).agg(n_rows(d).alias("t"))
     top = zc.groupBy(cluster).agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(K.ZONE).alias("z"))).alias("m"))
     top = top.join(tot, cluster)
     share = S.pct(-F.col("m.neg"), F.col("t"), 1)
@@ -78,8 +80,8 @@ def cluster_insights(df: DataFrame, cluster: str = "cluster", ts: str = K.TS) ->
 def anomaly_alerts(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> DataFrame:
     """More than half of the anomalies at night; top zone holds more than
     30 % of the anomalies."""
-    a = fan_out_input(ensure_hour(df, ts).where(F.col(flag) == -1), ["hora", K.ZONE])
-    night = a.agg(F.count(F.when(S.is_night("hora"), 1)).alias("k"), F.count(F.lit(1)).alias("t"))
+    a = precounted(ensure_hour(df, ts).where(F.col(flag) == -1), ["hora", K.ZONE])
+    night = a.agg(n_rows(a, S.is_night("hora")).alias("k"), n_rows(a).alias("t"))
     night = night.where(F.col("k") > F.col("t") * K.ANOMALY_NIGHT_SHARE) \
         .select(*_rule("alerta_noturno", None, S.pct("k", "t", 1), "ALERTA_NOTURNO"))
     z = P._with_total(a, K.ZONE, "n").orderBy(F.col("n").desc(), F.col(K.ZONE).asc()).limit(1)
@@ -90,7 +92,7 @@ def anomaly_alerts(df: DataFrame, flag: str = "anomalia", ts: str = K.TS) -> Dat
 
 def statistics_insights(df: DataFrame, ts: str = K.TS, flag: str = "anomalia") -> DataFrame:
     """Top-3 hours; top-3 zone concentration; mean type diversity; anomaly rate."""
-    df = fan_out_input(ensure_hour(df, ts), ["hora", K.ZONE, K.TYPE, flag])
+    df = precounted(ensure_hour(df, ts), ["hora", K.ZONE, K.TYPE, flag])
     top = P.top_n(ensure_hour(df, ts), "hora", 3)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("a"),
                                                                         F.col("hora").alias("h")))),
@@ -108,7 +110,7 @@ def statistics_insights(df: DataFrame, ts: str = K.TS, flag: str = "anomalia") -
 
 def method_insights(df: DataFrame, method: str = K.METHOD) -> DataFrame:
     """Dominant method and its count; zone where it is commonest; number of methods."""
-    df = fan_out_input(df, [method, K.ZONE])
+    df = precounted(df, [method, K.ZONE])
     top = P.top_n(df, method, 1)
     dom = top.select(*_rule("metodo_dominante", F.col(method), F.col("n"), "METODO_DOMINANTE"))
     zone = P.global_mode(df.join(F.broadcast(top.select(method)), method, "left_semi"), K.ZONE) \
@@ -119,11 +121,11 @@ def method_insights(df: DataFrame, method: str = K.METHOD) -> DataFrame:
 
 def typical_profile(df: DataFrame, band: str = "faixa_etaria") -> DataFrame:
     """Modes of sex, age band and weapon; share of male suspects among known sex."""
-    df = fan_out_input(df, [K.SEX, band, K.WEAPON])
+    df = precounted(df, [K.SEX, band, K.WEAPON])
     frames = [P.global_mode(df, c).select(*_rule(r, F.col(c), F.col("n"), code)) for c, r, code in (
         (K.SEX, "sexo_mais_comum", "PERFIL_SEXO"), (band, "faixa_mais_comum", "PERFIL_FAIXA"),
         (K.WEAPON, "arma_mais_comum", "PERFIL_ARMA")) if c in df.columns]
-    male = df.agg(F.count(F.when(F.col(K.SEX) == "Masculino", 1)).alias("m"), F.count(K.SEX).alias("t"))
+    male = df.agg(n_rows(df, F.col(K.SEX) == "Masculino").alias("m"), n_rows(df, F.col(K.SEX).isNotNull()).alias("t"))
     frames.append(male.where(F.col("m") > 0).select(*_rule("pct_masculino", None, S.pct("m", "t", 1), "PCT_MASCULINO")))
     return _union(frames)
 

@@ -22,6 +22,12 @@ def write_back(df: DataFrame, labels: DataFrame, label: str, default, key: str =
     return j.withColumn(label, F.coalesce(F.col("__lab"), F.lit(default))).drop("__lab")
 
 
+def attach_predictions(df: DataFrame, predictions: DataFrame, key: str = K.ID) -> DataFrame:
+    """The columns of ``predictions`` (key, class, confidence …) on every row of
+    ``df``; rows that were not scored get NULL."""
+    return df.join(predictions, key, "left")
+
+
 def semi_top_n(df: DataFrame, col: str, k: int, col2: str | None = None, k2: int | None = None) -> DataFrame:
     """Keep rows whose value is among the ``k`` most frequent (optionally
     also ``col2`` among its ``k2`` most frequent).  The top lists have k rows."""

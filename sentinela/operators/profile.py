@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.functions import scalar as S
-from sentinela.operators._common import counted, ensure_dow, ensure_hour
+from sentinela.operators._common import counted, ensure_dow, ensure_hour, n_rows
 from sentinela.sources import dims
 from sentinela.plans.hints import fixed_broadcast
 
@@ -31,10 +31,10 @@ def top_n(df: DataFrame, col: str, k: int, n: str = "n") -> DataFrame:
 
 
 def _with_total(df: DataFrame, col: str, n: str) -> DataFrame:
-    """Counts per value including the NULL group, the grand total attached by a
-    window over the aggregated table (one row per distinct value), NULL dropped."""
-    c = df.groupBy(col).agg(F.count(F.lit(1)).alias(n))
-    return c.withColumn("__total", F.sum(n).over(Window.partitionBy())).where(F.col(col).isNotNull())
+    """Counts per value and, as a scalar subquery over the same counts, the grand
+    total including the NULL group."""
+    c = df.groupBy(col).agg(n_rows(df).alias(n))
+    return c.withColumn("__total", c.agg(F.sum(n)).scalar()).where(F.col(col).isNotNull())
 
 
 def share_table(df: DataFrame, col: str, k: int | None = None, n: str = "n",
@@ -120,7 +120,7 @@ def overall_rates(df: DataFrame, predicates: dict[str, Column], digits: int | di
     """Share in percent of rows matching each predicate; 0 for empty input.
     ``digits`` is one number or a per-name dictionary (default 1)."""
     nd = (lambda k: digits.get(k, 1)) if isinstance(digits, dict) else (lambda k: digits)
-    aggs = [F.count(F.lit(1)).alias("__t")] + [F.count(F.when(p, 1)).alias(f"__{k}") for k, p in predicates.items()]
+    aggs = [n_rows(df).alias("__t")] + [n_rows(df, p).alias(f"__{k}") for k, p in predicates.items()]
     a = df.agg(*aggs)
     return a.select(*[S.pct(F.col(f"__{k}"), F.col("__t"), nd(k)).alias(k) for k in predicates])
 
@@ -157,14 +157,13 @@ def mode_by_group(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     in one shuffle by exploding (column, value) pairs.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
-    long = (df.where(F.col(key).isNotNull()).select(key, pairs.alias("p"))
-            .select(key, "p.c", "p.v").where(F.col("v").isNotNull())
+    long = (df.where(F.col(key).isNotNull()).select(key, pairs.alias("p")).select(key, "p.c", "p.v")
             .groupBy(key, "c", "v").agg(F.count(F.lit(1)).alias("n")))
-    best = long.groupBy(key, "c").agg(_mode_struct("n", "v").alias("m"))
+    # NULL values keep their group in the result but are nobody's mode
+    best = long.groupBy(key, "c").agg(F.min(F.when(F.col("v").isNotNull(), F.struct(
+        (-F.col("n")).alias("neg"), F.col("v").alias("v")))).alias("m"))
     wide = best.groupBy(key).pivot("c", list(cols)).agg(F.first("m.v"))
-    # every group appears, with NULL where a column has no value in it
-    keys = df.where(F.col(key).isNotNull()).select(key).distinct()
-    return keys.join(wide, key, "left").select(key, *[F.col(c).alias(f"moda_{c}") for c in cols])
+    return wide.select(key, *[F.col(c).alias(f"moda_{c}") for c in cols])
 
 
 def mean_diversity(df: DataFrame, zone: str = K.ZONE, type_col: str = K.TYPE, digits: int = 6) -> DataFrame:
@@ -175,11 +174,10 @@ def mean_diversity(df: DataFrame, zone: str = K.ZONE, type_col: str = K.TYPE, di
 
 def concentration(df: DataFrame, col: str, k: int = 3, digits: int = 1) -> DataFrame:
     """Share of the ``k`` most frequent values in all rows."""
-    t = _with_total(df, col, "n").withColumn(
-        "__rk", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col(col).asc())))
-    a = t.agg(F.sum(F.when(F.col("__rk") <= k, F.col("n"))).alias("s"), F.max("__total").alias("t"))
+    top = _with_total(df, col, "n").orderBy(F.col("n").desc(), F.col(col).asc()).limit(k)
+    a = top.agg(F.sum("n").alias("s"), F.max("__total").alias("t"))
     # an all-NULL column has no top values: share 0
-    return a.select(S.pct(F.coalesce(F.col("s"), F.lit(0)), F.col("t"), digits).alias("concentracao"))
+    return a.select(S.pct(F.coalesce(F.col("s"), F.lit(0)), F.coalesce(F.col("t"), F.lit(0)), digits).alias("concentracao"))
 
 
 def kpis_general(df: DataFrame, keep: Column, zone: str = K.ZONE) -> DataFrame:
@@ -264,10 +262,10 @@ def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def anomaly_only_types(df: DataFrame, type_col: str = K.TYPE, flag: str = "anomalia") -> DataFrame:
-    """O1: types seen among anomalies but never among normal rows (anti join)."""
-    a = df.where(F.col(flag) == -1).select(type_col).where(F.col(type_col).isNotNull()).distinct()
-    n = df.where(F.col(flag) == 1).select(type_col).distinct()
-    return a.join(n, type_col, "left_anti")
+    """O1: types seen among anomalies but never among normal rows (one grouped pass)."""
+    seen = df.where(F.col(type_col).isNotNull()).groupBy(type_col).agg(
+        F.max(F.col(flag) == -1).alias("a"), F.max(F.col(flag) == 1).alias("n"))
+    return seen.where("a and not n").select(type_col)
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
-from sentinela.plans.hints import small_or_persisted
 
 
 def zone_counts(df: DataFrame, zone: str = K.ZONE) -> DataFrame:
@@ -20,10 +19,10 @@ def enrich_with_group_count(df: DataFrame, key: str = K.ZONE, out: str = "zona_n
 
     groupBy + join back instead of ``count().over(partitionBy(key))``: the
     window would sort a hot group inside one task, the aggregation is
-    pre-combined per task, and the per-key table (one row per key) is
-    evaluated once and broadcast when it is small.
+    pre-combined per task, and AQE broadcasts the per-key table (one row per
+    key) when its measured size allows it.
     """
-    c = counts if counts is not None else small_or_persisted(zone_counts(df, key))[0]
+    c = counts if counts is not None else zone_counts(df, key)
     j = df.join(c.withColumnRenamed("zona_n", out), key, "left")
     return j.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("long"))
 
@@ -42,32 +41,15 @@ def risk_thresholds(df: DataFrame, zone: str = K.ZONE, qs=K.RISK_QUANTILES) -> t
     return tuple(round(v, 9) if v is not None else None for v in vals)  # type: ignore[return-value]
 
 
-def _quantile(sorted_vals: list[float], q: float) -> float:
-    """Linear-interpolation quantile (as ``percentile`` / ``quantile_cont``)."""
-    pos = (len(sorted_vals) - 1) * q
-    lo, hi = int(pos // 1), int(-(-pos // 1))
-    if lo == hi:
-        return float(sorted_vals[lo])
-    return float(sorted_vals[lo]) + (float(sorted_vals[hi]) - float(sorted_vals[lo])) * (pos - lo)
-
-
 def risk_tier(df: DataFrame, zone: str = K.ZONE, out: str = "nivel_risco", qs=K.RISK_QUANTILES) -> DataFrame:
     """Zone count ≤ q33 → low, ≤ q66 → medium, else high, on every row
     (a row whose zone is NULL has count 0).
 
-    The per-zone counts are computed once.  When they are small (the usual
-    case: one row per zone) the quantiles are taken from that local table and
-    it is broadcast back; otherwise Spark's exact ``percentile`` runs on the
-    persisted counts and the join shuffles.
+    The thresholds are Spark's exact ``percentile`` over the per-zone counts;
+    the counts are then joined back.
     """
-    counts, small = small_or_persisted(zone_counts(df, zone))
-    if small:
-        vals = sorted(r["zona_n"] for r in counts.collect())
-        q1, q2 = ((round(_quantile(vals, q), 9) for q in qs) if vals else (None, None))
-    else:
-        row = counts.agg(*[F.percentile(F.col("zona_n").cast("double"), q) for q in qs]).first()
-        q1, q2 = (round(row[i], 9) if row[i] is not None else None for i in range(len(qs)))
-    e = enrich_with_group_count(df, zone, "__zn", counts)
+    q1, q2 = risk_thresholds(df, zone, qs)
+    e = enrich_with_group_count(df, zone, "__zn")
     if q1 is None:
         return e.withColumn(out, F.lit(None).cast("string")).drop("__zn")
     tier = (F.when(F.col("__zn") <= F.lit(q1), K.RISK_LOW)

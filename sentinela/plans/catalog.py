@@ -3,7 +3,7 @@
 from sentinela.plans import q_rows  # noqa: F401
 from sentinela.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-for _m in ("q_aggs", "q_rules", "q_ml"):
+for _m in ("q_aggs", "q_rules", "q_ml", "q_forms"):
     try:
         __import__(f"sentinela.plans.{_m}")
     except ModuleNotFoundError as e:  # module not written yet

@@ -1,14 +1,21 @@
-"""Join-strategy helpers with explicit size checks."""
+"""Join-strategy and evaluate-once helpers."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentinela.session import ensure_checkpoint_dir
+
 # A dimension is broadcast only if it has at most this many rows.  Rows of our
 # dimensions are a few dozen bytes, so this keeps a broadcast below ~10 MB.
 MAX_BROADCAST_ROWS = 100_000
 
+#: Column of a pre-counted table: input rows behind each of its rows.
+ROWS = "__rows"
+
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after checking it has ≤ ``max_rows`` rows.
@@ -26,20 +33,42 @@ def fixed_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def small_or_persisted(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate an aggregated frame once.
+def settled(df: DataFrame) -> DataFrame:
+    """Evaluate a frame once, into a reliable checkpoint in the shared folder.
 
-    If it has at most ``max_rows`` rows it comes back as a local relation
-    (broadcast-marked), so later uses neither re-run the aggregation nor
-    re-scan its input; otherwise it is persisted and used in shuffle joins.
-    Returns (frame, is_small).
+    For aggregated tables that several small queries read.  Nothing stays in
+    executor memory, and a lost executor costs a re-read.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        spark = df.sparkSession
-        return F.broadcast(spark.createDataFrame(rows, df.schema)), True
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK), False
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def precounted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per combination of ``cols`` (those present) with the number of input
+    rows in ``ROWS``: one scan and one pre-aggregated shuffle of the input, after
+    which every section of a report reads this table only."""
+    keep = [c for c in dict.fromkeys(cols) if c in df.columns]
+    return settled(df.groupBy(*keep).agg(F.count(F.lit(1)).alias(ROWS)))
+
+
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """0-based position of each row of a sorted frame: row numbers inside the sorted
+    partitions, and the partitions' row counts (as many numbers as partitions)
+    as offsets.  No rows meet in one task."""
+    placed = settled(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for p in range(max(counts, default=0) + 1):
+        starts.append(F.lit(total).cast("long"))
+        total += counts.get(p, 0)
+    offset = F.element_at(F.array(*starts), part + 1)
+    return placed.withColumn(out, offset + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+
+
+def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of each row in ascending ``order`` (a range shuffle)."""
+    return numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), out)
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -49,19 +78,3 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     unchanged, so this never adds a shuffle at scale."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
-def fan_out_input(df: DataFrame, cols) -> DataFrame:
-    """Narrow projection cached for an operator that reads its input several
-    times (one small aggregate per report section or rule).
-
-    Only the needed columns are kept, so the cache is a fraction of the
-    input; the input is scanned once.  An input that is already cached is
-    projected without caching again.
-    """
-    from pyspark import StorageLevel
-    keep = [c for c in cols if c in df.columns]
-    out = df.select(*keep) if keep else df
-    if df.storageLevel.useMemory or df.storageLevel.useDisk:
-        return out
-    return out.persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,6 +10,7 @@ from sentinela.operators import clean, crosstab as X6, derive, filters, geo, pro
 from sentinela.plans import fixtures as X
 from sentinela.plans.oracle_base import AGEBAND, pct, rhu, with_
 from sentinela.plans.q_rows import CITY_SQL, SPEC, SPEC_SQL, TOPZ
+from sentinela.plans.hints import numbered
 from sentinela.plans.registry import query
 
 CASE_SCOPE = "tipo_crime IN ('Violência Doméstica', 'Estupro', 'Ameaça')"
@@ -456,11 +457,12 @@ def t1b(spark, d):
 
 
 @query("t2_latest", with_("lab") + """
-SELECT occurrence_id, strftime(data_ocorrencia, '%Y-%m-%d %H:%M:%S') AS data_ocorrencia, tipo_crime, bairro
+SELECT occurrence_id, strftime(data_ocorrencia, '%Y-%m-%d %H:%M:%S') AS data_ocorrencia, tipo_crime, bairro,
+       row_number() OVER (ORDER BY data_ocorrencia DESC NULLS LAST, occurrence_id) - 1 AS posicao
 FROM lab WHERE anomalia = -1""")
 def t2(spark, d):
-    a = P.latest(filters.only_anomalies(X.lab(spark, d)))
-    return a.select(K.ID, F.date_format(K.TS, "yyyy-MM-dd HH:mm:ss").alias(K.TS), K.TYPE, K.ZONE)
+    a = numbered(P.latest(filters.only_anomalies(X.lab(spark, d))), "posicao")
+    return a.select(K.ID, F.date_format(K.TS, "yyyy-MM-dd HH:mm:ss").alias(K.TS), K.TYPE, K.ZONE, "posicao")
 
 
 @query("t3_most_severe", with_("sev") + """
@@ -477,10 +479,10 @@ def t4(spark, d):
 
 
 @query("t5_sort_by_key", with_("ordi") + """
-SELECT strftime(data_ocorrencia, '%Y-%m') AS mes_ano, count(*) AS n FROM ordi
-WHERE data_ocorrencia IS NOT NULL GROUP BY 1 ORDER BY 1""")
+SELECT strftime(data_ocorrencia, '%Y-%m') AS mes_ano, count(*) AS n, row_number() OVER (ORDER BY 1) - 1 AS posicao
+FROM ordi WHERE data_ocorrencia IS NOT NULL GROUP BY 1""".replace("(ORDER BY 1)", "(ORDER BY strftime(data_ocorrencia, '%Y-%m'))"))
 def t5(spark, d):
-    return P.sort_by_key(P.monthly_trend(X.ordi(spark, d)), "mes_ano")
+    return numbered(P.sort_by_key(P.monthly_trend(X.ordi(spark, d)), "mes_ano"), "posicao")
 
 
 # ---------------------------------------------------------------- O ----
@@ -491,6 +493,18 @@ def o1(spark, d):
     return P.anomaly_only_types(X.lab(spark, d))
 
 
+@query("o1_anomaly_only_types_planted", with_("lab").rstrip() + """,
+pl AS (SELECT anomalia, CASE WHEN occurrence_id % 40 = 0 THEN 'Sequestro' WHEN occurrence_id % 100 = 20 THEN 'Estupro'
+                ELSE tipo_crime END AS t FROM lab)
+SELECT DISTINCT t AS tipo_crime FROM pl WHERE anomalia = -1 AND t IS NOT NULL
+EXCEPT SELECT t FROM pl WHERE anomalia = 1""")
+def o1p(spark, d):
+    """Two types that only anomalous rows have are planted in the table."""
+    i = F.col(K.ID)
+    planted = F.when(i % 40 == 0, "Sequestro").when(i % 100 == 20, "Estupro").otherwise(F.col(K.TYPE))
+    return P.anomaly_only_types(X.lab(spark, d).withColumn(K.TYPE, planted))
+
+
 @query("o1_anomaly_only_zones_in_box", with_("lab") + f"""
 SELECT DISTINCT bairro FROM lab WHERE anomalia = -1 AND bairro IS NOT NULL AND {CITY_SQL}
 EXCEPT SELECT bairro FROM lab WHERE anomalia = 1 AND {CITY_SQL}""")

@@ -16,6 +16,7 @@ from sentinela.operators import filters
 from sentinela.plans import fixtures as X
 from sentinela.plans.oracle_base import pct, rhu, with_
 from sentinela.plans.q_aggs import CASE_SCOPE
+from sentinela.plans.q_rows import PERIOD_SQL, WD_SQL
 from sentinela.plans.registry import query
 
 
@@ -31,7 +32,8 @@ def m4(spark, d):
 
 @query("m5_dbscan")
 def m5(spark, d):
-    return C.dbscan(_scope(spark, d), [K.LAT, K.LON, "hora"], eps=0.3, min_samples=10).select(K.ID, "cluster")
+    """The batch job's form: all rows."""
+    return C.dbscan(X.cal(spark, d), [K.LAT, K.LON, "hora"], eps=0.3, min_samples=10).select(K.ID, "cluster")
 
 
 @query("m6_hierarchical")
@@ -62,31 +64,27 @@ lrd AS (SELECT nb.p, 1.0 / (avg(greatest(kd.kd, nb.dist)) + 1e-10) AS lrd FROM n
 lf AS (SELECT nb.p, avg(l2.lrd) AS m FROM nb JOIN lrd l2 ON l2.p = nb.q GROUP BY nb.p)"""
 
 
-@query("m9_local_outlier_factor", with_("cal", extra=f"""p AS (SELECT occurrence_id AS id, latitude AS a, longitude AS b,
+@query("m9_local_outlier_factor")
+def m9(spark, d):
+    """The batch job's form: all rows, 20 neighbours."""
+    r = A.lof_scores(X.cal(spark, d), [K.LAT, K.LON, "hora"], 20)
+    return r.select(K.ID, round_half_up("lof", 6).alias("lof"))
+
+
+@query("m9_lof_case_scope", with_("cal", extra=f"""p AS (SELECT occurrence_id AS id, latitude AS a, longitude AS b,
     CAST(hora AS DOUBLE) AS c FROM cal WHERE {CASE_SCOPE}),
 """ + LOF_SQL.format(k=20)) + f"""
 SELECT lf.p AS occurrence_id, {rhu("lf.m / lrd.lrd", 6)} AS lof FROM lf JOIN lrd USING (p)""")
-def m9(spark, d):
+def m9_scope(spark, d):
+    """The case dashboard's rows (its types are the feature)."""
     s = _scope(spark, d).withColumn("h", F.col("hora").cast("double"))
     r = A.lof_scores(s, [K.LAT, K.LON, "h"], 20, standardize_features=False)
     return r.select(K.ID, round_half_up("lof", 6).alias("lof"))
 
 
-@query("m9_local_outlier_factor_embeddings", """WITH
-pr AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings),
-d AS (SELECT p1.id AS p, p2.id AS q, p2.rep AS qrep, list_distance(p1.v, p2.v) AS dist FROM pr p1 JOIN pr p2 ON p1.id <> p2.id),
-""" + LOF_SQL.split("nb AS", 1)[1].join(["nb AS", ""]).format(k=10) + f"""
-SELECT lf.p AS vec_id, {rhu("lf.m / lrd.lrd", 6)} AS lof FROM lf JOIN lrd USING (p)""")
-def m9b(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    r = A.lof_scores(e, None, 10, key="vec_id", vector="embedding", standardize_features=False)
-    return r.select("vec_id", round_half_up("lof", 6).alias("lof"))
-
-
 @query("m9_lof_labels")
 def m9c(spark, d):
-    s = _scope(spark, d)
-    return A.local_outlier_factor(s, [K.LAT, K.LON, "hora"], 20, 0.05).select(K.ID, "anomalia", "lof")
+    return A.local_outlier_factor(X.cal(spark, d), [K.LAT, K.LON, "hora"], 20, 0.05).select(K.ID, "anomalia", "lof")
 
 
 @query("m10_train_risk_model")
@@ -130,7 +128,15 @@ def m19(spark, d):
     return M.predict(r.model, scen, "random_forest").select(K.ID, "previsao", "confianca")
 
 
-@query("m2_one_hot")
+@query("m2_one_hot", with_("cal", extra=f"""f AS (SELECT occurrence_id, bairro, {WD_SQL} AS dia_semana, {PERIOD_SQL} AS periodo_dia,
+    hora, mes, dow FROM cal WHERE hora IS NOT NULL AND mes IS NOT NULL AND dow IS NOT NULL),
+lv AS (SELECT list_sort(list(DISTINCT bairro))[2:] AS z, list_sort(list(DISTINCT dia_semana))[2:] AS w,
+              list_sort(list(DISTINCT periodo_dia))[2:] AS p FROM f)""") + """
+SELECT occurrence_id, list_concat(list_concat(list_concat([CASE WHEN bairro = x THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN lv.z],
+    [CASE WHEN dia_semana = x THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN lv.w]),
+    [CASE WHEN periodo_dia = x THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN lv.p]),
+    [hora::DOUBLE, mes::DOUBLE, CASE WHEN dow >= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END]) AS features
+FROM f, lv""")
 def m2(spark, d):
     """Dummies of zone, weekday and period (first level dropped) + numbers, as an array."""
     from pyspark.ml import Pipeline

@@ -87,6 +87,18 @@ def r3(spark, d):
     return R.anomaly_alerts(X.lab(spark, d))
 
 
+@query("r3_anomaly_alerts_hot_zone", with_("lab", extra=ANOM_EXTRA.replace(
+        "FROM lab", "FROM (SELECT * REPLACE (CASE WHEN occurrence_id % 40 = 0 THEN 'CENTRO' ELSE bairro END AS bairro) FROM lab)")) + f"""
+{rule_sql("alerta_noturno", "NULL", pct("k", "t", 1), "'ALERTA_NOTURNO'")}
+FROM (SELECT count(*) FILTER (WHERE hora >= 22 OR hora <= 6) AS k, count(*) AS t FROM an) a WHERE k > t * 0.5
+UNION ALL
+{rule_sql("alerta_geografico", "bairro", pct("n", "total", 1), "'ALERTA_GEOGRAFICO'")} FROM az WHERE n > total * 0.3""")
+def r3h(spark, d):
+    """Half of the anomalies are moved to one zone."""
+    zone = F.when(F.col(K.ID) % 40 == 0, "CENTRO").otherwise(F.col(K.ZONE))
+    return R.anomaly_alerts(X.lab(spark, d).withColumn(K.ZONE, zone))
+
+
 @query("r3_anomaly_alerts_night_scope", with_("lab", extra=ANOM_EXTRA.replace(
         "WHERE anomalia = -1", "WHERE anomalia = -1 AND (hora >= 20 OR hora <= 7)")) + f"""
 {rule_sql("alerta_noturno", "NULL", pct("k", "t", 1), "'ALERTA_NOTURNO'")}
@@ -195,17 +207,18 @@ def m3(spark, d):
 HASH_U = "CAST(('0x' || substr(md5(CAST(occurrence_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-@query("m14_split", with_("occ") + f"""
-SELECT occurrence_id, CASE WHEN {HASH_U} < 0.2 THEN 'teste' ELSE 'treino' END AS conjunto FROM occ""")
+SPLIT = f"""sp AS (SELECT occurrence_id, nivel_risco, CASE WHEN row_number() OVER (PARTITION BY nivel_risco ORDER BY {HASH_U}, occurrence_id)
+    <= floor(count(*) OVER (PARTITION BY nivel_risco) * 0.2 + 0.5) THEN 'teste' ELSE 'treino' END AS conjunto FROM risk)"""
+
+
+@query("m14_split", with_("risk", extra=SPLIT) + "SELECT occurrence_id, conjunto FROM sp")
 def m14(spark, d):
-    return split(X.occ(spark, d)).select(K.ID, "conjunto")
+    return split(X.risk(spark, d), stratify="nivel_risco").select(K.ID, "conjunto")
 
 
-@query("m14_split_counts", with_("risk") + f"""
-SELECT nivel_risco, CASE WHEN {HASH_U} < 0.2 THEN 'teste' ELSE 'treino' END AS conjunto, count(*) AS n
-FROM risk GROUP BY 1, 2""")
+@query("m14_split_counts", with_("risk", extra=SPLIT) + "SELECT nivel_risco, conjunto, count(*) AS n FROM sp GROUP BY 1, 2")
 def m14b(spark, d):
-    return split_counts(split(X.risk(spark, d)), "nivel_risco")
+    return split_counts(split(X.risk(spark, d), stratify="nivel_risco"), "nivel_risco")
 
 
 @query("m15_fold_column", with_("occ") + f"""

@@ -40,6 +40,18 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "csv", schema: T.S
     return df
 
 
+def with_key(df: DataFrame, key: str = K.ID) -> DataFrame:
+    """A row key for a table without one: a 63-bit hash of all columns.
+
+    Made after de-duplication (F9) its rows differ, so the key names a row, is
+    the same in every run and needs no shuffle.  An existing key stays.
+    """
+    if key in df.columns:
+        return df
+    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(df.columns)])
+    return df.withColumn(key, row.bitwiseAND(F.lit((1 << 63) - 1)))
+
+
 def read_upload_or_default(spark: SparkSession, upload_path: str | None, default_path: str,
                            fmt: str = "csv") -> tuple[DataFrame, list[str]]:
     """S3: an uploaded table must hold the five required columns; otherwise the
@@ -60,7 +72,8 @@ def write_results(df: DataFrame, path: str, metrics: dict[str, float] | None = N
     so date filters prune files) and the run metrics appended to ``path/_metrics``."""
     spark = df.sparkSession
     parts = [c for c in partition_by if c in df.columns]
-    w = df.write.mode("overwrite")
+    # rebalanced by year and month: few files in each, large months split over several
+    w = (df.hint("rebalance", *parts) if parts else df).write.mode("overwrite")
     (w.partitionBy(*parts) if parts else w).parquet(f"{path}/table")
     run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
     if metrics:

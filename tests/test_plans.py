@@ -66,7 +66,7 @@ def test_aggregation_is_partial(spark):
 
 
 def test_broadcast_only_below_the_bound(spark):
-    from sentinela.plans.hints import bounded_broadcast, small_or_persisted
+    from sentinela.plans.hints import bounded_broadcast
     small = spark.range(5)
     big = spark.range(50)
     assert bounded_broadcast(big, max_rows=10) is big            # above the bound: no hint
@@ -80,7 +80,27 @@ def test_broadcast_only_below_the_bound(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in p_hint
     assert "BroadcastHashJoin" not in p_plain
-    local, is_small = small_or_persisted(spark.range(5), max_rows=10)
-    assert is_small and local.count() == 5
-    kept, is_small = small_or_persisted(spark.range(50), max_rows=10)
-    assert not is_small and kept.storageLevel.useDisk and kept.count() == 50
+
+
+def test_rules_read_the_input_once_and_keep_no_cache(spark):
+    for name in ("s8_report_tables", "r1_report_insights", "r4_statistics_insights", "m21_anomaly_profile"):
+        p = plan(Q[name](spark, SF0001))
+        assert "Scan parquet" not in p and "InMemory" not in p      # only the settled counts
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_ranked_positions(spark):
+    from sentinela.plans.hints import ranked
+    got = ranked(spark.range(1000).selectExpr("id * 7 % 1000 AS v").repartition(7), ["v"], "at").collect()
+    assert sorted((r["v"], r["at"]) for r in got) == [(i, i) for i in range(1000)]
+    assert ranked(spark.range(0), ["id"], "at").count() == 0
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sentinela.session import ensure_checkpoint_dir
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)
