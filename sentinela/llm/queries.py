@@ -63,7 +63,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed patterns and what the tagger adds."""
     from sentinela.llm.secret_scan import scan, train
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, "text", train(docs, "text"))
+    found = scan(docs, "text", train(docs, "doc_id", "text"))
     listed = lambda spans: F.array_join(F.transform(
         spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")

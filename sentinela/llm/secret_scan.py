@@ -269,18 +269,21 @@ def _planted(body: str, at: int, draw: np.random.Generator) -> tuple[str, list[t
     return head + value + pick(('"', " ", "\n", "; ")) + body[at:at + 120], [(len(head), len(head) + len(value))]
 
 
-def train(df: DataFrame, text: str, sample: int = SAMPLE) -> Crf:
-    """Weights from at most ``sample`` texts with a base span and as many without, picked by a hash of the text.
+def train(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Crf:
+    """Weights from about ``sample`` texts with a base span and as many without, picked by a hash of key and text.
 
     Silver labels: the values of the base spans, and made-up secrets of further
     names, signs and shapes put into the same texts. Training sequences are the
     tokens around each value and stretches of the texts without one.
     """
-    rows = df.select(F.col(f"`{text}`").alias("text")).where("text is not null")
     pattern = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    texts = [[r["text"] for r in rows.where(side).select("text", F.xxhash64("text").alias("h"))
-              .orderBy("h", "text").limit(sample).collect()] for side in
-             (F.col("text").rlike(pattern), ~F.col("text").rlike(pattern))]
+    body = F.col(f"`{text}`")
+    rows = df.where(body.isNotNull()).select(body.alias("text"), body.rlike(pattern).alias("hit"), (F.xxhash64(
+        F.lit(6), F.col(f"`{key}`"), body).bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))).alias("draw"))
+    counts = {r["hit"]: r["n"] for r in rows.groupBy("hit").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("hit"), sample / max(counts.get(True, 0), sample)).otherwise(sample / max(counts.get(False, 0), sample))
+    picked = rows.where(F.col("draw") < share).select("text", "hit").distinct().collect()
+    texts = [sorted(r["text"] for r in picked if r["hit"] == side) for side in (True, False)]
     sequences, draw = [], np.random.Generator(np.random.PCG64(sample))
     for bodies in texts:
         for body in bodies:

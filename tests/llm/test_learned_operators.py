@@ -151,20 +151,20 @@ def test_base_spans_of_tricky_texts():
 def test_secrets_odd_rows(spark):
     from sentinela.llm.secret_scan import scan, train
     docs = odd_documents(spark)
-    model = train(docs, "text")
+    model = train(docs, "doc_id", "text")
     rows = scan(docs, "text", model).collect()
     assert len(rows) == len(odd_rows())
     for r in rows:
         listed = [f"{s.kind}:{s.start}:{s.end}" for s in r.found if s.kind != "crf"]
         assert listed == plain_base(r.record.text or "")
     assert scan(empty_documents(spark), "text", model).count() == 0
-    assert scan(docs, "text", train(empty_documents(spark), "text")).count() == len(rows)
+    assert scan(docs, "text", train(empty_documents(spark), "doc_id", "text")).count() == len(rows)
 
 
 @pytest.fixture(scope="module")
 def tagger(spark):
     from sentinela.llm.secret_scan import train
-    return train(spark.read.parquet(f"{SF001}/documents.parquet"), "text")
+    return train(spark.read.parquet(f"{SF001}/documents.parquet"), "doc_id", "text")
 
 
 def test_tagger_adds_secrets_and_leaves_prose(spark, tagger):
