@@ -39,9 +39,6 @@ def risk(spark: SparkSession, d: str) -> DataFrame:
     return risk_tier(lab(spark, d))
 
 
-SHIFT = {K.RISK_LOW: K.RISK_MID, K.RISK_MID: K.RISK_HIGH, K.RISK_HIGH: K.RISK_LOW}
-
-
 def pred(spark: SparkSession, d: str) -> DataFrame:
     """Prediction fixture: true label = risk tier, prediction shifted for every 7th id."""
     r = risk(spark, d)

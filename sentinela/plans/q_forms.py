@@ -124,10 +124,11 @@ def m4_check(spark, d):
     v = vector_to_array("features")
     far = [F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)),
                        F.lit(0.0), lambda s, x: s + x) for c in model.clusterCenters()]
-    own = F.element_at(F.array(*far), F.col("cluster") + 1)
+    lab = lab.select("cluster", F.array(*far).alias("far"))
+    own = F.element_at("far", F.col("cluster") + 1)
     return lab.agg(F.count(F.lit(1)).alias("linhas"), F.count_if(F.col("cluster") < 0).cast("int").alias("sem_grupo"),
                    F.count_distinct("cluster").cast("int").alias("grupos"),
-                   F.count_if(own > F.least(*far) + 1e-6).cast("int").alias("mal_postas"))
+                   F.count_if(own > F.array_min("far") + 1e-6).cast("int").alias("mal_postas"))
 
 
 @query("m6_hierarchical_check", with_("cal") + "SELECT count(*) AS linhas, 0 AS sem_grupo, 5 AS grupos FROM cal")
