@@ -15,9 +15,9 @@ import numpy as np
 CHUNK = 1 << 19
 
 _random = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BYTE = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = _random.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,8 +74,8 @@ def spans(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and each text's first word (n + 1 bounds)."""
     data, begin, end, bounds = spans(texts)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * powers(_BASE, len(data)), dtype=np.uint64)])
-    return mixed((total[end] - total[begin]) * powers(_INVERSE, len(data))[begin]), bounds
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(BASE, len(data)), dtype=np.uint64)])
+    return mixed((total[end] - total[begin]) * powers(INVERSE, len(data))[begin]), bounds
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ only sequence whose neighbours are all compatible is what the merges produce.
 from __future__ import annotations
 
 import json
+from array import array
 from itertools import accumulate
 
 import ahocorasick
@@ -68,8 +69,10 @@ class Encoder:
         for i, t in enumerate(tokens):
             if i not in special and (self.rank[i] or len(t) == 1):
                 known[t.decode("latin-1")] = i
-                self.automaton.add_word(t.decode("latin-1"), i)
+                if len(t) > 1:
+                    self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.byte = [known[chr(b)] for b in range(256)]
         self.shorter: list[int | None] = [None] * len(tokens)  # the longest token that is a proper prefix
         for t, i in known.items():
             self.shorter[i] = next((known[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in known), None)
@@ -80,12 +83,10 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging by rank leaves the cut between two neighbouring tokens."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._cut_stays(a, b)
+        """Whether merging by rank leaves the cut between two neighbouring tokens; remembered."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self._cut_stays(a, b)
         return known
 
     def _cut_stays(self, a: int, b: int) -> bool:
@@ -108,30 +109,38 @@ class Encoder:
 
     def piece(self, text: str) -> list[int]:
         """Tokens of one piece, given as one character for each byte."""
-        size, length, shorter = len(text), self.length, self.shorter
-        longest = [0] * size
+        size, length, shorter, fits = len(text), self.length, self.shorter, self.pairs.get
+        byte = self.byte
+        longest = [byte[b] for b in text.encode("latin-1")]
         for end, token in self.automaton.iter(text):
             longest[end + 1 - length[token]] = token
         out: list[int] = []
-        dead, at, token = bytearray(size + 1), 0, longest[0]
+        dead, at, token, last = bytearray(size + 1), 0, longest[0], None
         while True:
-            while token is not None and (dead[at + length[token]] or out and not self.compatible(out[-1], token)):
+            while token is not None:
+                if not dead[at + length[token]]:
+                    if last is None:
+                        break
+                    good = fits((last, token))
+                    if good or good is None and self.compatible(last, token):
+                        break
                 token = shorter[token]
             if token is None:
                 dead[at] = 1
                 back = out.pop()
-                at, token = at - length[back], shorter[back]
+                at, token, last = at - length[back], shorter[back], out[-1] if out else None
                 continue
             out.append(token)
             at += length[token]
             if at == size:
                 return out
-            token = longest[at]
+            last, token = token, longest[at]
 
     def _learn(self, piece: str) -> bytes:
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        packed = np.array(self.piece(piece.encode().decode("latin-1")), np.int32).tobytes()
+        units = piece if piece.isascii() else piece.encode().decode("latin-1")
+        packed = array("i", self.piece(units)).tobytes()
         if len(piece) <= 64:
             self.pieces[piece] = packed
         return packed

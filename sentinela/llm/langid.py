@@ -47,8 +47,8 @@ class Words:
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         begin, end = edge[0::2], edge[1::2]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-            words.mixed(data.astype(np.uint64) + np.uint64(7)) * words.powers(words._BASE, len(data)), dtype=np.uint64)])
-        hashes = (total[end] - total[begin]) * words.powers(words._INVERSE, len(data))[begin]
+            words.mixed(data.astype(np.uint64) + np.uint64(7)) * words.powers(words.BASE, len(data)), dtype=np.uint64)])
+        hashes = (total[end] - total[begin]) * words.powers(words.INVERSE, len(data))[begin]
         _, first, self.which, self.counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         self.bounds = np.searchsorted(begin, np.cumsum([1, *(len(t) + 1 for t in lowered)]))
         self.sizes = end[first] - begin[first] + 2  # with both marks

@@ -76,8 +76,8 @@ _SETS, _QUOTES = _among(b"=:"), _among(b"\"'`")
 
 def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64),
-                            np.cumsum(words._BYTE[data] * words.powers(words._BASE, len(data)), dtype=np.uint64)])
-    return (total[end] - total[begin]) * words.powers(words._INVERSE, len(data))[begin]
+                            np.cumsum(words.BYTE[data] * words.powers(words.BASE, len(data)), dtype=np.uint64)])
+    return (total[end] - total[begin]) * words.powers(words.INVERSE, len(data))[begin]
 
 
 class Tokens:

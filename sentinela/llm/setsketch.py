@@ -111,7 +111,8 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (hub, node) whose estimate from the registers is at least ``least``."""
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"k_{c}"))
+    def side(name: str, size: str, keys: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(name), F.col("n").alias(size), F.col("keys").alias(keys))
 
     def run(batches):
         for batch in batches:
@@ -122,8 +123,8 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame
             keep = pa.array(likely(a, na, b, nb) >= least)
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["hub", "node"])
 
-    return (pairs.join(side("hub").withColumnRenamed("n_hub", "n1"), "hub").join(side("node").withColumnRenamed("n_node", "n2"), "node")
-            .select("hub", "node", "k_hub", "k_node", "n1", "n2").mapInArrow(run, "hub long, node long"))
+    return (pairs.join(side("hub", "n1", "k1"), "hub").join(side("node", "n2", "k2"), "node")
+            .select("hub", "node", "k1", "k2", "n1", "n2").mapInArrow(run, "hub long, node long"))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -151,8 +152,10 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (n_hub, n_node, both)),
                  pa.array(differ, pa.list_(pa.int64()))], ["hub", "node", "n_hub", "n_node", "both", "differ"])
 
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return (pairs.join(side("hub"), "hub").join(side("node"), "node").select("hub", "node", "text_hub", "text_node")
+    def side(name: str, body: str) -> DataFrame:
+        return texts.select(F.col("node").alias(name), F.col("text").alias(body))
+
+    return (pairs.join(side("hub", "t1"), "hub").join(side("node", "t2"), "node").select("hub", "node", "t1", "t2")
             .mapInArrow(run, "hub long, node long, n_hub long, n_node long, both long, differ array<long>"))
 
 
@@ -181,7 +184,7 @@ def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> D
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
         .where("labels > 1").select("hub", F.col("m.label").alias("top"), F.ceil(F.col("m.n") / BLOCK).alias("xs"),
                                     F.ceil((F.col("n") - F.col("m.n")) / BLOCK).alias("ys")), "open")
-    rows = tagged.join(groups, "hub").withColumn("main", F.col("label") == F.col("top"))
+    rows = tagged.join(bounded_broadcast(groups), "hub").withColumn("main", F.col("label") == F.col("top"))
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

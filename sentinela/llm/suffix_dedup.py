@@ -43,8 +43,8 @@ def rolling(hashes: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.n
     out = []
     for s in (seed, seed + 1):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-            words.mixed(hashes + np.uint64(s)) * words.powers(words._BASE, len(hashes)), dtype=np.uint64)])
-        run = (total[width:] - total[:-width]) * words.powers(words._INVERSE, len(hashes))[:len(hashes) - width + 1]
+            words.mixed(hashes + np.uint64(s)) * words.powers(words.BASE, len(hashes)), dtype=np.uint64)])
+        run = (total[width:] - total[:-width]) * words.powers(words.INVERSE, len(hashes))[:len(hashes) - width + 1]
         out.append(words.mixed(run))
     return out[0], out[1]
 
