@@ -27,7 +27,7 @@ from sentinela.llm._base import for_python
 #: The byte-level pre-tokenizer's pattern (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries kept in a task's memory of pieces and of token pairs; beyond that the memory starts anew.
-PIECES, PAIRS = 400_000, 400_000
+PIECES, PAIRS = 200_000, 100_000
 
 
 def byte_names() -> dict[str, int]:
@@ -200,27 +200,38 @@ class Bpe:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            encoder = _table(Encoder, shared)
-            rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            return _encoded(_table(Encoder, shared), texts)
 
         @F.arrow_udf("string")
         def decode(rows: pa.Array) -> pa.Array:
-            decoder, out = _table(Decoder, shared), []
-            for at in range(0, len(rows), 16):  # the working arrays of a few documents at a time
-                part = rows.slice(at, 16).fill_null([])
-                bounds = np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))])
-                ids = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                out += decoder.decode(ids.astype(np.int64), bounds.astype(np.int64))
-            return pa.array(out, pa.string())
+            return _decoded(_table(Decoder, shared), rows)
 
-        self.encode, self.decode = encode, decode
+        @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+        def both(texts: pa.Array) -> pa.Array:
+            ids = _encoded(_table(Encoder, shared), texts)
+            return pa.StructArray.from_arrays([ids, _decoded(_table(Decoder, shared), ids)], ["ids", "decoded"])
+
+        self.encode, self.decode, self.both = encode, decode, both
+
+
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+def _decoded(decoder: Decoder, rows: pa.ListArray) -> pa.Array:
+    out: list[str] = []
+    for at in range(0, len(rows), 16):  # the working arrays of a few documents at a time
+        part = rows.slice(at, 16).fill_null([])
+        bounds = np.concatenate([[0], np.cumsum(part.value_lengths().to_numpy(zero_copy_only=False))])
+        ids = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        out += decoder.decode(ids.astype(np.int64), bounds.astype(np.int64))
+    return pa.array(out, pa.string())
 
 
 def tokenize(df: DataFrame, text: str, path: str) -> DataFrame:
     """``record`` (all columns), ``ids`` and ``decoded`` of each row's text; one narrow pass, no shuffle."""
     bpe = Bpe(df.sparkSession, path)
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return (df.select(record.alias("record"), bpe.encode(F.col(f"`{text}`")).alias("ids"))
-            .select("record", "ids", bpe.decode("ids").alias("decoded")))
+    return df.select(record.alias("record"), bpe.both(F.col(f"`{text}`")).alias("r")).select("record", "r.*")

@@ -227,3 +227,14 @@ def test_sketches_merge(spark):
                   containment(F.col("sc"), F.col("sa")).alias("of")).first()
     assert r.m.kept == r.sc.kept and abs(r.m.n - r.sc.n) < 200
     assert r["in"] == 1.0 and abs(r.of - 2 / 3) < 0.1
+
+
+def test_encode_and_decode_columns(spark, library):
+    """The separate column functions agree with the library, null ids and texts included."""
+    from sentinela.llm.bpe import Bpe
+    bpe = Bpe(spark, VOCABULARY)
+    df = spark.createDataFrame([("a b c",), (None,), ("é <|endoftext|>",)], "t string")
+    rows = df.select("t", bpe.encode("t").alias("i")).collect()
+    assert [r.i for r in rows] == [library.encode(r.t or "", add_special_tokens=False).ids for r in rows]
+    ids = spark.createDataFrame([([64, None, 50257, -1, 65],), (None,), ([],)], "i array<int>")
+    assert [r.d for r in ids.select(bpe.decode("i").alias("d")).collect()] == [library.decode([64, 65]), "", ""]
