@@ -229,8 +229,9 @@ def local_outlier_factor(df: DataFrame, features: Sequence[str] | None = None, n
 
 def lof_scores(df: DataFrame, features: Sequence[str] | None = None, n_neighbors: int = 20, key: str = K.ID,
                vector: str | None = None, standardize_features: bool = True) -> DataFrame:
-    """(key, lof) only — the deterministic part of M9."""
-    return _lof(df, features, n_neighbors, key, vector, standardize_features, "lof")
+    """(key, lof) only — the deterministic part of M9; no rows with fewer than two points."""
+    scores = _lof(df, features, n_neighbors, key, vector, standardize_features, "lof")
+    return scores if scores is not None else df.where(F.lit(False)).select(key, F.lit(0.0).alias("lof"))
 
 
 def detect_anomalies(df: DataFrame, method: str = "isolation_forest", **options) -> DataFrame:

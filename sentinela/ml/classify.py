@@ -181,6 +181,8 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
     num = [c for c in RISK_NUMERIC if c not in exclude_features]
     d = settled(ensure_parallelism(split(d.select(K.ID, *{*cat, *num, K.ZONE, "nivel_risco"}), test_size, seed,
                                          stratify="nivel_risco")))
+    if d.select("nivel_risco").where("nivel_risco is not null").isEmpty():
+        raise ValueError("no rows to train on")
     weight = "peso" if model_type == "random_forest" else None
     weighted = (lambda x: class_weights(x, "nivel_risco")) if weight else (lambda x: x)
     train = weighted(d.where(F.col("conjunto") == "treino"))

@@ -10,6 +10,7 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +67,8 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     """M4: k-means on standardised dummies and numbers; the best of ``n_init``
     seeded runs (lowest within-cluster cost) is kept.
 
-    Returns (labelled frame, fitted feature PipelineModel, KMeansModel).  Rows
+    Returns (labelled frame, fitted feature PipelineModel, KMeansModel); the
+    models are None if no row has all features.  Rows
     with a NULL feature take no part in the fit; they stay in the table with
     label −1 and no feature vector.  Only the feature vectors are cached, for
     the runs; every row is labelled by the fitted model in place.
@@ -75,6 +77,9 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
     for c in [*cat_cols, *num_cols]:
         whole = whole & F.col(c).isNotNull()
     complete = df.where(whole)
+    rest = df.where(~whole).withColumns({out: F.lit(-1), "features": F.lit(None).cast(VectorUDT())})
+    if complete.isEmpty():
+        return rest.select(*df.columns, "features", out), None, None
     feats = Pipeline(stages=feature_pipeline(complete, cat_cols, num_cols)).fit(complete)
     vectors = feats.transform(complete)
     x = ensure_parallelism(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
@@ -84,8 +89,6 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol=out).fit(x)
         return m.summary.trainingCost, i, m
     try:
-        if x.isEmpty():
-            raise ValueError("no row has all features")
         # the starts are independent Spark jobs: submit them concurrently
         with ThreadPoolExecutor(max_workers=min(n_init, _WORKERS)) as pool:
             fits = list(pool.map(fit, range(n_init)))
@@ -93,8 +96,7 @@ def kmeans(df: DataFrame, k: int = 5, seed: int = 42, n_init: int = 10,
         x.unpersist()
     best = min(fits, key=lambda t: (t[0], t[1]))[2]
     labelled = best.transform(vectors).select(*df.columns, "features", F.col(out).cast("int").alias(out))
-    rest = df.where(~whole).withColumn(out, F.lit(-1))
-    return labelled.unionByName(rest, allowMissingColumns=True), feats, best
+    return labelled.unionByName(rest), feats, best
 
 
 def silhouette(df: DataFrame, features: str = "features", label: str = "cluster",
@@ -211,16 +213,16 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, seed: int =
     for c in zc:
         whole = whole & F.col(c).isNotNull()
     vectors = asm.transform(z.where(whole)).select(*df.columns, "features")
+    rest = z.where(~whole).select(*df.columns, F.lit(None).cast(VectorUDT()).alias("features"), F.lit(-1).alias(out))
+    if vectors.isEmpty():
+        return rest
     x = ensure_parallelism(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if x.isEmpty():
-            return df.withColumn(out, F.lit(-1))
         model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=out, maxIter=30).fit(x)
     finally:
         x.unpersist()
     labelled = model.transform(vectors).withColumn(out, F.col(out).cast("int"))
-    rest = z.where(~whole).select(*df.columns, F.lit(-1).alias(out))
-    return labelled.unionByName(rest, allowMissingColumns=True)
+    return labelled.unionByName(rest)
 
 
 def cluster(df: DataFrame, method: str = "kmeans", **options) -> DataFrame:

@@ -121,6 +121,8 @@ def j6(spark, d):
 def m4_check(spark, d):
     """Rows, rows without a cluster, clusters, and rows that another centre is nearer to."""
     lab, _f, model = C.kmeans(X.cal(spark, d), k=5, seed=42, n_init=3)
+    if model is None:
+        return lab.agg(F.count(F.lit(1)).alias("linhas"), *[F.lit(0).alias(c) for c in ("sem_grupo", "grupos", "mal_postas")])
     v = vector_to_array("features")
     far = [F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)),
                        F.lit(0.0), lambda s, x: s + x) for c in model.clusterCenters()]

@@ -71,7 +71,8 @@ def write_results(df: DataFrame, path: str, metrics: dict[str, float] | None = N
     """Labelled table as Parquet (partitioned by year and month when present,
     so date filters prune files) and the run metrics appended to ``path/_metrics``."""
     spark = df.sparkSession
-    parts = [c for c in partition_by if c in df.columns]
+    # an empty table is written without partitions: their folders would hold no file and no schema
+    parts = [c for c in partition_by if c in df.columns and not df.isEmpty()]
     # rebalanced by year and month: few files in each, large months split over several
     w = (df.hint("rebalance", *parts) if parts else df).write.mode("overwrite")
     (w.partitionBy(*parts) if parts else w).parquet(f"{path}/table")
