@@ -1,25 +1,30 @@
 """The two dashboards of the original as table plans: each tab is a
 dictionary of DataFrames computed by the operators (charts are not built).
 
-The filtered base is persisted once because every tab reads it.
+The filtered base is settled once because every tab reads it.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
-from sentinela.ml import evaluate as EV
+from sentinela.ml import anomaly as A, cluster as C, evaluate as EV
+from sentinela.ml.features import label_encode
 from sentinela.operators import clean, crosstab as X6, derive, filters, geo, insights as R, profile as P
 from sentinela.operators.report import report_tables
+from sentinela.plans.hints import settled
+
+#: Features of the case dashboard's clusterings and anomaly detectors (with codes of type and zone).
+CASE_CLUSTER = [K.LAT, K.LON, "hora", "tipo_idx", "bairro_idx"]
+CASE_ANOMALY = [K.LAT, K.LON, "hora", "tipo_idx", K.VICTIMS, K.SUSPECTS]
 
 
 def general_base(prepared: DataFrame, spec: filters.FilterSpec | None = None) -> DataFrame:
     """Prepared (labelled) table → filtered base of the general dashboard."""
     d = prepared if "hora" in prepared.columns else derive.derive_time_features(prepared)
-    return filters.apply_filters(d, spec or filters.FilterSpec()).persist(StorageLevel.MEMORY_AND_DISK)
+    return settled(filters.apply_filters(d, spec or filters.FilterSpec()))
 
 
 def general_tabs(prepared: DataFrame, spec: filters.FilterSpec | None = None,
@@ -76,7 +81,28 @@ def case_base(df: DataFrame, spec: filters.FilterSpec | None = None) -> DataFram
     d = filters.filter_in(df, K.TYPE, K.CASE_TYPES)
     d = derive.add_weekday(derive.add_calendar(d), names=K.WEEKDAYS_CAPITAL)
     d = derive.add_victim_fields(d)
-    return filters.apply_filters(d, spec or filters.FilterSpec()).persist(StorageLevel.MEMORY_AND_DISK)
+    return settled(filters.apply_filters(d, spec or filters.FilterSpec()))
+
+
+def with_codes(df: DataFrame) -> DataFrame:
+    """Alphabetical codes of type and zone, which the case models read."""
+    return label_encode(label_encode(df, K.TYPE, "tipo_idx"), K.ZONE, "bairro_idx")
+
+
+def case_models(base: DataFrame, k: int = 4, eps: float = 0.5, min_samples: int = 3, contamination: float = 0.1,
+                n_neighbors: int = 10) -> dict[str, dict[str, DataFrame]]:
+    """The case dashboard's cluster and anomaly tabs: labelled tables of both
+    clusterings and both detectors, on scaled features."""
+    coded = settled(with_codes(base))
+    features = [c for c in CASE_ANOMALY if c in coded.columns]
+    return {
+        "agrupamento": {"kmeans": C.cluster(coded, "kmeans", k=k, n_init=1, cat_cols=[], num_cols=CASE_CLUSTER),
+                        "dbscan": C.cluster(coded, "dbscan", features=CASE_CLUSTER, eps=eps, min_samples=min_samples)},
+        "anomalias": {"isolation_forest": A.detect_anomalies(coded, "isolation_forest", features=features,
+                                                             contamination=contamination),
+                      "lof": A.detect_anomalies(coded, "local_outlier_factor", features=features,
+                                                n_neighbors=n_neighbors, contamination=contamination)},
+    }
 
 
 def case_tabs(df: DataFrame, spec: filters.FilterSpec | None = None) -> dict[str, dict[str, DataFrame]]:

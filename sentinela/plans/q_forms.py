@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from sentinela import constants as K
 from sentinela.ml import anomaly as A, classify as M, cluster as C
-from sentinela.ml.features import label_encode, one_hot_stages
+from sentinela.ml.features import one_hot_stages
 from sentinela.operators import filters
 from sentinela.operators.joins import attach_predictions
 from sentinela.plans import fixtures as X
 from sentinela.plans.batch import score_and_label
+from sentinela.plans.dashboards import CASE_ANOMALY, CASE_CLUSTER, with_codes
 from sentinela.plans.oracle_base import with_
 from sentinela.plans.q_aggs import CASE_SCOPE
 from sentinela.plans.q_rows import AS_OF_EVENTS, CITY_SQL
@@ -204,12 +205,7 @@ def m22(spark, d):
 # ---------------------------------------------------------------- case dashboard's forms ----
 def _cases(spark, d):
     """Case types with alphabetical codes of type and zone."""
-    s = filters.filter_in(X.cal(spark, d), K.TYPE, K.CASE_TYPES)
-    return label_encode(label_encode(s, K.TYPE, "tipo_idx"), K.ZONE, "bairro_idx")
-
-
-FIVE = [*GEO, "tipo_idx", "bairro_idx"]
-SIX = [*GEO, "tipo_idx", K.VICTIMS, K.SUSPECTS]
+    return with_codes(filters.filter_in(X.cal(spark, d), K.TYPE, K.CASE_TYPES))
 
 
 @query("m4_case_kmeans", with_("cal", extra="k AS (SELECT unnest(range(2, 9)) AS k)") + f"""
@@ -219,7 +215,7 @@ def m4_case(spark, d):
     """k = 2 … 8 on five encoded, scaled features: rows, clusters and a silhouette in range for each."""
     base, out = _cases(spark, d), None
     for k in range(2, 9):
-        lab = C.cluster(base, "kmeans", k=k, n_init=1, cat_cols=[], num_cols=FIVE)
+        lab = C.cluster(base, "kmeans", k=k, n_init=1, cat_cols=[], num_cols=CASE_CLUSTER)
         s = C.silhouette(lab)
         row = lab.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("linhas"), F.count_distinct("cluster").cast("int").alias("grupos"),
                       F.lit(-1 <= s <= 1 and s != 0).alias("silhueta_valida"))
@@ -230,7 +226,7 @@ def m4_case(spark, d):
 @query("m5_case_dbscan", with_("cal") + f"SELECT count(*) AS linhas, 0 AS pequenos FROM cal WHERE {CASE_SCOPE}")
 def m5_case(spark, d):
     """eps 0.5, 3 samples on the same features: rows, and clusters smaller than a core point needs."""
-    sizes = C.cluster(_cases(spark, d), "dbscan", features=FIVE, eps=0.5, min_samples=3).groupBy("cluster").agg(
+    sizes = C.cluster(_cases(spark, d), "dbscan", features=CASE_CLUSTER, eps=0.5, min_samples=3).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.sum("n").alias("linhas"), F.count_if((F.col("cluster") >= 0) & (F.col("n") < 3)).cast("int").alias("pequenos"))
 
@@ -238,8 +234,8 @@ def m5_case(spark, d):
 @query("m7_silhouette_dbscan")
 def m7_dbscan(spark, d):
     """Silhouette of the DBSCAN labels without noise, on the scaled features."""
-    lab = C.cluster(_cases(spark, d), "dbscan", features=FIVE, eps=0.5, min_samples=3)
-    return spark.range(1).select(F.lit(C.silhouette(C.with_vector(lab, FIVE))).alias("silhouette_sq"))
+    lab = C.cluster(_cases(spark, d), "dbscan", features=CASE_CLUSTER, eps=0.5, min_samples=3)
+    return spark.range(1).select(F.lit(C.silhouette(C.with_vector(lab, CASE_CLUSTER))).alias("silhouette_sq"))
 
 
 @query("m7_silhouette_hierarchical")
@@ -250,7 +246,7 @@ def m7_hier(spark, d):
 @query("m8_case_isolation_forest", with_("cal") + f"SELECT count(*) AS linhas, 0 AS discordam FROM cal WHERE {CASE_SCOPE}")
 def m8_case(spark, d):
     """10 % on six features."""
-    lab = A.detect_anomalies(_cases(spark, d), "isolation_forest", features=SIX, contamination=0.1)
+    lab = A.detect_anomalies(_cases(spark, d), "isolation_forest", features=CASE_ANOMALY, contamination=0.1)
     cut = lab.agg(F.percentile("score_anomalia", 0.9)).scalar()
     wrong = ((F.col("anomalia") == -1) != (F.col("score_anomalia") > cut)) & (F.abs(F.col("score_anomalia") - cut) > 1e-9)
     return lab.agg(F.count(F.lit(1)).alias("linhas"), F.count_if(wrong).cast("int").alias("discordam"))
@@ -259,7 +255,7 @@ def m8_case(spark, d):
 @query("m9_case_lof", with_("cal") + f"SELECT count(*) AS linhas, 0 AS discordam FROM cal WHERE {CASE_SCOPE}")
 def m9_case(spark, d):
     """10 neighbours, 10 % on six features."""
-    lab = A.detect_anomalies(_cases(spark, d), "local_outlier_factor", features=SIX, n_neighbors=10, contamination=0.1)
+    lab = A.detect_anomalies(_cases(spark, d), "local_outlier_factor", features=CASE_ANOMALY, n_neighbors=10, contamination=0.1)
     cut = lab.agg(F.percentile("lof", 0.9)).scalar()
     wrong = ((F.col("anomalia") == -1) != (F.col("lof") > cut)) & (F.abs(F.col("lof") - cut) > 1e-9)
     return lab.agg(F.count(F.lit(1)).alias("linhas"), F.count_if(wrong).cast("int").alias("discordam"))

@@ -395,3 +395,19 @@ def test_lof_partition_invariant(spark):
     a = {r[0]: r[1] for r in A.lof_scores(df, ["a", "b"], 15).collect()}
     b = {r[0]: r[1] for r in A.lof_scores(df.repartition(11).orderBy(F.rand(3)), ["a", "b"], 15).collect()}
     assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-9
+
+
+def test_case_dashboard_models_and_method_names(spark):
+    from sentinela.plans import dashboards as D, fixtures as X
+    base = D.case_base(X.occ(spark, SF0001))
+    tabs = D.case_models(base)
+    n = base.count()
+    for tab in tabs.values():
+        for df in tab.values():
+            assert df.count() == n
+    assert set(r[0] for r in tabs["agrupamento"]["kmeans"].select("cluster").distinct().collect()) == {0, 1, 2, 3}
+    assert {r[0] for r in tabs["anomalias"]["lof"].select("anomalia").distinct().collect()} == {-1, 1}
+    with pytest.raises(ValueError):
+        C.cluster(base, "hdbscan")
+    with pytest.raises(ValueError):
+        A.detect_anomalies(base, "zscore")
