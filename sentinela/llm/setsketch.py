@@ -30,8 +30,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Estimates spread by at most 0.046 around a similarity of 0.75; pairs this far below it are not verified.
 MARGIN = 0.23
-#: Members of a group that meet in one task, and columns of their differences compared at a time.
-BLOCK, COLUMNS = 128, 1 << 14
+#: Members of a group, and entries of their differences, in a block of which two meet in one task; columns of the
+#: differences compared at a time.
+BLOCK, ENTRIES, COLUMNS = 128, 200_000, 1 << 13
 
 _random = np.random.Generator(np.random.PCG64(314159))
 _FACTOR = _random.integers(0, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -143,14 +144,18 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return known[node]
 
         for batch in batches:
-            rows = []
-            for hub, node, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = shingles(hub, text_a), shingles(node, text_b)
-                rows.append((len(a), len(b), len(a & b), [_short(x) for x in a ^ b]))
-            n_hub, n_node, both, differ = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *(pa.array(x, pa.int64()) for x in (n_hub, n_node, both)),
-                 pa.array(differ, pa.list_(pa.int64()))], ["hub", "node", "n_hub", "n_node", "both", "differ"])
+            rows, held = [], 0
+            for hub, node, text_a, text_b in zip(*batch.columns):
+                hub, node = hub.as_py(), node.as_py()
+                a, b = shingles(hub, text_a.as_py()), shingles(node, text_b.as_py())
+                differ = np.fromiter((_short(x) for x in a ^ b), np.int64)
+                rows.append((hub, node, len(a), len(b), len(a & b), differ))
+                held += len(differ)
+                if held > ENTRIES:
+                    yield _rows(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _rows(rows)
 
     def side(name: str, body: str) -> DataFrame:
         return texts.select(F.col("node").alias(name), F.col("text").alias(body))
@@ -159,6 +164,13 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(run, "hub long, node long, n_hub long, n_node long, both long, differ array<long>"))
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    *numbers, differ = zip(*rows)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in differ])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.ListArray.from_arrays(
+        pa.array(bounds), pa.array(np.concatenate(differ)))], ["hub", "node", "n_hub", "n_node", "both", "differ"])
+
+
 def _short(shingle: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(shingle, digest_size=8).digest(), "little", signed=True)
 
@@ -179,11 +191,13 @@ def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> D
     """
     tagged = stash(compared.select("hub", "node", "n_hub", "n_node", "both", "differ")
                    .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
-    per_label = tagged.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    per_label = tagged.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("differ")).alias("e"))
+    blocks = lambda n, e: F.ceil(F.greatest(n / BLOCK, e / ENTRIES))
     groups = stash(per_label.groupBy("hub").agg(
-        F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"))
-        .where("labels > 1").select("hub", F.col("m.label").alias("top"), F.ceil(F.col("m.n") / BLOCK).alias("xs"),
-                                    F.ceil((F.col("n") - F.col("m.n")) / BLOCK).alias("ys")), "open")
+        F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "e")).alias("m"), F.sum("n").alias("n"),
+        F.sum("e").alias("e")).where("labels > 1").select(
+            "hub", F.col("m.label").alias("top"), blocks(F.col("m.n"), F.col("m.e")).alias("xs"),
+            blocks(F.col("n") - F.col("m.n"), F.col("e") - F.col("m.e")).alias("ys")), "open")
     rows = tagged.join(bounded_broadcast(groups), "hub").withColumn("main", F.col("label") == F.col("top"))
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
