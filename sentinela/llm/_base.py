@@ -13,7 +13,7 @@ from sentinela.session import ensure_checkpoint_dir, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows in one Arrow batch handed to Python (texts can be long; Spark's default is 10,000).
-ARROW_ROWS = 512
+ARROW_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
