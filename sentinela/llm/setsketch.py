@@ -33,6 +33,11 @@ MARGIN = 0.23
 #: Members of a group, and entries of their differences, in a block of which two meet in one task; columns of the
 #: differences compared at a time.
 BLOCK, ENTRIES, COLUMNS = 128, 200_000, 1 << 13
+#: Hubs that a band bucket gets one after the other, each for the members unlike the ones before.
+HUBS = 3
+#: Members of a bucket in a block of the search of what its hubs leave, and equal registers of a pair that it looks
+#: for: at the least similarity of 0.75 fewer occur with a chance below 1 in 10 million.
+REST, EQUAL = 512, 40
 
 _random = np.random.Generator(np.random.PCG64(314159))
 _FACTOR = _random.integers(0, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -230,6 +235,79 @@ def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> D
     return cells.groupBy("hub", "x", "y").applyInArrow(run, "hub long, node long").distinct()
 
 
+def _starred(left: DataFrame, members: DataFrame, labels: DataFrame, compared: DataFrame,
+             sketches: DataFrame) -> DataFrame:
+    """Pairs (hub, node) so that each likely pair that no group held yet is in one hub's group.
+
+    ``left`` (key, node) are bucket members unlike their bucket's first hub; in
+    the other buckets all members are in that hub's group. Members of their
+    buckets under different labels that share no group are compared by equal
+    registers, in blocks, each pair in the first bucket that it shares. In a
+    cell the member with the most open pairs becomes a hub for all that are
+    like it, until no pair is open, so a dense cell gives few pairs.
+    """
+    tagged = (members.select("key", "node").join(left.select("key").distinct(), "key").join(labels, "node", "left")
+              .withColumn("label", F.coalesce("label", "node")))
+    tagged = stash(tagged, "unlike")
+    buckets = (tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
+                                         F.max("label").alias("hi"))
+               .where("lo < hi").select("key", F.ceil(F.col("size") / REST).alias("blocks")))
+    pairs = compared.select("hub", "node")
+    grouped = (pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct())
+               .groupBy("node").agg(F.collect_list("hub").alias("hubs")))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+                        lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y")))
+    rows = (tagged.join(buckets, "key").withColumn("block", mine).withColumn("c", F.explode(cells))
+            .select("key", "c.x", "c.y", "block", "node", "label")
+            .join(grouped, "node", "left").join(sketches.select("node", "keys"), "node"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        found = _stars(node, label, block, table.column("hubs").to_pylist(), keys, table.column("key")[0].as_py() >> 48)
+        return pa.table({"hub": pa.array(found[0], pa.int64()), "node": pa.array(found[1], pa.int64())})
+
+    return rows.groupBy("key", "x", "y").applyInArrow(run, "hub long, node long").distinct()
+
+
+def _stars(node: np.ndarray, label: np.ndarray, block: np.ndarray, hubs: list, keys: np.ndarray,
+           band: int) -> tuple[np.ndarray, np.ndarray]:
+    n = len(node)
+    open_ = np.triu(label[:, None] != label[None, :], 1)
+    if block.min() < block.max():
+        open_ &= block[:, None] != block[None, :]
+    at: dict = {}
+    for i, own in enumerate(hubs):
+        for h in own or ():
+            at.setdefault(h, []).append(i)
+    for group in at.values():
+        if len(group) > 1:
+            open_[np.ix_(group, group)] = False
+    if not open_.any():
+        return node[:0], node[:0]
+    regs, equal = unpack(keys).astype(np.uint16), np.zeros((n, n), np.uint8)
+    for r in np.ascontiguousarray(regs.T):
+        equal += r[:, None] == r[None, :]
+    like = equal >= EQUAL
+    a, b = np.nonzero(open_ & like)
+    first = np.concatenate([np.zeros(0, np.int64)] + [
+        (keys[a[i:i + COLUMNS]] == keys[b[i:i + COLUMNS]]).argmax(axis=1) for i in range(0, len(a), COLUMNS)]) == band
+    open_[:] = False
+    open_[a[first], b[first]] = open_[b[first], a[first]] = True
+    degree = open_.sum(axis=1)
+    out: list = [(node[:0], node[:0])]
+    while degree.any():
+        p = degree.argmax()
+        star = np.flatnonzero(like[p] & (degree > 0))
+        out.append((np.full(len(star) - 1, node[p]), node[star[star != p]]))
+        cut = open_[np.ix_(star, star)]
+        degree[star] -= cut.sum(axis=1)
+        open_[np.ix_(star, star)] = False
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
 def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """For each pair of left and right owners how many of their values are the same."""
     side = np.zeros((2, n), bool)
@@ -249,6 +327,22 @@ def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.n
     return out.astype(np.int64)
 
 
+def _joined(compared: DataFrame, known: DataFrame | None, texts: DataFrame,
+            least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) in the groups of ``compared`` and the ``known`` ones, and the components that they make."""
+    linked = reaches(F.col("both"), F.col("n_hub"), F.col("n_node"), least)
+    ends = [F.col("hub").alias("a"), F.col("node").alias("b")]
+    links = compared.where(linked).select(ends)
+    links = links if known is None else links.union(known)
+    labels = components(links)
+    across = _compared(stash(_across(compared, labels, least), "across"), texts)
+    more = stash(across.where(linked).select(ends), "links")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    return links, labels
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] = (75, 100)) -> DataFrame:
     """One row per row of ``df``: id, version (a hash of the text), n_shingles, component_id, kept.
 
@@ -263,11 +357,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     Equal word sequences become one node first, so copies cost a pre-aggregated
     count. In each band bucket every node is paired with one hub, the node with
     the fullest buckets over all bands, which in a group of copies is the text
-    they come from. Hub pairs that the estimate leaves are compared on their
-    full sets and the links joined into components. A hub's group that still
-    holds several components is then searched across them, in blocks, so no
-    link between different components is left out, and pairs inside one are
-    never listed. Texts move only for nodes in a candidate pair.
+    they come from; nodes that the estimate finds unlike it get a hub of their
+    own, up to ``HUBS`` times. Hub pairs that the estimate leaves are compared
+    on their full sets and the links joined into components. A hub's group that
+    still holds several components is then searched across them, in blocks, so
+    no link between different components is left out, and pairs inside one are
+    never listed. Last, members of a bucket that no group held together are
+    compared by registers in blocks, and the likely pairs get hubs and are
+    searched in the same way, so each pair of a bucket is in one component, in
+    one hub's group, or unlikely. Texts move only for nodes in a candidate pair.
     """
     for_python(df.sparkSession)
     body = F.col(f"`{text}`")
@@ -281,22 +379,26 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     full = stash(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "full")
     members = stash(bands.join(full, "key"), "members")
     scores = stash(members.groupBy("node").agg(F.sum("size").alias("score")), "scores")
-    hubs = stash(members.join(scores, "node").groupBy("key").agg(
-        F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("m"))
-        .select("key", (-F.col("m.minus")).alias("hub")), "hubs")
     involved = stash(classes.drop("c1", "c2").join(scores.select("node"), "node"), "involved")
     named = involved.select("node", F.col("id").alias("own"), F.col("version").alias("own_version"))
     texts = stash(docs.join(named, F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("own_version")))
                   .select("node", "text").dropDuplicates(["node"]), "texts")
-    paired = stash(members.join(hubs, "key").where("node != hub").select("hub", "node").distinct(), "pairs")
-    compared = stash(_compared(stash(_estimated(paired, involved, rough), "near"), texts), "compared")
-    linked = reaches(F.col("both"), F.col("n_hub"), F.col("n_node"), least)
-    links = compared.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    labels = components(links)
-    across = _compared(stash(_across(compared, labels, least), "across"), texts)
-    more = stash(across.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    near, unlike, left = None, None, members.select("key", "node")
+    for _ in range(HUBS):
+        hubs = left.join(scores, "node").groupBy("key").agg(
+            F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("hub"))
+        paired = stash(left.join(stash(hubs, "hubs"), "key").where("node != hub"), "pairs")
+        close = stash(_estimated(paired.select("hub", "node").distinct(), involved, rough), "near")
+        near = close if near is None else near.union(close)
+        left = stash(paired.join(close, ["hub", "node"], "left_anti").select("key", "node"), "left")
+        unlike = left if unlike is None else unlike
+        if left.isEmpty():
+            break
+    compared = stash(_compared(near.distinct(), texts), "compared")
+    links, labels = _joined(compared, None, texts, least)
+    stars = stash(_starred(unlike, members, labels, compared, involved), "stars")
+    if not stars.isEmpty():
+        links, labels = _joined(stash(_compared(stars, texts), "compared"), links, texts, least)
     groups = stash(classes.select("node", "id").join(labels, "node", "left").select(
         "node", "id", F.coalesce("label", "node").alias("label")), "groups")
     roots = stash(groups.groupBy("label").agg(F.min("id").alias("root")), "roots")

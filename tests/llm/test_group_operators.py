@@ -88,6 +88,42 @@ def test_chains_and_large_groups(spark):
     near_check([(r.id, r.n_shingles, r.component_id, r.kept) for r in rows.collect()], near_groups(data))
 
 
+def test_passages_shared_by_many(spark):
+    """Random subsets of common passages: the hub of a bucket is unlike most of its members, also like pairs of them."""
+    from sentinela.llm.setsketch import near_duplicates
+    rnd = random.Random(2)
+    pool = [" ".join(f"w{p}x{rnd.randrange(10**6)}" for _ in range(30)) for p in range(40)]
+    held = [rnd.sample(range(40), 20) for _ in range(600)]
+    held += [rnd.sample(own, 18) + rnd.sample([p for p in range(40) if p not in own], 2) for own in held[:100]]
+    rnd.shuffle(held)
+    data = list(enumerate(" ".join(pool[p] for p in sorted(own)) for own in held))
+    rows = near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), "doc_id", "text")
+    near_check([(r.id, r.n_shingles, r.component_id, r.kept) for r in rows.collect()], near_groups(data))
+
+
+def test_blocks_cover_every_likely_pair():
+    """Each likely pair under two labels, in its first common bucket, ends up with one hub or is one."""
+    from sentinela.llm.setsketch import BANDS, EQUAL, REGISTERS, _stars, band_keys, unpack
+    rnd = np.random.default_rng(5)
+    regs = rnd.integers(0, 2, (160, REGISTERS)).astype(np.uint16)
+    regs[40:80] = np.where(rnd.random((40, REGISTERS)) < 0.25, 9, regs[:40])
+    keys, node = band_keys(regs), np.arange(160)
+    hubs, label = [[i % 3] if i < 30 else None for i in node], node // 2
+    wanted = {(a, b) for a in range(160) for b in range(a) if label[a] != label[b]
+              and (unpack(keys[[a]]) == unpack(keys[[b]])).sum() >= EQUAL and not (a < 30 and b < 30 and a % 3 == b % 3)}
+    stars = defaultdict(set)
+    for key in np.unique(keys):
+        own = np.flatnonzero((keys == key).any(axis=1))
+        for x, y in [(0, 0), (0, 1), (1, 1)]:
+            cell = own[np.isin(own % 2, (x, y))]
+            if len(cell):
+                for h, m in zip(*_stars(node[cell], label[cell], cell % 2, [hubs[i] for i in cell], keys[cell], key >> 48)):
+                    stars[key, x, y, h] |= {h, m}
+    shared = {p for p in wanted if (keys[p[0]] == keys[p[1]]).any()}
+    assert len(shared) > 1000 and all(any(a in s and b in s for s in stars.values()) for a, b in shared)
+    assert BANDS * 3 == REGISTERS
+
+
 def test_sketches_merge_and_estimate():
     from sentinela.llm.setsketch import band_keys, likely, merge, registers, unpack
     from sentinela.llm._words import mixed
