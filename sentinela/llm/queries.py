@@ -83,12 +83,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shuffled shards, by law ``key``."""
     from sentinela.llm.sharding import shard_of, shuffle_into_shards
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    sharded = shuffle_into_shards(docs, "doc_id", SHARDS, F.col("size"), seed=1)
-    return sharded.select("record.*", F.lit("key").alias("law"), "shard", "slot",
-                          shard_of(F.col("record.doc_id"), SHARDS + 1, 1).alias("grown_shard"))
+    size = lambda text: (F.octet_length(F.coalesce(text, F.lit(""))) + 1).cast("long")
+    sharded = shuffle_into_shards(table(spark, sf_dir, "documents"), "doc_id", SHARDS, size(F.col("text")), seed=1)
+    doc_id, text = F.col("record.doc_id"), F.col("record.text")
+    return sharded.select(doc_id, size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+                          F.lit("key").alias("law"), "shard", "slot", shard_of(doc_id, SHARDS + 1, 1).alias("grown_shard"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,14 @@ def test_op8(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_op8_shuffles_whole_documents(spark, monkeypatch):
+    from sentinela.llm import sharding
+    given, shuffle = [], sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a, **k: given.append(df.columns) or shuffle(df, *a, **k))
+    Q.op8_sharding(spark, SF)
+    assert given == [spark.read.parquet(f"{SF}/documents.parquet").columns]
+
+
 def test_sharding_odd_rows(spark, tmp_path):
     from sentinela.llm.sharding import shard_of, shuffle_into_shards, write_shards
     docs = odd_documents(spark)
