@@ -106,11 +106,110 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op6_secret_scan, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64-dimensional vectors in eight clusters after ten rounds, nearest centroids by the threshold algorithm."""
+    from sentinela.llm.centroids import cluster
+    out = cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", size=64, k=8, rounds=10, scale=1024.0, seed="3")
+    return out.select(F.col("key").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                      F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents by language, and what a tampering of every third one does to the root."""
+    from sentinela.llm.merkle import manifest
+    out = manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], "text")
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op6_secret_scan, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints,
+                                    op12_centroids, op13_merkle)}
+
+
+
+def _centroids_sql(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    """The rounds one after the other: distances, nearest centroid, floor of the mean."""
+    near = lambda i: f"""
+x{i} AS (SELECT rid, c, sum((x - y) * (x - y)) AS dist FROM v JOIN c{i} USING (d) GROUP BY rid, c),
+n{i} AS MATERIALIZED (SELECT rid, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM x{i} GROUP BY rid)"""
+    moved = lambda i: f""",
+m{i} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM v JOIN n{i} USING (rid) GROUP BY c, d),
+c{i + 1} AS MATERIALIZED (SELECT c, d, CAST(CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS y
+                          FROM c{i} LEFT JOIN m{i} USING (c, d))"""
+    return f"""
+WITH r AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e,
+                               row_number() OVER () AS rid
+           FROM embeddings WHERE len(embedding) = {size} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS MATERIALIZED (SELECT rid, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM r),
+s AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, e) - 1 AS c FROM r),
+c0 AS MATERIALIZED (SELECT c, d, x AS y FROM s JOIN v USING (rid) WHERE c < {k}),""" + ",".join(
+        near(i) + moved(i) for i in range(rounds)) + "," + near(rounds) + f""",
+h AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+       CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM n{rounds} JOIN r USING (rid) JOIN h USING (c)
+"""
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of decimal text t, bit by bit.
+_CRC_SQL = """(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(x) AS BIGINT) FOR x IN string_split(t, '')]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(i AS BIGINT) FOR i IN range(8)]),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END)))"""
+
+_MERKLE_SQL = f"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT *, xor({_CRC_SQL}, CAST(4294967295 AS BIGINT)) % 3 = 0 AS hit
+                                  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS t FROM documents)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf_sql('text')} AS leaf,
+       CASE WHEN hit THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+            ELSE {_leaf_sql('text')} END AS found,
+       row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+     FROM k),
+t AS (SELECT lang, 0 AS lvl, place, leaf AS h, n FROM d
+      UNION ALL
+      SELECT lang, lvl + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (n + 7) // 8
+      FROM t WHERE n > 1 GROUP BY lang, lvl, place // 8, n),
+tree AS MATERIALIZED (SELECT * FROM t),
+subs AS MATERIALIZED (SELECT lang, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS upper,
+                             count(*) OVER () AS n FROM tree WHERE n = 1),
+u AS (SELECT 0 AS lvl, upper AS place, subroot AS h, n FROM subs
+      UNION ALL
+      SELECT lvl + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lvl, place // 8, n),
+top AS MATERIALIZED (SELECT * FROM u),
+-- every document's place on each level of its language's tree and of the tree above
+p AS (SELECT d.rid, d.lang, CAST(x.lvl AS BIGINT) AS lvl, d.place // CAST(pow(8, x.lvl) AS BIGINT) AS place, true AS low
+      FROM d JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) x ON d.lang IS NOT DISTINCT FROM x.lang
+      UNION ALL
+      SELECT d.rid, NULL, s.depth + x.lvl, s.upper // CAST(pow(8, x.lvl) AS BIGINT), false
+      FROM d JOIN subs s ON d.lang IS NOT DISTINCT FROM s.lang CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) x),
+q AS (SELECT p.rid, p.lvl, p.place, x.place AS other, x.h FROM p JOIN tree x
+        ON p.low AND p.lang IS NOT DISTINCT FROM x.lang AND p.lvl = x.lvl AND p.place // 8 = x.place // 8
+      UNION ALL
+      SELECT p.rid, p.lvl, p.place, x.place, x.h FROM p JOIN d USING (rid) JOIN subs s ON d.lang IS NOT DISTINCT FROM s.lang
+        JOIN top x ON NOT p.low AND p.lvl - s.depth = x.lvl AND p.place // 8 = x.place // 8),
+b AS MATERIALIZED (SELECT rid, lvl, coalesce(string_agg(h, '' ORDER BY other) FILTER (other < place), '') AS l,
+                          coalesce(string_agg(h, '' ORDER BY other) FILTER (other > place), '') AS r FROM q GROUP BY rid, lvl),
+f AS (SELECT rid, CAST(0 AS BIGINT) AS lvl, found AS acc FROM d
+      UNION ALL
+      SELECT f.rid, f.lvl + 1, sha256(b.l || f.acc || b.r) FROM f JOIN b ON f.rid = b.rid AND f.lvl = b.lvl),
+g AS (SELECT rid, arg_max(acc, lvl) AS folded_root FROM f GROUP BY rid),
+o AS (SELECT rid, string_agg(l || r, '' ORDER BY lvl) AS proof FROM b GROUP BY rid)
+SELECT d.doc_id, d.leaf, s.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(o.proof, '')) AS proof_sha256,
+       g.folded_root, g.folded_root = (SELECT h FROM top WHERE n = 1) AS verified
+FROM d JOIN subs s ON d.lang IS NOT DISTINCT FROM s.lang JOIN g USING (rid) LEFT JOIN o USING (rid)
+"""
 
 WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 ORACLE = {
+    "op12_centroids": _centroids_sql(),
+    "op13_merkle": _MERKLE_SQL,
     "op2_top_k": """
 WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
            FROM embeddings
