@@ -106,6 +106,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                       as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of two of three folds."""
+    from sentinela.llm.toxicity import fit, score
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda key: F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    found = score(docs, "text", fit(docs, labels, "doc_id", "text", "toxic"))
+    return found.select("record.doc_id", held_out(F.col("record.doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 64-dimensional vectors in eight clusters after ten rounds, nearest centroids by the threshold algorithm."""
     from sentinela.llm.centroids import cluster
@@ -122,7 +133,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_top_k, op3_near_dedup, op4_mixing, op5_language_id, op6_secret_scan, op7_line_dedup, op8_sharding, op9_suffix_dedup, op10_fingerprints,
-                                    op12_centroids, op13_merkle)}
+                                    op11_toxicity, op12_centroids, op13_merkle)}
 
 
 
