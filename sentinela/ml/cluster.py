@@ -169,23 +169,15 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
     core if at least ``min_samples`` points, itself included, lie within
     ``eps``).  Border points take the smallest neighbouring cluster; cluster
     numbers follow the smallest id of their core points.  Rows with a NULL
-    feature get −1."""
-    from sentinela.ml.neighbors import collapse, eps_neighbours, feature_points
+    feature get −1.  Crowded places cost cells, not pairs (``ml.density``)."""
+    from sentinela.ml.density import density_labels
+    from sentinela.ml.neighbors import collapse, feature_points
     pts = feature_points(df, features, key, vector, standardize_features)
     reps, mapping = collapse(pts, key)
     reps = settled(reps)
-    pairs = settled(eps_neighbours(reps, eps))
-    cnt = pairs.groupBy("p").agg(F.sum("qw").alias("nq"))
-    core = reps.join(cnt.withColumnRenamed("p", "rid"), "rid", "left") \
-        .select("rid", (F.col("w") + F.coalesce(F.col("nq"), F.lit(0)) >= min_samples).alias("core"))
-    core_ids = core.where("core").select(F.col("rid").alias("v"))
-    cc = core_ids.withColumnRenamed("v", "p")
-    core_edges = pairs.join(cc, "p", "left_semi").join(cc.withColumnRenamed("p", "q"), "q", "left_semi") \
-        .where(F.col("p") < F.col("q")).select(F.col("p").alias("a"), F.col("q").alias("b"))
-    comp = _components(core_edges, core_ids)                       # (v, c): c = smallest core id
-    border = pairs.join(core.where(~F.col("core")).select(F.col("rid").alias("p")), "p", "left_semi") \
-        .join(comp.withColumnRenamed("v", "q"), "q").groupBy("p").agg(F.min("c").alias("c"))
-    labels = comp.select(F.col("v").alias("rid"), "c").unionByName(border.select(F.col("p").alias("rid"), "c"))
+    if reps.isEmpty():
+        return df.withColumn(out, F.lit(-1))
+    labels = settled(density_labels(reps, eps, min_samples))
     # dense numbering in order of the smallest core id
     ids = ranked(labels.select("c").distinct(), ["c"], out).withColumn(out, F.col(out).cast("int"))
     lab = labels.join(ids, "c").select("rid", out)

@@ -1,4 +1,4 @@
-"""Exact neighbour search on Spark by grid blocking (used by M5 DBSCAN, M9 LOF).
+"""Exact neighbour search on Spark by grid blocking (used by M9 LOF; M5 has its own cells in ``ml.density``).
 
 * Exact duplicates are collapsed first into weighted points (rep id = the
   smallest id, weight = multiplicity), so a hot group of identical rows costs
@@ -263,16 +263,3 @@ def knn(reps: DataFrame, k: int, dims: list[int] | None = None, sides: list[floa
         res = _knn_rounds(pending, cells, k, fine, extent)
         done = res if done is None else done.unionByName(res)
     return done
-
-
-def eps_neighbours(reps: DataFrame, eps: float, dims: list[int] | None = None) -> DataFrame:
-    """All (p, q, dist, pw, qw) with dist ≤ eps, p ≠ q, using cells of side eps
-    (ring 1 is exact)."""
-    some = reps.select("x").first()
-    if some is None:
-        return reps.select(*[F.col("rid").alias(c) for c in ("p", "q")], F.lit(0.0).alias("dist"),
-                           *[F.col("w").alias(c) for c in ("pw", "qw")])
-    dims = dims if dims is not None else blocking_dims(reps, len(some["x"]))
-    cells, extent = grid(reps, dims, eps)
-    pairs = candidate_pairs(cells, cells, 1, extent)
-    return pairs.where((F.col("dist") <= F.lit(eps)) & (F.col("p") != F.col("q")))

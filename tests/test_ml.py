@@ -63,6 +63,55 @@ def test_dbscan_matches_numpy(spark, eps, ms):
     assert [g[i] for i in range(len(X))] == list(want)
 
 
+def labels_of(spark, X, eps, ms):
+    rows = [(i, *map(float, x)) for i, x in enumerate(X)]
+    names = [f"f{j}" for j in range(X.shape[1])]
+    df = spark.createDataFrame(rows, "occurrence_id long, " + ", ".join(f"{n} double" for n in names)).repartition(6)
+    got = C.dbscan(df, names, eps=eps, min_samples=ms, standardize_features=False).select("occurrence_id", "cluster").collect()
+    return np.array([c for _, c in sorted(tuple(r) for r in got)])
+
+
+def crowded_shapes():
+    rng = np.random.default_rng(11)
+    t = rng.uniform(0, np.pi, 300)
+    moons = np.vstack([np.c_[np.cos(t), np.sin(t)], np.c_[1 - np.cos(t), 0.4 - np.sin(t)]]) + rng.normal(0, 0.06, (600, 2))
+    square = rng.uniform(0, 0.05, (900, 2)) + [4, 4]                                   # a few cells hold everything
+    far = [rng.uniform(0, 0.05, (200, 2)) + [8 + dx, 0] for dx in (0, 0.2499, 0.5101)]  # gaps just below and above eps
+    copies = np.repeat(rng.uniform(0, 3, (20, 2)) + [0, 6], 15, axis=0)
+    return np.vstack([moons, square, *far, copies, rng.uniform(-3, 12, (60, 2))])
+
+
+@pytest.mark.parametrize("eps,ms", [(0.2, 5), (0.21, 40), (0.05, 12)])
+def test_dbscan_crowded_cells_match_numpy(spark, eps, ms):
+    X = crowded_shapes()
+    assert (labels_of(spark, X, eps, ms) == np_dbscan(X, eps, ms)).all()
+
+
+def test_dbscan_joins_crowded_cells_by_their_closest_points(spark):
+    """Two blocks that only one pair of points brings within eps, and the same without that pair; three dimensions."""
+    rng = np.random.default_rng(12)
+    a, b = rng.uniform(0, 0.05, (150, 3)), rng.uniform(0, 0.05, (150, 3)) + [0.3, 0, 0]
+    bridge = np.array([[0.06, 0.02, 0.02], [0.2599, 0.02, 0.02]])
+    for X in (np.vstack([a, b]), np.vstack([a, b, bridge]), np.vstack([a, b, bridge + [[0, 0, 0], [0.0002, 0, 0]]])):
+        want = np_dbscan(X, 0.2, 10)
+        assert (labels_of(spark, X, 0.2, 10) == want).all()
+        assert want.max() == (0 if len(X) > 300 and X[-1, 0] < 0.26 else 1)
+
+
+def test_dbscan_lists_grow_with_the_rows_not_the_density(spark):
+    from pyspark.sql import functions as F
+    from sentinela.ml.density import cell_tables, sparse_hits
+    rng = np.random.default_rng(13)
+    listed = []
+    for n in (1000, 2000, 4000, 8000):
+        X = rng.uniform(0, 1, (n, 2))
+        reps = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)], "rid long, x array<double>").withColumn("w", F.lit(1))
+        points, cells, near = cell_tables(reps, 0.1, 10)
+        listed.append(near.count() + sparse_hits(points, cells, near, 0.1).count())
+    assert all(b <= 2.2 * a for a, b in zip(listed, listed[1:])), listed
+    assert listed[-1] < 4 * 8000
+
+
 def test_dbscan_order_invariant(spark):
     X = two_moons(80, seed=3)
     df = frame(spark, X)
