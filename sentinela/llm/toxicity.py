@@ -244,6 +244,17 @@ class Model:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.trees = lexicon, None
         self.points, self.chances = np.zeros(1), np.zeros(1)
+        self._features: Features | None = None
+
+    @property
+    def features(self) -> Features:
+        """One for all batches of a Python worker, so chunks are looked at once."""
+        if self._features is None:
+            self._features = Features(self.lexicon)
+        return self._features
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_features": None}
 
     def fit(self, x: np.ndarray, y: np.ndarray, unseen: np.ndarray) -> None:
         """Trees on the rows that are not ``unseen``, calibration on those that are (on all rows if there are none)."""
@@ -325,12 +336,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, siz
     sample = stash(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "k")
                    .select("text", "y", (F.pmod(F.shiftright("draw", 32), F.lit(4)) == 3).alias("unseen")), "sample")
     model = Model(_lexicon(sample.where("not unseen")))
-    shared = sample.sparkSession.sparkContext.broadcast(model.lexicon)
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("array<double>")
     def features(column: pa.Array) -> pa.Array:
-        own = Features(shared.value)
-        return pa.array([own.of(t).tolist() for t in column.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([shared.value.features.of(t).tolist() for t in column.to_pylist()], pa.list_(pa.float64()))
 
     # An order of its own: histograms add up floats, and reruns shall agree.
     rows = sorted((tuple(r["x"]), r["y"], r["unseen"]) for r in sample.select(features("text").alias("x"), "y", "unseen").collect())
@@ -351,8 +361,7 @@ def score(df: DataFrame, text: str, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        own = Features(shared.value.lexicon)
-        rows = [own.of(t) for t in column.to_pylist()]
+        rows = [shared.value.features.of(t) for t in column.to_pylist()]
         return pa.array(shared.value.scores(np.array(rows).reshape(len(rows), len(FEATURES))), pa.float64())
 
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
