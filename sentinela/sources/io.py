@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -15,6 +16,7 @@ from sentinela.operators.clean import parse_timestamps, to_numbers
 from sentinela.schema import apply_aliases, normalize_columns
 
 METRICS_SCHEMA = "run_id string, metric string, value double, ts timestamp"
+PUBLISHED_SCHEMA = "folder string, run_id string, ts timestamp"
 
 
 def read_incidents(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
@@ -69,29 +71,37 @@ def read_upload_or_default(spark: SparkSession, upload_path: str | None, default
 def write_results(df: DataFrame, path: str, metrics: dict[str, float] | None = None, run_id: str | None = None,
                   partition_by: tuple[str, ...] = ("ano", "mes")) -> str:
     """Labelled table as Parquet (partitioned by year and month when present,
-    so date filters prune files) and the run metrics appended to ``path/_metrics``."""
+    so date filters prune files) and the run's metrics, as one run.
+
+    A run has its own folder below ``path/runs``; only when table and metrics
+    are written is it published, by one row in ``path/published``.  So readers
+    see either all of a run or the one before it, and earlier runs stay.
+    """
     spark = df.sparkSession
+    run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
+    folder = f"{run_id}-{uuid.uuid4().hex}"
     # an empty table is written without partitions: their folders would hold no file and no schema
     parts = [c for c in partition_by if c in df.columns and not df.isEmpty()]
     # rebalanced by year and month: few files in each, large months split over several
-    w = (df.hint("rebalance", *parts) if parts else df).write.mode("overwrite")
-    (w.partitionBy(*parts) if parts else w).parquet(f"{path}/table")
-    run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
-    if metrics:
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        rows = [(run_id, k, float(v) if v is not None else None, now) for k, v in metrics.items()]
-        spark.createDataFrame(rows, METRICS_SCHEMA).write.mode("append").parquet(f"{path}/_metrics")
+    w = (df.hint("rebalance", *parts) if parts else df).write
+    (w.partitionBy(*parts) if parts else w).parquet(f"{path}/runs/{folder}/table")
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    rows = [(run_id, k, float(v) if v is not None else None, now) for k, v in (metrics or {}).items()]
+    spark.createDataFrame(rows, METRICS_SCHEMA).write.parquet(f"{path}/runs/{folder}/metrics")
+    spark.createDataFrame([(folder, run_id, now)], PUBLISHED_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/published")
     return run_id
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """The prepared table and its metrics (None if none were written)."""
-    table = spark.read.parquet(f"{path}/table")
-    try:
-        metrics = spark.read.parquet(f"{path}/_metrics")
-    except Exception:  # noqa: BLE001 - no metrics written
-        metrics = None
-    return table, metrics
+def read_results(spark: SparkSession, path: str, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Table and metrics (no rows if the run had none) of the run published last, or last under ``run_id``.
+
+    A path without a published run, or without that one, raises.
+    """
+    runs = spark.read.schema(PUBLISHED_SCHEMA).parquet(f"{path}/published")
+    found = (runs if run_id is None else runs.where(F.col("run_id") == run_id)).agg(F.max_by("folder", F.struct("ts", "folder"))).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no published run {run_id or ''} in {path}")
+    return spark.read.parquet(f"{path}/runs/{found}/table"), spark.read.schema(METRICS_SCHEMA).parquet(f"{path}/runs/{found}/metrics")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -37,7 +37,8 @@ def test_write_and_read_results_partitioned(spark):
     rid = write_results(lab, d, {"silhouette_sq": 0.5})
     table, metrics = read_results(spark, d)
     assert table.count() == lab.count()
-    assert set(os.listdir(os.path.join(d, "table"))) >= {"ano=2024"}
+    run, = os.listdir(os.path.join(d, "runs"))
+    assert set(os.listdir(os.path.join(d, "runs", run, "table"))) >= {"ano=2024"}
     m = metrics.collect()
     assert m[0]["run_id"] == rid and m[0]["metric"] == "silhouette_sq" and m[0]["value"] == 0.5
     # month predicate prunes partitions
@@ -45,6 +46,28 @@ def test_write_and_read_results_partitioned(spark):
     assert "PartitionFilters" in plan
 
 
+def test_results_are_one_run_or_the_run_before(spark):
+    import pytest
+    d = scratch()
+    with pytest.raises(Exception):
+        read_results(spark, d)
+    first, second = (spark.range(n).withColumn("run", F.lit(n)) for n in (3, 5))
+    write_results(first, d, {"a": 1.0}, "r1")
+    broken = second.withColumn("run", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception):  # the table fails half-way
+        write_results(broken, d, {"a": 2.0}, "r2")
+    with pytest.raises(Exception):  # the table is written, its metrics fail
+        write_results(second, d, {"a": "no number"}, "r2")
+    table, metrics = read_results(spark, d)
+    assert table.count() == 3 and [(r.run_id, r.value) for r in metrics.collect()] == [("r1", 1.0)]
+    write_results(second, d, None, "r3")
+    table, metrics = read_results(spark, d)
+    assert table.count() == 5 and metrics.count() == 0
+    assert read_results(spark, d, "r1")[0].count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_results(spark, d, "r2")
+
+
 def test_export_csv(spark):
     d = os.path.join(scratch(), "out")
     df = X.occ(spark, SF0001).select(K.ID, K.TYPE).limit(20)
