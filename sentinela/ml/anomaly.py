@@ -177,10 +177,10 @@ def isolation_forest(df: DataFrame, features: Sequence[str], contamination: floa
         xs = np.vstack(rows.to_numpy()).astype(float)
         h = np.mean([_path_lengths(xs, t) for t in bc.value], axis=0)
         return pd.Series(np.power(2.0, -h / norm) if norm else np.full(len(rows), 0.5))
-    thr = exact_quantile(settled(x.select(score("__x").alias(score_col))), score_col, 1.0 - contamination)
-    # rows with a NULL feature go through the UDF as zeros and lose their score again
+    # every row is scored once; rows with a NULL feature go through the UDF as zeros and lose their score again
     filled = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in zcols])
-    res = base.withColumn(score_col, score(filled)).withColumn(score_col, F.when(complete, F.col(score_col)))
+    res = settled(base.withColumn(score_col, score(filled)).withColumn(score_col, F.when(complete, F.col(score_col))))
+    thr = exact_quantile(res.where(F.col(score_col).isNotNull()).select(score_col), score_col, 1.0 - contamination)
     flag = F.when(F.col(score_col) > F.lit(thr), F.lit(-1)).otherwise(F.lit(1))
     return res.select(*df.columns, score_col, flag.alias(out))
 

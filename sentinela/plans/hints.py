@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela.session import ensure_checkpoint_dir
@@ -55,15 +55,12 @@ def numbered(df: DataFrame, out: str) -> DataFrame:
     """0-based position of each row of a sorted frame: row numbers inside the sorted
     partitions, and the partitions' row counts (as many numbers as partitions)
     as offsets.  No rows meet in one task."""
-    placed = settled(df.withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33).cast("int")
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for p in range(max(counts, default=0) + 1):
-        starts.append(F.lit(total).cast("long"))
-        total += counts.get(p, 0)
-    offset = F.element_at(F.array(*starts), part + 1)
-    return placed.withColumn(out, offset + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
+    placed = settled(df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return (placed.join(F.broadcast(offsets), "__part")
+            .withColumn(out, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*df.columns, out))
 
 
 def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
