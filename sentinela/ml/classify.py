@@ -2,8 +2,8 @@
 
 Target: the zone-density risk tier (A25).  Features: zone, hour, weekday,
 month, period of day, weekend.  The original's boosted-tree libraries become
-``OneVsRest(GBTClassifier)`` (Spark's GBT is binary), its random forest
-``RandomForestClassifier`` with balanced class weights.
+the multiclass booster of ``ml.boosting`` (Spark's own is binary), its random
+forest ``RandomForestClassifier`` with balanced class weights.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
@@ -21,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
+from sentinela.ml.boosting import BoostedTrees, BoostedTreesModel, boost, cell_counts, fold_accuracies
 from sentinela.ml.features import one_hot_stages
+from sentinela.ml.grid import DEEPEST, grid_scores, leaf_rows
 from sentinela.ml.split import fold_column, split
 from sentinela.plans.hints import ensure_parallelism, settled
 from sentinela.operators.derive import derive_time_features
@@ -29,9 +32,8 @@ from sentinela.operators.risk import risk_tier
 
 RISK_CATEGORICAL = [K.ZONE, "dia_semana", "periodo_dia"]
 RISK_NUMERIC = ["hora", "mes", "fim_semana_n"]
-#: Least rows in a leaf for a minimum split of 2, 5 and 10.
-LEAF_ROWS = [1, 2, 5]
-MODEL_TYPES = ("xgboost", "lightgbm", "gradient_boosting", "random_forest")
+BOOSTED = ("xgboost", "lightgbm", "gradient_boosting")
+MODEL_TYPES = (*BOOSTED, "random_forest")
 
 
 @dataclass
@@ -70,10 +72,8 @@ def risk_features(df: DataFrame, ts: str = K.TS) -> DataFrame:
 def classifier(model_type: str = "xgboost", seed: int = 42, label: str = "label_idx",
                weight: str | None = None, num_trees: int = 100, max_depth: int | None = None):
     """The estimator for a model type; unknown types raise."""
-    if model_type in ("xgboost", "lightgbm", "gradient_boosting"):
-        gbt = GBTClassifier(maxIter=100, maxDepth=max_depth or 6, stepSize=0.1, seed=seed,
-                            featuresCol="features", labelCol=label)
-        return OneVsRest(classifier=gbt, featuresCol="features", labelCol=label, parallelism=4)
+    if model_type in BOOSTED:
+        return BoostedTrees(rounds=num_trees, depth=max_depth or 6)
     if model_type == "random_forest":
         rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth or 10, seed=seed,
                                     featuresCol="features", labelCol=label)
@@ -108,29 +108,18 @@ def with_label_text(model: PipelineModel, pred: DataFrame) -> DataFrame:
     return IndexToString(inputCol="prediction", outputCol="prediction_label", labels=labels).transform(pred)
 
 
-def confidence(pred: DataFrame, model_type: str) -> DataFrame:
-    """Highest class probability in percent.  ``OneVsRest`` gives one GBT
-    margin per class; each is mapped to a probability 1/(1+e^(−2m)) and the
-    class scores are normalised."""
-    if model_type == "random_forest":
-        p = F.array_max(vector_to_array("probability"))
-    else:
-        s = F.transform(vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
-        p = F.array_max(s) / F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
-    return pred.withColumn("confianca", p * F.lit(100.0))
+def confidence(pred: DataFrame) -> DataFrame:
+    """Highest class probability in percent."""
+    return pred.withColumn("confianca", F.array_max(vector_to_array("probability")) * F.lit(100.0))
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 10) -> DataFrame:
-    """(feature, importance) descending, top ``top``; mean over the
-    OneVsRest members for boosted models.  Slot names come from the ML
-    attribute metadata of the assembled column."""
+    """(feature, importance) descending, top ``top``: the share of the gain
+    of all cuts for boosted trees, Spark's measure for a forest.  Slot names
+    come from the ML attribute metadata of the assembled column."""
     clf = model.stages[-1]
-    if hasattr(clf, "featureImportances"):
-        imps = [clf.featureImportances.toArray()]
-    else:
-        imps = [m.featureImportances.toArray() for m in clf.models]
-    n = len(imps[0])
-    mean = [sum(v[i] for v in imps) / len(imps) for i in range(n)]
+    mean = clf.importances if isinstance(clf, BoostedTreesModel) else clf.featureImportances.toArray()
+    n = len(mean)
     meta = model.transform(sample.limit(1)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
     rows = [(names.get(i, f"f{i}"), float(mean[i])) for i in range(n)]
@@ -153,21 +142,19 @@ def cross_validate(pipeline: Pipeline, train: DataFrame, k: int = 5, seed: int =
     return m, float(m.avgMetrics[best]), (float(std) if std is not None else None)
 
 
-def grid_search(df: DataFrame, seed: int = 42, folds: int = 3, parallelism: int = 4):
-    """Forest trees 50/100/200 × depth 3/5/10/unlimited × minimum split
-    2/5/10, 3-fold accuracy (36 settings, 108 fits).  'Unlimited' depth is
-    Spark's maximum of 30.  A node of fewer rows than the minimum split is not
-    split; Spark bounds the leaves instead, so 2/5/10 become 1/2/5 rows in a
-    leaf, the least that a node of that size can be halved into."""
-    d = risk_features(df)
-    pipe = build_pipeline("random_forest", d, seed=seed)
-    rf = pipe.getStages()[-1]
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
-            .addGrid(rf.minInstancesPerNode, LEAF_ROWS).build())
-    m, mean, std = cross_validate(pipe, d, folds, seed, grid, parallelism)
-    best = max(range(len(m.avgMetrics)), key=lambda i: m.avgMetrics[i])
-    params = {p.name: v for p, v in grid[best].items()}
-    return params, mean, std
+def boosted_with_folds(pipeline: Pipeline, df: DataFrame, folds: int, seed: int = 42) -> tuple[PipelineModel, list[float]]:
+    """The model of the training rows (``conjunto``) and the accuracies of ``folds`` models, each of all rows
+    but those of its fold, on that fold; all grown in the same passes.  The encoders are fitted on all rows."""
+    encoder = Pipeline(stages=pipeline.getStages()[:-1]).fit(df)
+    k = max(folds, 1)
+    part = F.when(F.col("conjunto") == "treino", 0).otherwise(k) + F.col("fold")
+    cells = settled(cell_counts(encoder.transform(fold_column(df, k, seed)), part))
+    of = np.arange(2 * k)
+    include = np.array([of < k] + [of % k != f for f in range(folds)], float)
+    booster = pipeline.getStages()[-1]
+    plan = boost(cells, include, len(encoder.stages[0].labels), booster.getOrDefault(booster.rounds), booster.getOrDefault(booster.depth))
+    held = np.array([of < 0] + [of % k == f for f in range(folds)], float)
+    return PipelineModel(encoder.stages + [BoostedTreesModel.of(plan)]), fold_accuracies(cells, plan, held) if folds else []
 
 
 def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: float = 0.2, seed: int = 42,
@@ -183,19 +170,23 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
                                          stratify="nivel_risco")))
     if d.select("nivel_risco").where("nivel_risco is not null").isEmpty():
         raise ValueError("no rows to train on")
-    weight = "peso" if model_type == "random_forest" else None
-    weighted = (lambda x: class_weights(x, "nivel_risco")) if weight else (lambda x: x)
-    train = weighted(d.where(F.col("conjunto") == "treino"))
     test = d.where(F.col("conjunto") == "teste")
-    pipe = build_pipeline(model_type, train, cat, num, seed=seed, weight=weight)
-    model = pipe.fit(train)
-    pred = confidence(with_label_text(model, model.transform(test)), model_type)
+    cv_mean = cv_std = None
+    if model_type in BOOSTED:
+        model, scores = boosted_with_folds(build_pipeline(model_type, d, cat, num, seed=seed), d, cv_folds or 0, seed)
+        if scores:
+            cv_mean, cv_std = float(np.mean(scores)), float(np.std(scores))
+    else:
+        weighted = lambda x: class_weights(x, "nivel_risco")
+        train = weighted(d.where(F.col("conjunto") == "treino"))
+        pipe = build_pipeline(model_type, train, cat, num, seed=seed, weight="peso")
+        model = pipe.fit(train)
+        if cv_folds:  # over all rows, as the original does
+            _, cv_mean, cv_std = cross_validate(pipe, weighted(d), cv_folds, seed)
+    pred = confidence(with_label_text(model, model.transform(test)))
     pred = pred.select(K.ID, K.ZONE, F.col("nivel_risco").alias("label"),
                        F.col("prediction_label").alias("prediction"), "confianca")
     report = classification_report(pred)
-    cv_mean = cv_std = None
-    if cv_folds:  # over all rows, as the original does
-        _, cv_mean, cv_std = cross_validate(pipe, weighted(d), cv_folds, seed)
     return RiskModelResult(model, pred, report, cv_mean, cv_std, cat + num, model_type)
 
 
@@ -203,7 +194,7 @@ def predict(model: PipelineModel, scenarios: DataFrame, model_type: str = "xgboo
     """Score scenario rows (zone, timestamp) in batch: class and confidence."""
     d = risk_features(scenarios.withColumn("nivel_risco", F.lit(K.RISK_LOW))) \
         if "nivel_risco" not in scenarios.columns else risk_features(scenarios)
-    out = confidence(with_label_text(model, model.transform(d)), model_type)
+    out = confidence(with_label_text(model, model.transform(d)))
     return out.select(*scenarios.columns, F.col("prediction_label").alias("previsao"), "confianca")
 
 
@@ -225,7 +216,7 @@ def case_features(df: DataFrame, target: str, ts: str = K.TS) -> tuple[DataFrame
 
 
 def build_case_pipeline(num_cols: Sequence[str], target: str, seed: int = 42, num_trees: int = 100,
-                        max_depth: int = 30) -> Pipeline:
+                        max_depth: int = DEEPEST, min_split: int = 2) -> Pipeline:
     """Label index of the (text) target (D8: always indexed), alphabetical zone
     code as a numeric feature (M3), assembler, random forest.  The original's
     unlimited depth becomes Spark's maximum depth, 30."""
@@ -234,39 +225,58 @@ def build_case_pipeline(num_cols: Sequence[str], target: str, seed: int = 42, nu
     zone = StringIndexer(inputCol=K.ZONE, outputCol="bairro_encoded", stringOrderType="alphabetAsc",
                          handleInvalid="keep")
     asm = VectorAssembler(inputCols=list(num_cols) + ["bairro_encoded"], outputCol="features")
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, featuresCol="features",
-                                labelCol="label_idx")
+    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=leaf_rows(min_split), seed=seed,
+                                featuresCol="features", labelCol="label_idx")
     return Pipeline(stages=[lab, zone, asm, rf])
 
 
+def complete_cases(df: DataFrame, target: str) -> tuple[DataFrame, list[str]]:
+    """Rows with target, zone and all numeric features, and the names of these."""
+    d, num = case_features(df, target)
+    return d.na.drop(subset=num + [target, K.ZONE]), num
+
+
+def grid_search(df: DataFrame, target: str = "gravidade", seed: int = 42, folds: int = 3, **grid) -> DataFrame:
+    """Accuracy over ``folds`` folds of the case model's forest for 50, 100 and 200 trees, depths 3, 5, 10 and
+    unlimited, and least node sizes 2, 5 and 10 (36 settings): see ``ml.grid.grid_scores``.
+
+    Rows without target, zone or a numeric feature take no part; without any
+    row there are no settings.
+    """
+    d, num = complete_cases(df, target)
+    d = settled(ensure_parallelism(fold_column(d.select(K.ID, *{*num, K.ZONE, target}), folds, seed)))
+    if d.isEmpty():
+        return grid_scores(d, 0, seed, **grid)
+    encoded = Pipeline(stages=build_case_pipeline(num, target, seed).getStages()[:-1]).fit(d).transform(d)
+    return grid_scores(settled(encoded.select("features", "label_idx", "fold")), folds, seed, **grid)
+
+
 def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float = 0.2, seed: int = 42,
                      tune: bool = False, cv_folds: int | None = 5, min_rows: int = 10,
                      grid=None) -> RiskModelResult:
     """M10/M11 second form: forest on position, hour, zone code (and victims)
     predicting case gravity, incident type or weapon; optional grid search
-    (M16); report on the test rows (M17); k-fold accuracy (M15)."""
+    (M16) on the training rows, whose best setting is fitted; report on the
+    test rows (M17); k-fold accuracy (M15)."""
     from sentinela.ml.evaluate import classification_report
     from sentinela.operators.filters import min_rows as has_rows
-    d, num = case_features(df, target)
-    d = d.na.drop(subset=num + [target, K.ZONE])
+    d, num = complete_cases(df, target)
     if not has_rows(d, min_rows):
         raise ValueError(f"fewer than {min_rows} complete rows")
     d = settled(ensure_parallelism(split(d.select(K.ID, *{*num, K.ZONE, target}), test_size, seed, stratify=target)))
     train = d.where(F.col("conjunto") == "treino")
     test = d.where(F.col("conjunto") == "teste")
-    pipe = build_case_pipeline(num, target, seed)
     cv_mean = cv_std = None
     if tune:
-        rf = pipe.getStages()[-1]
-        grid = grid or (ParamGridBuilder().addGrid(rf.numTrees, [50, 100, 200]).addGrid(rf.maxDepth, [3, 5, 10, 30])
-                        .addGrid(rf.minInstancesPerNode, LEAF_ROWS).build())
-        cvm, cv_mean, cv_std = cross_validate(pipe, train, 3, seed, grid)
-        model = cvm.bestModel
+        best = grid_search(train, target, seed, **(grid or {})).where("escolhido").first()
+        cv_mean, cv_std = best["media"], best["desvio"]
+        pipe = build_case_pipeline(num, target, seed, best["n_estimators"], best["max_depth"] or DEEPEST, best["min_samples_split"])
     else:
-        model = pipe.fit(train)
+        pipe = build_case_pipeline(num, target, seed)
         if cv_folds:
             _, cv_mean, cv_std = cross_validate(pipe, train, cv_folds, seed)
-    pred = confidence(with_label_text(model, model.transform(test)), "random_forest")
+    model = pipe.fit(train)
+    pred = confidence(with_label_text(model, model.transform(test)))
     pred = pred.select(K.ID, K.ZONE, F.col(target).cast("string").alias("label"),
                        F.col("prediction_label").alias("prediction"), "confianca")
     return RiskModelResult(model, pred, classification_report(pred), cv_mean, cv_std,
@@ -279,5 +289,5 @@ def predict_case(model: PipelineModel, scenarios: DataFrame, target: str = "grav
     satisfy the fitted label indexer; it is not used."""
     known = model.stages[0].labels[0]
     d = scenarios.withColumn(target, F.lit(known))
-    out = confidence(with_label_text(model, model.transform(d)), "random_forest")
+    out = confidence(with_label_text(model, model.transform(d)))
     return out.select(*scenarios.columns, F.col("prediction_label").alias("previsao"), "confianca")

@@ -121,7 +121,7 @@ def j6(spark, d):
 @query("m4_kmeans_check", with_("cal") + "SELECT count(*) AS linhas, 0 AS sem_grupo, 5 AS grupos, 0 AS mal_postas FROM cal")
 def m4_check(spark, d):
     """Rows, rows without a cluster, clusters, and rows that another centre is nearer to."""
-    lab, _f, model = C.kmeans(X.cal(spark, d), k=5, seed=42, n_init=3)
+    lab, _f, model = C.kmeans(X.cal(spark, d), k=5, seed=42)
     if model is None:
         return lab.agg(F.count(F.lit(1)).alias("linhas"), *[F.lit(0).alias(c) for c in ("sem_grupo", "grupos", "mal_postas")])
     v = vector_to_array("features")
@@ -193,11 +193,11 @@ q AS (SELECT round(quantile_cont(CAST(n AS DOUBLE), 0.33), 9) AS q1, round(quant
 SELECT CASE WHEN z.n <= q.q1 THEN 'Baixo Risco' WHEN z.n <= q.q2 THEN 'Médio Risco' ELSE 'Alto Risco' END AS nivel_risco,
        count(*) AS n, 0 AS sem_rotulo FROM ok JOIN z USING (bairro) CROSS JOIN q GROUP BY 1""")
 def m22(spark, d):
-    """read (CSV without a key) → clean → derive → k-means → isolation forest → risk model: rows per risk level."""
+    """read (CSV without a key) → clean → derive → k-means (ten starts) → isolation forest → boosted risk model with
+    five folds, the batch job's own settings: rows per risk level."""
     path = _folder(spark, "batch")
     X.occ(spark, d).write.option("header", True).csv(path)
-    lab, _metrics, _r = score_and_label(io.read_incidents(spark, path), as_of=AS_OF_EVENTS, n_init=3,
-                                        model_type="random_forest", cv_folds=5)
+    lab, _metrics, _r = score_and_label(io.read_incidents(spark, path), as_of=AS_OF_EVENTS)
     missing = F.col("cluster").isNull() | F.col("anomalia").isNull()
     return lab.groupBy("nivel_risco").agg(F.count(F.lit(1)).alias("n"), F.count_if(missing).cast("int").alias("sem_rotulo"))
 

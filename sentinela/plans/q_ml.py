@@ -89,7 +89,8 @@ def m9c(spark, d):
 
 @query("m10_train_risk_model")
 def m10(spark, d):
-    return M.train_risk_model(X.occ(spark, d), "xgboost", cv_folds=None).predictions
+    """Boosted trees with the batch job's defaults, five folds included."""
+    return M.train_risk_model(X.occ(spark, d), "xgboost").predictions
 
 
 @query("m11_random_forest")
@@ -120,6 +121,21 @@ def m15(spark, d):
     return spark.createDataFrame([(r.cv_mean, r.cv_std)], "cv_media double, cv_desvio double")
 
 
+@query("m15_boosted_cross_validate")
+def m15b(spark, d):
+    """Mean and deviation of the five folds' accuracies of the boosted model, grown in the passes of the model itself."""
+    r = M.train_risk_model(X.occ(spark, d), "xgboost")
+    return spark.createDataFrame([(r.cv_mean, r.cv_std)], "cv_media double, cv_desvio double")
+
+
+@query("m19_predict_boosted")
+def m19b(spark, d):
+    """Class and probability of the boosted model for every (zone, time) of the table."""
+    occ = X.occ(spark, d)
+    r = M.train_risk_model(occ, "xgboost", cv_folds=None)  # m15_boosted_cross_validate has the folds
+    return M.predict(r.model, occ.select(K.ID, K.ZONE, K.TS), "xgboost").select(K.ID, "previsao", "confianca")
+
+
 @query("m19_predict")
 def m19(spark, d):
     occ = X.occ(spark, d)
@@ -151,5 +167,11 @@ def m2(spark, d):
 @query("m10_case_model")
 def m10b(spark, d):
     """Second form on the case scope: predict case gravity."""
-    r = M.train_case_model(filters.filter_in(X.occ(spark, d), K.TYPE, K.CASE_TYPES), "gravidade", cv_folds=None)
+    r = M.train_case_model(filters.filter_in(X.occ(spark, d), K.TYPE, K.CASE_TYPES), "gravidade")
     return r.predictions
+
+
+@query("m16_grid_search")
+def m16(spark, d):
+    """36 settings of the case model's forest over three folds: mean and deviation of the accuracy, and the best."""
+    return M.grid_search(filters.filter_in(X.occ(spark, d), K.TYPE, K.CASE_TYPES), "gravidade")

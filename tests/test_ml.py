@@ -325,15 +325,69 @@ def test_risk_model_end_to_end(spark):
         M.train_risk_model(occ, "svm")
 
 
-def test_grid_search_mechanics(spark):
-    from pyspark.ml.tuning import ParamGridBuilder
+def planted_classes(spark, n=600):
+    """Three classes by two features, with noise; the third feature says nothing."""
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(21)
+    x = rng.uniform(0, 1, (n, 3))
+    y = np.where(rng.random(n) < 0.1, rng.integers(0, 3, n), (x[:, 0] > 0.5) + (x[:, 1] > 0.6) * (x[:, 0] > 0.5))
+    df = spark.createDataFrame([(i, *map(float, v), float(c), int(i % 3)) for i, (v, c) in enumerate(zip(x, y))],
+                               "occurrence_id long, a double, b double, c double, label_idx double, fold int")
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).repartition(4).cache(), x, y.astype(int)
+
+
+def test_grid_forest_prefixes_and_depths(spark):
+    """The whole forest votes as Spark's model does; a prefix as the mean of its trees; a cut tree by its node's rows."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from sentinela.ml.grid import Forest, forest_nodes, hits
+    df, x, y = planted_classes(spark)
+    model = RandomForestClassifier(numTrees=12, maxDepth=6, seed=1, featuresCol="features", labelCol="label_idx").fit(df)
+    nodes = forest_nodes(spark, model)
+    votes = Forest(nodes).votes(x, (1, 5, 12), (6, 2, 0))
+    whole = {r["occurrence_id"]: int(r["prediction"]) for r in model.transform(df).collect()}
+    assert [whole[i] for i in range(len(x))] == votes[0, 2].tolist()
+    from pyspark.ml.linalg import Vectors
+    for i in range(0, 600, 60):
+        raw = sum(t.predictProbability(Vectors.dense(x[i])).toArray() for t in model.trees[:5])
+        assert votes[0, 1, i] == raw.argmax()
+        share, by = np.zeros(3), nodes.set_index(["tree", "id"])
+        for t in range(5):  # walk down two steps by hand
+            at = by.loc[(t, 0)]
+            for _ in range(2):
+                if at.left >= 0:
+                    at = by.loc[(t, at.left if x[i, at.feature] <= at.threshold else at.right)]
+            share += np.array(at.stats) / sum(at.stats)
+        assert votes[1, 1, i] == share.argmax()
+    assert len(set(votes[2, 2])) == 1  # depth 0: the majority
+    found = hits(model, df, (1, 12), (2, 6))
+    assert found[6, 12] == (int((votes[0, 2] == y).sum()), 600) and found[2, 1] == (int((votes[1, 0] == y).sum()), 600)
+
+
+def test_grid_scores_have_every_setting_and_the_best(spark):
+    from sentinela.ml.grid import grid_scores
+    df, _, _ = planted_classes(spark)
+    rows = grid_scores(df, trees=(3, 6), depths=(1, 4, None), splits=(2, 10)).collect()
+    assert {(r["n_estimators"], r["max_depth"], r["min_samples_split"]) for r in rows} == {
+        (n, d, s) for n in (3, 6) for d in (1, 4, None) for s in (2, 10)} and len(rows) == 12
+    best = [r for r in rows if r["escolhido"]]
+    assert len(best) == 1 and best[0]["media"] == max(r["media"] for r in rows) > 0.85
+    assert all(0 <= r["desvio"] < 0.2 for r in rows)
+    assert len({r["media"] for r in rows}) > 2
+    again = grid_scores(df, trees=(3, 6), depths=(1, 4, None), splits=(2, 10)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_grid_search_of_the_case_model(spark):
     from sentinela.plans import fixtures as X
-    d = M.risk_features(X.occ(spark, SF0001))
-    pipe = M.build_pipeline("random_forest", d, num_trees=10)
-    rf = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(rf.maxDepth, [2, 4]).build()
-    m, mean, std = M.cross_validate(pipe, d, 3, 42, grid)
-    assert len(m.avgMetrics) == 2 and 0.0 <= mean <= 1.0
+    cases = X.occ(spark, SF0001)
+    small = {"trees": (2, 4), "depths": (2, None), "splits": (2,)}
+    rows = M.grid_search(cases, "gravidade", **small).collect()
+    assert len(rows) == 4 and sum(r["escolhido"] for r in rows) == 1
+    best = next(r for r in rows if r["escolhido"])
+    r = M.train_case_model(cases, "gravidade", tune=True, grid=small)
+    forest = r.model.stages[-1]
+    assert forest.getNumTrees in (2, 4) and 0 < r.cv_mean <= 1 and best["media"] <= 1
+    assert M.grid_search(cases.where("false"), "gravidade", **small).count() == 0
 
 
 def test_one_hot_drop_first(spark):
