@@ -32,12 +32,14 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 MARGIN = 0.23
 #: Members of a group, and entries of their differences, in a block of which two meet in one task; columns of the
 #: differences compared at a time.
-BLOCK, ENTRIES, COLUMNS = 128, 200_000, 1 << 13
+BLOCK, ENTRIES, COLUMNS = 128, 200_000, 1 << 12
+#: Rows of a cell compared with all others at a time.
+STRIP = 256
 #: Hubs that a band bucket gets one after the other, each for the members unlike the ones before.
 HUBS = 3
-#: Members of a bucket in a block of the search of what its hubs leave, and equal registers of a pair that it looks
-#: for: at the least similarity of 0.75 fewer occur with a chance below 1 in 10 million.
-REST, EQUAL = 512, 40
+#: Members of a bucket, and their shingles, in a block of the search of what its hubs leave, and equal registers of a
+#: pair that it looks for: at the least similarity of 0.75 fewer occur with a chance below 1 in 10 million.
+REST, SHINGLES, EQUAL = 2048, 2_000_000, 40
 
 _random = np.random.Generator(np.random.PCG64(314159))
 _FACTOR = _random.integers(0, 1 << 64, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -184,128 +186,176 @@ def reaches(both: Column, n_a: Column, n_b: Column, least: tuple[int, int]) -> C
     return both * least[1] >= (n_a + n_b - both) * least[0]
 
 
-def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs (hub, node) of members of one hub's group, in different components, that are similar enough.
+def _blocked(tagged: DataFrame, group: str, size: int, weight: Column, most: int) -> DataFrame:
+    """The rows of ``tagged`` (``group``, node, label, ...) with main and the cells x, y in which they meet.
 
-    What two members have in common follows from where they differ from the
-    hub: it is the hub's size, less what each lacks of it, and plus the
-    differences that they share. So no text is needed, and a task that holds a
-    block of members under the group's main label and a block of the others
-    (or two blocks of others) gives only the links between them. Members under
-    one label are never compared, groups with one label are left out.
+    Groups with one label are left out. A cell holds a block of the group's main
+    label (x from 0) or of the other members (x below 0) and block y of the
+    others, so members under one label never meet for each other's sake. Blocks
+    hold about ``size`` rows and ``most`` of ``weight``.
     """
-    tagged = stash(compared.select("hub", "node", "n_hub", "n_node", "both", "differ")
-                   .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
-    per_label = tagged.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("differ")).alias("e"))
-    blocks = lambda n, e: F.ceil(F.greatest(n / BLOCK, e / ENTRIES))
-    groups = stash(per_label.groupBy("hub").agg(
+    per_label = tagged.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("e"))
+    blocks = lambda n, e: F.ceil(F.greatest(n / size, e / most))
+    groups = stash(per_label.groupBy(group).agg(
         F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label", "e")).alias("m"), F.sum("n").alias("n"),
         F.sum("e").alias("e")).where("labels > 1").select(
-            "hub", F.col("m.label").alias("top"), blocks(F.col("m.n"), F.col("m.e")).alias("xs"),
+            group, F.col("m.label").alias("top"), blocks(F.col("m.n"), F.col("m.e")).alias("xs"),
             blocks(F.col("n") - F.col("m.n"), F.col("e") - F.col("m.e")).alias("ys")), "open")
-    rows = tagged.join(bounded_broadcast(groups), "hub").withColumn("main", F.col("label") == F.col("top"))
+    rows = tagged.join(bounded_broadcast(groups), group).withColumn("main", F.col("label") == F.col("top"))
     spread = lambda n: F.pmod(F.xxhash64("node"), n)
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    # Cell (x, y): block x of the main label (from 0) or of the others (below 0) against block y of the others.
     mine = spread(F.col("ys"))
     main = F.transform(upto(F.col("ys")), lambda y: cell(spread(F.col("xs")), y))
     other = F.concat(F.transform(upto(F.col("xs")), lambda x: cell(x, mine)),
                      F.transform(upto(mine + 1), lambda x: cell(-1 - x, mine)),
                      F.transform(F.filter(upto(F.col("ys")), lambda y: y > mine), lambda y: cell(-1 - mine, y)))
-    cells = rows.select("hub", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("c"), "node", "label",
-                        "main", "n_hub", "n_node", "both", "differ").select("*", "c.x", "c.y").drop("c")
+    return (rows.select(*tagged.columns, "main", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("c"))
+            .select(*tagged.columns, "main", "c.x", "c.y"))
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a cell are compared with which."""
+    main = table.column("main").to_numpy()
+    return (np.flatnonzero(main), np.flatnonzero(~main)) if table.column("x")[0].as_py() >= 0 else (np.arange(len(main)),) * 2
+
+
+def _across(compared: DataFrame, labels: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (hub, node) of members of one hub's group, in different components, that are similar enough.
+
+    What two members have in common follows from where they differ from the
+    hub: it is the hub's size, less what each lacks of it, and plus the
+    differences that they share. So no text is needed, and a task that holds a
+    block of members under the group's main label and a block of the others
+    (or two blocks of others) gives only links that join components (a spanning
+    forest of its cell). Members under one label are never compared.
+    """
+    tagged = stash(compared.select("hub", "node", "n_hub", "n_node", "both", "differ")
+                   .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    cells = _blocked(tagged, "hub", BLOCK, F.size("differ"), ENTRIES)
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.column("x")[0].as_py()
-        node, label, main, n_hub, n, both = (table.column(c).to_numpy() for c in
-                                             ("node", "label", "main", "n_hub", "n_node", "both"))
-        left, right = (np.flatnonzero(main), np.flatnonzero(~main)) if x >= 0 else (np.arange(len(node)),) * 2
+        node, label, n_hub, n, both = (table.column(c).to_numpy() for c in ("node", "label", "n_hub", "n_node", "both"))
+        left, right = _sides(table)
         differ = table.column("differ").combine_chunks()
         lengths = differ.value_lengths().to_numpy()
         shared = _shared(differ.flatten().to_numpy(), np.repeat(np.arange(len(node)), lengths), left, right, len(node))
         lacks = n_hub - both
         common = n_hub[0] - lacks[left][:, None] - lacks[right][None, :] + shared
         total = n[left][:, None] + n[right][None, :] - common
-        link = (common * least[1] >= total * least[0]) & (label[left][:, None] != label[right][None, :])
-        a, b = np.nonzero(link)
-        a, b = node[left[a]], node[right[b]]
-        return pa.table({"hub": pa.array(np.minimum(a, b), pa.int64()), "node": pa.array(np.maximum(a, b), pa.int64())})
+        return _forest(common * least[1] >= total * least[0], node, label, left, right)
 
     return cells.groupBy("hub", "x", "y").applyInArrow(run, "hub long, node long").distinct()
 
 
-def _starred(left: DataFrame, members: DataFrame, labels: DataFrame, compared: DataFrame,
-             sketches: DataFrame) -> DataFrame:
-    """Pairs (hub, node) so that each likely pair that no group held yet is in one hub's group.
+def _forest(link: np.ndarray, node: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Table:
+    """Of the links (left x right) those that join two labels not joined yet: fewer than there are members."""
+    root: dict = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(link.any(axis=1)):
+        own = right[link[i]]
+        others, first = np.unique(label[own], return_index=True)
+        for other, at in zip(others.tolist(), first):
+            x, y = find(int(label[left[i]])), find(other)
+            if x != y:
+                root[x] = y
+                out.append(sorted((int(node[left[i]]), int(node[own[at]]))))
+    return pa.table({"hub": pa.array([a for a, _ in out], pa.int64()), "node": pa.array([b for _, b in out], pa.int64())})
+
+
+def _open(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """node, label, left, right, and which of left and right may be links that no hub's group held: under different
+    labels, with enough equal registers, in the first bucket that they share."""
+    node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+    left, right = _sides(table)
+    may = label[left][:, None] != label[right][None, :]
+    at: dict = {}
+    for i, own in enumerate(table.column("hubs").to_pylist()):
+        for h in own or ():
+            at.setdefault(h, []).append(i)
+    side = np.zeros((2, len(node)), np.int64)
+    side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
+    in_left, in_right = np.isin(np.arange(len(node)), left), np.isin(np.arange(len(node)), right)
+    for group in map(np.array, at.values()):
+        if len(group) > 1:
+            may[np.ix_(side[0, group[in_left[group]]], side[1, group[in_right[group]]])] = False
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    regs, band = np.ascontiguousarray(unpack(keys).astype(np.uint16).T), table.column("key")[0].as_py() >> 48
+    for i in range(0, len(left), STRIP):
+        part = may[i:i + STRIP]
+        if not part.any():
+            continue
+        equal = np.zeros(part.shape, np.uint8)
+        for r in regs:
+            equal += r[left[i:i + STRIP]][:, None] == r[right][None, :]
+        part &= equal >= EQUAL
+        for k in range(band):  # a pair counts in the first bucket that it shares
+            part &= keys[left[i:i + STRIP], k][:, None] != keys[right, k][None, :]
+    return node, label, left, right, may
+
+
+def _left_over(left: DataFrame, members: DataFrame, labels: DataFrame, compared: DataFrame, sketches: DataFrame,
+               texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (hub, node) that join components and that no hub's group held, as a spanning forest of each cell.
 
     ``left`` (key, node) are bucket members unlike their bucket's first hub; in
-    the other buckets all members are in that hub's group. Members of their
-    buckets under different labels that share no group are compared by equal
-    registers, in blocks, each pair in the first bucket that it shares. In a
-    cell the member with the most open pairs becomes a hub for all that are
-    like it, until no pair is open, so a dense cell gives few pairs.
+    the other buckets all members are in that hub's group. Members of these
+    buckets under different labels meet in cells, first with their registers
+    alone; members with a likely partner then meet again with the hashes of
+    their full sets. A cell gives its members with a likely partner and then its
+    links between labels, never its pairs.
     """
-    tagged = (members.select("key", "node").join(left.select("key").distinct(), "key").join(labels, "node", "left")
-              .withColumn("label", F.coalesce("label", "node")))
-    tagged = stash(tagged, "unlike")
-    buckets = (tagged.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"),
-                                         F.max("label").alias("hi"))
-               .where("lo < hi").select("key", F.ceil(F.col("size") / REST).alias("blocks")))
+    tagged = stash(members.select("key", "node").join(left.select("key").distinct(), "key").join(labels, "node", "left")
+                   .withColumn("label", F.coalesce("label", "node")).join(sketches.select("node", "n"), "node"), "unlike")
     pairs = compared.select("hub", "node")
     grouped = (pairs.union(pairs.select("hub", F.col("hub").alias("node")).distinct())
                .groupBy("node").agg(F.collect_list("hub").alias("hubs")))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                        lambda y: F.struct(F.least(mine, y).alias("x"), F.greatest(mine, y).alias("y")))
-    rows = (tagged.join(buckets, "key").withColumn("block", mine).withColumn("c", F.explode(cells))
-            .select("key", "c.x", "c.y", "block", "node", "label")
-            .join(grouped, "node", "left").join(sketches.select("node", "keys"), "node"))
+    facts = stash(tagged.select("node").distinct().join(grouped, "node", "left").join(sketches.select("node", "keys"), "node"), "facts")
+    cells = _blocked(tagged, "key", REST, F.col("n"), SHINGLES)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node, label, block = (table.column(c).to_numpy() for c in ("node", "label", "block"))
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        found = _stars(node, label, block, table.column("hubs").to_pylist(), keys, table.column("key")[0].as_py() >> 48)
-        return pa.table({"hub": pa.array(found[0], pa.int64()), "node": pa.array(found[1], pa.int64())})
+    def likely_members(table: pa.Table) -> pa.Table:
+        node, _, a, b, may = _open(table)
+        some = np.union1d(a[may.any(axis=1)], b[may.any(axis=0)]).astype(np.int64)
+        return table.select(["key", "x", "y", "node", "label", "main"]).take(pa.array(some))
 
-    return rows.groupBy("key", "x", "y").applyInArrow(run, "hub long, node long").distinct()
+    columns = "key long, x long, y long, node long, label long, main boolean"
+    some = stash(cells.join(facts, "node").select("key", "x", "y", "node", "label", "main", "hubs", "keys")
+                 .groupBy("key", "x", "y").applyInArrow(likely_members, columns), "likely")
+    sets = stash(_sets(texts.join(some.select("node").distinct(), "node", "left_semi")), "sets")
 
+    def links(table: pa.Table) -> pa.Table:
+        node, label, a, b, may = _open(table)
+        held = table.column("shingles").combine_chunks()
+        n = held.value_lengths().to_numpy().astype(np.int64)
+        common = _shared(held.flatten().to_numpy(), np.repeat(np.arange(len(node)), n), a, b, len(node))
+        total = n[a][:, None] + n[b][None, :] - common
+        return _forest(may & (common * least[1] >= total * least[0]), node, label, a, b)
 
-def _stars(node: np.ndarray, label: np.ndarray, block: np.ndarray, hubs: list, keys: np.ndarray,
-           band: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(node)
-    open_ = np.triu(label[:, None] != label[None, :], 1)
-    if block.min() < block.max():
-        open_ &= block[:, None] != block[None, :]
-    at: dict = {}
-    for i, own in enumerate(hubs):
-        for h in own or ():
-            at.setdefault(h, []).append(i)
-    for group in at.values():
-        if len(group) > 1:
-            open_[np.ix_(group, group)] = False
-    if not open_.any():
-        return node[:0], node[:0]
-    regs, equal = unpack(keys).astype(np.uint16), np.zeros((n, n), np.uint8)
-    for r in np.ascontiguousarray(regs.T):
-        equal += r[:, None] == r[None, :]
-    like = equal >= EQUAL
-    a, b = np.nonzero(open_ & like)
-    first = np.concatenate([np.zeros(0, np.int64)] + [
-        (keys[a[i:i + COLUMNS]] == keys[b[i:i + COLUMNS]]).argmax(axis=1) for i in range(0, len(a), COLUMNS)]) == band
-    open_[:] = False
-    open_[a[first], b[first]] = open_[b[first], a[first]] = True
-    degree = open_.sum(axis=1)
-    out: list = [(node[:0], node[:0])]
-    while degree.any():
-        p = degree.argmax()
-        star = np.flatnonzero(like[p] & (degree > 0))
-        out.append((np.full(len(star) - 1, node[p]), node[star[star != p]]))
-        cut = open_[np.ix_(star, star)]
-        degree[star] -= cut.sum(axis=1)
-        open_[np.ix_(star, star)] = False
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    return (some.join(facts, "node").join(sets, "node").groupBy("key", "x", "y")
+            .applyInArrow(links, "hub long, node long").distinct())
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles): the hashes of the full shingle set of each text."""
+    def run(batches):
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.binary()).to_pylist()
+            for begin, end in words.chunks(bodies):
+                hashes, bounds = words.word_hashes(bodies[begin:end])
+                shingles, firsts = words.shingle_hashes(hashes, bounds, WIDTH)
+                sets = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(firsts[:-1], firsts[1:])]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(
+                    pa.array(at), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -327,13 +377,11 @@ def _shared(values: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.n
     return out.astype(np.int64)
 
 
-def _joined(compared: DataFrame, known: DataFrame | None, texts: DataFrame,
-            least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """The links (a, b) in the groups of ``compared`` and the ``known`` ones, and the components that they make."""
+def _joined(compared: DataFrame, texts: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) in the groups of ``compared`` that join what the groups hold, and the components that they make."""
     linked = reaches(F.col("both"), F.col("n_hub"), F.col("n_node"), least)
     ends = [F.col("hub").alias("a"), F.col("node").alias("b")]
     links = compared.where(linked).select(ends)
-    links = links if known is None else links.union(known)
     labels = components(links)
     across = _compared(stash(_across(compared, labels, least), "across"), texts)
     more = stash(across.where(linked).select(ends), "links")
@@ -362,10 +410,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
     on their full sets and the links joined into components. A hub's group that
     still holds several components is then searched across them, in blocks, so
     no link between different components is left out, and pairs inside one are
-    never listed. Last, members of a bucket that no group held together are
-    compared by registers in blocks, and the likely pairs get hubs and are
-    searched in the same way, so each pair of a bucket is in one component, in
-    one hub's group, or unlikely. Texts move only for nodes in a candidate pair.
+    never listed. Last, members of a bucket that no group held together and
+    that are still in different components meet in blocks: by registers, and
+    those with a likely partner by the hashes of their full sets. So each pair
+    of a bucket is in one component, was compared in a hub's group, is unlikely
+    or is compared there. A block gives only links that join components, which
+    are confirmed on the texts. Texts move only for nodes in a candidate pair;
+    very long ones weigh more, so fewer of them share a block.
     """
     for_python(df.sparkSession)
     body = F.col(f"`{text}`")
@@ -395,10 +446,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, least: tuple[int, int] =
         if left.isEmpty():
             break
     compared = stash(_compared(near.distinct(), texts), "compared")
-    links, labels = _joined(compared, None, texts, least)
-    stars = stash(_starred(unlike, members, labels, compared, involved), "stars")
-    if not stars.isEmpty():
-        links, labels = _joined(stash(_compared(stars, texts), "compared"), links, texts, least)
+    links, labels = _joined(compared, texts, least)
+    more = stash(_left_over(unlike, members, labels, compared, involved, texts, least), "more")
+    if not more.isEmpty():
+        sure = _compared(more, texts).where(reaches(F.col("both"), F.col("n_hub"), F.col("n_node"), least))
+        labels = components(links.union(stash(sure.select(F.col("hub").alias("a"), F.col("node").alias("b")), "links")))
     groups = stash(classes.select("node", "id").join(labels, "node", "left").select(
         "node", "id", F.coalesce("label", "node").alias("label")), "groups")
     roots = stash(groups.groupBy("label").agg(F.min("id").alias("root")), "roots")

@@ -101,29 +101,83 @@ def test_passages_shared_by_many(spark):
     near_check([(r.id, r.n_shingles, r.component_id, r.kept) for r in rows.collect()], near_groups(data))
 
 
-def test_blocks_cover_every_likely_pair():
-    """Each likely pair under two labels, in its first common bucket, ends up with one hub or is one."""
-    from sentinela.llm.setsketch import BANDS, EQUAL, REGISTERS, _stars, band_keys, unpack
+def cell_table(rows):
+    import pyarrow as pa
+    names = ["key", "x", "y", "node", "label", "main", "hubs", "keys"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
+
+
+@pytest.mark.parametrize("x", [-1, 0])
+def test_cells_open_every_likely_pair(x):
+    """In its first common bucket each likely pair under two labels that no hub held is open, and no other."""
+    from sentinela.llm.setsketch import BANDS, EQUAL, REGISTERS, _open, band_keys
     rnd = np.random.default_rng(5)
     regs = rnd.integers(0, 2, (160, REGISTERS)).astype(np.uint16)
     regs[40:80] = np.where(rnd.random((40, REGISTERS)) < 0.25, 9, regs[:40])
     keys, node = band_keys(regs), np.arange(160)
-    hubs, label = [[i % 3] if i < 30 else None for i in node], node // 2
-    wanted = {(a, b) for a in range(160) for b in range(a) if label[a] != label[b]
-              and (unpack(keys[[a]]) == unpack(keys[[b]])).sum() >= EQUAL and not (a < 30 and b < 30 and a % 3 == b % 3)}
-    stars = defaultdict(set)
+    hubs, label, main = [[i % 3] if i < 30 else None for i in node], node // 2, node % 4 < 2
+    wanted = {(a, b) for a in range(160) for b in range(a) if label[a] != label[b] and (regs[a] == regs[b]).sum() >= EQUAL
+              and (keys[a] == keys[b]).any() and not (a < 30 and b < 30 and a % 3 == b % 3) and (x < 0 or main[a] != main[b])}
+    found = []
     for key in np.unique(keys):
         own = np.flatnonzero((keys == key).any(axis=1))
-        for x, y in [(0, 0), (0, 1), (1, 1)]:
-            cell = own[np.isin(own % 2, (x, y))]
-            if len(cell):
-                for h, m in zip(*_stars(node[cell], label[cell], cell % 2, [hubs[i] for i in cell], keys[cell], key >> 48)):
-                    stars[key, x, y, h] |= {h, m}
-    shared = {p for p in wanted if (keys[p[0]] == keys[p[1]]).any()}
-    assert len(shared) > 1000 and all(any(a in s and b in s for s in stars.values()) for a, b in shared)
+        n, _, left, right, may = _open(cell_table([(key, x, 0, i, label[i], main[i], hubs[i], keys[i]) for i in own]))
+        found += [(max(n[left[i]], n[right[j]]), min(n[left[i]], n[right[j]])) for i, j in zip(*np.nonzero(may))]
+    assert len(wanted) > 1000 and set(found) == wanted and len(found) == len(wanted) * (2 if x < 0 else 1)
     assert BANDS * 3 == REGISTERS
 
 
+def test_forest_joins_what_the_links_join():
+    from sentinela.llm.setsketch import _forest
+    rnd = np.random.default_rng(6)
+    for n, share in ((40, 0.02), (40, 0.3), (1, 1.0)):
+        node, label = rnd.permutation(1000)[:n], rnd.integers(0, max(1, n // 2), n)
+        link = np.triu(rnd.random((n, n)) < share, 1)
+        side = np.arange(n)
+        out = _forest(link, node, label, side, side).to_pydict()
+        of = dict(zip(node.tolist(), label.tolist()))
+
+        def parts(edges):
+            root = {x: x for x in of.values()}
+            for a, b in edges:
+                a, b = root[of[a]], root[of[b]]
+                root = {k: (b if v == a else v) for k, v in root.items()}
+            return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+        edges = [(int(node[i]), int(node[j])) for i, j in zip(*np.nonzero(link))]
+        kept = list(zip(out["hub"], out["node"]))
+        assert parts(edges) == parts(kept) and len(kept) < max(n, 1) and {tuple(sorted(e)) for e in kept} <= {tuple(sorted(e)) for e in edges}
+
+
+def test_rows_of_a_large_group_grow_with_it(spark, monkeypatch):
+    """Near copies of one short text, with links between some of them only: scratch rows follow the group's size."""
+    from sentinela.llm import setsketch
+    rnd = random.Random(9)
+    base = sentence(rnd, 60).split()
+
+    def copy():
+        w = list(base)
+        for _ in range(rnd.randint(1, 6)):
+            w[rnd.randrange(len(w))] = f"new{rnd.randrange(10**6)}"
+        return " ".join(w)
+
+    written, stash = {}, setsketch.stash
+    monkeypatch.setattr(setsketch, "stash", lambda df, name: written.setdefault(name, []).append(stash(df, name)) or written[name][-1])
+    counts = []
+    for n in (1000, 3000):
+        written.clear()
+        data = [(i, copy()) for i in range(n)]
+        rows = setsketch.near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), "doc_id", "text").collect()
+        if n == 1000:
+            near_check([(r.id, r.n_shingles, r.component_id, r.kept) for r in rows], near_groups(data))
+        counts.append({name: sum(df.count() for df in frames) for name, frames in written.items()})
+    small, large = counts
+    for name in set(large) - {"likely"}:  # pairs, members and links follow the group; three times the rows
+        assert large[name] <= max(4 * small.get(name, 0), 300), (name, small.get(name), large[name])
+    assert large["likely"] <= large["members"]  # at most once a member of a bucket, while it is one block
+
+
 def test_sketches_merge_and_estimate():
     from sentinela.llm.setsketch import band_keys, likely, merge, registers, unpack
     from sentinela.llm._words import mixed
@@ -256,19 +310,17 @@ def test_top_k_odd_vectors(spark):
     vectors += [(300 + i, list(vectors[5][1])) for i in range(40)]                     # ties
     vectors += [(400, None), (420, [1.0, None] + [0.0] * 38), (440, [float("nan")] * 40), (460, [float("inf")] + [0.0] * 39),
                 (480, []), (500, [2.0, -3.0]), (520, [1e12, -1e12] + [0.5] * 38), (521, [-1e12] * 40), (None, [1.0] * 40)]
-    vectors.append(vectors[20])
-    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string")
-    got = defaultdict(list)
-    rows = top_k(df, "vec_id", quantised(F.col("embedding")), F.pmod("vec_id", F.lit(20)) == 0, 7).collect()
-    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
-        got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    fine = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors
-            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in fine if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q)[:7]
-        limit = lambda s: max(-2**63, min(2**63 - 1, s))
-        assert got[q] == [(k, i, limit(-s)) for k, (s, i) in enumerate(scores, 1)], q
-    assert set(got) == {i for i in fine if i % 20 == 0}
+    vectors += [vectors[20], (40, [3.0] * 40), (40, [-2.0] * 40), (41, vectors[40][1]), (60, vectors[40][1]), (60, vectors[41][1])]  # keys repeated
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = Counter(tuple(r) for r in top_k(df, "vec_id", quantised(F.col("embedding")), F.pmod("vec_id", F.lit(20)) == 0, 7).collect())
+    fine = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    limit, want = lambda s: max(-2**63, min(2**63 - 1, s)), Counter()
+    for n, (q, own) in enumerate(fine):
+        if q % 20 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for m, (i, v) in enumerate(fine) if m != n)[:7]
+            want.update((q, k, i, limit(-s)) for k, (s, i) in enumerate(scores, 1))
+    assert got == want
     none = top_k(df.where("false"), "vec_id", quantised(F.col("embedding")), F.pmod("vec_id", F.lit(20)) == 0)
     assert none.count() == 0
 
@@ -279,9 +331,10 @@ def test_search_prunes_exactly():
     centres = rnd.integers(-200, 200, (64, 12))
     data = np.concatenate([centres[:, [k]] + rnd.integers(-9, 9, (64, 100)) for k in range(12)], axis=1).astype(float)
     ids = np.arange(data.shape[1])
-    found = Search(ids[:40], data[:, :40], 20)
+    pairs = np.stack([ids, ids + 7])  # ids and row numbers
+    found = Search(pairs[:, :40], data[:, :40], 20)
     for a in range(0, len(ids), 300):
-        found.add(ids[a:a + 300], data[:, a:a + 300])
+        found.add(pairs[:, a:a + 300], data[:, a:a + 300])
     rows = found.rows()
     scores = (data[:, :40].T @ data).astype(int)
     for q in range(40):
