@@ -222,15 +222,16 @@ ORACLE = {
     "op12_centroids": _centroids_sql(),
     "op13_merkle": _MERKLE_SQL,
     "op2_top_k": """
-WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e,
+                  row_number() OVER () AS rid
            FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-q AS (SELECT vec_id AS query_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM v WHERE vec_id % 20 = 0),
-c AS (SELECT vec_id, unnest(e) AS y, generate_subscripts(e, 1) AS d FROM v),
-s AS (SELECT query_id, vec_id, CAST(sum(x * y) AS BIGINT) AS score FROM q JOIN c USING (d)
-      WHERE query_id <> vec_id GROUP BY query_id, vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+q AS (SELECT vec_id AS query_id, rid AS query_rid, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM v WHERE vec_id % 20 = 0),
+c AS (SELECT vec_id, rid, unnest(e) AS y, generate_subscripts(e, 1) AS d FROM v),
+s AS (SELECT query_id, query_rid, vec_id, rid, CAST(sum(x * y) AS BIGINT) AS score FROM q JOIN c USING (d)
+      WHERE query_rid <> rid GROUP BY query_id, query_rid, vec_id, rid),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_rid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op7_line_dedup": r"""
