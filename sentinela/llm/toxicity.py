@@ -66,32 +66,47 @@ def revealed(word: str) -> str:
 
 
 class Chunks(dict):
-    """Place of each chunk known so far in ``grid``, whose rows say what a chunk adds to the features by itself."""
+    """Row in ``grid`` of each chunk known so far: what it adds to the features by itself.
+
+    Chunks that add the same share a row; each one found in the lexicon has its own.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.begins = lexicon, {s[:SHORT] for s in lexicon}
-        self.grid = np.zeros((1 << 12, 13))
+        self.shared: dict[tuple, int] = {}
+        self.grid, self.used = np.zeros((1 << 10, 13)), 0
 
     def weight(self, word: str) -> float:
         if word[:SHORT] not in self.begins and word + "$" not in self.lexicon:
             return 0.0
         return max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0) if word else 0.0
 
-    def __missing__(self, chunk: str) -> int:
-        at = self[chunk] = len(self)
+    def _row(self, added: tuple) -> int:
+        at = self.used
         if at == len(self.grid):
             self.grid = np.concatenate([self.grid, np.zeros_like(self.grid)])
-        word = plain(chunk)
-        weight, hidden, second = self.weight(word), self.weight(revealed(word)), word in _SECOND
+        self.grid[at] = added
+        self.used += 1
+        return at
+
+    def __missing__(self, chunk: str) -> int:
         n = len(chunk)
         if chunk.isalpha() and chunk.islower():
-            letters, upper, figures, bang, ask = n, 0, 0, 0, 0
+            word, letters, upper, figures, bang, ask = chunk, n, 0, 0, 0, 0
         else:
-            letters, upper = sum(map(str.isalpha, chunk)), sum(map(str.isupper, chunk))
+            word, letters, upper = plain(chunk), sum(map(str.isalpha, chunk)), sum(map(str.isupper, chunk))
             figures, bang, ask = sum(map(str.isdigit, chunk)), chunk.count("!"), chunk.count("?")
-        self.grid[at] = (max(weight, hidden), second, letters, upper, letters > 2 and upper == letters, bang, ask,
-                         n - letters - figures - bang - ask, figures, letters > 0 and not word.isalpha(),
-                         hidden > weight, STRETCHED.search(word) is not None, len(word) == 1 and letters == 1)
+        weight, stretched = self.weight(word), STRETCHED.search(word) is not None
+        hidden = 0.0 if word.isalpha() and not stretched else self.weight(revealed(word))
+        added = (max(weight, hidden), word in _SECOND, letters, upper, letters > 2 and upper == letters, bang, ask,
+                 n - letters - figures - bang - ask, figures, letters > 0 and not word.isalpha(),
+                 hidden > weight, stretched, len(word) == 1 and letters == 1)
+        at = self.shared.get(added) if not added[0] else None
+        if at is None:
+            at = self._row(added)
+            if not added[0]:
+                self.shared[added] = at
+        self[chunk] = at
         return at
 
 
