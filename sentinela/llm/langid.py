@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from sentinela.llm import _words as words
 from sentinela.llm._base import for_python, stash
+from sentinela.plans.hints import bounded_broadcast
 
 ORDER = 5
 #: Bounds of the sample of labelled texts that a language's model is fitted on.
 DOCS, CHARS = 2_000, 4_000_000
 #: Where the limit of acceptance lies between labelled texts (0) and the same texts with their letters shuffled (1).
 LENIENCE = 0.75
+#: Characters, and texts, that the figures of all languages count for in the limit of each.
+POOLED = 4_000, 4
 #: Characters of distinct words scored at a time.
 STEP = 1 << 17
 BEGIN, END = 0x110000, 0x110001
@@ -186,27 +189,39 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
     def calibrate(self, rows: pd.DataFrame) -> None:
-        """From labelled texts that the models have not seen (right, entropies, entropies of the same text with its
-        letters shuffled, n): the rate that makes the shares most likely, and for each language a limit between the
-        entropy of its texts and that of letters in no order."""
+        """From labelled texts (right, entropies, entropies of the same text with its letters shuffled, n, and whether the
+        models were fitted on it): the rate that makes the shares of the others most likely, and for each language a
+        limit between the entropy of such texts and that of letters in no order. One rule for any number of texts: a
+        language's fitted texts, and how much higher fresh ones are in all languages, stand for the fresh ones it lacks."""
         rows = rows[rows.n > 0]
         if not len(rows):
             return
         entropy, noise = np.array(rows.entropy.tolist()), np.array(rows.noise.tolist())
-        n = rows.n.to_numpy(float)
+        n, fresh = rows.n.to_numpy(float), ~rows.seen.to_numpy(bool)
         right = rows.right.map({x: i for i, x in enumerate(self.langs)}).to_numpy(int)
+        judged = fresh if fresh.any() else ~fresh
 
         def loss(rate: float) -> float:
             self.rate = rate
-            return -np.log(np.maximum(self.shares(entropy, n)[np.arange(len(right)), right], 1e-9)).mean()
+            return -np.log(np.maximum(self.shares(entropy[judged], n[judged])[np.arange(judged.sum()), right[judged]], 1e-9)).mean()
 
         self.rate = min(2.0 ** np.arange(-4, 7), key=loss)
-        for i in range(len(self.langs)):
-            own, size = entropy[right == i, i], n[right == i]
-            if len(own) >= 8:
-                mean, other = np.average(own, weights=size), np.average(noise[right == i].min(axis=1), weights=size)
-                spread = np.sqrt((size * (own - mean) ** 2).mean())
-                self.normal[i] = mean + LENIENCE * (other - mean), 3 * spread
+        own, other = entropy[np.arange(len(right)), right], noise.min(axis=1)
+        mean_of = lambda some: np.average(own[some], weights=n[some]) if some.any() else None
+        of = [(mean_of((right == i) & ~fresh), mean_of((right == i) & fresh)) for i in range(len(self.langs))]
+        # How much higher fresh texts are than fitted ones, over all languages.
+        step = np.mean([b / a for a, b in of if a and b] or [1.0])
+        middle = np.array([own[right == i].mean() if (right == i).any() else np.nan for i in range(len(self.langs))])
+        spread = (n * (own - middle[right]) ** 2)[judged].mean()
+        for i, (fitted, new) in enumerate(of):
+            mine, size = (right == i) & fresh, n[(right == i) & fresh]
+            if fitted is None and new is None:
+                continue  # its texts have no letter, so none is ever put there
+            # Fresh texts, and what the fitted ones let expect for POOLED characters and texts more.
+            mean = (size @ own[mine] + POOLED[0] * (fitted * step if fitted else new)) / (size.sum() + POOLED[0])
+            noisy = np.average(other[right == i], weights=n[right == i])
+            wide = ((size * (own[mine] - mean) ** 2).sum() + POOLED[1] * spread) / (len(size) + POOLED[1])
+            self.normal[i] = mean + LENIENCE * (noisy - mean), 3 * np.sqrt(wide)
 
     def accepts(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Texts whose entropy under the best language is below its limit, which is higher for short texts."""
@@ -220,24 +235,27 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, docs: int = DOCS, c
     """Models of all languages in ``labelled`` (rows without a language or text do not count).
 
     At most about ``docs`` texts or ``chars`` characters of each language, picked
-    by a hash of the key, are fitted (three of four) and calibrated on (the
-    rest); so the tables, which are broadcast, do not grow with the input.
+    by a hash of the key, are fitted (three of four, the one with the least hash
+    in any case) and calibrated on (the rest); so a language with one text is
+    learned, and the tables, which are broadcast, do not grow with the input.
     Counts and estimates are made by Spark. Without any labelled text the model
     has no language.
     """
     for_python(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"),
                            F.xxhash64(F.lit(5), F.col(f"`{key}`")).alias("draw")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
+    pick = F.pmod("draw", F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"), F.min(pick).alias("first"))
     share = F.least(F.lit(1.0), F.lit(float(docs)) / F.col("docs"), F.lit(float(chars)) / F.greatest("chars", F.lit(1)))
-    picked = (rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang")
-              .where(F.pmod("draw", F.lit(1 << 30)) <= F.col("share") * (1 << 30)))
-    sample = stash(picked.select("lang", "text", F.pmod(F.shiftright("draw", 32), F.lit(4)).alias("fold")), "sample")
+    shares = stash(sizes.select("lang", share.alias("share"), "first"), "shares")
+    picked = rows.join(bounded_broadcast(shares), "lang").where((pick <= F.col("share") * (1 << 30)) | (pick == F.col("first")))
+    fold = F.when(pick == F.col("first"), 0).otherwise(F.pmod(F.shiftright("draw", 32), F.lit(4)))
+    sample = stash(picked.select("lang", "text", fold.alias("fold")), "sample")
     counts = stash(_counts(sample.where("fold < 3").select("lang", "text"))
                    .groupBy("lang", "n", "gram", "context", "suffix", "first").agg(F.sum("seen").alias("seen")), "grams")
     model = Model(_estimate(counts).toPandas())
     if model.langs:
-        model.calibrate(_entropies(sample.where("fold = 3"), model).toPandas())
+        model.calibrate(_entropies(sample.where("fold in (0, 3)"), model).toPandas())
     return model
 
 
@@ -257,7 +275,7 @@ def _entropies(sample: DataFrame, model: Model) -> DataFrame:
         return pa.array(rows, pa.struct([("entropy", listed), ("noise", listed), ("n", pa.int64())]))
 
     known = sample.where(F.col("lang").isin(model.langs))
-    return known.select(F.col("lang").alias("right"), measure("text").alias("m")).select("right", "m.*")
+    return known.select(F.col("lang").alias("right"), (F.col("fold") < 3).alias("seen"), measure("text").alias("m")).select("right", "seen", "m.*")
 
 
 def identify(df: DataFrame, text: str, model: Model) -> DataFrame:

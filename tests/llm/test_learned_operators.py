@@ -71,8 +71,9 @@ def test_models_are_kneser_ney(spark):
     rows = [(i, t, "en") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     from pyspark.sql import functions as F
-    draw = {r.doc_id: r.f for r in df.select("doc_id", F.pmod(F.shiftright(
-        F.xxhash64(F.lit(5), "doc_id"), 32), F.lit(4)).alias("f")).collect()}
+    hashed = F.xxhash64(F.lit(5), "doc_id")
+    drawn = df.select("doc_id", F.pmod(F.shiftright(hashed, 32), F.lit(4)).alias("f"), F.pmod(hashed, F.lit(1 << 30)).alias("pick")).collect()
+    draw = {r.doc_id: 0 if r.pick == min(x.pick for x in drawn) else r.f for r in drawn}  # the least is always fitted
     model = fit(df, "doc_id", "text", "lang")
     p = plain_kneser_ney([t for i, t, _ in rows if draw[i] < 3], ORDER)
     for word in ("cat", "that", "zebra", "hatbat"):
@@ -109,6 +110,31 @@ def test_noise_is_rejected(spark):
     assert sum(r.found.accepted for r in rows if r.record.doc_id < 10**6) >= 0.995 * docs.count()
 
 
+@pytest.mark.parametrize("known", [1, 3, 20])
+def test_a_language_with_few_texts_is_learned_and_rejects_noise(spark, known):
+    from sentinela.llm.langid import fit, identify
+    rnd = random.Random(known)
+    parts = ["kua", "lele", "maka", "pono", "hiwi", "nani", "aloa", "wahi", "moku", "puna"]
+    text = lambda: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 3))) for _ in range(120))
+
+    def shuffled(t):
+        letters = [c for c in t if c.isalpha()]
+        rnd.shuffle(letters)
+        rest = iter(letters)
+        return "".join(next(rest) if c.isalpha() else c for c in t)
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    few = [(10**6 + i, text(), "xx") for i in range(known)]
+    model = fit(docs.union(spark.createDataFrame(few, docs.schema)), "doc_id", "text", "lang")
+    assert "xx" in model.langs and len(model.normal) == len(model.langs)
+    fresh = [(i, text()) for i in range(30)] + [(100 + i, shuffled(text())) for i in range(30)]
+    rows = identify(spark.createDataFrame(fresh, "doc_id long, text string"), "text", model).collect()
+    own = [r for r in rows if r.record.doc_id < 100]
+    assert sum(r.found.lang == "xx" for r in own) >= 29
+    assert sum(r.found.accepted for r in own) >= 24
+    assert sum(r.found.accepted for r in rows if r.record.doc_id >= 100) <= 3
+
+
 # secrets
 
 def plain_base(text):
