@@ -30,7 +30,11 @@ def with_hashes(df: DataFrame, text: Column, name: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add ``name``: struct of n (distinct shingles) and kept (ascending hashes)."""
+    """Add ``name``: struct of n (distinct shingles) and kept (ascending hashes).
+
+    This departs from a pure threshold: where fewer than ``FLOOR`` hashes lie below
+    it, the ``FLOOR`` smallest are kept, so that short texts can be compared.
+    """
     below = F.filter("_hashes", lambda h: h < F.lit(LIMIT))
     return (with_hashes(df, text, "_hashes").withColumn("_below", below)
             .withColumn(name, F.struct(F.size("_hashes").alias("n"), F.when(
@@ -87,8 +91,8 @@ def compare_with_edit(df: DataFrame, key: str, text: str) -> DataFrame:
     many (or all) of the next document, in ascending key (null first; rows with
     the same key by a hash of the text), after the last the first. Repeated rows
     (same key and text) are one document and each gets its result; a null text
-    is empty; a table with one document has itself as the next; an empty table
-    gives no rows.
+    is empty; a table with one document has itself as the next; very long texts
+    keep one in eight of all their shingle hashes; an empty table gives no rows.
 
     The order is found on (key, hash, length) alone; texts are shuffled once, by
     key, and meet only the heads and sketches of their successors.

@@ -47,7 +47,8 @@ def dedup_lines(df: DataFrame, key: str, text: str, lines: int = LINES) -> DataF
     one inside the same document leaves the first one's lines alone. Windows of
     blank lines only do not count, so texts with fewer lines than a window,
     empty and null texts stay as they are. Repeated rows (same key and text)
-    are one document: each gets the same result. An empty table gives no rows.
+    are one document: each gets the same result. A very long text is cut into
+    its windows in one task, whole. An empty table gives no rows.
 
     Only hashes are shuffled to find repeats: counts are pre-aggregated in each
     task, and a window that a third of all documents share is joined as a

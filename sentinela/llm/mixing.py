@@ -70,8 +70,9 @@ def mix(df: DataFrame, key: str, source: str, text: str, carry: list[str] | None
     source with a third of all rows is summed in parts and only the rows of one
     bucket of 65,536 are put in order. Null and empty texts have size 0 and
     follow the same rule; a null key counts as the empty string; repeated rows
-    are documents of their own; an empty table gives no rows; a source without
-    words takes each document 0 times.
+    are documents of their own; a very long text counts with all its words, so a
+    source may miss its target by half of that; an empty table gives no rows; a
+    source without words takes each document 0 times.
     """
     record = F.struct(*[F.col(f"`{c}`") for c in (carry or df.columns)])
     docs = stash(df.select(record.alias("record"), F.col(f"`{source}`").alias("source"),

@@ -222,7 +222,8 @@ def dedup_passages(df: DataFrame, key: str, text: str) -> DataFrame:
     one's words alone. Words are runs without ASCII white space, A-Z
     lower-cased. Shorter texts, empty and null ones stay as they are (null has 0
     words). Repeated rows (same key and text) are one text: each gets the same
-    result. An empty table gives no rows.
+    result. Very long texts are hashed whole, one at a time. An empty table gives
+    no rows.
 
     Exact copies of a text are settled by one pre-aggregated hash. Passages
     selected by a suffix without a neighbour are never looked at again, so what
