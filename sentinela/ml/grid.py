@@ -26,7 +26,9 @@ TREES, DEPTHS, SPLITS = (50, 100, 200), (3, 5, 10, None), (2, 5, 10)
 #: Spark's greatest depth, for a depth of None.
 DEEPEST = 30
 #: Forests grown at the same time, and memory for the histograms of a pass (fewer passes than with Spark's 256).
-AT_ONCE, MEMORY_MB = 3, 1024
+AT_ONCE, MEMORY_MB = 6, 1024
+#: Rows a task: each task sends a histogram for every node of every tree, so more tasks than the rows need cost more than they save.
+TASK_ROWS = 50_000
 
 
 def leaf_rows(split: int) -> int:
@@ -117,6 +119,7 @@ def grid_scores(df: DataFrame, folds: int = 3, seed: int = 42, trees: Sequence[i
     rows there is no result.
     """
     most, deepest = max(trees), [DEEPEST if d is None else d for d in depths]
+    df = df.coalesce(max(1, -(-df.count() // TASK_ROWS)))
 
     def one(job: tuple[int, int]) -> tuple[int, dict]:
         split, fold = job

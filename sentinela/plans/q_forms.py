@@ -176,6 +176,32 @@ def m12_check(spark, d):
     return imp.agg(F.round(F.sum("importance"), 6).alias("soma"), F.count_if(F.col("importance") < 0).cast("int").alias("negativas"))
 
 
+#: A risk level that follows from the hour alone, in SQL text for both engines.
+PLANTED = f"CASE WHEN hora < 7 THEN '{K.RISK_LOW}' WHEN hora < 15 THEN '{K.RISK_MID}' ELSE '{K.RISK_HIGH}' END"
+
+
+def _planted(spark, d):
+    return X.cal(spark, d).withColumn("nivel_risco", F.expr(PLANTED))
+
+
+@query("m12_planted_feature", with_("cal") + f"SELECT CASE WHEN count(DISTINCT {PLANTED}) > 1 THEN 'hora' END AS feature FROM cal")
+def m12_planted(spark, d):
+    """The most important feature of a forest where the level follows from the hour."""
+    r = M.train_risk_model(_planted(spark, d), "random_forest", cv_folds=None)
+    return M.feature_importance(r.model, M.risk_features(_planted(spark, d)), top=1).select("feature")
+
+
+@query("m19_predict_planted", with_("cal") + f"""SELECT {PLANTED} AS nivel_risco, {PLANTED} AS previsao, count(*) AS n, 0 AS inseguras
+FROM cal GROUP BY 1, 2""")
+def m19_planted(spark, d):
+    """Planted and predicted level of every row by the boosted model, and rows with less than 90 % confidence."""
+    planted = _planted(spark, d)
+    r = M.train_risk_model(planted, "xgboost", cv_folds=None)
+    p = M.predict(r.model, planted.select(K.ID, K.ZONE, K.TS, "nivel_risco"), "xgboost")
+    return p.groupBy("nivel_risco", "previsao").agg(F.count(F.lit(1)).alias("n"),
+                                                    F.count_if(F.col("confianca") < 90).cast("int").alias("inseguras"))
+
+
 @query("m19_predict_check", with_("occ") + "SELECT count(*) AS linhas, 0 AS sem_classe FROM occ")
 def m19_check(spark, d):
     occ = X.occ(spark, d)
@@ -243,6 +269,23 @@ def m7_hier(spark, d):
     return spark.range(1).select(F.lit(C.silhouette(C.cluster(X.cal(spark, d), "hierarchical", features=GEO, k=5))).alias("silhouette_sq"))
 
 
+@query("m7_silhouette_fixture", with_("lab", extra="""z AS (SELECT occurrence_id, cluster,
+    [(latitude - avg(latitude) OVER ()) / stddev_pop(latitude) OVER (), (longitude - avg(longitude) OVER ()) / stddev_pop(longitude) OVER (),
+     (CAST(hora AS DOUBLE) - avg(CAST(hora AS DOUBLE)) OVER ()) / stddev_pop(CAST(hora AS DOUBLE)) OVER ()] AS x FROM lab),
+y AS (SELECT * FROM z WHERE cluster <> -1),
+c AS (SELECT cluster, CAST(count(*) AS DOUBLE) AS n, [sum(x[1]), sum(x[2]), sum(x[3])] AS s, sum(list_dot_product(x, x)) AS q FROM y GROUP BY 1),
+d AS (SELECT y.occurrence_id, y.cluster AS own, c.cluster AS other, c.n,
+             c.n * list_dot_product(y.x, y.x) + c.q - 2 * list_dot_product(y.x, c.s) AS total FROM y CROSS JOIN c),
+m AS (SELECT occurrence_id, max(CASE WHEN own = other THEN n END) AS n,
+             max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
+      FROM d GROUP BY 1)""") + """
+SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette_sq FROM m""")
+def m7_fixture(spark, d):
+    """Silhouette (squared distances) of the labels given by a rule, noise left out, on scaled features."""
+    s = C.silhouette(C.with_vector(X.lab(spark, d), GEO))
+    return spark.createDataFrame([(round(s, 6),)], "silhouette_sq double")
+
+
 @query("m8_case_isolation_forest", with_("cal") + f"SELECT count(*) AS linhas, 0 AS discordam FROM cal WHERE {CASE_SCOPE}")
 def m8_case(spark, d):
     """10 % on six features."""

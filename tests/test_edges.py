@@ -247,7 +247,8 @@ def test_distinct_counts_exact_and_approximate(spark):
 
 # queries that train a classifier say that there is nothing to train on
 TRAINING = ("m10_train_risk_model", "m10_case_model", "m11_random_forest", "m11_random_forest_check", "m12_feature_importance",
-            "m12_importance_check", "m15_cross_validate", "m19_predict", "m19_predict_check", "m22_score_and_label")
+            "m12_importance_check", "m12_planted_feature", "m15_cross_validate", "m15_boosted_cross_validate", "m19_predict",
+            "m19_predict_boosted", "m19_predict_check", "m19_predict_planted", "m22_score_and_label")
 
 
 def test_every_query_on_empty_tables(spark, tmp_path_factory):
