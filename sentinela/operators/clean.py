@@ -132,11 +132,13 @@ def dedupe(df: DataFrame, subset: Iterable[str] | None = None) -> DataFrame:
     return df.dropDuplicates(list(subset)) if subset else df.dropDuplicates()
 
 
-def cleaning_report(df: DataFrame, valid: Column) -> DataFrame:
-    """Rows in, rows kept, rows removed, percent removed — one pass."""
+def cleaning_report(df: DataFrame, valid: Column, rejects: DataFrame | None = None) -> DataFrame:
+    """Rows in, rows kept, rows removed, percent removed — one pass; with
+    ``rejects`` (``io.read_with_rejects``) also the lines that are no rows."""
     agg = df.agg(F.count(F.lit(1)).alias("linhas_entrada"),
                  F.count(F.when(valid, 1)).alias("linhas_validas"))
+    more = [] if rejects is None else [F.lit(rejects.count()).cast("long").alias("linhas_rejeitadas")]
     return agg.select(
-        "linhas_entrada", "linhas_validas",
+        "linhas_entrada", "linhas_validas", *more,
         (F.col("linhas_entrada") - F.col("linhas_validas")).alias("linhas_removidas"),
         S.pct(F.col("linhas_entrada") - F.col("linhas_validas"), "linhas_entrada", 1).alias("pct_removidas"))

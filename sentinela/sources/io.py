@@ -29,10 +29,17 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "csv", schema: T.S
     whole input.
     """
     if fmt == "parquet":
-        df = spark.read.parquet(path)
-    else:
-        r = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-        df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
+        return coerced(spark.read.parquet(path))
+    r = _csv(spark, sep)
+    return coerced(r.schema(schema).csv(path) if schema is not None else r.csv(path))
+
+
+def _csv(spark: SparkSession, sep: str):
+    return spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
+
+
+def coerced(df: DataFrame) -> DataFrame:
+    """Normalised and aliased columns; timestamps, coordinates and counts from text (bad text → NULL)."""
     df = apply_aliases(normalize_columns(df))
     df = parse_timestamps(df, [K.TS])
     df = to_numbers(df, [K.LAT, K.LON])
@@ -42,6 +49,25 @@ def read_incidents(spark: SparkSession, path: str, fmt: str = "csv", schema: T.S
     return df
 
 
+def read_with_rejects(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """S1 with an account of every line: (incidents, rejects).
+
+    ``rejects`` (linha) holds the text of the lines whose number of fields is
+    not the header's; ``read_incidents`` would fill such lines up with NULLs or
+    cut them off.  Incidents and rejects together are all lines but the headers
+    and blank ones.  The columns are those of the header; every line is parsed
+    whole, so both tables read all columns of the files.
+    """
+    header = _csv(spark, sep).csv(path).schema
+    bad = "_linha"
+    whole = T.StructType([*header.fields, T.StructField(bad, T.StringType())])
+    rows = _csv(spark, sep).option("columnNameOfCorruptRecord", bad).option("columnPruning", False).schema(whole).csv(path)
+    # Spark reads the malformed line only beside a column of the file: a condition that always holds names one.
+    beside = F.length(F.concat_ws("", F.col(bad), F.col(f"`{header.fields[0].name}`"))) >= 0
+    rejects = rows.where(F.col(bad).isNotNull() & beside).select(F.col(bad).alias("linha"))
+    return coerced(rows.where(F.col(bad).isNull() & beside).drop(bad)), rejects
+
+
 def with_key(df: DataFrame, key: str = K.ID) -> DataFrame:
     """A row key for a table without one: a 63-bit hash of all columns.
 

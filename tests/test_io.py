@@ -31,6 +31,25 @@ def test_read_csv_coerces_and_normalises(spark):
     assert rows[1][K.TS] == datetime(2024, 1, 2, 10) and rows[1][K.LAT] == -8.09 and rows[1][K.VICTIMS] == 2
 
 
+def test_every_csv_line_is_a_row_or_a_reject(spark):
+    from sentinela.operators import clean
+    from sentinela.sources.io import read_with_rejects
+    d = scratch()
+    good = ["2024-01-02 10:00:00,Roubo,Pina,-8.09,-34.9", 'not a date,"Furto, leve",Torre,abc,-34.9', ",,,,"]
+    bad = ["2024-01-02 10:00:00,Roubo,Pina", "2024-01-02 10:00:00,Roubo,Pina,-8.09,-34.9,more,fields", "alone"]
+    for i, lines in enumerate((good[:2] + bad[:1], bad[1:] + good[2:])):
+        with open(os.path.join(d, f"{i}.csv"), "w", encoding="utf-8") as f:
+            f.write("\n".join([" Data_Ocorrencia ,TIPO_CRIME,bairro,Latitude,longitude", *lines]) + "\n")
+    df, rejects = read_with_rejects(spark, d)
+    assert df.columns == [K.TS, K.TYPE, K.ZONE, K.LAT, K.LON]
+    assert sorted(r.linha for r in rejects.collect()) == sorted(bad)
+    assert rejects.count() + df.count() == len(good) + len(bad)
+    assert {r[K.TYPE] for r in df.collect()} == {"Roubo", "Furto, leve", None}
+    assert df.select(K.ZONE).where(f"{K.ZONE} = 'Pina'").count() == 1
+    report = clean.cleaning_report(df, clean.city_box_flag(), rejects).first()
+    assert (report.linhas_entrada, report.linhas_validas, report.linhas_rejeitadas) == (3, 1, 3)
+
+
 def test_write_and_read_results_partitioned(spark):
     d = scratch()
     lab = X.lab(spark, SF0001)
