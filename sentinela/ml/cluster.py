@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.functions.scalar import round_half_up
 from sentinela.ml.features import label_encode, one_hot_stages, standardize
-from sentinela.plans.hints import ensure_parallelism, ranked, settled
+from sentinela.plans.hints import ensure_parallelism, ranked, settled, written
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -140,22 +140,22 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     composed through the hook map, and the edge list is rewritten on the
     hooked ids with self-loops and duplicates removed.  Every non-isolated
     node merges with another one, so the graph at least halves per round, and
-    the rounds end when no edge is left.  Each round's state is written by a
-    reliable ``checkpoint()``.  Returns (v, c) with c = smallest node id of v's
+    the rounds end when no edge is left.  Each round's state is written to the
+    shared folder.  Returns (v, c) with c = smallest node id of v's
     component.
     """
     lab = nodes.select("v", F.col("v").alias("c"))
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
-    e = settled(e.distinct())
+    e = written(e.distinct())
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = settled(both.groupBy("a").agg(F.min("b").alias("m"))
+        hook = written(both.groupBy("a").agg(F.min("b").alias("m"))
                        .select(F.col("a").alias("x"), F.least(F.col("a"), F.col("m")).alias("px")))
-        lab = settled(lab.join(hook.withColumnRenamed("x", "c"), "c", "left")
+        lab = written(lab.join(hook.withColumnRenamed("x", "c"), "c", "left")
                       .select("v", F.coalesce(F.col("px"), F.col("c")).alias("c")))
         h1 = hook.select(F.col("x").alias("a"), F.col("px").alias("pa"))
         h2 = hook.select(F.col("x").alias("b"), F.col("px").alias("pb"))
-        e = settled(e.join(h1, "a", "left").join(h2, "b", "left")
+        e = written(e.join(h1, "a", "left").join(h2, "b", "left")
                     .select(F.coalesce("pa", "a").alias("a0"), F.coalesce("pb", "b").alias("b0"))
                     .select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
                     .where(F.col("a") != F.col("b")).distinct())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.ml.neighbors import blocking_dims, sq_dist
-from sentinela.plans.hints import settled
+from sentinela.plans.hints import settled, written
 
 #: Points of a cell that one task compares with the points of a sparse cell.
 BLOCK = 4096
@@ -91,7 +91,7 @@ def _settle(pairs: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
     """Cell pairs (a, b) of which some box pair is surely within ``eps``, and the box pairs of the others."""
     boxes = [F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi")]
     sure = (sq_dist(F.col("a_one"), F.col("b_one")) <= F.lit(eps)) | (_reach(*boxes) <= F.lit(eps))
-    marked = settled(pairs.withColumn("sure", sure))
+    marked = written(pairs.withColumn("sure", sure))
     linked = marked.where("sure").select("a", "b").distinct()
     return linked, marked.drop("sure").join(linked, ["a", "b"], "left_anti")
 
@@ -110,7 +110,7 @@ def closest_pairs(points: DataFrame, pairs: DataFrame, eps: float, d: int) -> Da
     for step in range(1, HALVINGS + 2):
         cids = open_.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         part = F.xxhash64("cid", _places(side / 2 ** step)) if step <= HALVINGS else F.col("rid")
-        boxes = settled(inside.join(cids, "cid", "left_semi").withColumns({"parent": parents, "part": part})
+        boxes = written(inside.join(cids, "cid", "left_semi").withColumns({"parent": parents, "part": part})
                         .groupBy("cid", "parent", "part").agg(*_box(d)))
         a = boxes.select(F.col("cid").alias("a"), F.col("parent").alias("a_part"), F.col("part").alias("a_next"),
                          F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.col("one").alias("a_one"))
@@ -120,7 +120,7 @@ def closest_pairs(points: DataFrame, pairs: DataFrame, eps: float, d: int) -> Da
                 .where(_gap(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")) <= F.lit(eps)))
         linked, rest = _settle(near, eps)
         found = linked if found is None else found.unionByName(linked)
-        open_ = settled(rest.select("a", "b", F.col("a_next").alias("a_part"), F.col("b_next").alias("b_part")))
+        open_ = written(rest.select("a", "b", F.col("a_next").alias("a_part"), F.col("b_next").alias("b_part")))
         if open_.isEmpty():
             break
         parents = part
@@ -144,14 +144,14 @@ def density_labels(reps: DataFrame, eps: float, min_samples: int) -> DataFrame:
     joined = hits.join(nodes.withColumnRenamed("v", "t"), "t", "left_semi").select("p", "t")  # t a crowded cell or a core point
     linked, unsettled = _settle(near.where("a_dense and b_dense and a < b"), eps)
     edges = joined.join(cores, "p", "left_semi").select(F.col("p").alias("a"), F.col("t").alias("b")).unionByName(linked)
-    comp = settled(_components(edges, nodes))
+    comp = written(_components(edges, nodes))
     # Only crowded cells that nothing else has joined need the closest pair.
     ends = comp.select(F.col("v").alias("a"), F.col("c").alias("ca")), comp.select(F.col("v").alias("b"), F.col("c").alias("cb"))
-    unsettled = settled(unsettled.join(ends[0], "a").join(ends[1], "b").where("ca != cb"))
+    unsettled = written(unsettled.join(ends[0], "a").join(ends[1], "b").where("ca != cb"))
     if not unsettled.isEmpty():
         more = closest_pairs(points, unsettled, eps, d).join(ends[0], "a").join(ends[1], "b")
         roots = _components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), comp.select(F.col("c").alias("v")).distinct())
-        comp = settled(comp.join(roots.withColumnRenamed("c", "root").withColumnRenamed("v", "c"), "c").select("v", F.col("root").alias("c")))
+        comp = written(comp.join(roots.withColumnRenamed("c", "root").withColumnRenamed("v", "c"), "c").select("v", F.col("root").alias("c")))
     crowded = points.where("dense").select("rid", F.col("cid").alias("v")).join(comp, "v").select("rid", "c")
     single = cores.join(comp.withColumnRenamed("v", "p"), "p").select(F.col("p").alias("rid"), "c")
     border = (joined.join(core.where("not core").select("p"), "p", "left_semi").join(comp.withColumnRenamed("v", "t"), "t")

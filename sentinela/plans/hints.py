@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -43,6 +44,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A frame as files in the shared folder, read back: for what a loop hands to its next round.
+
+    A checkpoint hands on the estimated size of the plan behind it, and that of
+    a join is the product of its sides: in a loop its digits double each round,
+    until the planning takes longer than the work.  Files have their own size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def precounted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per combination of ``cols`` (those present) with the number of input
     rows in ``ROWS``: one scan and one pre-aggregated shuffle of the input, after
