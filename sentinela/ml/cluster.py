@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
@@ -187,33 +188,111 @@ def dbscan(df: DataFrame, features: Sequence[str] | None = None, eps: float = 0.
 
 
 # ------------------------------------------------------------------ M6 hierarchical (re-aimed)
+class _Noise:
+    """The numbers of ``java.util.Random``, with which Spark's bisecting k-means parts two new centres."""
+
+    def __init__(self, seed: int):
+        self.state = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1)
+
+    def _bits(self, n: int) -> int:
+        self.state = (self.state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+        return self.state >> (48 - n)
+
+    def __call__(self) -> float:
+        return ((self._bits(26) << 27) + self._bits(27)) / float(1 << 53)
+
+
+def _branch(cols: Sequence[str], centers: dict[int, list[float]], leaf, node: int = 1) -> Column:
+    """``leaf(node)`` of the node that a row of ``cols`` comes down to: at each fork the nearer centre, ties to the left."""
+    sides = [n for n in (2 * node, 2 * node + 1) if n in centers]
+    if not sides:
+        return F.lit(leaf(node))
+    down = [_branch(cols, centers, leaf, n) for n in sides]
+    if len(down) == 1:
+        return down[0]
+    left, right = [sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(cols, centers[n])), F.lit(0.0)) for n in sides]
+    return F.when(left <= right, down[0]).otherwise(down[1])
+
+
+def bisect(x: DataFrame, cols: Sequence[str], k: int, seed: int, max_iter: int) -> dict[int, list[float]]:
+    """Centres of the clusters' tree (root 1, children 2n and 2n + 1) by the method, starts and rounds of Spark's
+    ``BisectingKMeans``: on each level the largest clusters are halved by two-means.
+
+    Spark's own runs all ``max_iter`` rounds of a level over vectors. Here a
+    round is one pre-aggregated pass over plain columns, and a level is done
+    when a round moves no centre, as the next ones would not either.
+    """
+    noise, centers, scale = _Noise(seed), {}, 1e-12
+
+    def summary() -> dict[int, tuple[int, list[float], float]]:
+        sums = x.groupBy(_branch(cols, centers, lambda n: n).alias("node")).agg(
+            F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)],
+            *[F.sum(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(cols)]).collect()
+        out = {}
+        for r in sums:
+            mean = [r[f"s{i}"] / r["n"] for i in range(len(cols))]
+            out[r["node"]] = r["n"], mean, max(sum(r[f"q{i}"] for i in range(len(cols))) - r["n"] * sum(v * v for v in mean), 0.0)
+        return out
+
+    active = summary()
+    if not active:
+        return {}
+    centers[1], needed = active[1][1], k - 1
+    while needed > 0:
+        halved = [n for n in sorted(active) if active[n][2] > 2.0 ** -52 * active[n][0]]
+        if len(halved) > needed:
+            halved = sorted(halved, key=lambda n: -active[n][0])[:needed]
+        if not halved:
+            break
+        for n in halved:
+            middle = active[n][1]
+            level = 1e-4 * sum(v * v for v in middle) ** 0.5
+            push = [level * noise() for _ in middle]
+            centers[2 * n], centers[2 * n + 1] = [v - p for v, p in zip(middle, push)], [v + p for v, p in zip(middle, push)]
+        new = [c for n in halved for c in (2 * n, 2 * n + 1)]
+        for _ in range(max_iter):
+            found = summary()
+            moved = any(c not in found or any(abs(a - b) > scale * max(1.0, abs(b)) for a, b in zip(found[c][1], centers[c]))
+                        for c in new)
+            for c in new:
+                centers.pop(c, None)
+            new = [c for c in new if c in found]
+            centers.update({c: found[c][1] for c in new})
+            if not moved:
+                break
+        active = {c: found[c] for c in new}
+        needed -= len(halved)
+    return centers
+
+
 def hierarchical(df: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, out: str = "cluster") -> DataFrame:
     """M6 (re-aimed for scale): a divisive hierarchy instead of Ward's agglomeration.
 
-    Exact Ward needs the distances of all pairs of rows.  ``BisectingKMeans``
+    Exact Ward needs the distances of all pairs of rows.  Bisecting k-means
     splits the cluster with the most rows in two until there are ``k``, which
-    costs a few passes per level at any size.  Rows are labelled by the fitted
-    model in place; rows with a NULL feature get −1.  The feature vector is
+    costs a few passes per level at any size (``bisect``).  Rows are labelled
+    in place; rows with a NULL feature get −1.  The feature vector is
     kept (``features``) for the silhouette.
     """
     z = standardize(df, features, prefix="__z_")
     zc = [f"__z_{c}" for c in features]
-    # off the origin: Spark parts two new centres in proportion to their norm, which is 0 in the middle of z-scores
+    # off the origin: two new centres are parted in proportion to their norm, which is 0 in the middle of z-scores
     z = z.withColumns({c: F.col(c) + F.lit(10.0) for c in zc})
-    asm = VectorAssembler(inputCols=zc, outputCol="features")
     whole = F.lit(True)
     for c in zc:
         whole = whole & F.col(c).isNotNull()
-    vectors = asm.transform(z.where(whole)).select(*df.columns, "features")
-    rest = z.where(~whole).select(*df.columns, F.lit(None).cast(VectorUDT()).alias("features"), F.lit(-1).alias(out))
-    if vectors.isEmpty():
-        return rest
-    x = ensure_parallelism(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = z.where(whole)
+    x = ensure_parallelism(vectors.select(*zc)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol=out, maxIter=30).fit(x)
+        centers = bisect(x, zc, k, seed, max_iter=30)
     finally:
         x.unpersist()
-    labelled = model.transform(vectors).withColumn(out, F.col(out).cast("int"))
+    rest = z.where(~whole).select(*df.columns, F.lit(None).cast(VectorUDT()).alias("features"), F.lit(-1).alias(out))
+    if not centers:
+        return rest
+    number = itertools.count()  # clusters by their place in the tree, from the left
+    label = _branch(zc, centers, lambda n: next(number)).cast("int")
+    labelled = vectors.select(*df.columns, array_to_vector(F.array(*zc)).alias("features"), label.alias(out))
     return labelled.unionByName(rest)
 
 
