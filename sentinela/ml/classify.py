@@ -26,7 +26,7 @@ from sentinela.ml.boosting import BoostedTrees, BoostedTreesModel, boost, cell_c
 from sentinela.ml.features import one_hot_stages
 from sentinela.ml.grid import DEEPEST, grid_scores, leaf_rows
 from sentinela.ml.split import fold_column, split
-from sentinela.plans.hints import ensure_parallelism, settled
+from sentinela.plans.hints import bounded_broadcast, ensure_parallelism, settled
 from sentinela.operators.derive import derive_time_features
 from sentinela.operators.risk import risk_tier
 
@@ -34,6 +34,8 @@ RISK_CATEGORICAL = [K.ZONE, "dia_semana", "periodo_dia"]
 RISK_NUMERIC = ["hora", "mes", "fim_semana_n"]
 BOOSTED = ("xgboost", "lightgbm", "gradient_boosting")
 MODEL_TYPES = (*BOOSTED, "random_forest")
+#: Most rows of a task of a forest, which keeps some 650 bytes of each (its bins and a weight for every tree).
+TRAIN_ROWS = 250_000
 
 
 @dataclass
@@ -85,11 +87,12 @@ def classifier(model_type: str = "xgboost", seed: int = 42, label: str = "label_
 
 def class_weights(df: DataFrame, label: str, out: str = "peso") -> DataFrame:
     """Balanced weights n / (k · n_class) of the given (training) rows, from one
-    aggregation over the labels (k rows) joined back."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    aggregation over the labels (k rows) broadcast back: a join by label would
+    leave as many tasks as there are classes."""
+    c = settled(df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc")))
     tot = c.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
     c = c.withColumn(out, F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).drop("__nc")
-    return df.join(c, label, "left")
+    return df.join(bounded_broadcast(c), label, "left")
 
 
 def build_pipeline(model_type: str, df: DataFrame, cat_cols=RISK_CATEGORICAL, num_cols=RISK_NUMERIC,
@@ -166,8 +169,9 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
     d = risk_features(df)
     cat = [c for c in RISK_CATEGORICAL if c not in exclude_features]
     num = [c for c in RISK_NUMERIC if c not in exclude_features]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TRAIN_ROWS))
     d = settled(ensure_parallelism(split(d.select(K.ID, *{*cat, *num, K.ZONE, "nivel_risco"}), test_size, seed,
-                                         stratify="nivel_risco")))
+                                         stratify="nivel_risco"), tasks))
     if d.select("nivel_risco").where("nivel_risco is not null").isEmpty():
         raise ValueError("no rows to train on")
     test = d.where(F.col("conjunto") == "teste")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela import constants as K
-from sentinela.plans.hints import settled
+from sentinela.plans.hints import bounded_broadcast, settled
 
 
 def hash_unit(key: str = K.ID, seed: int | str = 42) -> Column:
@@ -44,7 +44,7 @@ def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = K.ID
     cuts = settled(counts.where(F.col("up") >= F.col("want")).groupBy("__c", "want")
                    .agg(F.min(F.struct("__r", (F.col("up") - F.col("n")).alias("before"))).alias("m"))
                    .select("__c", F.col("m.__r").alias("__cut"), (F.col("want") - F.col("m.before")).alias("__need")))
-    j = d.join(cuts, F.col(stratify).eqNullSafe(F.col("__c")))
+    j = d.join(bounded_broadcast(cuts), F.col(stratify).eqNullSafe(F.col("__c")))
     order = Window.partitionBy("__c").orderBy("__u", key)
     edge = j.where("__r = __cut").withColumn("__t", F.row_number().over(order) <= F.col("__need"))
     apart = j.where("__r != __cut").withColumn("__t", F.col("__r") < F.col("__cut"))

@@ -29,3 +29,39 @@ def test_planning_of_the_closest_pairs_does_not_grow_with_the_halvings(spark):
     rows = C.dbscan(df, ["a", "b"], eps=eps, min_samples=5, standardize_features=False).orderBy("occurrence_id").collect()
     assert [r["cluster"] for r in rows] == [0] * 20 + [1] * 20
     assert collapse(df.select("occurrence_id", F.array("a", "b").alias("x")))[0].count() == 4
+
+
+def test_class_weights_keep_the_tasks_of_the_rows(spark):
+    """A join by class left one task a class for all passes of a forest."""
+    from sentinela.ml.classify import class_weights
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).withColumn("label", F.when(F.col("id") % 4 == 0, "a").otherwise("b")).repartition(6).checkpoint()
+        weighted = class_weights(rows, "label")
+        assert weighted.rdd.getNumPartitions() == 6
+        assert sum(1 for n in weighted.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n) == 6
+        assert {(r["label"], r["peso"]) for r in weighted.select("label", "peso").distinct().collect()} == {("a", 2.0), ("b", 2 / 3)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bisecting_gives_sparks_clusters_and_stops_when_no_centre_moves(spark):
+    from pyspark.ml.clustering import BisectingKMeans
+    rows = [(i, float(x + (i * 7 % 11) / 50), float(y + (i * 5 % 13) / 50)) for i, (x, y) in
+            enumerate([(0, 0), (4, 4), (0, 7), (9, 1), (-5, 2)] * 40)]
+    df = spark.createDataFrame(rows, "occurrence_id long, a double, b double")
+    got = C.hierarchical(df, ["a", "b"], k=5).select("features", "cluster").cache()
+    model = BisectingKMeans(k=5, seed=42, maxIter=30, featuresCol="features", predictionCol="spark").fit(got)
+    assert model.transform(got).where("cluster != spark").count() == 0
+
+    class Counted:
+        passes = 0
+
+        def groupBy(self, *cols):
+            self.passes += 1
+            return df.groupBy(*cols)
+
+    counted = Counted()
+    assert len(C.bisect(counted, ["a", "b"], 5, 42, 30)) == 9
+    assert counted.passes < 45  # Spark's makes 30 passes on each of three levels
