@@ -10,7 +10,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.plans.hints import ranked
+from sentinela.plans.hints import bounded_broadcast, ranked
 
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -42,12 +42,12 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """M3: alphabetical codes from 0 (as a double, like ``StringIndexer``).
 
     The code table has one row per distinct value; it is numbered by a range
-    sort with partition offsets and joined back (AQE broadcasts it when small).
-    NULL stays NULL.
+    sort with partition offsets and joined back by broadcast, if it is small: a
+    join by a few values would leave as few tasks.  NULL stays NULL.
     """
     out = out or f"{col}_idx"
     codes = ranked(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], out)
-    return df.join(codes.withColumn(out, F.col(out).cast("double")), col, "left")
+    return df.join(bounded_broadcast(codes.withColumn(out, F.col(out).cast("double"))), col, "left")
 
 
 def _safe(name: str) -> str:

@@ -18,6 +18,7 @@ from sentinela.operators.joins import attach_predictions
 from sentinela.plans import fixtures as X
 from sentinela.plans.batch import score_and_label
 from sentinela.plans.dashboards import CASE_ANOMALY, CASE_CLUSTER, with_codes
+from sentinela.plans.hints import ensure_parallelism, settled
 from sentinela.plans.oracle_base import with_
 from sentinela.plans.q_aggs import CASE_SCOPE
 from sentinela.plans.q_rows import AS_OF_EVENTS, CITY_SQL
@@ -239,7 +240,7 @@ SELECT CAST(k AS INTEGER) AS k, n AS linhas, CAST(k AS INTEGER) AS grupos, true
 FROM k, (SELECT count(*) AS n FROM cal WHERE {CASE_SCOPE})""")
 def m4_case(spark, d):
     """k = 2 … 8 on five encoded, scaled features: rows, clusters and a silhouette in range for each."""
-    base, out = _cases(spark, d), None
+    base, out = settled(ensure_parallelism(_cases(spark, d).select(K.ID, *CASE_CLUSTER))), None
     for k in range(2, 9):
         lab = C.cluster(base, "kmeans", k=k, n_init=1, cat_cols=[], num_cols=CASE_CLUSTER)
         s = C.silhouette(lab)

@@ -65,3 +65,16 @@ def test_bisecting_gives_sparks_clusters_and_stops_when_no_centre_moves(spark):
     counted = Counted()
     assert len(C.bisect(counted, ["a", "b"], 5, 42, 30)) == 9
     assert counted.passes < 45  # Spark's makes 30 passes on each of three levels
+
+
+def test_codes_of_few_values_keep_the_tasks_of_the_rows(spark):
+    from sentinela.ml.features import label_encode
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).withColumn("t", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 < 3, "b")).repartition(6).checkpoint()
+        coded = label_encode(rows, "t")
+        assert coded.rdd.getNumPartitions() == 6
+        assert {(r["t"], r["t_idx"]) for r in coded.select("t", "t_idx").distinct().collect()} == {("a", 0.0), ("b", 1.0), (None, None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
