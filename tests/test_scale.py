@@ -78,3 +78,27 @@ def test_codes_of_few_values_keep_the_tasks_of_the_rows(spark):
         assert {(r["t"], r["t_idx"]) for r in coded.select("t", "t_idx").distinct().collect()} == {("a", 0.0), ("b", 1.0), (None, None)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_neighbours_over_many_boxes_are_those_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+    from sentinela.ml import neighbors as N
+    monkeypatch.setattr(N, "BOX_POINTS", 16)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    x[:40, :3] = 0.0  # a line of points, some of them copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "occurrence_id long, x array<double>").repartition(3)
+    reps, _ = N.collapse(df)
+    got = {}
+    for r in N.knn(reps, 7).collect():
+        got.setdefault(r["p"], []).append((round(r["dist"], 12), r["q"], r["wq"]))
+    points = [(r["rid"], np.array(r["x"]), r["w"]) for r in reps.collect()]
+    assert len(got) == len(points)
+    for p, a, _w in points:
+        left, want = 7, []
+        order = sorted((float(np.sqrt(sum((s - t) * (s - t) for s, t in zip(a, b)))), q, w - (p == q)) for q, b, w in points)
+        for dist, q, w in order:
+            if w and left:
+                want.append((round(dist, 12), q, min(w, left)))
+                left -= min(w, left)
+        assert sorted(got[p]) == sorted(want)
