@@ -1,20 +1,14 @@
-"""Exact neighbour search on Spark by grid blocking (used by M9 LOF; M5 has its own cells in ``ml.density``).
+"""Exact neighbour search on Spark by boxes of a k-d tree (used by M9 LOF; M5 has its own cells in ``ml.density``).
 
 * Exact duplicates are collapsed first into weighted points (rep id = the
   smallest id, weight = multiplicity), so a hot group of identical rows costs
   one point, not a quadratic block.
-* Points are put in cells of a uniform grid over up to three blocking
-  dimensions; candidate pairs come from an equi join on neighbouring cells
-  (no cross join), and distances use every dimension.
-* For k-NN a point's candidates from the cells within ring R are exact as
-  soon as its k-distance is below R·side (any point outside the ring is at
-  least R·side away in a blocking dimension, side = the smallest cell side).  Unresolved points are retried
-  with a wider ring; the ring stops growing once it spans the whole grid.
+* Points are parted in boxes over all dimensions. A point meets its own box,
+  which bounds its k-distance, and then the boxes within this bound.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -64,115 +58,6 @@ def blocking_dims(reps: DataFrame, d: int, b: int = 3) -> list[int]:
     return [r["i"] for r in sorted(st, key=lambda r: (-(r["s"] or 0.0), r["i"]))[:b]]
 
 
-def grid(reps: DataFrame, dims: list[int], sides: float | list[float],
-         origin: list[float] | None = None, upper: list[float] | None = None) -> tuple[DataFrame, list[int]]:
-    """Cell key per point and the number of cells per blocking dimension
-    (``sides`` is one side for all dimensions or one per dimension; the
-    origin and upper corner default to the data's minimum and maximum)."""
-    sides = sides if isinstance(sides, list) else [sides] * len(dims)
-    if origin is None or upper is None:
-        origin, upper = bounds(reps, dims)
-    cell = F.array(*[F.floor((F.col("x")[i] - F.lit(float(lo))) / F.lit(sd)).cast("long")
-                     for i, sd, lo in zip(dims, sides, origin)])
-    extent = [int((hi - lo) // sd) + 1 for sd, lo, hi in zip(sides, origin, upper)]
-    return reps.withColumn("cell", cell), extent
-
-
-def bounds(reps: DataFrame, dims: list[int]) -> tuple[list[float], list[float]]:
-    """Minimum and maximum of each blocking dimension (one aggregation)."""
-    r = reps.agg(*[F.min(F.col("x")[i]).alias(f"lo{i}") for i in dims],
-                 *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in dims]).first()
-    return [float(r[f"lo{i}"]) for i in dims], [float(r[f"hi{i}"]) for i in dims]
-
-
-def neighbour_cells(cells: DataFrame, occupied: DataFrame, ring: int, extent: list[int]) -> DataFrame:
-    """(cell, ncell) for every occupied ``ncell`` within Chebyshev ring ``ring``.
-
-    Works on distinct cells, not points: offsets are generated per dimension
-    (clipped to the grid's extent in that dimension) and only occupied
-    neighbour cells are kept (semi join), so a wide ring over a sparse grid
-    costs cells, not points × ring volume.
-    """
-    c = cells
-    for i, e in enumerate(extent):
-        r = max(0, min(ring, e - 1))
-        c = c.withColumn(f"__o{i}", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-    ncell = F.array(*[F.col("cell")[i] + F.col(f"__o{i}") for i in range(len(extent))])
-    return c.select("cell", ncell.alias("ncell")).join(occupied, "ncell", "left_semi")
-
-
-def _offsets(ring: int, extent: list[int]) -> list[list[int]]:
-    ranges = [range(-max(0, min(ring, e - 1)), max(0, min(ring, e - 1)) + 1) for e in extent]
-    return [list(o) for o in itertools.product(*ranges)]
-
-
-def _ring_volume(ring: int, extent: list[int]) -> int:
-    v = 1
-    for e in extent:
-        v *= 2 * max(0, min(ring, e - 1)) + 1
-    return v
-
-
-# up to this many neighbour cells per point, offsets are exploded per point
-# (one join); beyond it, neighbour cells are enumerated per occupied cell.
-POINT_EXPLODE_MAX = 125
-
-
-def candidate_pairs(left: DataFrame, right: DataFrame, ring: int, extent: list[int]) -> DataFrame:
-    """All (p, q) with q in a cell within Chebyshev ring ``ring`` of p's cell.
-    ``left``/``right``: (rid, x, w, cell).  Equi joins on cell keys only.
-
-    Narrow rings (≤ 125 cells, e.g. ring 1 in three dimensions) explode the
-    clipped offsets per point; wide rings enumerate neighbour cells per
-    distinct occupied cell and keep only occupied ones, so their cost follows
-    the number of cells rather than points × ring volume."""
-    q = right.select(F.col("rid").alias("q"), F.col("x").alias("qx"), F.col("w").alias("qw"), F.col("cell").alias("ncell"))
-    base = left.select(F.col("rid").alias("p"), F.col("x").alias("px"), F.col("w").alias("pw"), "cell")
-    if _ring_volume(ring, extent) <= POINT_EXPLODE_MAX:
-        offs = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in _offsets(ring, extent)])
-        nb = base.select("p", "px", "pw", "cell", F.explode(offs).alias("off")) \
-            .select("p", "px", "pw", F.zip_with("cell", "off", lambda c, o: c + o).alias("ncell"))
-    else:
-        occupied = right.select(F.col("cell").alias("ncell")).distinct()
-        cp = neighbour_cells(left.select("cell").distinct(), occupied, ring, extent)
-        nb = base.join(cp, "cell").drop("cell")
-    j = nb.join(q, "ncell")
-    return j.select("p", "pw", "q", "qw", sq_dist(F.col("px"), F.col("qx")).alias("dist"))
-
-
-def auto_sides(reps: DataFrame, dims: list[int], target: float) -> list[float]:
-    """Per-dimension cell sides giving about ``target`` points per occupied cell.
-
-    Cells are cubes in the spread of the data, except that a dimension never
-    gets more cells than it has distinct values (a discrete dimension such as
-    the hour would otherwise leave most cells empty and the rest crowded); its
-    budget goes to the other dimensions.
-    """
-    agg = reps.agg(F.count(F.lit(1)).alias("n"),
-                   *[(F.max(F.col("x")[i]) - F.min(F.col("x")[i])).alias(f"r{i}") for i in dims],
-                   *[F.approx_count_distinct(F.col("x")[i]).alias(f"d{i}") for i in dims]).first()
-    n = float(agg["n"] or 1)
-    rng = {i: max(float(agg[f"r{i}"] or 0.0), 1e-9) for i in dims}
-    cells: dict[int, float] = {}
-    budget = max(n / target, 1.0)
-    free = list(dims)
-    while free:
-        vol = 1.0
-        for i in free:
-            vol *= rng[i]
-        s = (vol / budget) ** (1.0 / len(free))
-        capped = [i for i in free if rng[i] / s > max(float(agg[f"d{i}"] or 1), 1.0)]
-        if not capped:
-            for i in free:
-                cells[i] = max(rng[i] / s, 1.0)
-            break
-        for i in capped:
-            cells[i] = max(float(agg[f"d{i}"] or 1), 1.0)
-            budget = max(budget / cells[i], 1.0)
-            free.remove(i)
-    return [rng[i] / cells[i] * (1.0 + 1e-9) for i in dims]
-
-
 #: Points of a box on average, and points that place the boxes. Both decide the work only, the result is exact at any.
 BOX_POINTS, PLACING = 1024, 100_000
 #: Distances that a task holds at a time.
