@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.ml.boosting import BoostedTrees, BoostedTreesModel, boost, cell_counts, fold_accuracies
 from sentinela.ml.features import one_hot_stages
-from sentinela.ml.grid import DEEPEST, grid_scores, leaf_rows
+from sentinela.ml.deep_forest import DEEPEST, DeepForest, fold_scores, folds_job, prepared
+from sentinela.ml.grid import grid_scores, leaf_rows
 from sentinela.ml.split import fold_column, split
 from sentinela.plans.hints import bounded_broadcast, ensure_parallelism, settled
 from sentinela.operators.derive import derive_time_features
@@ -229,8 +230,7 @@ def build_case_pipeline(num_cols: Sequence[str], target: str, seed: int = 42, nu
     zone = StringIndexer(inputCol=K.ZONE, outputCol="bairro_encoded", stringOrderType="alphabetAsc",
                          handleInvalid="keep")
     asm = VectorAssembler(inputCols=list(num_cols) + ["bairro_encoded"], outputCol="features")
-    rf = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=leaf_rows(min_split), seed=seed,
-                                featuresCol="features", labelCol="label_idx")
+    rf = DeepForest(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=leaf_rows(min_split), seed=seed)
     return Pipeline(stages=[lab, zone, asm, rf])
 
 
@@ -255,6 +255,18 @@ def grid_search(df: DataFrame, target: str = "gravidade", seed: int = 42, folds:
     return grid_scores(settled(encoded.select("features", "label_idx", "fold")), folds, seed, **grid)
 
 
+def case_folds(pipe: Pipeline, train: DataFrame, folds: int, seed: int = 42) -> tuple[float | None, float | None]:
+    """Mean and deviation of the accuracies of ``folds`` forests, each of all rows but those of its fold, on that
+    fold; all grown in the same passes.  The encoders are fitted on all rows."""
+    d = fold_column(train, folds, seed)
+    rows, edges = prepared(Pipeline(stages=pipe.getStages()[:-1]).fit(d).transform(d), F.col("fold"))
+    forest = pipe.getStages()[-1]
+    job = folds_job(folds, forest.value("numTrees"), rows.agg(F.max("y")).first()[0] + 1, len(edges), [forest.value("minInstancesPerNode")], seed,
+                    forest.value("maxDepth"))
+    met = [right / n for right, n in fold_scores(rows, job, [job.depth]).values()]
+    return (float(np.mean(met)), float(np.std(met))) if met else (None, None)
+
+
 def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float = 0.2, seed: int = 42,
                      tune: bool = False, cv_folds: int | None = 5, min_rows: int = 10,
                      grid=None) -> RiskModelResult:
@@ -278,7 +290,7 @@ def train_case_model(df: DataFrame, target: str = "gravidade", test_size: float
     else:
         pipe = build_case_pipeline(num, target, seed)
         if cv_folds:
-            _, cv_mean, cv_std = cross_validate(pipe, train, cv_folds, seed)
+            cv_mean, cv_std = case_folds(pipe, train, cv_folds, seed)
     model = pipe.fit(train)
     pred = confidence(with_label_text(model, model.transform(test)))
     pred = pred.select(K.ID, K.ZONE, F.col(target).cast("string").alias("label"),
