@@ -89,3 +89,20 @@ def test_case_model_with_many_zones(spark):
     r = M.train_case_model(df, K.TYPE, cv_folds=2)
     assert r.cv_mean > 0.9 and r.predictions.where("label = prediction").count() > 0.9 * r.predictions.count()
     assert r.predictions.count() == 160
+
+
+def test_grid_grows_all_forests_together(spark, monkeypatch):
+    """Nine forests were 9 fits in the driver; a setting scores as if grown for itself."""
+    from sentinela.ml import grid as G
+    df, calls = noisy(spark), []
+    grow = D.upper_nodes
+    monkeypatch.setattr(D, "upper_nodes", lambda *a: calls.append(a[1].trees) or grow(*a))
+    rows = {(r["n_estimators"], r["max_depth"], r["min_samples_split"]): r["media"]
+            for r in G.grid_scores(df, trees=(3, 8), depths=(2, 4, None), splits=(2, 5, 10)).collect()}
+    assert calls == [8] and len(rows) == 18  # one run of passes
+    assert G.grid_scores(df.where("fold = 1"), trees=(2,), depths=(2,), splits=(2,)).count() == 0  # nothing to learn from
+    binned, edges = D.prepared(df, F.col("fold"))
+    for n, depth, split in ((3, 2, 2), (8, 4, 10), (3, None, 5)):
+        one = D.folds_job(3, n, 3, len(edges), [G.leaf_rows(split)], 42, depth or D.DEEPEST)
+        met = D.fold_scores(binned, one, [one.depth]).values()
+        assert abs(np.mean([a / b for a, b in met]) - rows[n, depth, split]) < 1e-12
