@@ -161,6 +161,13 @@ def boosted_with_folds(pipeline: Pipeline, df: DataFrame, folds: int, seed: int
     return PipelineModel(encoder.stages + [BoostedTreesModel.of(plan)]), fold_accuracies(cells, plan, held) if folds else []
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """A settled frame dealt anew if a task would read many more than ``TRAIN_ROWS`` rows: as many partitions as
+    are wanted do not say that the rows are spread over them (few row groups or zones leave most of them empty)."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return settled(df.repartition(-(-sum(sizes) // TRAIN_ROWS))) if sizes and max(sizes) > 1.1 * TRAIN_ROWS else df
+
+
 def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: float = 0.2, seed: int = 42,
                      cv_folds: int | None = 5, exclude_features: Sequence[str] = ()) -> RiskModelResult:
     """M10/M22 step: target A25, stratified hash split (M14), fit, report (M17), CV."""
@@ -175,6 +182,7 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
                                          stratify="nivel_risco"), tasks))
     if d.select("nivel_risco").where("nivel_risco is not null").isEmpty():
         raise ValueError("no rows to train on")
+    d = evenly(d)
     test = d.where(F.col("conjunto") == "teste")
     cv_mean = cv_std = None
     if model_type in BOOSTED:

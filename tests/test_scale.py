@@ -102,3 +102,24 @@ def test_neighbours_over_many_boxes_are_those_of_all_pairs(spark, monkeypatch):
                 want.append((round(dist, 12), q, min(w, left)))
                 left -= min(w, left)
         assert sorted(got[p]) == sorted(want)
+
+
+def test_training_rows_are_spread_also_when_most_partitions_are_empty(spark, monkeypatch):
+    """Enough partitions, but all rows in a few of them: single tasks read the whole table in every pass of a forest."""
+    import pytest
+    from sentinela import constants as K
+    from sentinela.ml import classify as M
+    seen = []
+
+    def stop(_type, train, *a, **k):
+        seen.extend(n for n in train.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n)
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "TRAIN_ROWS", 200)
+    monkeypatch.setattr(M, "build_pipeline", stop)
+    rows = spark.range(3000).select(F.col("id").alias(K.ID), F.concat(F.lit("z"), F.col("id") % 3).alias(K.ZONE),
+                                    F.timestamp_seconds(F.col("id") * 5000).alias(K.TS))
+    rows = rows.repartition(40, F.lit(1)).withColumn("nivel_risco", F.lit(K.RISK_LOW))  # one partition has all rows
+    with pytest.raises(InterruptedError):
+        M.train_risk_model(rows, "random_forest", cv_folds=None)
+    assert sum(seen) == 2400 and max(seen) <= 220 and len(seen) >= 12
