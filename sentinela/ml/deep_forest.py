@@ -1,12 +1,14 @@
-"""Random forests of any depth (M10 and M16 of the case model).
+"""Random forests of any depth (M10 and M16 of the case model) and on equal rows that are counted.
 
 Spark's forest grows every tree in the driver. Trees of depth 30 have nearly
 as many leaves as rows, so there the trees, not the passes over the rows, are
-the work. Here only the upper nodes, those with more than ``GROUP_ROWS`` rows,
-are grown from histograms that Spark adds up; what lies below such a node is a
-group of rows that Spark deals to a task, which grows the subtree. The trees
-of a model stay a table of subtrees; of the trees that are only scored
-(folds, settings) the votes for the held-out rows remain.
+the work. The bins of up to ``GROUP_ROWS`` rows fit in a task, which is given
+all of them and grows some trees from the root (``ml.whole_trees``). Of more
+rows, only the upper nodes are grown from histograms that Spark adds up; what
+lies below a node of ``DEALT_ROWS`` rows is a group of rows that Spark deals
+to a task, which grows the subtree. The trees of a model stay a table; of the
+trees that are only scored (folds, settings) the votes for the held-out rows
+remain. Both ways give the same trees.
 
 As in Spark: at most 32 bins a feature, draws with replacement (Poisson),
 the root of the number of features tried at a node, Gini impurity, a least
@@ -19,12 +21,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+import pyarrow as pa
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -32,27 +36,28 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsReadable, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from sentinela.ml import whole_trees
+from sentinela.ml.whole_trees import child_keys, mix, tried
 from sentinela.plans.hints import settled
 from sentinela.session import ensure_checkpoint_dir, ship_package
 
 #: Spark's greatest depth, for a depth of None, and its bins of a feature.
 DEEPEST, BINS = 30, 32
-#: A node with more rows is cut by histograms; nodes with fewer are finished in tasks, bundled up to as many rows.
-GROUP_ROWS = 200_000
+#: Rows, and bytes of rows and votes, that a task holds to grow whole trees.
+GROUP_ROWS, GROUP_BYTES = 16_000_000, 500_000_000
+#: Of more, a node with more rows than this is cut by histograms; nodes with fewer are finished in tasks, bundled up to as many rows.
+DEALT_ROWS = 200_000
+#: Held-out vectors whose votes are added up at once.
+VOTES = 8192
 #: Nodes cut in one pass, rows a task, and pairs of row and tree handled at once.
 NODES_AT_ONCE, TASK_ROWS, PAIRS = 20_000, 50_000, 1_000_000
 #: Shares of classes are added as whole numbers, so that no sum depends on the order.
 UNIT = 1 << 32
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 19)]))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A hash of 64-bit numbers (splitmix64)."""
-    x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+DRAWN = np.ceil(POISSON * (1 << 53)).astype(np.uint64)
 
 
 def draws(row: np.ndarray, tree: np.ndarray) -> np.ndarray:
@@ -61,17 +66,6 @@ def draws(row: np.ndarray, tree: np.ndarray) -> np.ndarray:
     return np.searchsorted(POISSON, u, "right").astype(np.uint8)
 
 
-def child_keys(key: np.ndarray, side: int) -> np.ndarray:
-    return mix(key * np.uint64(2) + np.uint64(1 + side))
-
-
-def tried(key: np.ndarray, features: int, some: int) -> np.ndarray:
-    """The features tried at each node: nodes x some."""
-    with np.errstate(over="ignore"):
-        h = mix(key[:, None] ^ mix(np.arange(features, dtype=np.uint64))[None, :])
-    return h.argsort(axis=1, kind="stable")[:, :some]
-
-
 def merit(left: np.ndarray, total: np.ndarray, least: np.ndarray) -> np.ndarray:
     """How much a cut lessens the Gini impurity, times the rows (-1: not allowed); classes are the last axis."""
     right = total - left
@@ -134,6 +128,7 @@ class Job:
     features: int
     depth: int = DEEPEST
     prefixes: Sequence[int] = ()   # numbers of trees that are scored apart
+    weights: np.ndarray | None = None   # of the classes
 
     def __post_init__(self):
         each = mix(np.array([s for s in self.seeds for _ in range(self.trees)], np.uint64)) + np.tile(np.arange(self.trees, dtype=np.uint64), len(self.seeds))
@@ -199,10 +194,10 @@ def prepared(df: DataFrame, part) -> tuple[DataFrame, list[np.ndarray]]:
 
 
 # ------------------------------------------------------------------ upper nodes
-def upper_nodes(rows: DataFrame, job: Job, sizes: np.ndarray) -> Tops:
-    """Cuts every node with more than ``GROUP_ROWS`` rows: a pass sums histograms of up to ``NODES_AT_ONCE`` nodes."""
+def upper_nodes(rows: DataFrame, job: Job, sizes: np.ndarray, limit: float) -> Tops:
+    """Cuts every node with more than ``limit`` rows: a pass sums histograms of up to ``NODES_AT_ONCE`` nodes."""
     spark = rows.sparkSession
-    tops, limit = Tops.of(job.keys, job.classes), GROUP_ROWS
+    tops = Tops.of(job.keys, job.classes)
     closed = np.zeros(0, np.int64)
     shape = (job.some, BINS, job.classes)
     while True:
@@ -252,15 +247,15 @@ def upper_nodes(rows: DataFrame, job: Job, sizes: np.ndarray) -> Tops:
             tops.grow(cut.node.to_numpy(), cut.feature.to_numpy(), cut["cut"].to_numpy(), np.vstack(cut.own), np.vstack(cut.total))
 
 
-def bundles(tops: Tops, job: Job, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Bundle of each uncut node (-1: cut) and the nodes of each: neighbours of a forest and segment, up to ``GROUP_ROWS`` rows together."""
+def bundles(tops: Tops, job: Job, sizes: np.ndarray, limit: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bundle of each uncut node (-1: cut) and the nodes of each: neighbours of a forest and segment, up to ``limit`` rows together."""
     ends = np.flatnonzero(tops.feature < 0)
     ends = ends[np.lexsort((ends, tops.tree[ends]))]
     group = job.forest(tops.tree[ends]) * (len(job.prefixes) + 1) + job.segment(tops.tree[ends])
     of, members, filled, last = np.full(len(tops.feature), -1), [], 0, -1
     for node, g in zip(ends, group):
         n = tops.counts[node].sum() if tops.depth[node] else sizes[job.forest(tops.tree[node])]
-        if g != last or filled + n > GROUP_ROWS:
+        if g != last or filled + n > limit:
             members.append([])
             filled = 0
         members[-1].append(node)
@@ -364,15 +359,15 @@ def unpacked(parts, kind: list, members: np.ndarray):
 
 def rows_seen(rows: DataFrame, job: Job) -> np.ndarray:
     """Rows that each forest learns from."""
-    size = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    size = {r["part"]: r["n"] for r in rows.groupBy("part").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias("n")).collect()}
     return job.include @ np.array([size.get(p, 0) for p in range(job.include.shape[1])], float)
 
 
 def grown(rows: DataFrame, job: Job) -> tuple[Tops, np.ndarray, list[np.ndarray]]:
     """Upper nodes, bundle of each, and the nodes of each bundle."""
-    sizes = rows_seen(rows, job)
-    tops = upper_nodes(rows, job, sizes)
-    return tops, *bundles(tops, job, sizes)
+    sizes, limit = rows_seen(rows, job), min(GROUP_ROWS, DEALT_ROWS)
+    tops = upper_nodes(rows, job, sizes, limit)
+    return tops, *bundles(tops, job, sizes, limit)
 
 
 def by_bundle(df: DataFrame, members: list) -> DataFrame:
@@ -381,6 +376,214 @@ def by_bundle(df: DataFrame, members: list) -> DataFrame:
     return df.repartition(max(cores, min(len(members), 2000)), "bundle")
 
 
+# ------------------------------------------------------------------ whole trees
+TABLE_OF_ROWS = "at long, cells binary, y binary, size binary, row binary, part binary, n binary"
+
+
+def side_by_side(rows: DataFrame, job: Job) -> DataFrame:
+    """The rows in the order of their bins and classes, equal ones side by side, some thousands to a record: ``cells`` and
+    ``y`` of each vector and class, how many rows have it, ``row`` and ``part`` (and ``n``, if rows are counted) of these."""
+    counted = "n" in rows.columns
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(batches):
+            if len(batch):
+                bins = np.frombuffer(b"".join(batch.b), np.uint8).reshape(-1, job.features)
+                y = batch.y.to_numpy().astype("<u2")
+                start = np.flatnonzero(np.append(True, (bins[1:] != bins[:-1]).any(axis=1) | (y[1:] != y[:-1])))
+                yield pd.DataFrame({"at": [first + i], "cells": [bins[start].tobytes()], "y": [y[start].tobytes()],
+                                    "size": [np.diff(np.append(start, len(y))).astype("<u4").tobytes()], "row": [batch.row.to_numpy().astype("<i8").tobytes()],
+                                    "part": [batch.part.to_numpy().astype("<u2").tobytes()], "n": [batch.n.to_numpy().astype("<i8").tobytes() if counted else b""]})
+
+    return settled(rows.select("row", "part", "y", "b", *["n"] * counted).sort("b", "y", "row").mapInPandas(run, TABLE_OF_ROWS))
+
+
+def fits(table: DataFrame, job: Job, numbers: int) -> bool:
+    """Whether a task can hold the rows and ``numbers`` votes of each vector that a forest holds out."""
+    size = table.agg(F.sum(F.length("row")).alias("rows"), F.sum(F.length("y")).alias("cells")).first()
+    rows, cells = (size["rows"] or 0) // 8, (size["cells"] or 0) // 2
+    share = max([h.sum() / max(1, h.size) for h in job.held], default=0)
+    return rows <= GROUP_ROWS and 10 * rows + 45 * cells + 8 * numbers * cells * share <= GROUP_BYTES
+
+
+@dataclass
+class Piece:
+    """Trees ``first`` to ``last`` (exclusive) of forests that differ only in the least draws of a leaf."""
+
+    forests: list[int]
+    first: int
+    last: int
+
+
+def pieces(job: Job, able: np.ndarray, cores: int) -> list[Piece]:
+    """The trees of all forests (``able``: worth growing) in pieces of a segment, largest first, so that all cores end together."""
+    alike: dict = {}
+    for m in np.flatnonzero(able):
+        alike.setdefault((job.seeds[m], job.include[m].tobytes(), job.held[m].tobytes()), []).append(int(m))
+    ends = sorted({*job.prefixes, job.trees})
+    segments = [(f, a, b) for f in alike.values() for a, b in zip([0, *ends], ends)]
+    best = None
+    for waves in range(1, 7):
+        each = max(1, -(-sum(b - a for _, a, b in segments) // (cores * waves)))
+        out = []
+        for f, a, b in segments:
+            cuts = np.linspace(a, b, -(-(b - a) // each) + 1).astype(int)
+            out += [Piece(f, int(x), int(y)) for x, y in zip(cuts, cuts[1:])]
+        out.sort(key=lambda p: p.first - p.last)
+        busy = np.zeros(cores)
+        for p in out:
+            busy[busy.argmin()] += p.last - p.first + 2   # reading the table takes as long as a tree or two
+        if best is None or busy.max() < 0.95 * best[0]:
+            best = busy.max(), out
+    return best[1] if segments else []
+
+
+class Rows:
+    """The table in a task: rows a forest learns from, and the vectors that it holds out."""
+
+    def __init__(self, records: list, job: Job, forest: int):
+        records.sort(key=lambda r: r["at"].as_py())
+        whole = lambda name, kind: np.concatenate([np.frombuffer(r[name].as_buffer(), kind) for r in records])
+        self.job = job
+        cells, y, size, part = whole("cells", np.uint8).reshape(-1, job.features), whole("y", "<u2"), whole("size", "<u4"), whole("part", "<u2")
+        cell = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+        learn = job.include[forest][part] > 0
+        row = whole("row", "<i8")
+        records_n = whole("n", "<i8")
+        del records[:]
+        self.n = records_n[learn] if len(records_n) else None
+        own = cell[learn]
+        self.start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        self.cell = own[self.start]
+        self.rows, self.y = whole_trees.rows_of(cells[self.cell]), y[self.cell]
+        self.row = row[learn].astype(np.uint64) if self.n is not None else mix(row[learn])
+        del row, own
+        out = job.held[forest][part] > 0
+        vector = np.cumsum(np.append(False, (cells[1:] != cells[:-1]).any(axis=1))) if len(cells) else np.zeros(0, np.int64)
+        mine = vector[cell[out]]
+        counts = np.bincount(mine * job.classes + y[cell[out]], records_n[out] if len(records_n) else None, (vector.max(initial=-1) + 1) * job.classes)
+        counts = counts.reshape(-1, job.classes)
+        self.met = counts.sum(axis=1) > 0
+        first = np.flatnonzero(np.append(True, vector[1:] != vector[:-1])) if len(cells) else np.zeros(0, np.int64)
+        self.held, self.counts = whole_trees.rows_of(cells[first[self.met]]), counts[self.met].astype(np.int64)
+
+    def draws(self, key: np.uint64) -> np.ndarray:
+        """Draws of each vector and class by a tree."""
+        if self.n is not None:
+            w = np.random.Generator(np.random.Philox(int(key))).poisson(self.n)
+        else:
+            w = np.zeros(len(self.row), np.uint8)
+            for at in range(0, len(w), PAIRS):
+                u = mix(self.row[at:at + PAIRS] ^ key) >> np.uint64(11)
+                own = (u >= DRAWN[0]).astype(np.uint8)
+                more = np.flatnonzero(u >= DRAWN[1])
+                own[more] = np.searchsorted(DRAWN, u[more], "right")
+                w[at:at + PAIRS] = own
+        return np.add.reduceat(w, self.start, dtype=np.int64) if len(w) else np.zeros(0, np.int64)
+
+    def grow(self, tree: int, least: Sequence[int], seen, held) -> int:
+        """Grows the tree with the draws of number ``tree``."""
+        job, key = self.job, self.job.keys[tree]
+        w = self.draws(key)
+        on = np.flatnonzero(w)
+        rules = whole_trees.Rules(np.asarray(least), job.classes, job.features, job.some, job.depth, job.weights)
+        return whole_trees.grow(self.rows[on], self.y[on], w[on], held, key, rules, seen)
+
+
+def in_tasks(table: DataFrame, plan: list[Piece], work, schema: str) -> DataFrame:
+    """``work(records of the table, piece)`` for each piece, in a task that is given the whole table."""
+    given = table.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(len(plan) - 1)))).repartitionById(len(plan), "task")
+
+    def run(batches):
+        whole_trees.keep_freed_memory()
+        records: dict = {}
+        for batch in batches:
+            for r in batch.to_struct_array():
+                records.setdefault(r["task"].as_py(), []).append(r)
+        while records:
+            task = min(records)
+            for out in work(records.pop(task), plan[task]):
+                yield pa.RecordBatch.from_pylist(out, pa_schema)
+
+    pa_schema = to_arrow_schema(_parse_datatype_string(schema))
+    return given.mapInArrow(run, schema)
+
+
+class Ballot:
+    """Votes of the trees for each vector: class shares by depth and forest, added up."""
+
+    def __init__(self, vectors: int, depths: list[int], forests: int, job: Job):
+        self.depths, self.forests, self.job = np.array(depths), forests, job
+        self.sums = np.zeros((vectors, len(depths) * forests * job.classes), np.int64)
+
+    def seen(self, b, cuts, left, keep, leaf) -> None:
+        if not len(b.place):
+            return
+        share = shares(b.counts if self.job.weights is None else b.counts * self.job.weights)
+        at = np.searchsorted(self.depths, b.depth)              # the first depth that is not above the node
+        here = np.isin(b.depth, self.depths) & (keep > 0)
+        full, width, classes = 1 << self.forests, self.forests * self.job.classes, self.job.classes
+        for which, mask, last in ((leaf > 0, leaf, True), (here, keep, False)):
+            if not which.any():
+                continue
+            kind = np.where(which & (at < len(self.depths)), at * full + mask, -1)
+            mine = kind[b.place]
+            for k in np.unique(kind[kind >= 0]):
+                rows = np.flatnonzero(mine == k)
+                number, votes = b.number[rows], share[b.place[rows]]
+                first, m = divmod(int(k), full)
+                end = len(self.depths) if last else first + 1
+                if m == full - 1:
+                    self.sums[number, first * width:end * width] += np.tile(votes, (end - first) * self.forests)
+                    continue
+                for d in range(first, end):
+                    for v in range(self.forests):
+                        if m >> v & 1:
+                            self.sums[number, d * width + v * classes:d * width + (v + 1) * classes] += votes
+
+
+def whole_scores(table: DataFrame, job: Job, sizes: np.ndarray, depths: Sequence[int]) -> dict:
+    """``fold_scores`` by trees that are grown whole."""
+    deep, prefixes, c = sorted(set(depths)), sorted(job.prefixes or [job.trees]), job.classes
+    plan = pieces(job, (sizes > 0) & (job.held.sum(axis=1) > 0), table.sparkSession.sparkContext.defaultParallelism)
+    plan = [p for p in plan if p.first < prefixes[-1]]
+    if not plan:
+        return {}
+
+    def by_least(p: Piece) -> list[int]:
+        return sorted(p.forests, key=lambda m: (job.least[m], m))
+
+    def work(records, p: Piece):
+        rows = Rows(records, job, p.forests[0])
+        if not len(rows.held):
+            return
+        ballot = Ballot(len(rows.held), deep, len(p.forests), job)
+        for t in range(p.first, p.last):
+            rows.grow(p.forests[0] * job.trees + t, [job.least[m] for m in by_least(p)], ballot.seen, rows.held)
+        for at in range(0, len(rows.held), VOTES):
+            yield [{"forest": p.forests[0], "block": at // VOTES, "segment": int(job.segment(np.array(p.first))), "votes": ballot.sums[at:at + VOTES].tobytes(),
+                    "counts": rows.counts[at:at + VOTES].astype("<i8").tobytes() if p.first == 0 else b""}]
+
+    forests = {p.forests[0]: by_least(p) for p in plan}
+
+    def met(pdf):
+        own = forests[int(pdf.forest.iloc[0])]
+        counts = np.frombuffer(b"".join(pdf.counts), "<i8").reshape(-1, c)
+        every, sums, out = np.arange(len(counts)), np.zeros((len(counts), len(deep), len(own), c), np.int64), []
+        for p, n in enumerate(prefixes):
+            for v in pdf.votes[pdf.segment == p]:
+                sums += np.frombuffer(v, np.int64).reshape(sums.shape)
+            best = sums.argmax(axis=3)
+            out += [(m, d, n, int(counts[every, best[:, i, j]].sum()), int(counts.sum())) for i, d in enumerate(deep) for j, m in enumerate(own)]
+        return pd.DataFrame(out, columns=["forest", "depth", "trees", "met", "n"])
+
+    found = (in_tasks(table, plan, work, "forest int, block int, segment int, votes binary, counts binary").groupBy("forest", "block")
+             .applyInPandas(met, "forest int, depth int, trees int, met long, n long").groupBy("forest", "depth", "trees").agg(F.sum("met").alias("met"), F.sum("n").alias("n")))
+    return {(r["forest"], r["depth"], r["trees"]): (r["met"], r["n"]) for r in found.collect()}
+
+
+# ------------------------------------------------------------------ votes
 def votes(rows: DataFrame, job: Job, depths: Sequence[int]) -> DataFrame:
     """(forest, row, y, segment, s0, s1, ...): the class shares of the held-out rows at each depth (depth by depth, times ``UNIT``),
     added over the trees of a segment in parts. Nothing of the trees is kept."""
@@ -424,6 +627,11 @@ def votes(rows: DataFrame, job: Job, depths: Sequence[int]) -> DataFrame:
 def fold_scores(rows: DataFrame, job: Job, depths: Sequence[int]) -> dict:
     """(forest, depth, trees) -> (held-out rows whose class is met, all held-out rows); ties go to the first class. Forests
     without rows to learn from or to vote on are left out."""
+    table, own = side_by_side(rows, job), max(Counter(job.seeds).values(), default=1)
+    if fits(table, job, len(depths) * own * job.classes):
+        sizes = rows_seen(rows, job)
+        upper_nodes(rows, job, sizes, np.inf)   # none
+        return whole_scores(table, job, sizes, depths)
     v, prefixes = votes(rows, job, depths), sorted(job.prefixes or [job.trees])
     c = job.classes
     sums = [F.sum(F.when(F.col("segment") <= p, F.col(f"s{i}")).otherwise(0)).alias(f"p{p}_{i}") for p in range(len(prefixes)) for i in range(len(depths) * c)]

@@ -106,3 +106,54 @@ def test_grid_grows_all_forests_together(spark, monkeypatch):
         one = D.folds_job(3, n, 3, len(edges), [G.leaf_rows(split)], 42, depth or D.DEEPEST)
         met = D.fold_scores(binned, one, [one.depth]).values()
         assert abs(np.mean([a / b for a, b in met]) - rows[n, depth, split]) < 1e-12
+
+
+def test_trees_that_differ_in_the_least_leaf_are_grown_as_one(spark):
+    """The nine forests of the grid were 1,800 trees, each dealt its rows; they are 600 that part near the leaves."""
+    from sentinela.ml import whole_trees as W
+    job = D.folds_job(3, 200, 3, 5, [1, 2, 5], 42, prefixes=(50, 100, 200))
+    plan = D.pieces(job, np.ones(9, bool), 6)
+    assert all(len(p.forests) == 3 and len(set(job.segment(np.arange(p.first, p.last)))) == 1 for p in plan)
+    assert sorted((p.forests[0], t) for p in plan for t in range(p.first, p.last)) == [(f, t) for f in range(3) for t in range(200)]
+
+    rng = np.random.default_rng(4)
+    bins, y, w = rng.integers(0, 20, (3000, 5)).astype(np.uint8), rng.integers(0, 3, 3000), rng.integers(1, 4, 3000)
+    held, key, told = rng.integers(0, 20, (50, 5)).astype(np.uint8), D.mix(np.array([9], np.uint64))[0], {0: [], 1: [], 2: []}
+    reached = {v: np.zeros(50, int) for v in told}
+
+    def seen(b, cuts, left, keep, leaf):
+        for v, nodes in told.items():
+            for mask, cut in ((keep, True), (leaf, False)):
+                nodes += [(*b.counts[i], cuts.feature[i] if cut else -1, cuts.cut[i] if cut else 0) for i in np.flatnonzero(mask >> v & 1)]
+            np.add.at(reached[v], b.number[leaf[b.place] >> v & 1 > 0], 1)
+
+    for block, dense in ((W.BLOCK, W.DENSE), (100, 5)):
+        W.BLOCK, W.DENSE, before = block, dense, (W.BLOCK, W.DENSE)
+        for v in told:
+            told[v], reached[v] = [], np.zeros(50, int)
+        W.grow(W.rows_of(bins), y, w, W.rows_of(held), key, W.Rules(np.array([1, 2, 5]), 3, 5, 3, 30), seen)
+        W.BLOCK, W.DENSE = before
+        for v, least in enumerate((1, 2, 5)):
+            one = D.subtrees(np.zeros(3000, int), bins, y, w, np.array([key]), np.zeros(1, int), np.array([least]), 3, 3, 30)
+            nodes = [(*n, f, c if f >= 0 else 0) for level in one for n, f, c in zip(*level)]
+            assert sorted(told[v]) == sorted(nodes) and len(nodes) > 500
+            assert (reached[v] == 1).all()
+
+
+def test_rows_with_more_features_than_a_number_holds_and_many_draws():
+    from sentinela.ml import whole_trees as W
+    rng = np.random.default_rng(5)
+    bins, y = rng.integers(0, 2, (400, 14)).astype(np.uint8), rng.integers(0, 2, 400)
+    key, found = D.mix(np.array([3], np.uint64))[0], {}
+    for times in (1, 1 << 27):
+        nodes = found[times] = []
+        W.grow(W.rows_of(bins), y, np.full(400, times), W.rows_of(bins[:0]), key, W.Rules(np.array([1]), 2, 14, 4, 30),
+               lambda b, cuts, left, keep, leaf: nodes.extend(zip(b.counts.sum(axis=1) // times, cuts.feature, cuts.cut)))
+    assert sorted(found[1]) == sorted(found[1 << 27]) and len(found[1]) > 100
+    small, large = bins[:, :12], W.Flat(np.ascontiguousarray(bins[:, :12]))
+    trees = []
+    for rows in (W.rows_of(small), large):
+        trees.append([])
+        W.grow(rows, y, np.ones(400), rows[np.arange(0)], key, W.Rules(np.array([2]), 2, 12, 3, 30),
+               lambda b, cuts, left, keep, leaf: trees[-1].extend(zip(b.counts.sum(axis=1), cuts.feature, cuts.cut)))
+    assert trees[0] == trees[1] and isinstance(W.rows_of(bins), W.Flat)
