@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sentinela import constants as K
 from sentinela.ml.boosting import BoostedTrees, BoostedTreesModel, boost, cell_counts, fold_accuracies
 from sentinela.ml.features import one_hot_stages
-from sentinela.ml.deep_forest import DEEPEST, DeepForest, fold_scores, folds_job, prepared
+from sentinela.ml.deep_forest import DEEPEST, DeepForest, counted, fold_scores, folds_job, prepared
 from sentinela.ml.grid import grid_scores, leaf_rows
 from sentinela.ml.split import fold_column, split
 from sentinela.plans.hints import bounded_broadcast, ensure_parallelism, settled
@@ -37,6 +37,8 @@ BOOSTED = ("xgboost", "lightgbm", "gradient_boosting")
 MODEL_TYPES = (*BOOSTED, "random_forest")
 #: Most rows of a task of a forest, which keeps some 650 bytes of each (its bins and a weight for every tree).
 TRAIN_ROWS = 250_000
+#: Most bins of distinct rows from which the folds of the risk forest are grown in tasks.
+COUNTED_BINS = 200_000_000
 
 
 @dataclass
@@ -161,6 +163,26 @@ def boosted_with_folds(pipeline: Pipeline, df: DataFrame, folds: int, seed: int
     return PipelineModel(encoder.stages + [BoostedTreesModel.of(plan)]), fold_accuracies(cells, plan, held) if folds else []
 
 
+def forest_folds(pipe: Pipeline, df: DataFrame, cols: Sequence[str], target: str, folds: int, seed: int = 42) -> tuple[float | None, float | None]:
+    """Mean and deviation of the accuracies of ``folds`` forests with balanced weights, each of all rows but those of
+    its fold, on that fold.  Equal rows are counted first, a tree draws each as often as its rows would be drawn, and all
+    forests are grown at once.  The encoders are fitted on all rows.  Rows with too many distinct vectors are fitted fold
+    by fold."""
+    d = settled(fold_column(df, folds, seed).groupBy(*cols, target, "fold").agg(F.count(F.lit(1)).alias("n")))
+    encoder = Pipeline(stages=pipe.getStages()[:-1]).fit(d)
+    rows, edges = counted(encoder.transform(d), F.col("fold"))
+    if not edges:
+        return None, None
+    if rows.count() * len(edges) > COUNTED_BINS:
+        return cross_validate(pipe, class_weights(df, target), folds, seed)[1:]
+    size = {r[target]: r["n"] for r in d.groupBy(target).agg(F.sum("n").alias("n")).collect()}
+    labels, forest = encoder.stages[0].labels, pipe.getStages()[-1]
+    job = folds_job(folds, forest.getNumTrees(), len(labels), len(edges), [forest.getMinInstancesPerNode()], seed, forest.getMaxDepth())
+    job.weights = np.array([sum(size.values()) / (len(size) * size[c]) for c in labels])
+    met = [right / n for right, n in fold_scores(rows, job, [job.depth]).values()]
+    return (float(np.mean(met)), float(np.std(met))) if met else (None, None)
+
+
 def evenly(df: DataFrame) -> DataFrame:
     """A settled frame dealt anew if a task would read many more than ``TRAIN_ROWS`` rows: as many partitions as
     are wanted do not say that the rows are spread over them (few row groups or zones leave most of them empty)."""
@@ -195,7 +217,7 @@ def train_risk_model(df: DataFrame, model_type: str = "xgboost", test_size: floa
         pipe = build_pipeline(model_type, train, cat, num, seed=seed, weight="peso")
         model = pipe.fit(train)
         if cv_folds:  # over all rows, as the original does
-            _, cv_mean, cv_std = cross_validate(pipe, weighted(d), cv_folds, seed)
+            cv_mean, cv_std = forest_folds(pipe, d, [*cat, *num], "nivel_risco", cv_folds, seed)
     pred = confidence(with_label_text(model, model.transform(test)))
     pred = pred.select(K.ID, K.ZONE, F.col("nivel_risco").alias("label"),
                        F.col("prediction_label").alias("prediction"), "confianca")

@@ -157,15 +157,19 @@ class Job:
 
 # ------------------------------------------------------------------ rows
 def edges_of(df: DataFrame) -> list[np.ndarray]:
-    """Cuts of each slot of ``x``: between the values if there are at most 32, else at 31 quantiles."""
+    """Cuts of each slot of ``x``: between the values if there are at most 32, else at 31 quantiles (of the rows counted by ``n``, if there)."""
     width = len(df.select("x").first()["x"])
+    values = df.select(F.posexplode("x").alias("i", "v")).distinct()
+    size = {r["i"]: r["k"] for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    few = [i for i in range(width) if size[i] <= BINS]
+    found: dict = {i: [] for i in few}
+    for r in values.where(F.col("i").isin(few)).collect():
+        found[r["i"]].append(r["v"])
     share = [i / BINS for i in range(1, BINS)]
-    many = df.agg(*[F.percentile_approx(F.col("x")[i], share, 10_000).alias(f"c{i}") for i in range(width)]).first()
-    out = []
-    for i in range(width):
-        few = sorted(r[0] for r in df.select(F.col("x")[i].alias("v")).distinct().limit(BINS + 1).collect())
-        out.append((np.array(few[:-1]) + np.array(few[1:])) / 2 if len(few) <= BINS else np.unique(np.array(many[i], float)))
-    return out
+    many = [i for i in range(width) if i not in found]
+    at = lambda c: F.percentile(c, share, F.col("n")) if "n" in df.columns else F.percentile_approx(c, share, 10_000)
+    cuts = df.agg(*[at(F.col("x")[i]).alias(f"c{i}") for i in many]).first() if many else {}
+    return [np.unique(np.array(cuts[f"c{i}"], float)) if i in many else (np.array(sorted(found[i])[:-1]) + np.array(sorted(found[i])[1:])) / 2 for i in range(width)]
 
 
 def bins_of(x: pd.Series, edges: list[np.ndarray]) -> list[bytes]:
@@ -174,13 +178,16 @@ def bins_of(x: pd.Series, edges: list[np.ndarray]) -> list[bytes]:
 
 
 def binned(df: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """(row, part, y, b): the rows of ``df`` (row, part, y, x) with their bins as bytes, spread over the tasks."""
+    """(row, part, y, b): the rows of ``df`` (row, part, y, x) with their bins as bytes, spread over the tasks; ``n`` stays."""
+    own = [("row", "long"), ("part", "int"), ("y", "int"), *[("n", "long")] * ("n" in df.columns), ("b", "binary")]
+    names = [name for name, _ in own]
+
     def run(batches):
         for batch in batches:
             if len(batch):
-                yield batch.assign(b=bins_of(batch.x, edges))[["row", "part", "y", "b"]]
+                yield batch.assign(b=bins_of(batch.x, edges))[names]
 
-    return df.select("row", "part", "y", "x").mapInPandas(run, "row long, part int, y int, b binary")
+    return df.select(*names[:-1], "x").mapInPandas(run, ", ".join(f"{name} {kind}" for name, kind in own))
 
 
 def prepared(df: DataFrame, part) -> tuple[DataFrame, list[np.ndarray]]:
@@ -193,6 +200,18 @@ def prepared(df: DataFrame, part) -> tuple[DataFrame, list[np.ndarray]]:
     return settled(binned(x.withColumn("row", F.monotonically_increasing_id()), edges).repartition(tasks)), edges
 
 
+def counted(df: DataFrame, part) -> tuple[DataFrame, list[np.ndarray]]:
+    """(row, part, y, b, n): distinct bins of ``df`` (features, label_idx, and ``n`` rows that are alike), and the cuts."""
+    ship_package(df.sparkSession)
+    x = settled(df.where("label_idx is not null").select(part.cast("int").alias("part"), F.col("label_idx").cast("int").alias("y"),
+                                                         vector_to_array("features").alias("x"), F.col("n").cast("long").alias("n")))
+    if x.isEmpty():
+        return x, []
+    edges = edges_of(x)
+    rows = binned(x.withColumn("row", F.lit(0).cast("long")), edges).groupBy("part", "y", "b").agg(F.sum("n").alias("n"))
+    return settled(rows.withColumn("row", F.xxhash64("part", "y", "b"))), edges
+
+
 # ------------------------------------------------------------------ upper nodes
 def upper_nodes(rows: DataFrame, job: Job, sizes: np.ndarray, limit: float) -> Tops:
     """Cuts every node with more than ``limit`` rows: a pass sums histograms of up to ``NODES_AT_ONCE`` nodes."""
@@ -404,7 +423,7 @@ def fits(table: DataFrame, job: Job, numbers: int) -> bool:
     size = table.agg(F.sum(F.length("row")).alias("rows"), F.sum(F.length("y")).alias("cells")).first()
     rows, cells = (size["rows"] or 0) // 8, (size["cells"] or 0) // 2
     share = max([h.sum() / max(1, h.size) for h in job.held], default=0)
-    return rows <= GROUP_ROWS and 10 * rows + 45 * cells + 8 * numbers * cells * share <= GROUP_BYTES
+    return rows <= GROUP_ROWS and 10 * rows + (40 + job.features) * cells + 8 * numbers * cells * share <= GROUP_BYTES
 
 
 @dataclass
@@ -632,6 +651,8 @@ def fold_scores(rows: DataFrame, job: Job, depths: Sequence[int]) -> dict:
         sizes = rows_seen(rows, job)
         upper_nodes(rows, job, sizes, np.inf)   # none
         return whole_scores(table, job, sizes, depths)
+    if "n" in rows.columns:
+        raise ValueError("more distinct rows than a task holds")
     v, prefixes = votes(rows, job, depths), sorted(job.prefixes or [job.trees])
     c = job.classes
     sums = [F.sum(F.when(F.col("segment") <= p, F.col(f"s{i}")).otherwise(0)).alias(f"p{p}_{i}") for p in range(len(prefixes)) for i in range(len(depths) * c)]

@@ -157,3 +157,38 @@ def test_rows_with_more_features_than_a_number_holds_and_many_draws():
         W.grow(rows, y, np.ones(400), rows[np.arange(0)], key, W.Rules(np.array([2]), 2, 12, 3, 30),
                lambda b, cuts, left, keep, leaf: trees[-1].extend(zip(b.counts.sum(axis=1), cuts.feature, cuts.cut)))
     assert trees[0] == trees[1] and isinstance(W.rows_of(bins), W.Flat)
+
+
+def test_folds_of_the_risk_forest_count_equal_rows(spark, monkeypatch):
+    """Five fits of Spark's forest over all rows; the rows have few distinct vectors, and these are what is grown from."""
+    rows = [(i, f"z{i % 6}", i % 24, float(i % 7 > 4), "Alto" if i % 6 == 0 and i % 24 < 12 else "Baixo") for i in range(1200)]
+    df = spark.createDataFrame(rows, f"{K.ID} long, {K.ZONE} string, hora int, fim double, risco string")
+    pipe = M.build_pipeline("random_forest", df, [K.ZONE], ["hora", "fim"], "risco", weight="peso")
+    told = []
+    monkeypatch.setattr(M, "counted", lambda d, part: told.append(d.agg(F.count(F.lit(1)), F.sum("n")).first()) or D.counted(d, part))
+    mean, std = M.forest_folds(pipe, df, [K.ZONE, "hora", "fim"], "risco", 3)
+    assert mean > 0.97 and std < 0.03
+    assert told[0][1] == 1200 and told[0][0] < 700
+    _, spark_s, _ = M.cross_validate(pipe, M.class_weights(df, "risco"), 3)
+    assert abs(mean - spark_s) < 0.03
+    assert M.forest_folds(pipe, df.where("hora < 0"), [K.ZONE, "hora", "fim"], "risco", 3) == (None, None)
+    monkeypatch.setattr(M, "COUNTED_BINS", 0)
+    monkeypatch.setattr(M, "cross_validate", lambda *a: (None, 0.5, 0.1))
+    assert M.forest_folds(pipe, df, [K.ZONE, "hora", "fim"], "risco", 3) == (0.5, 0.1)
+
+
+def test_counted_rows_are_drawn_and_weighted_as_rows(spark):
+    """Forests of counted rows do as well as those of the rows themselves; weights of classes count."""
+    df = noisy(spark, 1200).select("fold", "label_idx", "features")
+    pairs = [(i % 3, float(i % 10 == 0), float(i % 2)) for i in range(900)]   # one in five of the even rows
+    flat = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.createDataFrame(pairs, "fold int, label_idx double, a double"))
+    for data, classes in ((df, 3), (flat, 2)):
+        once, edges = D.counted(data.groupBy("fold", "label_idx", "features").agg(F.count(F.lit(1)).alias("n")), F.col("fold"))
+        rows, same = D.prepared(data, F.col("fold"))
+        assert all(np.allclose(a, b, atol=0.05) for a, b in zip(edges, same)) and once.agg(F.sum("n")).first()[0] == rows.count()
+        job = D.folds_job(3, 40, classes, len(edges), [1], 7, 6)
+        a, b = (sum(m for m, _ in D.fold_scores(r, job, [6]).values()) / rows.count() for r in (once, rows))
+        assert abs(a - b) < 0.04
+        assert D.fold_scores(once, job, [6]) == D.fold_scores(once.repartition(5), job, [6])
+    job.weights = np.array([0.1, 5.0])
+    assert sum(m for m, _ in D.fold_scores(once, job, [6]).values()) == 450 + 90  # the rare class now outweighs the other
