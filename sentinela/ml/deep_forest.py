@@ -19,6 +19,7 @@ subtrees begin.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
 from collections import Counter
@@ -510,6 +511,18 @@ class Rows:
         return whole_trees.grow(self.rows[on], self.y[on], w[on], held, key, rules, seen)
 
 
+@contextlib.contextmanager
+def few_at_once(spark: SparkSession, records: int):
+    """Hands Python so many records at once: those of tables and trees are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(records))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def in_tasks(table: DataFrame, plan: list[Piece], work, schema: str) -> DataFrame:
     """``work(records of the table, piece)`` for each piece, in a task that is given the whole table."""
     given = table.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(len(plan) - 1)))).repartitionById(len(plan), "task")
@@ -599,7 +612,24 @@ def whole_scores(table: DataFrame, job: Job, sizes: np.ndarray, depths: Sequence
 
     found = (in_tasks(table, plan, work, "forest int, block int, segment int, votes binary, counts binary").groupBy("forest", "block")
              .applyInPandas(met, "forest int, depth int, trees int, met long, n long").groupBy("forest", "depth", "trees").agg(F.sum("met").alias("met"), F.sum("n").alias("n")))
-    return {(r["forest"], r["depth"], r["trees"]): (r["met"], r["n"]) for r in found.collect()}
+    with few_at_once(table.sparkSession, 64):
+        return {(r["forest"], r["depth"], r["trees"]): (r["met"], r["n"]) for r in found.collect()}
+
+
+def whole_table(table: DataFrame, job: Job) -> DataFrame:
+    """The trees of the one forest of a job, a row each (``TABLE``)."""
+    def work(records, p: Piece):
+        rows = Rows(records, job, 0)
+        for t in range(p.first, p.last):
+            told: list = []
+            n = rows.grow(t, job.least, lambda b, cuts, left, keep, leaf: told.append((b.own, np.where(keep > 0, cuts.feature, -1), left, cuts.cut, b.counts)), rows.held)
+            out = {"feature": np.zeros(n, "<i2"), "left": np.zeros(n, "<i4"), "cut": np.zeros(n, "u1"), "counts": np.zeros((n, job.classes), "<i4")}
+            for own, *values in told:
+                for column, value in zip(out.values(), values):
+                    column[own] = value
+            yield [{"bundle": t} | {name: column.tobytes() for name, column in out.items()}]
+
+    return in_tasks(table, pieces(job, np.ones(1, bool), table.sparkSession.sparkContext.defaultParallelism), work, TABLE)
 
 
 # ------------------------------------------------------------------ votes
@@ -700,6 +730,13 @@ class DeepForest(Estimator, DefaultParamsReadable, DefaultParamsWritable):
             raise ValueError("no rows to train on")
         job = Job(np.ones((1, 1)), np.zeros((1, 1)), np.array([self.value("minInstancesPerNode")]), [self.value("seed")], self.value("numTrees"),
                   classes + 1, len(edges), self.value("maxDepth"))
+        path = f"{ensure_checkpoint_dir(rows.sparkSession)}/trees-{uuid.uuid4().hex}"
+        together = side_by_side(rows, job)
+        if fits(together, job, 0):
+            tops = upper_nodes(rows, job, rows_seen(rows, job), np.inf)   # the roots
+            with few_at_once(rows.sparkSession, 64):  # a file a tree: a reader holds all rows of a small file at once
+                whole_table(together, job).write.option("maxRecordsPerFile", 1).parquet(path)
+            return DeepForestModel(path, (tops, np.arange(job.trees), [np.array([t]) for t in range(job.trees)]), edges, job.classes, job.trees)
         state = grown(rows, job)
         shared = rows.sparkSession.sparkContext.broadcast(state)
 
@@ -718,7 +755,6 @@ class DeepForest(Estimator, DefaultParamsReadable, DefaultParamsWritable):
                                  "counts": [np.concatenate([n for n, _, _ in levels]).astype("<i4").tobytes()]})
 
         table = by_bundle(dealt(rows, job, shared, held=False), state[2]).groupBy("bundle").applyInPandas(run, TABLE)
-        path = f"{ensure_checkpoint_dir(rows.sparkSession)}/trees-{uuid.uuid4().hex}"
         table.write.parquet(path)
         return DeepForestModel(path, state, edges, job.classes, job.trees)
 
@@ -737,8 +773,66 @@ class DeepForestModel(Model, MLReadable, MLWritable):
         return SparkSession.getActiveSession().read.schema(TABLE).parquet(self.path)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship_package(dataset.sparkSession)
+        tops, _, members = self.state
+        return self._by_vector(dataset) if len(tops.feature) == len(members) == self.getNumTrees else self._by_row(dataset)
+
+    def _answered(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns of a classifier from the sums of class shares in ``__raw``."""
+        total = F.aggregate("__raw", F.lit(0.0), lambda a, b: a + b)
+        return df.withColumns({"rawPrediction": array_to_vector("__raw"), "probability": array_to_vector(F.transform("__raw", lambda v: v / total)),
+                               "prediction": (F.array_position("__raw", F.array_max("__raw")) - 1).cast("double")}).drop("__raw")
+
+    def _by_vector(self, dataset: DataFrame) -> DataFrame:
+        """Every task that reads whole trees is given the distinct vectors, and adds up their votes."""
+        spark, classes, width, edges = dataset.sparkSession, self.classes, len(self.edges), self.edges
+        bins = F.pandas_udf(lambda x: pd.Series(bins_of(x, edges)) if len(x) else pd.Series([], dtype=object), "binary")
+        d = settled(dataset.withColumn("__b", bins(vector_to_array("features"))))
+
+        def side(batches):
+            first = TaskContext.get().partitionId() << 32
+            for i, batch in enumerate(batches):
+                if len(batch):
+                    yield pd.DataFrame({"at": [first + i], "n": [len(batch)], "cells": [b"".join(batch["__b"])]})
+
+        given = settled(d.select("__b").where("__b is not null").distinct().mapInPandas(side, "at long, n long, cells binary"))
+        if (given.agg(F.sum("n")).first()[0] or 0) * (width + 8 * classes) > GROUP_BYTES // 2:
+            return self._by_row(dataset)
+        cells = spark.sparkContext.broadcast(b"".join(r["cells"] for r in given.select("at", "cells").orderBy("at").collect()))
+
+        def run(batches):
+            whole_trees.keep_freed_memory()
+            bins = np.frombuffer(cells.value, np.uint8).reshape(-1, width)
+            sums = np.zeros((len(bins), classes), np.int64)
+            for batch in batches:
+                for r in batch.itertuples():
+                    feature, left, cut = np.frombuffer(r.feature, "<i2"), np.frombuffer(r.left, "<i4"), np.frombuffer(r.cut, "u1")
+                    share = shares(np.frombuffer(r.counts, "<i4").reshape(-1, classes))
+                    for first in range(0, len(bins), PAIRS):
+                        some = bins[first:first + PAIRS]
+                        node, at = np.zeros(len(some), np.int64), np.arange(len(some))
+                        while len(at):
+                            at = at[feature[node[at]] >= 0]
+                            own = node[at]
+                            node[at] = left[own] + (some[at, feature[own]] > cut[own])
+                        sums[first:first + PAIRS] += share[node]
+            for first in range(0, len(bins), VOTES):
+                yield pd.DataFrame({"block": [first], "votes": [sums[first:first + VOTES].tobytes()]})
+
+        def added_up(pdf):
+            first = int(pdf.block.iloc[0])
+            sums = np.sum([np.frombuffer(v, np.int64).reshape(-1, classes) for v in pdf.votes], axis=0)
+            own = [cells.value[i * width:(i + 1) * width] for i in range(first, first + len(sums))]
+            return pd.DataFrame({"__b": own, "__raw": list(sums / float(UNIT))})
+
+        voted = self.table().mapInPandas(run, "block long, votes binary").groupBy("block").applyInPandas(added_up, "__b binary, __raw array<double>")
+        with few_at_once(spark, 1):
+            voted = settled(voted)
+        return self._answered(d.join(voted, "__b", "left").drop("__b"))
+
+    def _by_row(self, dataset: DataFrame) -> DataFrame:
+        """The rows are dealt to the trees' bundles."""
         spark, classes, width = dataset.sparkSession, self.classes, len(self.edges)
-        ship_package(spark)
         d = settled(dataset.withColumn("__row", F.monotonically_increasing_id()))
         rows = d.select(F.col("__row").alias("row"), F.lit(0).alias("part"), F.lit(0).alias("y"), vector_to_array("features").alias("x"))
         job = Job(np.zeros((1, 1)), np.ones((1, 1)), np.ones(1), [0], self.getNumTrees, classes, width)
@@ -762,11 +856,8 @@ class DeepForestModel(Model, MLReadable, MLWritable):
         each = (given.groupBy("bundle").cogroup(self.table().groupBy("bundle"))
                 .applyInPandas(run, "row long, " + ", ".join(f"{s} long" for s in sums)))
         raw = F.transform(F.array(*sums), lambda s: s / F.lit(float(UNIT)))
-        total = F.aggregate("__raw", F.lit(0.0), lambda a, b: a + b)
         per_row = each.groupBy(F.col("row").alias("__row")).agg(*[F.sum(s).alias(s) for s in sums]).select("__row", raw.alias("__raw"))
-        out = d.join(per_row, "__row", "left")
-        return out.withColumns({"rawPrediction": array_to_vector("__raw"), "probability": array_to_vector(F.transform("__raw", lambda v: v / total)),
-                                "prediction": (F.array_position("__raw", F.array_max("__raw")) - 1).cast("double")}).drop("__row", "__raw")
+        return self._answered(d.join(per_row, "__row", "left").drop("__row"))
 
     @property
     def featureImportances(self) -> DenseVector:
@@ -821,7 +912,7 @@ class _Writer(MLWriter):
         body = {"tops": {k: v.tolist() for k, v in vars(tops).items()}, "of": of.tolist(), "members": [x.tolist() for x in members],
                 "edges": [e.tolist() for e in m.edges], "classes": m.classes, "trees": m.getNumTrees}
         DefaultParamsWriter.saveMetadata(m, path, self.sparkSession)
-        m.table().write.parquet(f"{path}/data")
+        m.table().write.option("maxRecordsPerFile", max(1, len(members) // m.getNumTrees)).parquet(f"{path}/data")
         self.sparkSession.createDataFrame([(json.dumps(body),)], "body string").write.parquet(f"{path}/upper")
 
 

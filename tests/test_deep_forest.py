@@ -192,3 +192,18 @@ def test_counted_rows_are_drawn_and_weighted_as_rows(spark):
         assert D.fold_scores(once, job, [6]) == D.fold_scores(once.repartition(5), job, [6])
     job.weights = np.array([0.1, 5.0])
     assert sum(m for m, _ in D.fold_scores(once, job, [6]).values()) == 450 + 90  # the rare class now outweighs the other
+
+
+def test_a_fitted_forest_is_whole_trees_and_classifies_each_vector_once(spark, monkeypatch):
+    """Every row was dealt to every tree, in training and in scoring."""
+    df = noisy(spark)
+    model = D.DeepForest(numTrees=6).fit(df)
+    assert [len(m) for m in model.state[2]] == [1] * 6 and model.table().count() == 6
+    monkeypatch.setattr(D, "dealt", lambda *a, **k: 1 / 0)
+    kept = answers(model, df.union(df.withColumn("id", F.col("id") + 10_000)))
+    assert len(kept) == 1800 and all(kept[i] == kept[i + 10_000] for i in range(900))
+    assert model.transform(df.where("id < 0")).count() == 0
+    monkeypatch.undo()
+    rows = {r["id"]: (r["prediction"], tuple(r["p"])) for r in
+            model._by_row(df).select("id", "prediction", vector_to_array("probability").alias("p")).collect()}
+    assert rows == {i: kept[i] for i in range(900)}
